@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy pass takes at once; a longer document is a pass of its own.
 CHUNK = 2 << 20
+#: Ids that may be broadcast, 8 bytes each.
+SMALL = 1_000_000
 _BASE = np.uint64(0x100000001B3)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -126,3 +129,21 @@ def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])[full]
         out[full] = np.add.reduceat(values, starts, axis=0)
     return out
+
+
+def filtered(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose text ``judge`` accepts; no join, no shuffle."""
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone`` (doc_id). Up to SMALL ids are broadcast, more are joined by a shuffle."""
+    gone = cut(gone.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct())
+    small = gone.limit(SMALL + 1).count() <= SMALL
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("_gone"), "left_anti")

@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _LETTER as LETTER
-from .common import chunks, lower, packed, runs, segment_sums, table
+from .common import chunks, filtered, lower, packed, runs, segment_sums, table
 
 #: Hash buckets of a language's n-grams, pseudo-count of a bucket, languages that a document may hold, EM rounds, cost of a language in units of ln(words), and the most languages learned (the most frequent ones).
 BUCKETS, PSEUDO, MOST_SET, ROUNDS, PENALTY, MOST_LANGS = 1 << 16, 0.5, 3, 8, 4.0, 64
+#: Least score of a document that the pipeline keeps.
+LEAST = 0.2
 
 
 @dataclass(frozen=True)
@@ -119,37 +121,38 @@ def mixtures(word_ll: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return share, size, alone
 
 
+def judged(m: Model, column: pa.Array) -> tuple[list, list, list, list]:
+    """lang_pred, score, n_langs and shares of every text of a column."""
+    names = np.array([*m.langs, "und"], dtype=object)
+    data, offsets = packed(column)
+    pred, score, size, sets = [], [], [], []
+    for _, _, part, bounds in chunks(data, offsets, 1 << 20):
+        bucket, sizes, starts = _grams(part, bounds)
+        counts = np.diff(np.searchsorted(starts, bounds))
+        n = len(counts)
+        if not m.langs:
+            pred, score, size, sets = pred + ["und"] * n, score + [0.0] * n, size + [0] * n, sets + [""] * n
+            continue
+        share, k, alone = mixtures(segment_sums(m.logp[bucket], sizes).astype(np.float32), counts)
+        most = np.argmax(share, axis=1)
+        gap = alone - alone[np.arange(n), most][:, None]
+        sure = 1 / np.exp(np.minimum(gap / np.sqrt(np.maximum(counts, 1))[:, None], 0)).sum(axis=1)
+        none = counts == 0
+        most[none] = len(m.langs)
+        pred += names[most].tolist()
+        score += np.where(none, 0, np.clip(share.max(axis=1) * sure, 0, 1)).astype(float).tolist()
+        size += np.where(none, 0, k).tolist()
+        sets += ["" if z else " ".join(f"{m.langs[i]}:{x[i]:.3f}" for i in np.argsort(-x, kind="stable")[:c]) for z, x, c in zip(none, share, k, strict=True)]
+    return pred, score, size, sets
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (the predicted language's share times its posterior among single languages), n_langs and the set's shares as JSON-like text."""
+    """doc_id, lang_pred, score (the predicted language's share times its posterior among single languages), n_langs and the shares of the set."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGS x BUCKETS numbers
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        names = np.array([*m.langs, "und"], dtype=object)
         for batch in batches:
-            data, offsets = packed(batch.column(1))
-            pred, score, size, sets = [], [], [], []
-            for _, _, part, bounds in chunks(data, offsets, 1 << 20):
-                bucket, sizes, starts = _grams(part, bounds)
-                counts = np.diff(np.searchsorted(starts, bounds))
-                n = len(counts)
-                if not m.langs:
-                    pred += ["und"] * n
-                    score += [0.0] * n
-                    size += [0] * n
-                    sets += [""] * n
-                    continue
-                share, k, alone = mixtures(segment_sums(m.logp[bucket], sizes).astype(np.float32), counts)
-                most = np.argmax(share, axis=1)
-                gap = alone - alone[np.arange(n), most][:, None]
-                sure = 1 / np.exp(np.minimum(gap / np.sqrt(np.maximum(counts, 1))[:, None], 0)).sum(axis=1)
-                none = counts == 0
-                most[none] = len(m.langs)
-                value = np.where(none, 0, np.clip(share.max(axis=1) * sure, 0, 1))
-                pred += names[most].tolist()
-                score += value.astype(float).tolist()
-                size += np.where(none, 0, k).tolist()
-                sets += ["" if z else " ".join(f"{m.langs[i]}:{x[i]:.3f}" for i in np.argsort(-x, kind="stable")[:c]) for z, x, c in zip(none, share, k, strict=True)]
+            pred, score, size, sets = judged(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(size, pa.int32()), pa.array(sets, pa.string())], names=["doc_id", "lang_pred", "score", "n_langs", "shares"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double, n_langs int, shares string")
@@ -165,15 +168,15 @@ def identified(docs: DataFrame) -> DataFrame:
     return predict(docs, learn(docs.where(~held_out(4, 2))))
 
 
-def rejected(lang_pred: Column, score: Column) -> Column:
-    """Documents of no language, or whose main language has a small share and is no likelier than others."""
-    return (lang_pred == "und") | (score < 0.2)
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in some language: rejected are ``und`` and texts whose main language scores below LEAST."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~held_out(4, 2))))
 
+    def judge(column: pa.Array) -> np.ndarray:
+        pred, score, _, _ = judged(shared.value, column)
+        return np.array([p != "und" and s >= LEAST for p, s in zip(pred, score, strict=True)], bool)
 
-def kept(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is identified; rows without a doc_id go (nothing identifies them)."""
-    found = identified(docs).where(~rejected(F.col("lang_pred"), F.col("score"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_keep"), "left_semi")
+    return filtered(docs, judge)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _SPACE as SPACE
-from .common import chunks, mixed, packed, run_hashes, runs, segment_sums, table
+from .common import chunks, filtered, mixed, packed, run_hashes, runs, segment_sums, table
 from .langid import held_out
 
 #: Rated rows that a fit takes at most; hash buckets; rounds, rate and ridge of the fit; the tail probability from which a document is selected.
@@ -127,28 +127,31 @@ def learn(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(rows["y"].to_numpy(), buffers[0].astype(np.int64), buffers[1].astype(float), sizes)
 
 
+def judged(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The likeliest grade, expected grade and tail probability of every text of a column."""
+    grades = np.array(m.grades)
+    data, offsets = packed(column)
+    z = np.zeros(len(offsets) - 1)
+    for i, j, part, bounds in chunks(data, offsets):
+        got = np.concatenate([[0.0], np.cumsum(m.weights[_buckets(part)]), [0.0, 0.0]])
+        ends = np.maximum(bounds[1:] - 2, bounds[:-1])
+        n = ends - bounds[:-1]
+        last = max(len(part) - 2, 0)
+        z[i:j] = np.where(n > 0, got[np.minimum(ends, last)] - got[np.minimum(bounds[:-1], last)], 0) / (n + SHORT_GRAMS)
+        shapes, words = _shapes(part, bounds)
+        z[i:j] += segment_sums(m.weights[shapes], words) / (words + SHORT_WORDS)
+    tail = 1 / (1 + np.exp(np.clip(m.cuts[None, :] - z[:, None], -500, 500)))
+    each = -np.diff(np.concatenate([np.ones((len(z), 1)), tail, np.zeros((len(z), 1))], axis=1), axis=1)
+    return grades[np.argmax(each, axis=1)], each @ grades, tail[:, 0] if len(m.cuts) else np.full(len(z), float(grades[0] > 0))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, grade (the likeliest), expected_grade and tail_prob, the probability of more than the lowest grade."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ALL numbers
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        grades = np.array(m.grades)
         for batch in batches:
-            data, offsets = packed(batch.column(1))
-            z = np.zeros(batch.num_rows)
-            for i, j, part, bounds in chunks(data, offsets):
-                got = np.concatenate([[0.0], np.cumsum(m.weights[_buckets(part)]), [0.0, 0.0]])
-                ends = np.maximum(bounds[1:] - 2, bounds[:-1])
-                n = ends - bounds[:-1]
-                last = max(len(part) - 2, 0)
-                z[i:j] = np.where(n > 0, got[np.minimum(ends, last)] - got[np.minimum(bounds[:-1], last)], 0) / (n + SHORT_GRAMS)
-                shapes, words = _shapes(part, bounds)
-                z[i:j] += segment_sums(m.weights[shapes], words) / (words + SHORT_WORDS)
-            tail = 1 / (1 + np.exp(np.clip(m.cuts[None, :] - z[:, None], -500, 500)))
-            each = -np.diff(np.concatenate([np.ones((len(z), 1)), tail, np.zeros((len(z), 1))], axis=1), axis=1)
-            first = tail[:, 0] if len(m.cuts) else np.full(len(z), float(grades[0] > 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(grades[np.argmax(each, axis=1)]), pa.array(each @ grades), pa.array(first)], names=["doc_id", "grade", "expected_grade", "tail_prob"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, judged(shared.value, batch.column(1)))], names=["doc_id", "grade", "expected_grade", "tail_prob"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, grade double, expected_grade double, tail_prob double")
 
@@ -158,16 +161,23 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when((quality == 1) & (toxic == 1), 1).when(quality == 1, 2)
 
 
+def ratings(labels: DataFrame) -> DataFrame:
+    """doc_id and grade of the labels that are not held out."""
+    return labels.where(~held_out(5, 0)).select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
+
+
 def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Predictions for all of ``docs`` by a model of the ratings that are not held out."""
-    ratings = labels.where(~held_out(5, 0)).select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
-    return predict(docs, learn(docs, ratings))
+    return predict(docs, learn(docs, ratings(labels)))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are likelier above the lowest grade than in it; rows without a doc_id go."""
-    found = rated(docs, labels).where(F.col("tail_prob") >= SELECT).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_keep"), "left_semi")
+    """The rows of ``docs`` that are likelier above the lowest grade than in it; all of them if nothing can be learned."""
+    model = learn(docs, ratings(labels))
+    if not len(model.cuts):
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered(docs, lambda column: judged(shared.value, column)[2] >= SELECT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

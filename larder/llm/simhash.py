@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, lower, mixed, packed, run_hashes, runs, table
+from .common import chunks, cut, lower, mixed, packed, run_hashes, runs, table, without
 from .common import _SPACE as SPACE
 from .components import components
 
@@ -234,8 +234,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay; rows that repeat a doc_id are one document and stay or go together.
     """
-    gone = near_copies(docs).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return without(docs, near_copies(docs).where("doc_id <> group_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
