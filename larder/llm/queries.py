@@ -1,13 +1,14 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB texts."""
 
-from . import bpe, decontaminate, langid, quality, simhash, toxicity
+from . import bpe, decontaminate, langid, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op3_language": langid.query,
     "op4_quality": quality.query,
+    "op6_topk": topk.query,
     "op7_decontaminate": decontaminate.query,
     "op8_toxicity": toxicity.query,
     "op9_bpe": bpe.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_topk": topk.ORACLE}
