@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB texts."""
 
-from . import bpe, decontaminate, langid, quality, simhash, topk, toxicity
+from . import bpe, decontaminate, langid, quality, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op7_decontaminate": decontaminate.query,
     "op8_toxicity": toxicity.query,
     "op9_bpe": bpe.query,
+    "op10_warc": warc.query,
 }
-ORACLES: dict[str, str] = {"op6_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op6_topk": topk.ORACLE, "op10_warc": warc.ORACLE}
