@@ -142,8 +142,13 @@ def filtered(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray]) -> DataFr
     return docs.mapInArrow(work, docs.schema)
 
 
+def sized(ids: DataFrame) -> DataFrame:
+    """Checkpointed rows of an id and a number or two, marked for a broadcast if they are at most SMALL; else a join shuffles."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.limit(SMALL + 1).count() <= SMALL else ids
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``gone`` (doc_id). Up to SMALL ids are broadcast, more are joined by a shuffle."""
-    gone = cut(gone.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct())
-    small = gone.limit(SMALL + 1).count() <= SMALL
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = sized(gone.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct())
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")

@@ -1,15 +1,17 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB texts."""
 
-from . import bpe, decontaminate, langid, quality, simhash, topk, toxicity, warc
+from . import bpe, decontaminate, html, langid, quality, simhash, tokencounts, topk, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_token_rollup": tokencounts.query,
     "op3_language": langid.query,
     "op4_quality": quality.query,
+    "op5_html": html.query,
     "op6_topk": topk.query,
     "op7_decontaminate": decontaminate.query,
     "op8_toxicity": toxicity.query,
     "op9_bpe": bpe.query,
     "op10_warc": warc.query,
 }
-ORACLES: dict[str, str] = {"op6_topk": topk.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op2_token_rollup": tokencounts.ORACLE, "op6_topk": topk.ORACLE, "op10_warc": warc.ORACLE}
