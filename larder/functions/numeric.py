@@ -83,7 +83,7 @@ def shape(kind: Column, values: Column, host: Column) -> Column:
     v = lambda k: F.try_element_at(values, F.lit(k))
     whole = lambda x: F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
     level = F.rint(v("peak_db")).cast("bigint")
-    audio = F.concat_ws(" ", F.concat(F.format_string("%.1f", v("duration")), F.lit("s")), F.when(v("channels") == 1, "mono").when(v("channels") != 0, "stereo"), F.concat(level.cast("string"), F.lit("dB")))
+    audio = F.concat_ws(" ", F.concat(F.call_function("format_number", v("duration"), F.lit("0.0")), F.lit("s")), F.when(v("channels") == 1, "mono").when(v("channels") != 0, "stereo"), F.concat(level.cast("string"), F.lit("dB")))
     return F.coalesce(F.when(kind == "reference", host).when(kind == "image", F.concat(whole(v("width")), F.lit("x"), whole(v("height")))).when(kind == "model3d", F.concat(whole(v("triangles")), F.lit(" tris"))).when((kind == "audio") & v("duration").isNotNull(), audio), F.lit(""))
 
 

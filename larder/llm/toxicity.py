@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _LETTER as LETTER
-from .common import chunks, lower, packed, run_hashes, runs, table
+from .common import chunks, lower, packed, run_hashes, runs, sized, table
 from .langid import held_out
 
 #: Hash buckets of word features, bytes of the prefixes that are features, labelled rows that the regression takes at most, and restored spans kept in a worker.
@@ -162,34 +162,38 @@ def _both(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray, cache: dict) ->
     return buckets, row
 
 
-def word_odds(docs: DataFrame, lm: np.ndarray) -> np.ndarray:
-    """Log odds of every bucket from the documents (text, toxic) that hold it, toxic ones against others."""
+def word_odds(docs: DataFrame, lm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of every bucket from the documents (text, toxic, half) that hold it: by those of half 1, and by all; one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(lm)
+    names = ["n00", "n01", "n10", "n11"]  # half, toxic
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, size, cache = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64), {}
+        total, size, cache = np.zeros((4, BUCKETS), np.int32), np.zeros(4, np.int64), {}
         for batch in batches:
-            y = (batch.column(1).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
-            size += np.bincount(y, minlength=2)
+            kind = 2 * batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + (batch.column(1).to_numpy(zero_copy_only=False) > 0)
+            size += np.bincount(kind, minlength=4)
             data, offsets = packed(batch.column(0))
             for i, j, part, bounds in chunks(data, offsets):
                 buckets, row = _both(part, bounds, shared.value, cache)
                 held = np.unique((row[:, None] * BUCKETS + buckets).ravel())
-                of = y[i:j][held >> 19]
-                for c in (0, 1):
+                of = kind[i:j][held >> 19]
+                for c in range(4):
                     total[c] += np.bincount(held[of == c] & (BUCKETS - 1), minlength=BUCKETS).astype(np.int32)
         at = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*total[0][at].tolist(), size[0]], pa.int64()), pa.array([*total[1][at].tolist(), size[1]], pa.int64())], names=["bucket", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), *[pa.array(np.append(total[c][at], size[c]).astype(np.int64)) for c in range(4)]], names=["bucket", *names])
 
-    n = np.zeros((2, BUCKETS))
-    found = docs.select("text", "toxic").mapInArrow(work, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n1 > 1 or bucket < 0").toArrow()  # BUCKETS rows at most
+    found = docs.select("text", "toxic", "half").mapInArrow(work, "bucket int, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
+    found = found.where("n01 + n11 > 1 or bucket < 0").toArrow()  # BUCKETS rows at most
     bucket = found["bucket"].to_numpy()
-    real = bucket >= 0
-    size = [float(found[c].to_numpy()[~real].sum()) for c in ("n0", "n1")]
-    for c in (0, 1):
-        n[c][bucket[real]] = found[f"n{c}"].to_numpy()[real]
-    odds = np.log((n[1] + 0.02) / (size[1] + 1)) - np.log((n[0] + 0.5) / (size[0] + 1))
-    return np.where(n[1] > 1, np.maximum(odds, 0), 0).astype(np.float32)
+    real, table4 = bucket >= 0, np.stack([found[n].to_numpy() for n in names])
+
+    def odds(of: np.ndarray) -> np.ndarray:
+        n, size = np.zeros((2, BUCKETS)), of[:, ~real].sum(axis=1)
+        n[:, bucket[real]] = of[:, real]
+        value = np.log((n[1] + 0.02) / (size[1] + 1)) - np.log((n[0] + 0.5) / (size[0] + 1))
+        return np.where(n[1] > 1, np.maximum(value, 0), 0).astype(np.float32)
+
+    return odds(table4[2:]), odds(table4[:2] + table4[2:])
 
 
 def _features(value: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -257,19 +261,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labels (doc_id, toxic): the language model on all texts, word odds on all labelled ones, the regression on a sample.
 
-    Odds of the sample's own documents are taken from the other half of the labelled rows, so that rare words that
+    Odds for the sample's documents come from the other half of the labelled rows, so that rare words that
     one document alone makes look toxic do not mislead the regression.
     """
     lm = bigrams(docs)
+    half = (F.pmod(F.xxhash64("_id"), F.lit(2)) != 0).cast("int")
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.join(marked, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    sample = marked.where(F.pmod(F.xxhash64("_id"), F.lit(2)) == 0).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    chosen = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    fit = measured(chosen, ["toxic"], lm, word_odds(rows.where(~half), lm)).toArrow()
+    marked = sized(marked.withColumn("half", half))
+    other, odds = word_odds(docs.join(marked, F.col("doc_id") == F.col("_id")).select("text", "toxic", "half"), lm)
+    sample = marked.where("half = 0").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    fit = measured(docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "toxic"), ["toxic"], lm, other).toArrow()
     x = np.array(fit["x"].to_pylist(), float).reshape(-1, 7)
     weights, bias = logistic(x, fit["toxic"].to_numpy().clip(0, 1).astype(float))
-    return Model(lm, word_odds(rows, lm), weights, bias)
+    return Model(lm, odds, weights, bias)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries; importing this package registers them all."""
 
-from . import browse
+from . import browse, scalars
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "browse"]
+__all__ = ["ORACLES", "QUERIES", "browse", "scalars"]

@@ -55,7 +55,8 @@ def excluded(rel: str | Column, globs: list[str] | tuple[str, ...]) -> Column:
     path = F.col(rel) if isinstance(rel, str) else rel
     parts = F.split(path, "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    tests = [F.exists(parts, lambda p, g=g: p.rlike(glob_regex(g))) if "/" not in g else F.exists(above, lambda p, g=g: p.rlike(glob_regex(g))) for g in globs]
+    matches = lambda glob: lambda p: p.rlike(glob_regex(glob))
+    tests = [F.exists(above if "/" in g else parts, matches(g)) for g in globs]
     out = F.lit(False)
     for test in tests:
         out = out | test
