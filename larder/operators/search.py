@@ -115,7 +115,7 @@ def search(catalog, docs: DataFrame, words: list[str], ranking: DataFrame | None
     is by date added unless ``relevance`` is asked for; relevance without text is by date too.
     """
     items = find(catalog, **filters)
-    literal = bm25(docs, words) if words else None
+    literal = bm25(docs, words, [f for f in FIELDS if f in docs.columns]) if words else None
     if ranking is not None:
         sides = [ranked(ranking.select("id", "score"), ascending=False)]
         if literal is not None:
