@@ -17,6 +17,7 @@ and read as null; it is never what a revisit refers to. Empty tables give no rec
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -31,6 +32,7 @@ SEGMENT, CHUNKED, LEAST = 32 << 10, 8 << 10, 100
 #: Fixed values of the format.
 VERSION, END = b"WARC/1.1\r\n", "\r\n\r\n"
 SEPARATOR = END.encode() + VERSION
+_HEX = re.compile(rb"[0-9A-Fa-f]+")
 _RECORD = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
 
 
@@ -60,11 +62,14 @@ def unchunked(body: bytes) -> bytes:
     parts, at = [], 0
     while True:
         end = body.index(b"\r\n", at)
-        size = int(body[at:end].split(b";")[0], 16)
+        digits = body[at:end].split(b";")[0]
+        if not _HEX.fullmatch(digits):
+            raise ValueError("broken chunk size")
+        size = int(digits, 16)
         if not size:
             return b"".join(parts)
         at = end + 2 + size
-        if size < 0 or body[at : at + 2] != b"\r\n":
+        if body[at : at + 2] != b"\r\n":
             raise ValueError("broken chunk")
         parts.append(body[end + 2 : at])
         at += 2
