@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine
+from ..sources.shared import settled
 from .filters import find
 from .joins import score_all
 from .ranking import best, similar_by_hash, top_k
 
 #: BM25's constants and least idf; the damping of fusion; the size and floor of the semantic side; neighbours.
 K1, B, LEAST_IDF, DAMPING, SEMANTIC, FLOOR, NEIGHBOURS, NEIGHBOUR_FLOOR = 1.2, 0.75, 1e-6, 60, 120, 0.24, 60, 0.80
+#: Pairs of id and score that one task may order, and the parts that more are ordered in.
+ONE_TASK, PARTS = 200_000, 64
 # Latin letters with marks, and the letters without.
 MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
 PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
@@ -86,11 +89,41 @@ def bm25(docs: DataFrame, words: list[str], fields=FIELDS) -> DataFrame:
     return scored.where(F.col("m") == len(found)).select("id", (-F.col("s")).alias("score"))
 
 
+def numbered(rows: DataFrame, score: str, ascending: bool = True, value: Column | None = None) -> DataFrame:
+    """(id, rank) of rows (id, score) by score and id, counted from 1, without ordering more than ONE_TASK in one task.
+
+    Beyond that, quantiles of the score part the rows; those that equal a quantile (a score that many share) are parted again by
+    quantiles of the id. Places are counted within a part and raised by the sizes of the parts before, of which there
+    are at most a few thousand. Null scores come last. Of scores that are no numbers ``value`` gives one that grows
+    with them; equal values are then not parted again.
+    """
+    whole, value = value is None, F.col(score).cast("double") if value is None else value
+    rows = settled(rows.select("id", score, value.alias("_value")))
+    key = F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last()
+    if rows.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return rows.select("id", F.row_number().over(Window.orderBy(key, "id")).cast("bigint").alias("rank"))
+    many = [i / PARTS for i in range(1, PARTS)]
+    value = F.col("_value")
+    cuts, ids = (sorted(set(x)) for x in rows.select("_value", F.col("id").cast("double").alias("_id")).approxQuantile(["_value", "_id"], many, 0.005))
+    count = lambda edges, x: sum(((x > F.lit(e)).cast("int") for e in edges), F.lit(0))
+    tie = F.coalesce(value.isin(*cuts), F.lit(False)) if cuts else F.lit(False)
+    # scores below the first cut are band 0, those equal to it 1, those between it and the second 2, and so on
+    place = F.when(tie, 2 * count(cuts, value) + 1).otherwise(2 * count(cuts, value))
+    band = F.when(value.isNull(), F.lit(2 * PARTS + 2)).otherwise(place if ascending else -place)
+    parted = rows.withColumns({"_band": band, "_slice": F.when(tie | value.isNull(), count(ids, F.col("id").cast("double"))).otherwise(0) if whole else F.lit(0)})
+    sizes = parted.groupBy("_band", "_slice").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_band", "_slice")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_band", "_slice").orderBy(key, "id"))
+    placed = parted.withColumn("_own", own).join(F.broadcast(before), ["_band", "_slice"])
+    return placed.select("id", (F.col("_before") + F.col("_own")).cast("bigint").alias("rank"))
+
+
 def ranked(scores: DataFrame, ascending: bool = True, limit: int | None = None) -> DataFrame:
-    """(id, rank) from scores (id, score), ties by id. The rank of a whole result needs its order: with a limit only the best are ordered."""
+    """(id, rank) from scores (id, score), ties by id; with a limit only the best are ordered."""
     key = F.asc("score") if ascending else F.desc("score")
-    rows = scores.orderBy(key, "id").limit(limit) if limit else scores
-    return rows.select("id", F.row_number().over(Window.orderBy(key, "id")).cast("bigint").alias("rank"))
+    if limit:
+        return scores.orderBy(key, "id").limit(limit).select("id", F.row_number().over(Window.orderBy(key, "id")).cast("bigint").alias("rank"))
+    return numbered(scores, "score", ascending)
 
 
 def fuse(*rankings: DataFrame, damping: int = DAMPING) -> DataFrame:
@@ -98,8 +131,8 @@ def fuse(*rankings: DataFrame, damping: int = DAMPING) -> DataFrame:
     every = rankings[0].select("id", "rank")
     for r in rankings[1:]:
         every = every.union(r.select("id", "rank"))
-    fused = every.groupBy("id").agg(F.sum(1.0 / (damping + F.col("rank"))).alias("score"))
-    return fused.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("bigint"))
+    fused = settled(every.groupBy("id").agg(F.sum(1.0 / (damping + F.col("rank"))).alias("score")))
+    return fused.join(numbered(fused, "score", ascending=False), "id")
 
 
 def semantic(query: DataFrame, library: DataFrame, k: int = SEMANTIC, floor: float = FLOOR) -> DataFrame:
@@ -125,14 +158,18 @@ def search(catalog, docs: DataFrame, words: list[str], ranking: DataFrame | None
         hits = items.join(literal.withColumnRenamed("score", "_score"), "id")
     else:
         hits = items
+    value, ascending = None, True
     if order_by in (None, "relevance") and "_rank" in hits.columns:
-        keys = [F.asc("_rank")]
+        key = F.col("_rank")
     elif order_by == "relevance" and "_score" in hits.columns:
-        keys = [F.asc("_score")]
+        key = F.col("_score")
+    elif order_by == "name":
+        key = F.lower("title")
+        value = F.conv(F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
     else:
-        keys = {"updated": [F.desc("updated_at")], "name": [F.lower("title")]}.get(order_by, [F.desc("added_at")])
-    rank = F.row_number().over(Window.orderBy(*keys, F.asc("id")))
-    return hits.withColumn("rank", rank.cast("bigint")).drop("_rank", "_score")
+        key, ascending = F.col("updated_at" if order_by == "updated" else "added_at"), False
+        key = F.unix_micros(key.cast("timestamp"))
+    return hits.join(numbered(hits.withColumn("_key", key), "_key", ascending, value), "id").drop("_rank", "_score")
 
 
 def similar(queries: DataFrame, library: DataFrame, query_hashes: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import hooks as V
 from ..operators.sync import upsert_locations
 from ..sources import files as S
 from ..sources.catalog import Catalog
+from ..sources.shared import shared_folder
 from ..streaming import streams as X
 from .changes import FOLD, attempts
 from .registry import query
@@ -146,7 +147,7 @@ def _stream(t, *columns):
 
 @query("x1_ingest", "select '/lib/' || user_id as abs_path, max_by(event_id, ts) as asset_id, true as present from events group by 1")
 def _(t):
-    folder = X.shared_folder(t.spark)
+    folder = shared_folder(t.spark)
     catalog = Catalog(t.spark, f"{folder}/catalog")
     rows = _stream(t, F.concat(F.lit("/lib/"), F.col("user_id").cast("string")).alias("abs_path"), F.col("event_id").alias("asset_id"), F.lit(1).cast("bigint").alias("root_id"), F.col("user_id").alias("size"), F.col("ts").cast("timestamp_ntz").alias("mtime"))
     X.start_ingest(rows, catalog, f"{folder}/checkpoint").awaitTermination()
@@ -204,7 +205,7 @@ def _(t):
 
 @query("s13_catalog_round_trip", "select asset_id, key, value_num from attribute where key = 'width' and value_num >= 500")
 def _(t):
-    catalog = Catalog(t.spark, X.shared_folder(t.spark))
+    catalog = Catalog(t.spark, shared_folder(t.spark))
     return catalog.write("attribute", t.attribute).where("key = 'width' and value_num >= 500").select("asset_id", "key", "value_num")
 
 

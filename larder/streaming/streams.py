@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.backlog import ATTEMPTS
 from ..operators.sync import upsert_locations
 from ..sources.catalog import Catalog
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-larder-")
-    return f"{base.rstrip('/')}/stream-{uuid4().hex}"
+from ..sources.shared import shared_folder
 
 
 def start_ingest(rows: DataFrame, catalog: Catalog, checkpoint: str) -> StreamingQuery:

@@ -129,6 +129,25 @@ def test_phrases_stay_in_a_field(spark):
     assert R.bm25(docs, ["red"], ("title", "notes")).count() == 3
 
 
+def test_numbered_with_ties_and_nulls(spark, monkeypatch):
+    rows = [(i, None if i % 50 == 0 else float(i % 7 == 0) if i % 3 else i / 10) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id bigint, score double").repartition(5)
+    for up, most in ((True, 10), (False, 10), (True, 5000)):
+        monkeypatch.setattr(R, "ONE_TASK", most)
+        got = dict(map(tuple, R.ranked(df, up).collect()))
+        want = sorted(rows, key=lambda r: (r[1] is None, (r[1] or 0) if up else -(r[1] or 0), r[0]))
+        assert got == {i: k for k, (i, _) in enumerate(want, 1)}
+    assert R.ranked(df.where("false")).count() == 0
+
+
+def test_search_by_name(spark):
+    t = Tables(spark, SF)
+    docs = t.asset.select("id", "title", "notes")
+    got = [r[0] for r in R.search(t, docs, ["the"], order_by="name").orderBy("rank").select("id").collect()]
+    rows = {r["id"]: r["title"].lower() for r in t.asset.collect()}
+    assert got == sorted(got, key=lambda i: (rows[i].encode(), i))
+
+
 def test_catalog_versions(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path))
     assert catalog.read("tag").count() == 0
