@@ -12,7 +12,8 @@ Queries are taken in blocks of ``QUERY_BLOCK``, so what is broadcast has a fixed
 Ties go to the smaller vec_id. A vector that is null, empty or holds a null or non-finite component takes no part,
 nor does one without vec_id; vectors of different lengths are not compared. Rows that repeat a vec_id are separate
 candidates with equal ids, never a candidate of their own query. With fewer than k candidates all are returned, with
-none the query has no rows. Components are below 2^20 in size, so sums are exact in doubles; larger ones raise.
+none the query has no rows. The phases compare in doubles with a margin for rounding and the last one sums whole numbers,
+so results are exact for components below 2^28 in size; larger ones raise.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, in_batches, table
 
-#: Results of a query, blocks of axes, queries broadcast at once, candidates compared at once, and the largest component.
-K, NODES, QUERY_BLOCK, BATCH, LARGEST = 10, 4, 8192, 2048, 1 << 20
+#: Results of a query, blocks of axes, queries broadcast at once, candidates compared at once, the largest component, and the margin for rounding in parts of the vectors' norms.
+K, NODES, QUERY_BLOCK, BATCH, LARGEST, MARGIN = 10, 4, 8192, 2048, 1 << 28, 1e-9
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def vectors(rows: DataFrame) -> DataFrame:
     x = F.transform("embedding", lambda c: c.cast("double"))
     sound = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
     big = F.exists(x, lambda c: F.abs(1024 * c) >= LARGEST)
-    v = F.transform(x, lambda c: F.floor(1024 * c).cast("int"))
+    v = F.transform(x, lambda c: F.floor(1024 * c).cast("bigint"))
     return rows.where(sound).select("vec_id", F.when(big, F.raise_error(F.lit("a component is too large for exact sums"))).otherwise(v).alias("v"))
 
 
@@ -89,7 +90,7 @@ def _search(queries: dict, rows: DataFrame, k: int, nodes: int) -> DataFrame:
             at, col = np.nonzero(np.isfinite(values))
             yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0][at]), pa.array(values[at, col])], names=["query_id", "total"])
 
-    lists = rows.mapInArrow(gather, "query_id long, total double")
+    lists = rows.transform(in_batches, gather, "query_id long, total double")
     ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total"))))
     cutoffs = dict(ranked.where(F.col("rank") == k).select("query_id", "total").collect())  # a number for each query of the block
     cutoff = rows.sparkSession.sparkContext.broadcast({n: np.array([cutoffs.get(i, -np.inf) for i in qid.tolist()]) for n, (qid, _) in queries.items()})
@@ -98,12 +99,13 @@ def _search(queries: dict, rows: DataFrame, k: int, nodes: int) -> DataFrame:
         for qid, q, ids, x in _batches(batches, shared.value):
             parts, least = _parts(q, x, nodes), cutoff.value[q.shape[1]]
             even = np.where(np.isfinite(least), least / nodes, -1e300)[None, :, None]
-            sent = parts >= even
+            margin = MARGIN * (1 + np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
+            sent = parts >= even - margin
             bound = np.where(sent, parts, even).sum(axis=0)
-            at, col = np.nonzero(sent.any(axis=0) & (bound >= least[:, None] - 1e-6) & (ids[None, :] != qid[:, None]))
+            at, col = np.nonzero(sent.any(axis=0) & (bound >= least[:, None] - margin) & (ids[None, :] != qid[:, None]))
             yield pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(ids[col])], names=["query_id", "vec_id"])
 
-    return rows.mapInArrow(collect, "query_id long, vec_id long")
+    return rows.transform(in_batches, collect, "query_id long, vec_id long")
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, nodes: int = NODES, block: int = QUERY_BLOCK) -> DataFrame:
@@ -128,7 +130,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, nodes: int = NO
         found = spark.createDataFrame([], "query_id long, vec_id long")
     q = asked.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     exact = found.distinct().join(q, "query_id").join(rows, "vec_id").where(F.size("q") == F.size("v"))
-    exact = exact.select("query_id", "vec_id", F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("long") * b), F.lit(0).cast("long"), lambda a, b: a + b).alias("score"))
+    exact = exact.select("query_id", "vec_id", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b).alias("score"))
     ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

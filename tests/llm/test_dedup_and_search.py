@@ -165,6 +165,8 @@ def test_top_k_edges(spark):
     none = few.where("vec_id > 9")
     assert topk.top_k(none, none).count() == 0
     assert topk.top_k(few, none).count() == 0
+    large = topk.vectors(spark.createDataFrame([(0, [2.0e5, 1.0]), (1, [2.0e5, 3.0]), (2, [2.0e5, -7.0]), (3, [2.0e5, 3.0])], "vec_id long, embedding array<double>"))
+    assert [r["vec_id"] for r in topk.top_k(large, large.where("vec_id = 0"), 2).orderBy("rank").collect()] == [1, 3]
     big = spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="too large"):
         topk.vectors(big).collect()
