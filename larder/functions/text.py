@@ -32,8 +32,10 @@ EXTENSIONS = {
     "audio": "wav ogg mp3 flac aiff aif".split(),
 }
 
+# Where words begin in a tag and in a name, and how captions begin that say nothing.
 CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 WORDS = r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+PREAMBLE = r"(?i)^(the |this )?(image|picture|photo|illustration|artwork|sprite|asset)?\s*(shows|depicts|features|displays|is|contains|presents)\s+"
 
 
 def _col(c: str | Column) -> Column:
@@ -159,7 +161,7 @@ def shard_path(c: str | Column, suffix: str = ".webp") -> Column:
 def tidy(c: str | Column) -> Column:
     """A caption's first two sentences without a preamble, at most 300 characters, first letter in upper case."""
     text = F.trim(F.regexp_replace(_col(c), r"\s+", " "))
-    text = F.regexp_replace(text, r"(?i)^(the |this )?(image|picture|photo|illustration|artwork|sprite|asset)?\s*(shows|depicts|features|displays|is|contains|presents)\s+", "")
+    text = F.regexp_replace(text, PREAMBLE, "")
     kept = F.substring(F.trim(F.array_join(F.slice(F.split(text, r"(?<=[.!?])\s+"), 1, 2), " ")), 1, 300)
     return F.concat(F.upper(F.substring(kept, 1, 1)), F.substr(kept, F.lit(2)))
 

@@ -25,8 +25,8 @@ def test_resolve(spark):
 
 
 def test_words(spark):
-    assert each(spark, T.name_words, ["goblin_walk_01.png", "Tree_Pine_Snow_v2_final.fbx", "UI_ButtonHover.png", "00123.png"]) == [["goblin", "walk"], ["tree", "pine", "snow"], ["ui", "button", "hover"], []]
-    assert each(spark, T.title_tags, ["Free Pixel Art Tileset | itch.io, seventh"]) == [["free", "pixel", "art", "tileset", "itch", "io"]]
+    assert each(spark, T.name_words, ["orc_run_07.png", "Oak_Leaf_v3_old.fbx", "HUD_SliderKnob.png", "0042.png"]) == [["orc", "run"], ["oak", "leaf"], ["ui", "slider", "knob"], []]
+    assert each(spark, T.title_tags, ["Snowy Cliff Tiles for Winter, v3 | shop.example"]) == [["snowy", "cliff", "tiles", "winter", "shop", "example"]]
 
 
 def test_folders(spark):
