@@ -22,7 +22,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import in_batches, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a text that the library gets at once, and the longest run of whitespace left to its regex engine.
@@ -92,7 +92,7 @@ def encoded(docs: DataFrame, rank_file: str = RANKS) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return docs.select("doc_id", "text").transform(in_batches, work, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, rank_file: str = RANKS) -> DataFrame:
@@ -109,7 +109,7 @@ def digests(docs: DataFrame, rank_file: str = RANKS) -> DataFrame:
                 text_sha.append(sha(decode(ids, rank_file)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").transform(in_batches, work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

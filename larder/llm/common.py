@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -10,9 +11,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a numpy pass takes at once; a longer document is a pass of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
+#: Bytes of texts that go to a Python worker at once, unless the session asks for another number than Spark's own.
+ARROW_BATCH, ARROW_KEY, ARROW_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64m", "64MB")
 #: Ids that may be broadcast, 8 bytes each.
 SMALL = 1_000_000
 _BASE = np.uint64(0x100000001B3)
@@ -42,6 +46,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow in batches of bounded bytes; a worker gives its free memory back when its partition is done."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_KEY, ARROW_DEFAULT[0]) in ARROW_DEFAULT:
+        conf.set(ARROW_KEY, ARROW_BATCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A text column as one byte array and the offsets of its rows; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -139,7 +166,7 @@ def filtered(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray]) -> DataFr
         for batch in batches:
             yield batch.filter(pa.array(judge(batch.column(at)), pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return in_batches(docs, work, docs.schema)
 
 
 def sized(ids: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, lower, mixed, packed, run_hashes, table, without
+from .common import chunks, cut, in_batches, lower, mixed, packed, run_hashes, table, without
 
 #: Words of a window, words of the shortest item sought, words that a leak must cover (or the share of a shorter item), the least share of consistent slots, and bits of the bitmap.
 WINDOW, LEAST_ITEM, COVER, SHARE, CONSISTENT, MAP_BITS = 8, 4, 13, 0.8, 0.8, 24
@@ -124,7 +124,7 @@ def items(benchmark: DataFrame) -> DataFrame:
             sums = [np.bitwise_xor.reduce(mixed(written[a:b] + mixed(np.arange(b - a, dtype=np.uint64) + canon[a:b]))) if b > a else 0 for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.diff(first).astype(np.int32)), pa.array(np.array(sums, np.uint64).view(np.int64))], names=["item_id", "n_words", "sum"])
 
-    found = benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(work, "item_id long, n_words int, sum long")
+    found = benchmark.where("item_id is not null").select("item_id", "text").transform(in_batches, work, "item_id long, n_words int, sum long")
     return found.groupBy("sum", "n_words").agg(F.min("item_id").alias("item_id")).where(F.col("n_words") >= LEAST_ITEM).select("item_id", "n_words")
 
 
@@ -139,7 +139,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             yield from _rows(batch.column(0), batch.column(1), sizes, every, whole=True)
 
-    bench = benchmark.select("item_id", "text").mapInArrow(of_items, _WORDS).withColumnsRenamed({"doc_id": "item_id", "slots": "item_slots", "pos": "item_pos"})
+    bench = benchmark.select("item_id", "text").transform(in_batches, of_items, _WORDS).withColumnsRenamed({"doc_id": "item_id", "slots": "item_slots", "pos": "item_pos"})
     bench = cut(bench.join(known, "item_id").dropDuplicates(["item_id", "w", "item_pos"]))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(packed_bits), pa.array([int(np.bitwise_or.reduce(1 << (at[at >> 3 == b] & 7))) for b in packed_bits.tolist()], pa.int64())], names=["byte", "value"])
 
     bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    marked = bench.select("h").mapInArrow(bits, "byte long, value long").groupBy("byte").agg(F.bit_or("value").alias("value")).toArrow()  # at most 2^(MAP_BITS - 3) bytes
+    marked = bench.select("h").transform(in_batches, bits, "byte long, value long").groupBy("byte").agg(F.bit_or("value").alias("value")).toArrow()  # at most 2^(MAP_BITS - 3) bytes
     bitmap[marked["byte"].to_numpy()] = marked["value"].to_numpy().astype(np.uint8)
     shared = sc.broadcast(bitmap)
 
@@ -161,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             yield from _rows(batch.column(0), batch.column(1), sizes, maybe)
 
-    found = docs.select("doc_id", "text").mapInArrow(of_docs, _WORDS).join(bench, ["h", "w"])
+    found = docs.select("doc_id", "text").transform(in_batches, of_docs, _WORDS).join(bench, ["h", "w"])
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots"))))
     lines = found.groupBy("doc_id", "item_id", "n_words", "w", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.countDistinct("item_pos").alias("n"), pairs.alias("pairs"))
     one = lambda c: F.size(F.array_distinct(F.col(f"pairs.{c}")))

@@ -20,7 +20,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import in_batches, table
 
 #: The deepest nesting of elements.
 DEPTH = 150
@@ -277,7 +277,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                 part = batch.slice(k, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array([text_of(x.as_py()) for x in part.column(2)], pa.string())], names=["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(work, "page_id long, url string, text string")
+    return pages.select("page_id", "url", "html").transform(in_batches, work, "page_id long, url string, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _LETTER as LETTER
-from .common import chunks, filtered, lower, packed, runs, segment_sums, table
+from .common import chunks, filtered, in_batches, lower, packed, runs, segment_sums, table
 
 #: Hash buckets of a language's n-grams, pseudo-count of a bucket, languages that a document may hold, EM rounds, cost of a language in units of ln(words), and the most languages learned (the most frequent ones).
 BUCKETS, PSEUDO, MOST_SET, ROUNDS, PENALTY, MOST_LANGS = 1 << 16, 0.5, 3, 8, 4.0, 64
@@ -76,7 +76,7 @@ def learn(docs: DataFrame) -> Model:
 
     counts = np.zeros((BUCKETS, len(langs)))
     if langs:
-        found = rows.mapInArrow(work, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most MOST_LANGS x BUCKETS rows
+        found = rows.transform(in_batches, work, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most MOST_LANGS x BUCKETS rows
         counts[found["bucket"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
     logp = np.log((counts + PSEUDO) / (counts.sum(axis=0) + PSEUDO * BUCKETS))
     return Model(langs, logp.astype(np.float32))
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             pred, score, size, sets = judged(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(size, pa.int32()), pa.array(sets, pa.string())], names=["doc_id", "lang_pred", "score", "n_langs", "shares"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double, n_langs int, shares string")
+    return docs.select("doc_id", "text").transform(in_batches, work, "doc_id long, lang_pred string, score double, n_langs int, shares string")
 
 
 def held_out(buckets: int, left: int) -> Column:

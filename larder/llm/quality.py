@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _SPACE as SPACE
-from .common import chunks, filtered, mixed, packed, run_hashes, runs, segment_sums, table
+from .common import chunks, filtered, in_batches, mixed, packed, run_hashes, runs, segment_sums, table
 from .langid import held_out
 
 #: Rated rows that a fit takes at most; hash buckets; rounds, rate and ridge of the fit; the tail probability from which a document is selected.
@@ -83,7 +83,7 @@ def features(docs: DataFrame) -> DataFrame:
                 share.append((n / np.where(found < BUCKETS, len(grams) + SHORT_GRAMS, len(shapes) + SHORT_WORDS)).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.float64()), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["y", "at", "share"])
 
-    return docs.select("text", "y").mapInArrow(work, "y double, at binary, share binary")
+    return docs.select("text", "y").transform(in_batches, work, "y double, at binary, share binary")
 
 
 def fit(y: np.ndarray, at: np.ndarray, share: np.ndarray, sizes: np.ndarray, buckets: int = ALL) -> Model:
@@ -153,7 +153,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, judged(shared.value, batch.column(1)))], names=["doc_id", "grade", "expected_grade", "tail_prob"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, grade double, expected_grade double, tail_prob double")
+    return docs.select("doc_id", "text").transform(in_batches, work, "doc_id long, grade double, expected_grade double, tail_prob double")
 
 
 def grade(quality: Column, toxic: Column) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, lower, mixed, packed, run_hashes, runs, table, without
+from .common import chunks, cut, in_batches, lower, mixed, packed, run_hashes, runs, table, without
 from .common import _SPACE as SPACE
 from .components import components
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1).cast(pa.binary())), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, fp long")
+    return docs.select("doc_id", "text").transform(in_batches, work, "doc_id long, fp long")
 
 
 def embed(fp: Column) -> Column:
@@ -168,7 +168,7 @@ def links(points: DataFrame, propose: int = 1, judge: Callable[[np.ndarray, np.n
         return near & judge(x, y) if judge else near
 
     dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(_scan(len(names), close), "a long, b long")
+    return dealt.transform(in_batches, _scan(len(names), close), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, groups: int = GROUPS, cell: int = CELL) -> DataFrame:
@@ -207,7 +207,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             prints = np.array(rows, np.uint64).reshape(-1, n).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(np.ascontiguousarray(prints[:, i])) for i in range(n)]], names=["doc_id", *[f"fp{i}" for i in range(n)]])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, " + ", ".join(f"fp{i} long" for i in range(n)))
+    return docs.select("doc_id", "text").transform(in_batches, work, "doc_id long, " + ", ".join(f"fp{i} long" for i in range(n)))
 
 
 def near_copies(docs: DataFrame, cell: int = CELL) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _LETTER as LETTER
-from .common import chunks, lower, packed, run_hashes, runs, sized, table
+from .common import chunks, in_batches, lower, packed, run_hashes, runs, sized, table
 from .langid import held_out
 
 #: Hash buckets of word features, bytes of the prefixes that are features, labelled rows that the regression takes at most, and restored spans kept in a worker.
@@ -40,8 +40,6 @@ _LEET = np.zeros(256, bool)
 _LEET[[ord(x) for x in SIGNS]] = True
 _APART = np.zeros(256, bool)
 _APART[[ord(x) for x in SEPARATORS]] = True
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
 
 
 def bigrams(docs: DataFrame) -> np.ndarray:
@@ -58,7 +56,7 @@ def bigrams(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
     counts = np.zeros(65536)
-    found = docs.select("text").mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    found = docs.select("text").transform(in_batches, work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
     counts[found["pair"].to_numpy()] = found["n"].to_numpy()
     counts = counts.reshape(256, 256)
     counts[32, 32] = 0
@@ -182,7 +180,7 @@ def word_odds(docs: DataFrame, lm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), *[pa.array(np.append(total[c][at], size[c]).astype(np.int64)) for c in range(4)]], names=["bucket", *names])
 
-    found = docs.select("text", "toxic", "half").mapInArrow(work, "bucket int, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
+    found = docs.select("text", "toxic", "half").transform(in_batches, work, "bucket int, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
     found = found.where("n01 + n11 > 1 or bucket < 0").toArrow()  # BUCKETS rows at most
     bucket = found["bucket"].to_numpy()
     real, table4 = bucket >= 0, np.stack([found[n].to_numpy() for n in names])
@@ -239,7 +237,7 @@ def measured(docs: DataFrame, columns: list[str], lm: np.ndarray, odds: np.ndarr
                     x[i:j] = _features(odds[buckets].max(axis=1), row, j - i)
             yield pa.RecordBatch.from_arrays([*[batch.column(1 + k).cast(pa.int64()) for k in range(len(columns))], pa.array(x.tolist(), pa.list_(pa.float64()))], names=[*columns, "x"])
 
-    return docs.select("text", *columns).mapInArrow(work, ", ".join(f"{c} long" for c in columns) + ", x array<double>")
+    return docs.select("text", *columns).transform(in_batches, work, ", ".join(f"{c} long" for c in columns) + ", x array<double>")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL, cut, shared_dir, table
+from .common import SMALL, cut, in_batches, shared_dir, table
 
 #: Bytes of a block in one record, bytes of a chunk of the body, bytes of the smallest payload that others may revisit.
 SEGMENT, CHUNKED, LEAST = 32 << 10, 8 << 10, 100
@@ -108,7 +108,7 @@ def write(pages: DataFrame, path: str) -> None:
                 rows = zip(*[c.to_pylist() for c in batch.slice(k, 512).columns], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([x for row in rows for x in records(*row)], pa.binary())], names=["value"])
 
-    made = pages.select(F.col("page_id").cast("long"), "url", "html", F.col("refers_to").cast("long")).mapInArrow(work, "value binary")
+    made = pages.select(F.col("page_id").cast("long"), "url", "html", F.col("refers_to").cast("long")).transform(in_batches, work, "value binary")
     made.select(F.col("value").cast("string")).write.option("lineSep", END).text(path)
 
 
@@ -189,9 +189,9 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
             yield _table([done()])
 
     binary = F.col("value").cast("binary").alias("value")
-    parts = raw.where(in_parts).select(binary).mapInArrow(keyed, "origin string, segment long, value binary")
-    parts = parts.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(joined, _RECORD)
-    return raw.where(~in_parts).select(binary).mapInArrow(whole, _RECORD).union(parts)
+    parts = raw.where(in_parts).select(binary).transform(in_batches, keyed, "origin string, segment long, value binary")
+    parts = parts.repartition("origin").sortWithinPartitions("origin", "segment").transform(in_batches, joined, _RECORD)
+    return raw.where(~in_parts).select(binary).transform(in_batches, whole, _RECORD).union(parts)
 
 
 def resolved(found: DataFrame) -> DataFrame:
