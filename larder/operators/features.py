@@ -124,10 +124,9 @@ def sharpness(series: DataFrame, lags: tuple[int, int] = LAGS) -> DataFrame:
 def period(series: DataFrame, lags: tuple[int, int] = LAGS, group: str = "series_id") -> DataFrame:
     """(group, period): the smallest lag nearly as sharp as the sharpest, null where none is; signals of a group are averaged."""
     keys = series.select("series_id", *([] if group == "series_id" else [group])).distinct()
-    sharp = sharpness(series, lags)
-    mean = sharp.join(keys, "series_id").groupBy(group, "lag").agg(F.avg("sharp").alias("sharp"))
-    top = mean.groupBy(group).agg(F.max("sharp").alias("top"))
-    found = mean.join(top, group).where(F.col("sharp") >= F.col("top") * FUNDAMENTAL).where(F.col("top") >= PEAK).groupBy(group).agg(F.min("lag").cast("bigint").alias("period"))
+    mean = sharpness(series, lags).join(keys, "series_id").groupBy(group, "lag").agg(F.avg("sharp").alias("sharp"))
+    top = F.max("sharp").over(Window.partitionBy(group))  # a row for each lag
+    found = mean.withColumn("top", top).where((F.col("sharp") >= F.col("top") * FUNDAMENTAL) & (F.col("top") >= PEAK)).groupBy(group).agg(F.min("lag").cast("bigint").alias("period"))
     return keys.select(group).distinct().join(found, group, "left")
 
 

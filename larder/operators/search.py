@@ -169,7 +169,8 @@ def search(catalog, docs: DataFrame, words: list[str], ranking: DataFrame | None
     else:
         key, ascending = F.col("updated_at" if order_by == "updated" else "added_at"), False
         key = F.unix_micros(key.cast("timestamp"))
-    return hits.join(numbered(hits.withColumn("_key", key), "_key", ascending, value), "id").drop("_rank", "_score")
+    # the ranking is settled and holds the ids that passed, so the search itself runs once however often its result is used
+    return catalog.asset.join(numbered(hits.withColumn("_key", key), "_key", ascending, value), "id")
 
 
 def similar(queries: DataFrame, library: DataFrame, query_hashes: DataFrame, hashes: DataFrame) -> DataFrame:
