@@ -64,8 +64,11 @@ def bigrams(docs: DataFrame) -> np.ndarray:
 
 
 def restore(span: str, lm: np.ndarray) -> str:
-    """The likeliest letters of a written span: a Viterbi pass whose state is the last letter restored."""
-    paths: dict[int, tuple[float, bytes]] = {32: (0.0, b"")}
+    """The likeliest letters of a written span: a Viterbi pass whose state is the last letter restored.
+
+    A path is its cost and a chain of what was read, so time and memory are in proportion to the span.
+    """
+    paths: dict[int, tuple[float, tuple | None]] = {32: (0.0, None)}
     for k, sign in enumerate(span):
         raw = sign.encode()
         reads: list[tuple[bytes, float]] = []
@@ -79,7 +82,7 @@ def restore(span: str, lm: np.ndarray) -> str:
             reads.append((raw, 0.0))
             if k and span[k - 1] == sign:
                 reads.append((b"", REPEAT))
-        after: dict[int, tuple[float, bytes]] = {}
+        after: dict[int, tuple[float, tuple | None]] = {}
         for last, (cost, made) in paths.items():
             for read, channel in reads:
                 value, state = cost + channel, last
@@ -87,9 +90,14 @@ def restore(span: str, lm: np.ndarray) -> str:
                     value += lm[state, byte]
                     state = byte
                 if state not in after or value > after[state][0]:
-                    after[state] = (value, made + read)
+                    after[state] = (value, (made, read) if read else made)
         paths = after
-    return max((cost + lm[last, 32], made) for last, (cost, made) in paths.items())[1].decode(errors="replace")
+    chain = max(((cost + lm[last, 32], made) for last, (cost, made) in paths.items()), key=lambda x: x[0])[1]
+    parts: list[bytes] = []
+    while chain is not None:
+        chain, read = chain
+        parts.append(read)
+    return b"".join(reversed(parts)).decode(errors="replace")
 
 
 def suspicious(part: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
@@ -131,12 +139,15 @@ def _restored(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray, cache: dict)
     rows: list[list[bytes]] = [[] for _ in range(len(bounds) - 1)]
     for a, b in suspicious(part, bounds):
         raw = lower(part[a:b]).tobytes()
-        if raw not in cache:
-            if len(cache) >= CACHE:
-                cache.clear()
-            cache[raw] = restore(raw.decode(errors="replace"), lm).encode()
-        if cache[raw] != raw:
-            rows[int(np.searchsorted(bounds, a, "right")) - 1].append(cache[raw])
+        found = cache.get(raw)
+        if found is None:
+            found = restore(raw.decode(errors="replace"), lm).encode()
+            if len(raw) <= 64:  # longer spans hardly come again
+                if len(cache) >= CACHE:
+                    cache.clear()
+                cache[raw] = found
+        if found != raw:
+            rows[int(np.searchsorted(bounds, a, "right")) - 1].append(found)
     texts = [b" ".join(x) for x in rows]
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
 

@@ -170,6 +170,11 @@ def test_viterbi_against_all_paths(spark):
         assert toxicity.restore(span, lm) == best[1]
 
 
+def test_restore_of_a_long_span():
+    lm = np.log(np.full((256, 256), 1 / 256))
+    assert len(toxicity.restore("a1" * 50_000, lm)) == 100_000
+
+
 def test_suspicious_spans():
     raw = np.frombuffer("plain word*** a1b 2024 3d i d i o t losssser A | B x".encode(), np.uint8)
     found = {raw[a:b].tobytes().decode() for a, b in toxicity.suspicious(raw, np.array([0, len(raw)]))}
