@@ -5,8 +5,8 @@ Phase 1: every part of the candidates gathers, for each query, its local lists (
 and keeps the k of them with the best totals; the k-th best of all parts is a safe cutoff.
 Phase 2: the cutoff is broadcast. A candidate at or above it has a block at or above cutoff / NODES, so entries below
 that are not sent; those left whose upper bound (local scores sent, the threshold for each not sent) reaches the
-cutoff are collected.
-Phase 3: the exact scores of the collected entries are resolved by joining the vectors, and ranked.
+cutoff are collected, and the blocks that were not sent are added where they lie.
+Phase 3: the scores of the entries that still reach the cutoff are resolved exactly by joining the vectors, and ranked.
 
 Queries are taken in blocks of ``QUERY_BLOCK``, so what is broadcast has a fixed bound; every block meets all rows.
 Ties go to the smaller vec_id. A vector that is null, empty or holds a null or non-finite component takes no part,
@@ -103,6 +103,9 @@ def _search(queries: dict, rows: DataFrame, k: int, nodes: int) -> DataFrame:
             sent = parts >= even - margin
             bound = np.where(sent, parts, even).sum(axis=0)
             at, col = np.nonzero(sent.any(axis=0) & (bound >= least[:, None] - margin) & (ids[None, :] != qid[:, None]))
+            # what was not sent lies in this task too, so the missing blocks are added before anything is shuffled
+            enough = parts[:, at, col].sum(axis=0) >= least[at] - margin[at, col]
+            at, col = at[enough], col[enough]
             yield pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(ids[col])], names=["query_id", "vec_id"])
 
     return rows.transform(in_batches, collect, "query_id long, vec_id long")
