@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, in_batches, lower, mixed, packed, run_hashes, runs, table, without
+from .common import chunks, cut, in_batches, lower, mixed, packed, run_hashes, runs, sized, table, without
 from .common import _SPACE as SPACE
 from .components import components
 
 SHINGLE, RADIUS, GROUPS, CELL = 3, 3, 6, 4096
-#: For copies on five-word shingles at a similarity of 0.8: fingerprints over the set of words that propose links, and over the shingles, with the most bits of the latter's that may differ.
-PROPOSE, JUDGE, JUDGE_BITS = 3, 2, 20
+#: For copies whose sets of WORDS-word shingles have a Jaccard similarity of 0.8 or more: BANDS x ROWS min-hashes propose pairs, of two bits each at most UNLIKE may differ, and sets of at most MEMBERS documents are compared in a task's block.
+WORDS, BANDS, ROWS, UNLIKE, MEMBERS = 5, 24, 4, 33, 1024
 _LOW = 0x5555555555555555
 _BYTES = np.arange(8, dtype=np.int64) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -152,13 +152,6 @@ def links(points: DataFrame, propose: int = 1, judge: Callable[[np.ndarray, np.n
     names = [c for c in points.columns if c.startswith("fp")]
     masks = _cells(groups, radius)
     keys = F.explode(F.array(*[F.xxhash64(F.lit(100 * i + k), embed(F.col(f"fp{i}")).bitwiseAND(F.lit(m))) for i in range(propose) for k, m in enumerate(masks)]))
-    keyed = points.select(keys.alias("key"), "node", *names)
-    large = cut(keyed.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / cell).alias("blocks")))
-    if large.count():  # at most one cell in ``cell`` of the keyed rows; adaptive execution picks the join
-        block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks"))
-        other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        spread = keyed.join(large, "key", "left").withColumn("block", block).withColumn("other", other)
-        keyed = spread.select(F.when(F.col("other").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "node", *names)
 
     def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         one = lambda i: (np.bitwise_count(_thermometer(x[..., i]) ^ _thermometer(y[..., i])) <= radius) & (np.bitwise_count(x[..., i] ^ y[..., i]) <= radius)  # noqa: E731  the bound, then the distance
@@ -167,8 +160,21 @@ def links(points: DataFrame, propose: int = 1, judge: Callable[[np.ndarray, np.n
             near = near | one(i)
         return near & judge(x, y) if judge else near
 
+    return _dealt(points.select(keys.alias("key"), "node", *names), _scan(len(names), close), cell)
+
+
+def _dealt(keyed: DataFrame, scan: Callable, cell: int) -> DataFrame:
+    """Edges (a, b) that ``scan`` finds in the cells of ``keyed`` (key, node, what it reads); a cell beyond ``cell`` rows is dealt as pairs of blocks."""
+    names = keyed.columns[2:]
+    large = cut(keyed.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / cell).alias("blocks")))
+    if large.count():  # at most one cell in ``cell`` of the keyed rows; adaptive execution picks the join
+        block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks"))
+        other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        spread = keyed.join(large, "key", "left").withColumn("block", block).withColumn("other", other)
+        keyed = spread.select(F.when(F.col("other").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "node", *names)
+
     dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.transform(in_batches, _scan(len(names), close), "a long, b long")
+    return dealt.transform(in_batches, scan, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, groups: int = GROUPS, cell: int = CELL) -> DataFrame:
@@ -180,53 +186,132 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _sketch(words: np.ndarray) -> list[int]:
-    """PROPOSE fingerprints of the set of words, JUDGE fingerprints of the five-word shingles (fewer words: the whole sequence)."""
-    k = min(5, len(words))
-    shingles = np.zeros(max(0, len(words) - k + 1), np.uint64)
-    for i in range(k):
-        shingles = mixed(shingles * np.uint64(3) + words[i : i + len(shingles)])
-    each = np.unique(words)
-    return [majority(mixed(each + np.uint64(s))) for s in range(PROPOSE)] + [majority(mixed(shingles + np.uint64(s))) for s in range(10, 10 + JUDGE)]
+_TIMES = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, fp0 ... of the words and shingles of whole texts, case and white space aside."""
-    n = PROPOSE + JUDGE
+def _shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of chunks of whole texts, case and white space aside: first and end row, hashes and counts of the words, of the shingles (fewer than WORDS words: the whole sequence)."""
+    data, offsets = packed(column)
+    for i, j, part, bounds in chunks(data, offsets):
+        part = lower(part)
+        starts, ends = runs(~SPACE[part], bounds)
+        words = run_hashes(part, starts, ends)[0]
+        counts = np.diff(np.searchsorted(starts, bounds))
+        size = np.repeat(np.minimum(counts, WORDS), counts)  # words of the shingle that starts here
+        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(words))
+        hashes = np.zeros(len(words), np.uint64)
+        for k in range(WORDS):
+            more = np.flatnonzero((size > k) & (left >= size))
+            hashes[more] = mixed(hashes[more] * np.uint64(3) + words[more + k])
+        yield i, j, words, counts, hashes[left >= size], np.where(counts > 0, np.maximum(counts - WORDS + 1, 1), 0)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = packed(batch.column(1))
-            rows = []
-            for _, _, part, bounds in chunks(data, offsets):
-                part = lower(part)
-                starts, ends = runs(~SPACE[part], bounds)
-                hashes = run_hashes(part, starts, ends)[0]
-                at = np.searchsorted(starts, bounds)
-                rows += [_sketch(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            prints = np.array(rows, np.uint64).reshape(-1, n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(np.ascontiguousarray(prints[:, i])) for i in range(n)]], names=["doc_id", *[f"fp{i}" for i in range(n)]])
 
-    return docs.select("doc_id", "text").transform(in_batches, work, "doc_id long, " + ", ".join(f"fp{i} long" for i in range(n)))
+def _reduced(of: np.ufunc, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(counts), np.uint64)
+    full = counts > 0
+    if full.any():
+        out[full] = of.reduceat(values, (np.cumsum(counts) - counts)[full])
+    return out
 
 
-def near_copies(docs: DataFrame, cell: int = CELL) -> DataFrame:
-    """doc_id and group_id, for copies whose five-word shingles agree to 0.8 or more.
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, two hashes of the sequence of words (same0, same1), a key for every band, and two bits of every min-hash (fp0, fp1, ...)."""
+    prints = [f"fp{i}" for i in range(BANDS * ROWS // 32)]
 
-    That similarity moves a shingle fingerprint by about ten bits, too many for a grid; the set of words moves by
-    about four. So words propose, in PROPOSE independent fingerprints, and JUDGE shingle fingerprints decide.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, bands, bits = [], [], []
+            for i, j, words, counts, hashes, sizes in _shingles(batch.column(1)):
+                at = (np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
+                same.append(np.stack([_reduced(np.add, mixed(words + mixed(at + np.uint64(z << 40))), counts) for z in (1, 2)]))
+                keys, two = np.zeros((BANDS, j - i), np.uint64), np.zeros((len(prints), j - i), np.uint64)
+                for k, times in enumerate(_TIMES):
+                    least = mixed(_reduced(np.minimum, hashes * times, sizes))
+                    keys[k // ROWS] = mixed(keys[k // ROWS] * np.uint64(3) + least + np.uint64(k))
+                    two[k // 32] |= (least & np.uint64(3)) << np.uint64(2 * (k % 32))
+                bands.append(keys)
+                bits.append(two)
+            wide = lambda parts, n: (np.concatenate(parts, axis=1) if parts else np.zeros((n, 0), np.uint64)).view(np.int64)
+            flat = np.ascontiguousarray(wide(bands, BANDS).T).ravel()
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, wide(same, 2)), keys, *map(pa.array, wide(bits, len(prints)))], names=["doc_id", "same0", "same1", "bands", *prints])
+
+    return docs.select("doc_id", "text").transform(in_batches, work, "doc_id long, same0 long, same1 long, bands array<long>, " + ", ".join(f"{x} long" for x in prints))
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """key, node (as they are) and the sorted set of shingles of text, for every row of ``docs``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, _, _, hashes, sizes in _shingles(batch.column(2)):
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                sets = [np.unique(hashes[a:b].view(np.int64)) for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(sets, pa.list_(pa.int64()))], names=["key", "node", "shingles"])
+
+    return docs.select("key", "node", "text").transform(in_batches, work, "key long, node long, shingles array<long>")
+
+
+def alike(one: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the Jaccard similarity of a sorted set and each of several (concatenated) is 0.8 or more; whole numbers decide."""
+    if not len(one):
+        return sizes == 0
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    both = np.concatenate([[0], np.cumsum(one[at] == flat)])
+    ends = np.cumsum(sizes)
+    return 9 * (both[ends] - both[ends - sizes]) >= 4 * (len(one) + sizes)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per partition, dealt and sorted by key: a spanning forest of each key's sets that are ``alike``."""
+    last, nodes, sets = None, [], []
+
+    def edges() -> pa.RecordBatch:
+        def linked(point: np.ndarray, rest: np.ndarray) -> np.ndarray:
+            one, hit = sets[int(point)], np.zeros(len(rest), bool)
+            size = np.array([len(sets[i]) for i in rest.tolist()], np.int64)
+            able = np.flatnonzero(5 * np.minimum(size, len(one)) >= 4 * np.maximum(size, len(one)))
+            if len(able):
+                hit[able] = alike(one, np.concatenate([sets[i] for i in rest[able].tolist()]), size[able])
+            return hit
+
+        found = _forest(np.arange(len(sets)), linked)
+        return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        flat, offsets = batch.column(2).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+        for i, (key, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if key != last:
+                if len(sets) > 1:
+                    yield edges()
+                last, nodes, sets = key, [], []
+            nodes.append(node)
+            sets.append(flat[offsets[i] : offsets[i + 1]])
+    if len(sets) > 1:
+        yield edges()
+
+
+def near_copies(docs: DataFrame, cell: int = CELL, members: int = MEMBERS) -> DataFrame:
+    """doc_id and group_id: what links of a Jaccard similarity of 0.8 or more between sets of five-word shingles connect.
+
+    Min-hash bands and bits only part the texts into groups that hold every link, but for about 4 in a million at exactly
+    0.8; within a group the sets themselves are compared. Texts of equal words are one point.
     """
-    n = PROPOSE + JUDGE
-    names = [f"fp{i}" for i in range(n)]
     prints = cut(sketches(docs))
-    classes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node is not null"))
-
-    def judge(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(x[..., PROPOSE:] ^ y[..., PROPOSE:]).sum(axis=-1) <= JUDGE_BITS
+    names = [x for x in prints.columns if x.startswith("fp")]
+    classes = cut(prints.where("doc_id is not null").groupBy("same0", "same1").agg(F.min("doc_id").alias("node"), *[F.first(x).alias(x) for x in ("bands", *names)]))
+    low = np.uint64(_LOW)
 
-    roots = components(links(classes.select("node", *names), PROPOSE, judge, cell=cell))
-    labels = classes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("group_id"))
-    return prints.join(labels, names).select("doc_id", "group_id")
+    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = x ^ y
+        return np.bitwise_count((z | (z >> np.uint64(1))) & low).sum(axis=-1, dtype=np.int64) <= UNLIKE
+
+    near = components(_dealt(classes.select(F.explode("bands").alias("key"), "node", *names), _scan(len(names), close), cell))
+    near = sized(near.select(F.col("root").alias("key"), "node"))
+    sets = shingle_sets(docs.select("doc_id", "text").join(near, F.col("doc_id") == F.col("node")))
+    roots = components(_dealt(sets, _compared, members))
+    labels = classes.join(roots, "node", "left").select("same0", "same1", F.coalesce("root", "node").alias("group_id"))
+    return prints.select("doc_id", "same0", "same1").join(labels, ["same0", "same1"]).select("doc_id", "group_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

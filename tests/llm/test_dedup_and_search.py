@@ -170,3 +170,45 @@ def test_top_k_edges(spark):
     big = spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="too large"):
         topk.vectors(big).collect()
+
+
+@pytest.mark.parametrize("members", [3, 1024])
+def test_near_copies_by_kind_of_edit(spark, members):
+    """Every pair at a Jaccard similarity of 0.8 or more is found, whatever was edited, and none below."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    replaced = lambda base, share: [word() if rng.random() < share else x for x in base]
+    kinds = {
+        "replaced 2 %": lambda base: replaced(base, 0.018),
+        "replaced 5 %": lambda base: replaced(base, 0.05),
+        "appended 5 %": lambda base: base + [word() for _ in range(len(base) // 20)],
+        "appended 10 %": lambda base: base + [word() for _ in range(len(base) // 10)],
+        "appended 20 %": lambda base: base + [word() for _ in range(len(base) // 5)],
+        "appended 40 %": lambda base: base + [word() for _ in range(2 * len(base) // 5)],
+        "prepended 10 %": lambda base: [word() for _ in range(len(base) // 10)] + base,
+        "cut 15 %": lambda base: base[: len(base) * 85 // 100],
+    }
+    shingled = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    rows, want, seen = [], set(), 0
+    for kind in kinds.values():
+        for _ in range(25):
+            base = [word() for _ in range(rng.choice([60, 300, 800]))]
+            copy = kind(base)
+            a, b = shingled(base), shingled(copy)
+            rows += [(2 * seen, " ".join(base)), (2 * seen + 1, " ".join(copy).upper())]
+            if len(a & b) * 5 >= len(a | b) * 4:
+                want.add(2 * seen + 1)
+            seen += 1
+    assert 100 < len(want) < 180
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"] for r in simhash.near_copies(docs, members=members).where("doc_id <> group_id").collect()}
+    assert found == want
+
+
+def test_near_copies_of_one_large_group(spark):
+    """A chain whose ends are unlike is one group, also when its documents are compared in blocks."""
+    words = [f"w{i}" for i in range(1000)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 300])) for i in range(40)] + [(90, ""), (91, None), (92, "one two"), (93, "One  two"), (94, "two one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(map(tuple, simhash.near_copies(docs, cell=5, members=4).collect()))
+    assert got == {**dict.fromkeys(range(40), 0), 90: 90, 91: 90, 92: 92, 93: 92, 94: 94}
