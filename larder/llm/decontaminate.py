@@ -2,7 +2,8 @@
 
 Words in lower case are literals; numbers, names (capitalised within a sentence) and units (after a number) become
 typed placeholders, whose values are slots. Every window of ``WINDOW`` canonical words with enough literals is
-hashed. A bitmap of fixed size over the benchmark's windows thins out the documents' windows where they are made; the
+hashed, and every window with a placeholder once more as it was written, so that text made of numbers and names is
+met where it is verbatim. A bitmap of fixed size over the benchmark's windows thins out the documents' windows where they are made; the
 rest meet the benchmark in a hash join. Matches on one alignment of a document and an item must cover enough of the
 item and map each slot value of the item to one value of the document and back: the same values are a verbatim
 leak, others a re-parameterised one.
@@ -30,7 +31,7 @@ UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml cl l gal s sec min h hr hrs h
 _CLASS = np.zeros(256, np.int8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _CLASS[48:58] = 2
-_WORDS = "doc_id long, w int, pos int, h long, slots array<long>"
+_WORDS = "doc_id long, w int, pos int, h long, written boolean, slots array<long>"
 
 
 def _hash(word: str) -> int:
@@ -75,18 +76,25 @@ def canonical(part: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.select([number, unit, name], [NUMBER, UNIT, NAME], written), written, row
 
 
-def windows(canon: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word of every window of ``size`` words in one row, at least half of them literals."""
+def windows(canon: np.ndarray, written: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first word, and whether the words are as written, of every window of ``size`` words in one row.
+
+    Canonical windows are at least half literals; a window with placeholders is hashed as written, too.
+    """
     n = len(canon) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + canon[k : k + n]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def hashed(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + words[at + k]
+        return mixed(h + np.uint64(size))
+
     slot = np.concatenate([[0], np.cumsum((canon == NUMBER) | (canon == NAME) | (canon == UNIT))])
-    good = (row[size - 1 :] == row[:n]) & (2 * (slot[size:] - slot[:n]) <= size)
-    at = np.flatnonzero(good)
-    return mixed(h[at] + np.uint64(size)), at
+    slots, inside = slot[size:] - slot[:n], row[size - 1 :] == row[:n]
+    at, as_written = np.flatnonzero(inside & (2 * slots <= size)), np.flatnonzero(inside & (slots > 0))
+    return np.concatenate([hashed(canon, at), hashed(written, as_written)]), np.concatenate([at, as_written]), np.repeat([False, True], [len(at), len(as_written)])
 
 
 def _rows(ids: pa.Array, text: pa.Array, sizes: list[int], keep, whole: bool = False) -> Iterator[pa.RecordBatch]:
@@ -99,17 +107,17 @@ def _rows(ids: pa.Array, text: pa.Array, sizes: list[int], keep, whole: bool = F
         length = np.diff(first)
         slot = (canon == NUMBER) | (canon == NAME) | (canon == UNIT)
         for size in sizes:
-            h, at = windows(canon, row, size)
+            h, at, raw = windows(canon, written, row, size)
             if whole and size < WINDOW:
                 only = length[row[at]] == size
-                h, at = h[only], at[only]
+                h, at, raw = h[only], at[only], raw[only]
             hit = keep(h)
-            h, at = h[hit], at[hit]
+            h, at, raw = h[hit], at[hit], raw[hit]
             if len(at):
                 slots = [written[a : a + size][slot[a : a + size]].view(np.int64).tolist() for a in at.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(i + row[at])), pa.array(np.full(len(at), size, np.int32)), pa.array((at - first[row[at]]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))],
-                    names=["doc_id", "w", "pos", "h", "slots"],
+                    [ids.take(pa.array(i + row[at])), pa.array(np.full(len(at), size, np.int32)), pa.array((at - first[row[at]]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(raw), pa.array(slots, pa.list_(pa.int64()))],
+                    names=["doc_id", "w", "pos", "h", "written", "slots"],
                 )
 
 
@@ -139,8 +147,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             yield from _rows(batch.column(0), batch.column(1), sizes, every, whole=True)
 
-    bench = benchmark.select("item_id", "text").transform(in_batches, of_items, _WORDS).withColumnsRenamed({"doc_id": "item_id", "slots": "item_slots", "pos": "item_pos"})
-    bench = cut(bench.join(known, "item_id").dropDuplicates(["item_id", "w", "item_pos"]))
+    bench = benchmark.select("item_id", "text").transform(in_batches, of_items, _WORDS).withColumnsRenamed({"doc_id": "item_id", "slots": "item_slots", "pos": "item_pos", "written": "item_written"})
+    bench = cut(bench.join(known, "item_id").dropDuplicates(["item_id", "w", "item_pos", "item_written"]))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,10 +170,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield from _rows(batch.column(0), batch.column(1), sizes, maybe)
 
     found = docs.select("doc_id", "text").transform(in_batches, of_docs, _WORDS).join(bench, ["h", "w"])
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots"))))
-    lines = found.groupBy("doc_id", "item_id", "n_words", "w", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.countDistinct("item_pos").alias("n"), pairs.alias("pairs"))
+    values = F.when(F.col("written") | F.col("item_written"), F.col("item_slots")).otherwise(F.col("slots"))  # as written: those of the item, also where only one side has a placeholder
+    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", values.alias("slots")))))
+    lines = found.groupBy("doc_id", "item_id", "n_words", "w", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.array_sort(F.collect_set("item_pos")).alias("at"), pairs.alias("pairs"))
+    steps = F.zip_with(F.slice("at", 2, F.size("at")), F.slice("at", 1, F.size("at") - 1), lambda x, y: F.least(x - y, F.col("w")))
+    covered = F.aggregate(steps, F.col("w"), lambda x, y: x + y)  # words in any matching window
     one = lambda c: F.size(F.array_distinct(F.col(f"pairs.{c}")))
-    lines = lines.select("doc_id", "item_id", "n_words", (F.col("n") + F.col("w") - 1).alias("covered"), F.size("pairs").alias("slots"), F.when(F.size("pairs") == 0, 1.0).otherwise(F.least(one("item_slots"), one("slots")) / F.size("pairs")).alias("consistency"), F.exists("pairs", lambda p: p["item_slots"] != p["slots"]).alias("changed"))
+    lines = lines.select("doc_id", "item_id", "n_words", covered.alias("covered"), F.size("pairs").alias("slots"), F.when(F.size("pairs") == 0, 1.0).otherwise(F.least(one("item_slots"), one("slots")) / F.size("pairs")).alias("consistency"), F.exists("pairs", lambda p: p["item_slots"] != p["slots"]).alias("changed"))
     lines = lines.where((F.col("covered") >= F.least(F.lit(COVER), F.ceil(SHARE * F.col("n_words")))) & (F.col("consistency") >= CONSISTENT))
     best = lines.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("covered", "n_words", "slots", "consistency", "changed"), F.struct("covered", "consistency", ~F.col("changed"))).alias("x"))
     return best.select("doc_id", "item_id", F.when(F.col("x.changed"), "reparameterised").otherwise("verbatim").alias("kind"), F.col("x.covered").cast("int").alias("covered"), F.col("x.n_words").alias("item_words"), F.col("x.slots").alias("slots"), F.col("x.consistency").alias("consistency"))

@@ -136,6 +136,20 @@ def test_short_items(spark):
     assert decontaminate.leaks(docs, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("item", ["Evaluate 2 + 3 * 4 - 5", "Add 12, 7, 9, 31, 8, 15, 4, 22, 6, 18, 3 and 40", "met Anna Boris Clara David Emma Frank Greta Henry Irene Jonas Karla Louis Maria", "Mary Lee 3 apples", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"])
+def test_items_of_numbers_and_names(spark, item):
+    docs = spark.createDataFrame([(1, FILL + "Then " + item + " " + FILL), (2, FILL + "Evaluate 9 + 8 * 7 - 6 and 20 21 22 23 24 25 26 27 28 29 30 31 32 33 34"), (3, FILL)], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert [(r["doc_id"], r["kind"], r["consistency"]) for r in decontaminate.leaks(docs, bench).collect()] == [(1, "verbatim", 1.0)]
+
+
+def test_covered_words_of_separate_runs(spark):
+    words = [f"{a}{b}" for a in ("lo", "mi", "ka", "ru") for b in ("na", "te", "si", "po", "du")]
+    edited = [*words[:8], "other", *words[9:17], *["tail"] * 3]
+    docs, bench = spark.createDataFrame([(1, " ".join(edited))], "doc_id long, text string"), spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
+    assert [(r["doc_id"], r["covered"]) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 16)]
+
+
 def test_bpe_query(spark):
     docs = dict(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
     enc = bpe.encoding()
