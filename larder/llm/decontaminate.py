@@ -8,8 +8,9 @@ rest meet the benchmark in a hash join. Matches on one alignment of a document a
 item and map each slot value of the item to one value of the document and back: the same values are a verbatim
 leak, others a re-parameterised one.
 
-Items of fewer than WINDOW words are sought as one window of their own length; items of fewer than ``LEAST_ITEM``
-words, or null, are not sought. Repeated items count as the smallest item_id. Null and empty texts hold nothing. Rows
+Items of fewer than WINDOW words are sought as one window of their own length; those of fewer than ``LEAST_ITEM``
+words only as they are written. In scripts without spaces every character is a word. Items without a word, or null,
+are not sought. Repeated items count as the smallest item_id. Null and empty texts hold nothing. Rows
 that share a doc_id count as one document. Whole texts are searched; there is no cap on matches.
 """
 
@@ -24,13 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import chunks, cut, in_batches, lower, mixed, packed, run_hashes, table, without
 
-#: Words of a window, words of the shortest item sought, words that a leak must cover (or the share of a shorter item), the least share of consistent slots, and bits of the bitmap.
+#: Words of a window, words of the shortest item sought in other values, words that a leak must cover (or the share of a shorter item), the least share of consistent slots, and bits of the bitmap.
 WINDOW, LEAST_ITEM, COVER, SHARE, CONSISTENT, MAP_BITS = 8, 4, 13, 0.8, 0.8, 24
 #: Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml cl l gal s sec min h hr hrs hours minutes seconds days weeks months years percent usd eur gbp dollars euros cents mph kmh kph kb mb gb tb hz khz mhz ghz w kw v c f k meters metres miles feet inches pounds grams kilograms liters litres".split()
 _CLASS = np.zeros(256, np.int8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _CLASS[48:58] = 2
+#: Code points of scripts without spaces (Thai to Tibetan, Burmese, Khmer, kana and ideographs), and of full-width punctuation and space.
+UNSPACED = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+PUNCTUATION = ((0x3000, 0x3004), (0x3008, 0x3020), (0x302A, 0x3030), (0xFE30, 0xFE4F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
 _WORDS = "doc_id long, w int, pos int, h long, written boolean, slots array<long>"
 
 
@@ -43,6 +47,24 @@ _UNIT_HASHES = np.unique(np.array([_hash(x) for x in UNITS], np.uint64))
 NUMBER, NAME, UNIT = (np.uint64(_hash(x)) for x in ("<number>", "<name>", "<unit>"))
 
 
+def _unspaced(part: np.ndarray, kind: np.ndarray, edge: np.ndarray) -> None:
+    """Make every character of unspaced scripts a word in ``kind`` and ``edge``, and full-width punctuation no word."""
+    for lead, bits, size in ((0xE0, 0x0F, 3), (0xF0, 0x07, 4)):
+        at = np.flatnonzero((part & np.uint8(0xFF ^ bits)) == lead)
+        at = at[at + size <= len(part)]
+        if not at.size:
+            continue
+        code = (part[at] & np.uint8(bits)).astype(np.int64)
+        for k in range(1, size):
+            code = (code << 6) | (part[at + k] & np.uint8(0x3F))
+        within = lambda ranges, code=code: np.any([(code >= a) & (code <= b) for a, b in ranges], axis=0)
+        marks = within(PUNCTUATION)
+        for k in range(size):
+            kind[at[marks] + k] = 0
+        alone = at[within(UNSPACED) | marks]
+        edge[alone] = edge[alone + size] = True
+
+
 def canonical(part: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the words of a chunk: canonical hash, hash of what was written, row."""
     kind = _CLASS[part]
@@ -51,7 +73,9 @@ def canonical(part: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
         inner[1:-1] = ((part[1:-1] == 46) | (part[1:-1] == 44)) & (kind[:-2] == 2) & (kind[2:] == 2)
         kind = np.where(inner, 2, kind)
     edge = np.ones(len(part) + 1, bool)
-    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[1:-1] = False
+    _unspaced(part, kind, edge)
+    edge[1:-1] |= kind[1:] != kind[:-1]
     edge[bounds] = True
     at = np.flatnonzero(edge)
     starts, ends = at[:-1], at[1:]
@@ -79,7 +103,8 @@ def canonical(part: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 def windows(canon: np.ndarray, written: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first word, and whether the words are as written, of every window of ``size`` words in one row.
 
-    Canonical windows are at least half literals; a window with placeholders is hashed as written, too.
+    Canonical windows are at least half literals; a window with placeholders is hashed as written, too. Of a window of
+    fewer than LEAST_ITEM words only the first as written in a row comes out.
     """
     n = len(canon) - size + 1
     if n <= 0:
@@ -93,6 +118,11 @@ def windows(canon: np.ndarray, written: np.ndarray, row: np.ndarray, size: int)
 
     slot = np.concatenate([[0], np.cumsum((canon == NUMBER) | (canon == NAME) | (canon == UNIT))])
     slots, inside = slot[size:] - slot[:n], row[size - 1 :] == row[:n]
+    if size < LEAST_ITEM:
+        at = np.flatnonzero(inside)
+        h = hashed(written, at)
+        first = np.sort(np.unique(np.stack([row[at].astype(np.uint64), h]), axis=1, return_index=True)[1])
+        return h[first], at[first], np.ones(len(first), bool)
     at, as_written = np.flatnonzero(inside & (2 * slots <= size)), np.flatnonzero(inside & (slots > 0))
     return np.concatenate([hashed(canon, at), hashed(written, as_written)]), np.concatenate([at, as_written]), np.repeat([False, True], [len(at), len(as_written)])
 
@@ -133,7 +163,7 @@ def items(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.diff(first).astype(np.int32)), pa.array(np.array(sums, np.uint64).view(np.int64))], names=["item_id", "n_words", "sum"])
 
     found = benchmark.where("item_id is not null").select("item_id", "text").transform(in_batches, work, "item_id long, n_words int, sum long")
-    return found.groupBy("sum", "n_words").agg(F.min("item_id").alias("item_id")).where(F.col("n_words") >= LEAST_ITEM).select("item_id", "n_words")
+    return found.groupBy("sum", "n_words").agg(F.min("item_id").alias("item_id")).where("n_words > 0").select("item_id", "n_words")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

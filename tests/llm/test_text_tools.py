@@ -150,6 +150,14 @@ def test_covered_words_of_separate_runs(spark):
     assert [(r["doc_id"], r["covered"]) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 16)]
 
 
+def test_unspaced_scripts_and_shortest_items(spark):
+    zh, ja, th = "小明有三个苹果，妈妈又给了他两个。他现在一共有几个苹果？", "東京から大阪まで何キロありますか。", "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
+    bench = spark.createDataFrame([(1, zh), (2, ja), (3, th), (4, "北京"), (5, "Blue Frogs"), (6, "Zanzibar"), (7, "8 + 5 * 3"), (8, "!?")], "item_id long, text string")
+    rows = [(10, "请看下面的题目：" + zh + "答案是五个"), (11, "問題。" + ja + "約五百"), (12, "ถาม" + th + "ครับ"), (13, "他在北京工作"), (14, "we saw blue frogs, blue frogs and frogs"), (15, "off to zanzibar now"), (16, "so 8 + 5 * 3 it is"), (17, "今天天气很好，我们去公园散步。"), (18, "9 + 5 * 3 blue green frogs"), (19, zh[:9])]
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(10 + i, 1 + i, "verbatim") for i in range(7)}
+
+
 def test_bpe_query(spark):
     docs = dict(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
     enc = bpe.encoding()
