@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import _LETTER as LETTER
 from .common import chunks, filtered, in_batches, lower, packed, runs, segment_sums, table
 
-#: Hash buckets of a language's n-grams, pseudo-count of a bucket, languages that a document may hold, EM rounds, cost of a language in units of ln(words), and the most languages learned (the most frequent ones).
-BUCKETS, PSEUDO, MOST_SET, ROUNDS, PENALTY, MOST_LANGS = 1 << 16, 0.5, 3, 8, 4.0, 64
+#: Hash buckets of a language's n-grams, pseudo-count of a bucket, EM rounds, cost of a language in units of ln(words), and languages that are counted or scored at once.
+BUCKETS, PSEUDO, ROUNDS, PENALTY, BLOCK = 1 << 16, 0.5, 8, 4.0, 64
 #: Least score of a document that the pipeline keeps.
 LEAST = 0.2
 
@@ -55,13 +55,18 @@ def _grams(part: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def learn(docs: DataFrame) -> Model:
-    """N-gram models from the text and non-null lang of all rows of ``docs``: one count table a language."""
+    """N-gram models of every non-null lang, from all rows of ``docs``: one count table a language."""
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
-    langs = sorted(r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect())
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())  # names of languages
+    dense = len(langs) <= BLOCK
     index = {x: i for i, x in enumerate(langs)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), BUCKETS), np.int64)
+        total = np.zeros((len(langs) if dense else 0, BUCKETS), np.int64)
+
+        def rows_of(lang: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], names=["lang", "bucket", "n"])
+
         for batch in batches:
             lang = np.array([index.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
             data, offsets = packed(batch.column(1))
@@ -70,16 +75,25 @@ def learn(docs: DataFrame) -> Model:
                 word = np.searchsorted(bounds, starts, "right") - 1
                 of = np.repeat(lang[i:j][word], sizes)
                 known = of >= 0
-                total += np.bincount(of[known] * BUCKETS + bucket[known], minlength=total.size).reshape(total.shape)
+                code = of[known] * BUCKETS + bucket[known]
+                if dense:
+                    total += np.bincount(code, minlength=total.size).reshape(total.shape)
+                else:
+                    seen, n = np.unique(code, return_counts=True)
+                    yield rows_of(seen // BUCKETS, seen % BUCKETS, n)
         at, where = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(where), pa.array(total[at, where])], names=["lang", "bucket", "n"])
+        yield rows_of(at, where, total[at, where])
 
-    counts = np.zeros((BUCKETS, len(langs)))
+    logp = np.zeros((BUCKETS, len(langs)), np.float32)
     if langs:
-        found = rows.transform(in_batches, work, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most MOST_LANGS x BUCKETS rows
-        counts[found["bucket"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
-    logp = np.log((counts + PSEUDO) / (counts.sum(axis=0) + PSEUDO * BUCKETS))
-    return Model(langs, logp.astype(np.float32))
+        found = rows.transform(in_batches, work, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # the n-grams of each language, at most BUCKETS
+        lang, bucket, n = (found[c].to_numpy() for c in ("lang", "bucket", "n"))
+        for i in range(0, len(langs), BLOCK):
+            here = (lang >= i) & (lang < i + BLOCK)
+            counts = np.zeros((BUCKETS, min(BLOCK, len(langs) - i)))
+            counts[bucket[here], lang[here] - i] = n[here]
+            logp[:, i : i + BLOCK] = np.log((counts + PSEUDO) / (counts.sum(axis=0) + PSEUDO * BUCKETS))
+    return Model(langs, logp)
 
 
 def mixtures(word_ll: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,15 +109,20 @@ def mixtures(word_ll: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     doc = np.repeat(np.arange(n), counts)
     words = np.maximum(counts, 1)[:, None]
 
-    def em(allowed: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def em(at: np.ndarray, allowed: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the documents ``at``: proportions of the allowed languages, log-likelihoods."""
+        own = np.zeros(n, bool)
+        own[at] = True
+        near, sizes = (like, counts) if len(at) == n else (like[own[doc]], counts[at])
+        of = np.repeat(np.arange(len(at)), sizes)
         share = np.where(allowed, start + 1e-3, 0)
         share = (share / share.sum(axis=1, keepdims=True)).astype(np.float32)
         for _ in range(ROUNDS):
-            part = share[doc] * like
+            part = share[of] * near
             part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
-            share = (segment_sums(part, counts) / words).astype(np.float32)
+            share = (segment_sums(part, sizes) / words[at]).astype(np.float32)
             share = np.where(allowed & (share < 1e-6), 1e-6, share)
-        fit = segment_sums(np.log(np.maximum((share[doc] * like).sum(axis=1), 1e-30)).astype(np.float64), counts) + base
+        fit = segment_sums(np.log(np.maximum((share[of] * near).sum(axis=1), 1e-30)).astype(np.float64), sizes) + base[at]
         return share, fit
 
     first = np.argmax(alone, axis=1)
@@ -111,13 +130,21 @@ def mixtures(word_ll: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     share[np.arange(n), first] = 1
     best, size = alone[np.arange(n), first], np.ones(n, np.int64)
     if k > 1 and n:
-        full, _ = em(np.ones((n, k), bool), np.full((n, k), 1 / k))
+        full, fit = em(np.arange(n), np.ones((n, k), bool), np.full((n, k), 1 / k))
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-        for m in range(2, min(k, MOST_SET) + 1):
-            now, fit = em(rank < m, full)
-            value = fit - PENALTY * (m - 1) * np.log(words[:, 0] + 1)
-            better = value > best
-            share[better], best[better], size[better] = now[better], value[better], m
+        # no mixture fits better: by the gradient of the log-likelihood, which is concave, and by each word's best language
+        mix = np.maximum((full[doc] * like).sum(axis=1, keepdims=True), 1e-30)
+        slope = segment_sums((like / mix).astype(np.float64), counts).max(axis=1)
+        limit = np.minimum(base, fit + slope - counts) + 1e-3 + counts * (2e-6 * k + 1e-5)
+        for m in range(2, k + 1):
+            cost = PENALTY * (m - 1) * np.log(words[:, 0] + 1)
+            at = np.flatnonzero(limit - cost > best)
+            if not len(at):
+                break
+            now, fit = em(at, rank[at] < m, full[at])
+            better = fit - cost[at] > best[at]
+            at, now, fit = at[better], now[better], fit[better]
+            share[at], best[at], size[at] = now, fit - cost[at], m
     return share, size, alone
 
 
@@ -126,14 +153,15 @@ def judged(m: Model, column: pa.Array) -> tuple[list, list, list, list]:
     names = np.array([*m.langs, "und"], dtype=object)
     data, offsets = packed(column)
     pred, score, size, sets = [], [], [], []
-    for _, _, part, bounds in chunks(data, offsets, 1 << 20):
+    for _, _, part, bounds in chunks(data, offsets, (1 << 20) * BLOCK // max(BLOCK, len(m.langs))):
         bucket, sizes, starts = _grams(part, bounds)
         counts = np.diff(np.searchsorted(starts, bounds))
         n = len(counts)
         if not m.langs:
             pred, score, size, sets = pred + ["und"] * n, score + [0.0] * n, size + [0] * n, sets + [""] * n
             continue
-        share, k, alone = mixtures(segment_sums(m.logp[bucket], sizes).astype(np.float32), counts)
+        word_ll = np.concatenate([segment_sums(m.logp[:, i : i + BLOCK][bucket], sizes) for i in range(0, len(m.langs), BLOCK)], axis=1).astype(np.float32)
+        share, k, alone = mixtures(word_ll, counts)
         most = np.argmax(share, axis=1)
         gap = alone - alone[np.arange(n), most][:, None]
         sure = 1 / np.exp(np.minimum(gap / np.sqrt(np.maximum(counts, 1))[:, None], 0)).sum(axis=1)
@@ -148,7 +176,7 @@ def judged(m: Model, column: pa.Array) -> tuple[list, list, list, list]:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (the predicted language's share times its posterior among single languages), n_langs and the shares of the set."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGS x BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -78,6 +78,26 @@ def test_mixture_against_loops():
         np.testing.assert_allclose(share[d], pick, atol=1e-2)
 
 
+def invented(rng, k):
+    """Words of the k-th of many made-up languages, each with syllables of its own."""
+    own = np.random.default_rng(1000 + k)
+    syllables = ["".join(own.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(12)]
+    return lambda n: " ".join("".join(rng.choice(syllables, 2)) for _ in range(n))
+
+
+def test_more_than_64_languages(spark):
+    rng = np.random.default_rng(7)
+    say = [invented(rng, k) for k in range(90)]
+    rows = [(100 * k + i, f"l{k:02}", say[k](60)) for k in range(90) for i in range(2 if k > 70 else 3)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert len(model.langs) == 90
+    asked = spark.createDataFrame([(k, say[k](60)) for k in range(90)] + [(500, " ".join(say[k](60) for k in (1, 75, 80, 85, 88)))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.predict(asked, model).collect()}
+    assert [got[k]["lang_pred"] for k in range(90)] == [f"l{k:02}" for k in range(90)]
+    assert got[500]["n_langs"] == 5
+    assert {x.split(":")[0] for x in got[500]["shares"].split()} == {"l01", "l75", "l80", "l85", "l88"}
+
+
 def test_language_edges(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.predict(odd(spark), langid.learn(docs)).collect()}
