@@ -25,8 +25,6 @@ from .common import chunks, filtered, in_batches, lower, packed, runs, segment_s
 
 #: Hash buckets of a language's n-grams, pseudo-count of a bucket, EM rounds, cost of a language in units of ln(words), and languages that are counted or scored at once.
 BUCKETS, PSEUDO, ROUNDS, PENALTY, BLOCK = 1 << 16, 0.5, 8, 4.0, 64
-#: Least score of a document that the pipeline keeps.
-LEAST = 0.2
 
 
 @dataclass(frozen=True)
@@ -148,17 +146,17 @@ def mixtures(word_ll: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return share, size, alone
 
 
-def judged(m: Model, column: pa.Array) -> tuple[list, list, list, list]:
-    """lang_pred, score, n_langs and shares of every text of a column."""
+def judged(m: Model, column: pa.Array) -> tuple[list, list, list, list, list]:
+    """lang_pred, score, n_langs and shares of every text of a column, and by how much an n-gram is likelier in the language set than if all buckets were alike (nats; 0 without a letter)."""
     names = np.array([*m.langs, "und"], dtype=object)
     data, offsets = packed(column)
-    pred, score, size, sets = [], [], [], []
+    pred, score, size, sets, gain = [], [], [], [], []
     for _, _, part, bounds in chunks(data, offsets, (1 << 20) * BLOCK // max(BLOCK, len(m.langs))):
         bucket, sizes, starts = _grams(part, bounds)
         counts = np.diff(np.searchsorted(starts, bounds))
         n = len(counts)
         if not m.langs:
-            pred, score, size, sets = pred + ["und"] * n, score + [0.0] * n, size + [0] * n, sets + [""] * n
+            pred, score, size, sets, gain = pred + ["und"] * n, score + [0.0] * n, size + [0] * n, sets + [""] * n, gain + [0.0] * n
             continue
         word_ll = np.concatenate([segment_sums(m.logp[:, i : i + BLOCK][bucket], sizes) for i in range(0, len(m.langs), BLOCK)], axis=1).astype(np.float32)
         share, k, alone = mixtures(word_ll, counts)
@@ -171,7 +169,11 @@ def judged(m: Model, column: pa.Array) -> tuple[list, list, list, list]:
         score += np.where(none, 0, np.clip(share.max(axis=1) * sure, 0, 1)).astype(float).tolist()
         size += np.where(none, 0, k).tolist()
         sets += ["" if z else " ".join(f"{m.langs[i]}:{x[i]:.3f}" for i in np.argsort(-x, kind="stable")[:c]) for z, x, c in zip(none, share, k, strict=True)]
-    return pred, score, size, sets
+        top = word_ll.max(axis=1)
+        fit = np.log(np.maximum((np.repeat(share, counts, axis=0) * np.exp(word_ll - top[:, None])).sum(axis=1), 1e-30)) + top
+        letters = segment_sums(sizes, counts)
+        gain += np.where(none, 0, segment_sums(fit.astype(np.float64), counts) / np.maximum(letters, 1) + np.log(BUCKETS)).tolist()
+    return pred, score, size, sets, gain
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,7 +182,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, size, sets = judged(shared.value, batch.column(1))
+            pred, score, size, sets, _ = judged(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(size, pa.int32()), pa.array(sets, pa.string())], names=["doc_id", "lang_pred", "score", "n_langs", "shares"])
 
     return docs.select("doc_id", "text").transform(in_batches, work, "doc_id long, lang_pred string, score double, n_langs int, shares string")
@@ -197,12 +199,12 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in some language: rejected are ``und`` and texts whose main language scores below LEAST."""
+    """The rows of ``docs`` in some languages: rejected are ``und`` and texts that their own language set explains worse than n-grams drawn evenly; how many languages share a text does not matter."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~held_out(4, 2))))
 
     def judge(column: pa.Array) -> np.ndarray:
-        pred, score, _, _ = judged(shared.value, column)
-        return np.array([p != "und" and s >= LEAST for p, s in zip(pred, score, strict=True)], bool)
+        pred, _, _, _, gain = judged(shared.value, column)
+        return np.array([p != "und" and g > 0 for p, g in zip(pred, gain, strict=True)], bool)
 
     return filtered(docs, judge)
 

@@ -98,6 +98,16 @@ def test_more_than_64_languages(spark):
     assert {x.split(":")[0] for x in got[500]["shares"].split()} == {"l01", "l75", "l80", "l85", "l88"}
 
 
+def test_evenly_mixed_documents_are_kept(spark):
+    rng = np.random.default_rng(8)
+    say = [invented(rng, k) for k in range(5)]
+    rows = [(100 * k + i, f"l{k}", say[k](80)) for k in range(5) for i in range(40)]
+    mixed = [(1000 + i, None, " ".join(w for x in zip(*(say[k](100).split() for k in rng.permutation(5)[:3]), strict=True) for w in x)) for i in range(40)]
+    docs = spark.createDataFrame([*rows, *mixed, (2000, None, "12 .. 7"), (2001, None, "\u4e2d\u6587" * 50)], "doc_id long, lang string, text string")
+    assert langid.identified(docs).where("doc_id between 1000 and 1999 and n_langs = 3 and score < 0.2").count() > 5
+    assert {r["doc_id"] for r in langid.kept(docs).collect()} == {r[0] for r in [*rows, *mixed]}
+
+
 def test_language_edges(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.predict(odd(spark), langid.learn(docs)).collect()}
