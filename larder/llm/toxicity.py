@@ -1,8 +1,8 @@
 """Toxicity behind a noisy channel: Viterbi decoding restores obfuscated words, then the restored text is scored.
 
 Character language model: smoothed log probabilities of a byte given the byte before, within lower-case words,
-counted over all texts. Suspicious spans (leetspeak beside letters, letters spaced out one by one, a letter three
-times or more) become character lattices: each written sign may stand for itself or for the letters it imitates, a
+counted over all texts. Suspicious spans (words of letters and imitating signs, letters set apart one by one, groups
+of up to three letters that are likelier as one word, doubled letters) become character lattices: each written sign may stand for itself or for the letters it imitates, a
 separator or a repeat may stand for nothing, each at a channel cost. Viterbi finds the likeliest letters.
 
 Word model: for hashed words, their first bytes and their lengthwise prefixes, the number of toxic and of other
@@ -34,10 +34,14 @@ BUCKETS, PREFIXES, SAMPLE, CACHE = 1 << 19, (4, 5, 6), 6000, 1 << 16
 #: What written signs may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c"}
 SEPARATORS = " .-_*~"
+#: Signs that may also be punctuation at the edge of a word.
+EDGE = "!|(+"
 #: Natural-log costs: of a sign read as a letter, of one kept, of a dropped separator, of a letter dropped beside its like.
 IMITATE, KEEP, DROP, REPEAT = -0.7, -6.0, -0.2, -0.4
 _LEET = np.zeros(256, bool)
 _LEET[[ord(x) for x in SIGNS]] = True
+_LIKE = np.arange(256)
+_LIKE[[ord(x) for x in SIGNS]] = [ord(x[0]) for x in SIGNS.values()]
 _APART = np.zeros(256, bool)
 _APART[[ord(x) for x in SEPARATORS]] = True
 
@@ -69,6 +73,7 @@ def restore(span: str, lm: np.ndarray) -> str:
     A path is its cost and a chain of what was read, so time and memory are in proportion to the span.
     """
     paths: dict[int, tuple[float, tuple | None]] = {32: (0.0, None)}
+    inner = len(span) - len(span.lstrip(EDGE)), len(span.rstrip(EDGE))
     for k, sign in enumerate(span):
         raw = sign.encode()
         reads: list[tuple[bytes, float]] = []
@@ -78,6 +83,8 @@ def restore(span: str, lm: np.ndarray) -> str:
             reads += [(x.encode(), IMITATE) for x in SIGNS[sign]] + [(raw, KEEP)]
             if k + 1 < len(span) and span[k + 1] == sign:
                 reads.append((b"", REPEAT))
+            elif sign in EDGE and not inner[0] <= k < inner[1]:
+                reads.append((b"", DROP))
         else:
             reads.append((raw, 0.0))
             if k and span[k - 1] == sign:
@@ -100,36 +107,44 @@ def restore(span: str, lm: np.ndarray) -> str:
     return b"".join(reversed(parts)).decode(errors="replace")
 
 
-def suspicious(part: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
-    """Spans of a chunk to restore: words with imitating signs or tripled letters, and letters set apart one by one."""
+def suspicious(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spans of a chunk to restore: words of letters and imitating signs or with doubled letters, letters set apart one by one, and groups of up to three letters.
+
+    Of neighbouring groups those are one span that ``lm`` finds likelier joined than apart. A bigram model decides each
+    gap by the letters beside it, so this is what a lattice over all gaps would find.
+    """
     if len(part) < 3:
         return []
     letter, leet, apart = LETTER[part], _LEET[part], _APART[part]
-    core = letter | leet
-    starts, ends = runs(core, bounds)
-    # words of letters and signs: at least two letters, a sign before a letter
-    mark = np.zeros(len(part), bool)
-    mark[:-1] = leet[:-1] & letter[1:]
+    starts, ends = runs(letter | leet, bounds)
+    if not len(starts):
+        return []
     low = lower(part)
-    tripled = np.zeros(len(part), bool)
-    tripled[:-2] = letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & (part[:-2] < 128)
-    hit = mark | tripled
-    found: list[tuple[int, int]] = []
-    if hit.any():
-        seen = np.concatenate([[0], np.cumsum(hit)])
-        letters = np.concatenate([[0], np.cumsum(letter)])
-        take = (seen[ends] > seen[starts]) & (letters[ends] - letters[starts] >= 2)
-        found += list(zip(starts[take].tolist(), ends[take].tolist(), strict=True))
-    # single letters or signs, one separator between: three or more
-    single = ends - starts == 1
-    if single.any():
-        nxt = np.zeros(len(starts), bool)
-        nxt[:-1] = single[:-1] & single[1:] & (starts[1:] - starts[:-1] == 2)
-        nxt[:-1] &= apart[np.minimum(starts[:-1] + 1, len(part) - 1)]
-        s, e = runs(nxt, np.array([0, len(nxt)]))
-        row = np.searchsorted(bounds, starts, "right")
-        for a, b in zip(s.tolist(), e.tolist(), strict=True):
-            if b - a >= 2 and row[a] == row[b] and letter[starts[a : b + 1]].sum() >= 2:
+    hit = leet.copy()
+    hit[:-1] |= letter[:-1] & (low[:-1] == low[1:]) & (part[:-1] < 128)
+    seen = np.concatenate([[0], np.cumsum(hit)])
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    take = (seen[ends] > seen[starts]) & (letters[ends] > letters[starts]) & (ends - starts > 1)
+    found = list(zip(starts[take].tolist(), ends[take].tolist(), strict=True))
+    # groups with nothing but separators between
+    chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+    size = chars[ends] - chars[starts]
+    gaps = np.concatenate([[0], np.cumsum(~apart)])
+    near = np.zeros(len(starts), bool)
+    near[:-1] = (gaps[starts[1:]] == gaps[ends[:-1]]) & (starts[1:] > ends[:-1])
+    row = np.searchsorted(bounds, starts, "right")
+    near[:-1] &= row[1:] == row[:-1]
+    single, group = near.copy(), near.copy()
+    single[:-1] &= (size[:-1] == 1) & (size[1:] == 1)
+    group[:-1] &= (size[:-1] <= 3) & (size[1:] <= 3)
+    if lm is not None:
+        last, first = _LIKE[low[ends[:-1] - 1]], _LIKE[low[starts[1:]]]
+        group[:-1] &= lm[last, first] + DROP > lm[last, 32] + lm[32, first]
+    every = np.array([0, len(starts)])
+    for joined, least in ((single, 3), (group, 4)):
+        for a, b in zip(*(x.tolist() for x in runs(joined, every)), strict=True):
+            n = size[a : b + 1]
+            if n.sum() >= least and letters[ends[b]] - letters[starts[a]] >= 2 and (least == 3 or n.max() > 1):
                 found.append((int(starts[a]), int(ends[b])))
     return found
 
@@ -137,7 +152,7 @@ def suspicious(part: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
 def _restored(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """The restored words of a chunk as text with spaces between, one row for each of its rows."""
     rows: list[list[bytes]] = [[] for _ in range(len(bounds) - 1)]
-    for a, b in suspicious(part, bounds):
+    for a, b in suspicious(part, bounds, lm):
         raw = lower(part[a:b]).tobytes()
         found = cache.get(raw)
         if found is None:

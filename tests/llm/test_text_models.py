@@ -212,6 +212,16 @@ def test_suspicious_spans():
     assert not found & {"plain", "word", "2024"}
 
 
+@pytest.mark.parametrize("written", ["shi7", "hat3", "dumb4$$", "idi07", "5h17", "i - d - i - o - t", "id io t", "iiddiioott", "i d \u00ef o t", "i...d...i...o...t"])
+def test_obfuscated_spans_reach_the_decoder(spark, written):
+    lm = toxicity.bigrams(spark.createDataFrame([("idiot shit hate dumbass you are an such",)] * 3, "text string"))
+    raw = np.frombuffer(f"plainly, {written}, largely".encode(), np.uint8)
+    found = {raw[a:b].tobytes().decode() for a, b in toxicity.suspicious(raw, np.array([0, len(raw)]), lm)}
+    assert found == {written}
+    meant = {"shi7": "shit", "hat3": "hate", "dumb4$$": "dumbas", "5h17": "shit", "i d \u00ef o t": "id\u00efot"}.get(written, "idiot")
+    assert toxicity.restore(written, lm) == meant
+
+
 def test_toxicity_held_out_and_planted(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
