@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ CHUNK = 1 << 19
 ARROW_BATCH, ARROW_KEY, ARROW_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64m", "64MB")
 #: Ids that may be broadcast, 8 bytes each.
 SMALL = 1_000_000
+#: Bytes of a run up to which all runs are hashed side by side.
+LONG = 64
 _BASE = np.uint64(0x100000001B3)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -92,6 +96,44 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK) -> Iterato
         i = j
 
 
+@lru_cache(1)
+def _categories() -> np.ndarray:
+    """For every code point of the first four planes: 2 a letter, 1 a mark, 0 anything else."""
+    return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(1 << 18)], np.int8)
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """For every byte of UTF-8 text: 2 within a letter, 1 within a combining mark, 0 elsewhere."""
+    kinds = _categories()
+    out = np.zeros(len(data), np.int8)
+    ascii_ = data < 128
+    out[ascii_] = kinds[data[ascii_]]
+    for lead, bits, size in ((0xC0, 0x1F, 2), (0xE0, 0x0F, 3), (0xF0, 0x07, 4)):
+        at = np.flatnonzero((data & np.uint8(0xFF ^ bits)) == lead)
+        at = at[at + size <= len(data)]
+        if at.size:
+            code = (data[at] & np.uint8(bits)).astype(np.int64)
+            for k in range(1, size):
+                code = (code << 6) | (data[at + k] & np.uint8(0x3F))
+            kind = kinds[np.minimum(code, len(kinds) - 1)]
+            for k in range(size):
+                out[at + k] = kind
+    return out
+
+
+def parts(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """As ``chunks``, and whether the row ends here: a row of over ``limit`` bytes comes in parts, cut after an ASCII byte that is no letter or, without one, between characters."""
+    for i, j, part, bounds in chunks(data, offsets, limit):
+        while len(part) > limit and j == i + 1:
+            head = part[:limit]
+            gaps = np.flatnonzero(~_LETTER[head[1:]]) + 1 if not _LETTER[head[1:]].all() else np.flatnonzero((head[1:] & 0xC0) != 0x80)
+            at = int(gaps[-1]) + 1 if len(gaps) else limit
+            yield i, j, part[:at], np.array([0, at]), False
+            part = part[at:]
+            bounds = np.array([0, len(part)])
+        yield i, j, part, bounds, True
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """ASCII and Latin-1 letters (as UTF-8 bytes) in lower case."""
     out = _LOWER[data]
@@ -134,7 +176,7 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes:
     heads = {p: np.zeros(len(starts), np.uint64) for p in prefixes}
     live, at, k = np.arange(len(starts)), starts, 0
     acc = h.copy()
-    while live.size:
+    while live.size and k < LONG:
         acc = acc * _BASE + data[at].astype(np.uint64) + np.uint64(1)
         k += 1
         more = size[live] > k
@@ -145,6 +187,14 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes:
             h[live[done]] = acc[done]
             live, acc, at = live[more], acc[more], at[more]
         at = at + 1
+    if live.size:  # long runs, block by block: the same polynomial
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(1 << 16, _BASE)]))
+        for i, value, a in zip(live.tolist(), acc, at.tolist(), strict=True):
+            for b in range(a, int(ends[i]), 1 << 16):
+                piece = data[b : min(b + (1 << 16), int(ends[i]))].astype(np.uint64) + np.uint64(1)
+                value = np.array([value]) * powers[len(piece)] + (piece * powers[: len(piece)][::-1]).sum(dtype=np.uint64)
+                value = value[0]
+            h[i] = value
     return [mixed(h), *heads.values()]
 
 
@@ -175,7 +225,16 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(SMALL + 1).count() <= SMALL else ids
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``gone`` (doc_id). Up to SMALL ids are broadcast, more are joined by a shuffle."""
-    gone = sized(gone.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct())
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is not in ``gone`` (key). Up to SMALL ids are broadcast, more are joined by a shuffle."""
+    name = unused(docs, "_gone")
+    gone = sized(gone.select(F.col(key).alias(name)).where(F.col(name).isNotNull()).distinct())
+    return docs.join(gone, F.col(key) == F.col(name), "left_anti")

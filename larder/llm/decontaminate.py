@@ -11,7 +11,8 @@ leak, others a re-parameterised one.
 Items of fewer than WINDOW words are sought as one window of their own length; those of fewer than ``LEAST_ITEM``
 words only as they are written. In scripts without spaces every character is a word. Items without a word, or null,
 are not sought. Repeated items count as the smallest item_id. Null and empty texts hold nothing. Rows
-that share a doc_id count as one document. Whole texts are searched; there is no cap on matches.
+that share a doc_id count as one document, in ``leaks`` also those without one; ``cleaned`` judges those one by one.
+Other columns are not read, whatever their names. Whole texts are searched; there is no cap on matches.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, in_batches, lower, mixed, packed, run_hashes, table, without
+from .common import chunks, cut, in_batches, lower, mixed, packed, run_hashes, table, unused, without
 
 #: Words of a window, words of the shortest item sought in other values, words that a leak must cover (or the share of a shorter item), the least share of consistent slots, and bits of the bitmap.
 WINDOW, LEAST_ITEM, COVER, SHARE, CONSISTENT, MAP_BITS = 8, 4, 13, 0.8, 0.8, 24
@@ -213,8 +214,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark."""
-    return without(docs, leaks(docs, benchmark))
+    """The rows of ``docs`` that hold no item of the benchmark; a row without doc_id is known by the hash of its text."""
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    found = leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark)
+    return without(keyed, found.select(F.col("doc_id").alias(key)), key).drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """HTML extraction by layout-aware rendering.
 
 A tree builder reads tags, closes what HTML lets a page leave open (p, li, dt, dd, option, table parts), ignores
-unmatched end tags and treats elements beyond ``DEPTH`` as siblings. Visibility: head, scripts, styles, templates and
-the like, the hidden attribute, inline display:none or visibility:hidden, and the page's own style rules for single
-tags, classes and ids that say so. The renderer emits all visible text: blocks on lines of their own, paragraphs and
-headings set apart by an empty line, list items with their mark and indent, preformatted text as it is, table cells in
-aligned columns.
-
-A null or empty html gives an empty text. Broken markup never fails a row: what cannot be read as a tag is text. Pages
-of any size are rendered whole in memory. Rows come out one for one, repeated rows included; other columns are not read.
+unmatched end tags and treats visible elements beyond ``DEPTH`` as siblings. Visibility: head, scripts, styles, templates
+and the like, the hidden attribute, inline display:none or visibility:hidden, and the page's own style rules for single
+tags, classes and ids that say so on every screen (rules under a condition, or for print, do not count). The renderer
+emits all visible text: blocks on lines of their own, paragraphs and headings set apart by an empty line, list items
+with their mark and indent, preformatted text as it is, table cells in aligned columns: cells of over ``WIDE`` characters
+and cells beyond ``FAR`` characters or ``ALIGNED`` columns are written whole but align nothing.
+
+A null or empty html gives an empty text. Broken markup never fails a row: what cannot be read as a tag is text, from a
+tag that never ends to the end of the page. Time is in proportion to the page, whose size is not limited. Rows come out
+one for one, repeated rows included; a null page_id or url stays null; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import in_batches, table
 
-#: The deepest nesting of elements.
-DEPTH = 150
+#: The deepest nesting of elements; characters of a cell that widens its column, and characters and columns of a row that are aligned.
+DEPTH, WIDE, FAR, ALIGNED = 150, 80, 400, 200
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -39,10 +41,15 @@ CLOSES = {
 }
 _ENDS_P = APART | frozenset("div header footer main nav aside form fieldset address li dt dd hr table center details".split())
 _SCOPE = frozenset("table td th button html body".split())
-_TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: How a tag acts on what another one closes: it may be closed (1), or ends the search (2).
+_GROUPS = [*CLOSES.values(), ({"p"}, _SCOPE)]
+_ACTS = {tag: [1 if tag in names else 2 if tag in beyond else 0 for names, beyond in _GROUPS] for tag in set().union(*[a | b for a, b in _GROUPS])}
+_GROUP_OF = {tag: [k for k, x in enumerate(CLOSES) if x == tag] + [len(CLOSES)] * (tag in _ENDS_P) for tag in set(CLOSES) | _ENDS_P}
+_TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>)""", re.S)
+_ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_ON_SCREEN = re.compile(r"@media(?:\s+(?:only\s+)?(?:all|screen))?\s*|@layer\b[^{}]*", re.I)
+_SELECTOR = re.compile(r"[.#]?[\w-]+")
 _BLANKS = re.compile(r"[ \t\n\r\f\x0b]+")
 
 
@@ -59,58 +66,85 @@ class Node:
         return None
 
 
-def tree(html: str) -> tuple[Node, set[str]]:
-    """The document's root and the simple selectors (tag, .class, #id) that its styles hide."""
-    root = Node("#root")
-    stack, hidden, at, end = [root], set(), 0, len(html)
-
-    def close(names: set[str] | frozenset[str], beyond: set[str] | frozenset[str]) -> None:
-        """Pop up to the outermost open one of ``names`` within the nearest of ``beyond``."""
-        low = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                low = k
-            elif stack[k].tag in beyond:
-                break
-        if low is not None:
-            del stack[low:]
-
-    while at < end:
-        found = _TAG.search(html, at)
-        text = html[at : found.start() if found else end]
-        if text:
-            stack[-1].children.append(unescape(text) if "&" in text else text)
+def hides(css: str) -> set[str]:
+    """The simple selectors (tag, .class, #id) that a style sheet hides on every screen."""
+    found, open_, start = set(), [], 0
+    css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S)
+    for brace in re.finditer(r"[{}]", css):
+        part, start = css[start : brace.start()], brace.end()
+        if brace.group() == "{":
+            open_.append(part.rpartition(";")[2].strip())
+        elif open_:
+            rule = open_.pop()
+            if rule[:1] != "@" and all(_ON_SCREEN.fullmatch(x) for x in open_) and _HIDES.search(part):
+                found.update(x for x in map(str.strip, rule.lower().split(",")) if _SELECTOR.fullmatch(x))
+    return found
+
+
+def tree(html: str, known: set[str] | None = None) -> tuple[Node, set[str]]:
+    """The document's root and the simple selectors that its styles hide (``known``, if they have been read)."""
+    root, hidden = Node("#root"), set(known or ())
+    # open elements: tag, where its children go, and for each group the outermost open element that may be closed
+    stack = [("#root", root.children, [0] * len(_GROUPS))]
+    open_: dict[str, int] = {}
+    at, text_from, end, last, flat = 0, 0, len(html), html.rfind(">"), False
+
+    def pop(low: int) -> None:
+        while len(stack) > low:
+            tag, sink, _ = stack.pop()
+            open_[tag] -= 1
+            if len(stack) >= DEPTH and tag in BLOCK:
+                sink.append(Node("div"))  # the block's children are its siblings, so its end has to show
+
+    def put_text(upto: int) -> None:
+        if upto > text_from:
+            text = html[text_from:upto]
+            stack[-1][1].append(unescape(text) if "&" in text else text)
+
+    while (at := html.find("<", at)) >= 0 and (at < last or html.startswith("<!--", at)):
+        found = _TAG.match(html, at)
         if not found:
-            break
-        at = found.end()
+            at += 1
+            continue
+        put_text(at)
+        at = text_from = found.end()
         slash, name, attrs = found.groups()
         if not name:
             continue
         name = name.lower()
         if slash:
             if name == "br":
-                stack[-1].children.append(Node("br"))
-            elif any(n.tag == name for n in stack[1:]):
-                while stack[-1].tag != name:
-                    stack.pop()
-                stack.pop()
+                stack[-1][1].append(Node("br"))
+            elif open_.get(name):
+                low = len(stack) - 1
+                while stack[low][0] != name:
+                    low -= 1
+                pop(low)
             continue
-        if name in CLOSES:
-            close(*CLOSES[name])
-        if name in _ENDS_P:
-            close({"p"}, _SCOPE)
+        for group in _GROUP_OF.get(name, ()):
+            if low := stack[-1][2][group]:
+                pop(low)
         node = Node(name, attrs)
-        stack[-1].children.append(node)
+        stack[-1][1].append(node)
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
             raw = html[at : stop.start() if stop else end]
-            at = (html.find(">", stop.start()) + 1 or end) if stop else end
+            at = text_from = (html.find(">", stop.start()) + 1 or end) if stop else end
             if name == "style":
-                hidden.update(s.strip().lower() for sel, body in _RULE.findall(raw) if _HIDES.search(body) for s in sel.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip()))
+                hidden |= hides(raw)
             elif name == "textarea":
                 node.children.append(unescape(raw))
-        elif name not in VOID and not attrs.endswith("/") and len(stack) < DEPTH:
-            stack.append(node)
+        elif name not in VOID and not attrs.endswith("/"):
+            sink, scopes = node.children, stack[-1][2]
+            if len(stack) >= DEPTH and visible(node, hidden):
+                sink, flat = stack[-1][1], True
+            if acts := _ACTS.get(name):
+                scopes = [low or len(stack) if act == 1 else 0 if act == 2 else low for low, act in zip(scopes, acts, strict=True)]
+            stack.append((name, sink, scopes))
+            open_[name] = open_.get(name, 0) + 1
+    put_text(end)
+    if flat and known is None and hidden:  # a style that came later may hide what lies beyond DEPTH
+        return tree(html, hidden)
     return root, hidden
 
 
@@ -231,7 +265,7 @@ def grid(node: Node, hidden: set[str]) -> str:
                 render(holder, hidden, above)
                 above.end(1)
 
-    def row(tr: Node, cells: list[Node] | None = None) -> list[str]:
+    def row(tr: Node, cells: list[Node] | None = None) -> list[tuple[str, int, int]]:
         out = []
         for child in cells or tr.children:
             holder = child
@@ -244,18 +278,44 @@ def grid(node: Node, hidden: set[str]) -> str:
                 continue
             inner = Lines()
             render(holder, hidden, inner)
-            span = holder.get("colspan") or "1"
-            out += [_BLANKS.sub(" ", str(inner)), *[""] * (min(int(span), 1000) - 1 if span.isdecimal() else 0)]
+            out.append((_BLANKS.sub(" ", str(inner)), span(holder.get("colspan")), span(holder.get("rowspan"))))
         return out
 
     walk(node)
-    widths: list[int] = []
-    for r in rows:
-        widths += [0] * (len(r) - len(widths))
-        for k, cell in enumerate(r):
-            widths[k] = max(widths[k], len(cell))
-    lines = ["  ".join(cell.ljust(widths[k]) for k, cell in enumerate(r)).rstrip() for r in rows]
-    return "\n".join(x for x in [str(above), *lines] if x)
+    placed, widths, held = [], [0] * ALIGNED, [0] * ALIGNED  # rows that a cell above still takes of each column
+    for cells in rows:
+        line, column, taken = [], 0, held[:]
+        for text, wide, high in cells:
+            while column < ALIGNED and taken[column]:
+                column += 1
+            line.append((column, text))
+            if wide == 1 and column < ALIGNED and len(text) <= WIDE:
+                widths[column] = max(widths[column], len(text))
+            for k in range(column, min(column + wide, ALIGNED)):
+                held[k] = max(held[k], high)
+            column += wide
+        held = [max(n - 1, 0) for n in held]
+        placed.append(line)
+    starts = [0]
+    for width in widths:
+        starts.append(starts[-1] + (width + 2 if width else 0))
+    lines = [str(above)]
+    for cells in placed:
+        parts, size = [], 0
+        for column, text in cells:
+            if text:
+                start = starts[min(column, ALIGNED)]
+                gap = start - size if start <= FAR else 0
+                parts += [" " * max(gap, 2 if parts else 0), text]
+                size += max(gap, 2 if size else 0) + len(text)
+        lines.append("".join(parts))
+    return "\n".join(x for x in lines if x)
+
+
+def span(value: str | None) -> int:
+    """Columns or rows that a cell takes: 1 unless a whole number says more, ALIGNED at most."""
+    value = (value or "").strip()
+    return min(max(int(value[:9]), 1), ALIGNED) if value.isascii() and value.isdecimal() else 1
 
 
 def text_of(html: str | None) -> str:
@@ -265,7 +325,7 @@ def text_of(html: str | None) -> str:
     root, hidden = tree(html.replace("\r\n", "\n"))
     out = Lines()
     render(root, hidden, out)
-    return re.sub(r"[ \t]+\n", "\n", str(out)).strip("\n")
+    return "\n".join(line.rstrip(" \t") for line in str(out).split("\n")).strip("\n")
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Language identification by inference of a mixture of languages in each document.
 
 Each learned language has an n-gram model: smoothed log probabilities of hashed byte 4-grams (lower case, word
-ends as spaces). A word's likelihood under a language is the product over its n-grams. Each document is a mixture:
+ends as spaces). A word is a run of letters with their marks, as Unicode has them. Its likelihood under a language is the product over its n-grams. Each document is a mixture:
 expectation-maximisation over its words estimates the proportion of every language, and of the nested sets of the
 k most likely languages the one with the best penalised likelihood is the document's language set.
 
-A text that is null, empty or without a letter is ``und`` with score 0. A null lang is not learned from. Without any
-learned language every text is ``und``. Texts are taken whole; a document's memory is in proportion to its length.
-Ties between languages go to the first in alphabetical order. Rows come out one for one; other columns are not read.
+A text that is null, empty or without a letter (digits and signs of any script) is ``und`` with score 0. A null lang is
+not learned from. Without any learned language every text is ``und``. Texts are taken whole, long ones in parts (a word
+goes on in the next only where it is longer than a part) whose distinct words are counted, so that a document's memory
+is in proportion to its distinct words. Ties between languages go to the first in alphabetical order. Rows come out one
+for one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LETTER as LETTER
-from .common import chunks, filtered, in_batches, lower, packed, runs, segment_sums, table
+from .common import filtered, in_batches, letters, lower, packed, parts, run_hashes, runs, segment_sums, table
 
 #: Hash buckets of a language's n-grams, pseudo-count of a bucket, EM rounds, cost of a language in units of ln(words), and languages that are counted or scored at once.
 BUCKETS, PSEUDO, ROUNDS, PENALTY, BLOCK = 1 << 16, 0.5, 8, 4.0, 64
@@ -35,8 +36,13 @@ class Model:
 
 def _grams(part: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the n-grams of a chunk, one for each letter byte; the words' sizes in bytes and their starts."""
-    letter = LETTER[part]
+    kind = letters(part)
+    letter = kind > 0
     starts, ends = runs(letter, bounds)
+    if len(starts) and (bare := np.maximum.reduceat(kind, starts) < 2).any():  # marks without a letter are no word
+        for a, b in zip(starts[bare].tolist(), ends[bare].tolist(), strict=True):
+            letter[a:b] = False
+        starts, ends = starts[~bare], ends[~bare]
     flat = np.where(letter, lower(part), 32).astype(np.uint32)
     at = np.flatnonzero(letter)
     wide = np.concatenate([np.full(1, 32, np.uint32), flat, np.full(3, 32, np.uint32)])
@@ -68,7 +74,7 @@ def learn(docs: DataFrame) -> Model:
         for batch in batches:
             lang = np.array([index.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
             data, offsets = packed(batch.column(1))
-            for i, j, part, bounds in chunks(data, offsets):
+            for i, j, part, bounds, _ in parts(data, offsets):
                 bucket, sizes, starts = _grams(part, bounds)
                 word = np.searchsorted(bounds, starts, "right") - 1
                 of = np.repeat(lang[i:j][word], sizes)
@@ -94,34 +100,39 @@ def learn(docs: DataFrame) -> Model:
     return Model(langs, logp)
 
 
-def mixtures(word_ll: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def mixtures(word_ll: np.ndarray, counts: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Proportions (documents x languages, 0 outside the chosen set), sizes of the sets, and log-likelihoods by one language alone.
 
-    word_ll: log-likelihood of every word in every language; counts: words of each document, in order.
+    word_ll: log-likelihood of every word in every language; counts: words of each document, in order; weight: how often
+    each word is there (once).
     """
     n, k = len(counts), word_ll.shape[1]
-    alone = segment_sums(word_ll.astype(np.float64), counts)
+    weighed = (lambda x: x) if weight is None else (lambda x: x * (weight[:, None] if x.ndim > 1 else weight))
+    alone = segment_sums(weighed(word_ll.astype(np.float64)), counts)
     top = word_ll.max(axis=1, keepdims=True)
     like = np.exp(word_ll - top)
-    base = segment_sums(top.astype(np.float64), counts)[:, 0]
+    base = segment_sums(weighed(top[:, 0].astype(np.float64)), counts)
     doc = np.repeat(np.arange(n), counts)
-    words = np.maximum(counts, 1)[:, None]
+    total = counts if weight is None else segment_sums(weight.astype(np.float64), counts)
+    words = np.maximum(total, 1)[:, None]
 
     def em(at: np.ndarray, allowed: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the documents ``at``: proportions of the allowed languages, log-likelihoods."""
         own = np.zeros(n, bool)
         own[at] = True
-        near, sizes = (like, counts) if len(at) == n else (like[own[doc]], counts[at])
+        near, sizes, times = (like, counts, weight) if len(at) == n else (like[own[doc]], counts[at], None if weight is None else weight[own[doc]])
         of = np.repeat(np.arange(len(at)), sizes)
         share = np.where(allowed, start + 1e-3, 0)
         share = (share / share.sum(axis=1, keepdims=True)).astype(np.float32)
         for _ in range(ROUNDS):
             part = share[of] * near
             part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
+            if times is not None:
+                part *= times[:, None]
             share = (segment_sums(part, sizes) / words[at]).astype(np.float32)
             share = np.where(allowed & (share < 1e-6), 1e-6, share)
-        fit = segment_sums(np.log(np.maximum((share[of] * near).sum(axis=1), 1e-30)).astype(np.float64), sizes) + base[at]
-        return share, fit
+        each = np.log(np.maximum((share[of] * near).sum(axis=1), 1e-30)).astype(np.float64)
+        return share, segment_sums(each if times is None else each * times, sizes) + base[at]
 
     first = np.argmax(alone, axis=1)
     share = np.zeros((n, k), np.float32)
@@ -132,8 +143,8 @@ def mixtures(word_ll: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
         # no mixture fits better: by the gradient of the log-likelihood, which is concave, and by each word's best language
         mix = np.maximum((full[doc] * like).sum(axis=1, keepdims=True), 1e-30)
-        slope = segment_sums((like / mix).astype(np.float64), counts).max(axis=1)
-        limit = np.minimum(base, fit + slope - counts) + 1e-3 + counts * (2e-6 * k + 1e-5)
+        slope = segment_sums(weighed((like / mix).astype(np.float64)), counts).max(axis=1)
+        limit = np.minimum(base, fit + slope - total) + 1e-3 + total * (2e-6 * k + 1e-5)
         for m in range(2, k + 1):
             cost = PENALTY * (m - 1) * np.log(words[:, 0] + 1)
             at = np.flatnonzero(limit - cost > best)
@@ -146,33 +157,54 @@ def mixtures(word_ll: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return share, size, alone
 
 
+def _distinct(name: np.ndarray, word_ll: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every word once: its hash, its log-likelihoods and how often it is there."""
+    name, first, of = np.unique(name, return_index=True, return_inverse=True)
+    return name, word_ll[first], np.bincount(of, weight, len(name))
+
+
 def judged(m: Model, column: pa.Array) -> tuple[list, list, list, list, list]:
     """lang_pred, score, n_langs and shares of every text of a column, and by how much an n-gram is likelier in the language set than if all buckets were alike (nats; 0 without a letter)."""
     names = np.array([*m.langs, "und"], dtype=object)
     data, offsets = packed(column)
     pred, score, size, sets, gain = [], [], [], [], []
-    for _, _, part, bounds in chunks(data, offsets, (1 << 20) * BLOCK // max(BLOCK, len(m.langs))):
-        bucket, sizes, starts = _grams(part, bounds)
-        counts = np.diff(np.searchsorted(starts, bounds))
+
+    def settle(word_ll: np.ndarray, counts: np.ndarray, weight: np.ndarray | None, letter: np.ndarray) -> None:
         n = len(counts)
-        if not m.langs:
-            pred, score, size, sets, gain = pred + ["und"] * n, score + [0.0] * n, size + [0] * n, sets + [""] * n, gain + [0.0] * n
-            continue
-        word_ll = np.concatenate([segment_sums(m.logp[:, i : i + BLOCK][bucket], sizes) for i in range(0, len(m.langs), BLOCK)], axis=1).astype(np.float32)
-        share, k, alone = mixtures(word_ll, counts)
+        total = counts if weight is None else segment_sums(weight, counts)
+        share, k, alone = mixtures(word_ll, counts, weight)
         most = np.argmax(share, axis=1)
         gap = alone - alone[np.arange(n), most][:, None]
-        sure = 1 / np.exp(np.minimum(gap / np.sqrt(np.maximum(counts, 1))[:, None], 0)).sum(axis=1)
+        sure = 1 / np.exp(np.minimum(gap / np.sqrt(np.maximum(total, 1))[:, None], 0)).sum(axis=1)
         none = counts == 0
         most[none] = len(m.langs)
-        pred += names[most].tolist()
-        score += np.where(none, 0, np.clip(share.max(axis=1) * sure, 0, 1)).astype(float).tolist()
-        size += np.where(none, 0, k).tolist()
-        sets += ["" if z else " ".join(f"{m.langs[i]}:{x[i]:.3f}" for i in np.argsort(-x, kind="stable")[:c]) for z, x, c in zip(none, share, k, strict=True)]
+        pred.extend(names[most].tolist())
+        score.extend(np.where(none, 0, np.clip(share.max(axis=1) * sure, 0, 1)).astype(float).tolist())
+        size.extend(np.where(none, 0, k).tolist())
+        sets.extend("" if z else " ".join(f"{m.langs[i]}:{x[i]:.3f}" for i in np.argsort(-x, kind="stable")[:c]) for z, x, c in zip(none, share, k, strict=True))
         top = word_ll.max(axis=1)
-        fit = np.log(np.maximum((np.repeat(share, counts, axis=0) * np.exp(word_ll - top[:, None])).sum(axis=1), 1e-30)) + top
-        letters = segment_sums(sizes, counts)
-        gain += np.where(none, 0, segment_sums(fit.astype(np.float64), counts) / np.maximum(letters, 1) + np.log(BUCKETS)).tolist()
+        fit = np.log(np.maximum((np.repeat(share, counts, axis=0) * np.exp(word_ll - top[:, None])).sum(axis=1), 1e-30)).astype(np.float64) + top
+        gain.extend(np.where(none, 0, segment_sums(fit if weight is None else fit * weight, counts) / np.maximum(letter, 1) + np.log(BUCKETS)).tolist())
+
+    held: tuple | None = None
+    for i, j, part, bounds, ends in parts(data, offsets, (1 << 20) * BLOCK // max(BLOCK, len(m.langs))):
+        if not m.langs:
+            pred, score, size, sets, gain = ([*x, *[y] * (j - i) * ends] for x, y in ((pred, "und"), (score, 0.0), (size, 0), (sets, ""), (gain, 0.0)))
+            continue
+        bucket, sizes, starts = _grams(part, bounds)
+        word_ll = np.concatenate([segment_sums(m.logp[:, x : x + BLOCK][bucket], sizes) for x in range(0, len(m.langs), BLOCK)], axis=1).astype(np.float32)
+        counts = np.diff(np.searchsorted(starts, bounds))
+        if ends and held is None:
+            settle(word_ll, counts, None, segment_sums(sizes, counts))
+            continue
+        seen = _distinct(run_hashes(lower(part), starts, starts + sizes)[0], word_ll, np.ones(len(starts)))
+        letter = int(sizes.sum())
+        if held is not None:
+            seen, letter = _distinct(*(np.concatenate(x) for x in zip(held[0], seen, strict=True))), letter + held[1]
+        held = seen, letter
+        if ends:
+            settle(seen[1], np.array([len(seen[0])]), seen[2], np.array([letter]))
+            held = None
     return pred, score, size, sets, gain
 
 

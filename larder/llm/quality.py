@@ -7,7 +7,8 @@ the expected grade and the tail probability of every document follow from one pa
 
 A null or empty text has no features: its grade follows from the thresholds alone. Null ratings and ratings of
 unknown documents are not learned from; repeated ratings of a document count once, the lowest. With fewer than two
-grades to learn from every document gets that grade (0 if there is none). Rows come out one for one.
+grades to learn from every document gets that grade (0 if there is none). Rows come out one for one; other columns of
+the documents and of the ratings are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,14 +119,21 @@ def fit(y: np.ndarray, at: np.ndarray, share: np.ndarray, sizes: np.ndarray, buc
     return Model(grades.tolist(), w / spread / np.sqrt(200), cuts)
 
 
+def _bytes(column: pa.Array) -> np.ndarray:
+    _, offsets, data = column.cast(pa.large_binary()).buffers()
+    edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if len(column) and edges[-1] > edges[0] else np.zeros(0, np.uint8)
+
+
 def learn(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` rows of ratings (doc_id, grade) and their texts in ``docs``."""
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("double").alias("y"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a bounded table, so it is broadcast
-    rows = features(docs.join(F.broadcast(rated.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("text", "y")).toArrow()
-    buffers = [np.frombuffer(b"".join(rows[c].to_pylist()), kind) for c, kind in (("at", "<u2"), ("share", "<f4"))]
-    sizes = np.array([len(x) // 2 for x in rows["at"].to_pylist()], np.int64)
-    return fit(rows["y"].to_numpy(), buffers[0].astype(np.int64), buffers[1].astype(float), sizes)
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text")  # no other column can clash
+    rows = features(texts.join(F.broadcast(rated.withColumnRenamed("doc_id", "_id")), F.col("_doc") == F.col("_id")).select("text", "y")).toArrow()
+    sizes = np.diff(np.concatenate([[0], np.cumsum(pc.binary_length(rows["at"]).to_numpy() // 2)]))
+    at, share = (np.concatenate([np.zeros(0, kind), *[_bytes(x).view(kind) for x in rows[c].chunks]]) for c, kind in (("at", "<u2"), ("share", "<f4")))
+    return fit(rows["y"].to_numpy(), at, share, sizes)
 
 
 def judged(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

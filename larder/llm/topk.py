@@ -1,19 +1,21 @@
 """Exact top-k search by inner product with a three-phase uniform threshold.
 
-The axes of a vector form ``NODES`` blocks; a block's part of the inner product is a local score.
-Phase 1: every part of the candidates gathers, for each query, its local lists (the k best candidates of each block)
-and keeps the k of them with the best totals; the k-th best of all parts is a safe cutoff.
-Phase 2: the cutoff is broadcast. A candidate at or above it has a block at or above cutoff / NODES, so entries below
-that are not sent; those left whose upper bound (local scores sent, the threshold for each not sent) reaches the
-cutoff are collected, and the blocks that were not sent are added where they lie.
-Phase 3: the scores of the entries that still reach the cutoff are resolved exactly by joining the vectors, and ranked.
-
-Queries are taken in blocks of ``QUERY_BLOCK``, so what is broadcast has a fixed bound; every block meets all rows.
-Ties go to the smaller vec_id. A vector that is null, empty or holds a null or non-finite component takes no part,
-nor does one without vec_id; vectors of different lengths are not compared. Rows that repeat a vec_id are separate
-candidates with equal ids, never a candidate of their own query. With fewer than k candidates all are returned, with
-none the query has no rows. The phases compare in doubles with a margin for rounding and the last one sums whole numbers,
-so results are exact for components below 2^28 in size; larger ones raise.
+The axes of a vector form ``NODES`` blocks, each a node with local scores: a block's part of the inner product.
+Phase 1 gathers, for each query, the local score lists: the k best candidates of each block. Only what is listed is
+summed; the k-th best of those sums over all tasks is a safe cutoff, which is broadcast.
+Phase 2 collects sufficient entries: a candidate at or above the cutoff has a block at or above cutoff / NODES, so
+lower parts are not sent; an entry is collected if the parts sent, and cutoff / NODES for each not sent, reach the cutoff.
+Phase 3 resolves what remains: of the entries collected the parts that were not sent are looked up (a row holds its
+blocks, so in the same task), and the scores of those that still reach the cutoff are summed exactly and ranked.
+
+Queries are dealt by hash to blocks of about ``QUERY_BLOCK``, so what is broadcast has a fixed bound; every block meets
+all rows; matrices of local scores are bounded by ``CELLS``, whatever the numbers of queries and rows. Ties go to the
+smaller vec_id. A vector that is null, empty or holds a null or non-finite component takes no part, nor does one without
+vec_id; vectors of different lengths are not compared. Rows that repeat a vec_id are one query (the least vector of them
+asks) and separate candidates with equal ids, never candidates of their own id. With fewer than k candidates all are
+returned, with none the query has no rows. Columns other than vec_id and embedding are not read. The phases compare in
+doubles with a margin for rounding and the last sum is of whole numbers, so results are exact for components below 2^28
+in size; larger ones raise.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, in_batches, table
 
-#: Results of a query, blocks of axes, queries broadcast at once, candidates compared at once, the largest component, and the margin for rounding in parts of the vectors' norms.
-K, NODES, QUERY_BLOCK, BATCH, LARGEST, MARGIN = 10, 4, 8192, 2048, 1 << 28, 1e-9
+#: Results of a query, blocks of axes, queries broadcast at once, local scores and entries held at once, the largest component, and the margin for rounding in parts of the vectors' norms.
+K, NODES, QUERY_BLOCK, CELLS, LARGEST, MARGIN = 10, 2, 8192, 1 << 20, 1 << 28, 1e-9
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -41,54 +43,79 @@ def vectors(rows: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: positions of the vectors of that length and their matrix."""
-    flat, sizes = column.flatten().to_numpy(zero_copy_only=False).astype(float), np.diff(column.offsets.to_numpy())
+    """By length: positions of the vectors of that length and their matrix of whole numbers."""
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
     starts = np.concatenate([[0], np.cumsum(sizes)])
     return {int(n): (at := np.flatnonzero(sizes == n), flat[(starts[at][:, None] + np.arange(n))]) for n in np.unique(sizes)}
 
 
-def _parts(queries: np.ndarray, rows: np.ndarray, nodes: int) -> np.ndarray:
-    """Local scores: nodes x queries x rows."""
-    edges = [round(k * rows.shape[1] / nodes) for k in range(nodes + 1)]
-    return np.stack([queries[:, a:b] @ rows[:, a:b].T for a, b in zip(edges[:-1], edges[1:], strict=True)])
+def _axes(n: int, nodes: int) -> list[slice]:
+    edges = [round(k * n / nodes) for k in range(nodes + 1)]
+    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], held: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of every set of rows of a length that queries have: query ids, query matrix, row ids, row matrix."""
+def _batches(batches: Iterator[pa.RecordBatch], held: dict, nodes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Of every set of rows of a length that queries have: query ids, query matrix, row ids, row matrix, local scores of each block (queries x rows)."""
     for batch in batches:
-        for k in range(0, batch.num_rows, BATCH):
-            part = batch.slice(k, BATCH)
-            ids = part.column(0).to_numpy()
-            for n, (at, rows) in _matrix(part.column(1)).items():
-                if n in held:
-                    yield *held[n], ids[at], rows
+        for n, (at, rows) in _matrix(batch.column(1)).items():
+            if n not in held:
+                continue
+            qid, q = held[n]
+            ids, wide = batch.column(0).to_numpy()[at], q.astype(float)
+            step = max(16, CELLS // len(qid))
+            for k in range(0, len(ids), step):
+                x = rows[k : k + step]
+                yield qid, q, ids[k : k + step], x, [wide[:, s] @ x[:, s].T.astype(float) for s in _axes(n, nodes)]
+
+
+def listed(parts: list[np.ndarray], own: np.ndarray, k: int) -> np.ndarray:
+    """Phase 1: for each query the sums of the candidates in the local lists (the k best of each block, ``own`` aside), -inf where a list repeats one."""
+    m = min(k + 1, own.shape[1])  # one more, for the query itself
+    names = np.sort(np.concatenate([np.argpartition(-p, m - 1, axis=1)[:, :m] for p in parts], axis=1), axis=1)
+    sums = sum(np.take_along_axis(p, names, axis=1) for p in parts)
+    sums[:, 1:][names[:, 1:] == names[:, :-1]] = -np.inf
+    sums[np.take_along_axis(own, names, axis=1)] = -np.inf
+    return sums
+
+
+def sufficient(parts: list[np.ndarray], own: np.ndarray, least: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Phase 2: query and row of every entry collected, the sum of its parts that are sent, and for each block whether its part was."""
+    even = np.where(np.isfinite(least), least / len(parts), -1e300)[:, None]
+    sent = [p >= even - margin for p in parts]
+    some = np.logical_or.reduce(sent) & ~own
+    bound = sum(np.where(s, p, even) for s, p in zip(sent, parts, strict=True))
+    at, col = np.nonzero(some & (bound >= least[:, None] - margin))
+    sent = [s[at, col] for s in sent]
+    return at, col, sum(np.where(s, p[at, col], 0) for s, p in zip(sent, parts, strict=True)), sent
+
+
+def resolved(q: np.ndarray, x: np.ndarray, parts: list[np.ndarray], entries: tuple, least: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 3: query, row and exact score of the entries that reach the cutoff once the parts that were not sent are added."""
+    at, col, total, sent = entries
+    for s, p in zip(sent, parts, strict=True):
+        missing = np.flatnonzero(~s)
+        total[missing] += p[at[missing], col[missing]]
+    left = np.flatnonzero(total >= least[at] - margin[at, col])
+    at, col = at[left], col[left]
+    step = max(1, CELLS // q.shape[1])
+    exact = [(q[at[i : i + step]] * x[col[i : i + step]]).sum(axis=1) for i in range(0, len(at), step)]
+    return at, col, np.concatenate([np.zeros(0, np.int64), *exact])
 
 
 def _search(queries: dict, rows: DataFrame, k: int, nodes: int) -> DataFrame:
-    """query_id and vec_id of all entries that may be among the k best, for one block of queries."""
-    shared = rows.sparkSession.sparkContext.broadcast(queries)  # QUERY_BLOCK vectors at most
+    """query_id, vec_id and score of all entries that may be among the k best, for one block of queries."""
+    shared = rows.sparkSession.sparkContext.broadcast(queries)  # about QUERY_BLOCK vectors
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: totals and ids, queries x k
-        for qid, q, ids, x in _batches(batches, shared.value):
-            parts = _parts(q, x, nodes)
-            m = min(k + 1, x.shape[0])
-            local = np.argpartition(-parts, m - 1, axis=2)[:, :, :m]  # the local lists
-            listed = np.zeros(parts.shape[1:], bool)
-            for node in range(nodes):
-                np.put_along_axis(listed, local[node], True, axis=1)
-            total = np.where(listed & (ids[None, :] != qid[:, None]), parts.sum(axis=0), -np.inf)
-            top = np.argpartition(-total, m - 1, axis=1)[:, :m]
-            values, names = np.take_along_axis(total, top, axis=1), ids[top]
+        best: dict[int, np.ndarray] = {}  # by length: the k best sums of each query
+        for qid, q, ids, _, parts in _batches(batches, shared.value, nodes):
+            sums = listed(parts, ids[None, :] == qid[:, None], k)
             if (n := q.shape[1]) in best:
-                values, names = np.concatenate([best[n][0], values], axis=1), np.concatenate([best[n][1], names], axis=1)
-                if values.shape[1] > k:
-                    top = np.argpartition(-values, k - 1, axis=1)[:, :k]
-                    values, names = np.take_along_axis(values, top, axis=1), np.take_along_axis(names, top, axis=1)
-            best[n] = values, names
-        for n, (values, _) in best.items():
-            at, col = np.nonzero(np.isfinite(values))
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0][at]), pa.array(values[at, col])], names=["query_id", "total"])
+                sums = np.concatenate([best[n], sums], axis=1)
+            best[n] = -np.partition(-sums, k - 1, axis=1)[:, :k] if sums.shape[1] > k else sums
+        for n, sums in best.items():
+            at, col = np.nonzero(np.isfinite(sums))
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0][at]), pa.array(sums[at, col])], names=["query_id", "total"])
 
     lists = rows.transform(in_batches, gather, "query_id long, total double")
     ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total"))))
@@ -96,45 +123,29 @@ def _search(queries: dict, rows: DataFrame, k: int, nodes: int) -> DataFrame:
     cutoff = rows.sparkSession.sparkContext.broadcast({n: np.array([cutoffs.get(i, -np.inf) for i in qid.tolist()]) for n, (qid, _) in queries.items()})
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qid, q, ids, x in _batches(batches, shared.value):
-            parts, least = _parts(q, x, nodes), cutoff.value[q.shape[1]]
-            even = np.where(np.isfinite(least), least / nodes, -1e300)[None, :, None]
-            margin = MARGIN * (1 + np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
-            sent = parts >= even - margin
-            bound = np.where(sent, parts, even).sum(axis=0)
-            at, col = np.nonzero(sent.any(axis=0) & (bound >= least[:, None] - margin) & (ids[None, :] != qid[:, None]))
-            # what was not sent lies in this task too, so the missing blocks are added before anything is shuffled
-            enough = parts[:, at, col].sum(axis=0) >= least[at] - margin[at, col]
-            at, col = at[enough], col[enough]
-            yield pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(ids[col])], names=["query_id", "vec_id"])
+        for qid, q, ids, x, parts in _batches(batches, shared.value, nodes):
+            least = cutoff.value[q.shape[1]]
+            margin = MARGIN * (1 + np.linalg.norm(q.astype(float), axis=1)[:, None] * np.linalg.norm(x.astype(float), axis=1)[None, :])
+            entries = sufficient(parts, ids[None, :] == qid[:, None], least, margin)
+            at, col, score = resolved(q, x, parts, entries, least, margin)
+            yield pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(ids[col]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    return rows.transform(in_batches, collect, "query_id long, vec_id long")
+    return rows.transform(in_batches, collect, "query_id long, vec_id long, score long")
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, nodes: int = NODES, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best candidates but itself; both tables are vectors() rows."""
-    spark = candidates.sparkSession
-    rows, asked = cut(candidates), cut(queries)
-    n = asked.count()
-    blocks = max(1, -(-n // block))
-    # ids in order, dealt to blocks by ranges, so a block is a filter on its ids
-    edges = sorted(asked.stat.approxQuantile("vec_id", [i / blocks for i in range(1, blocks)], 0.0)) if blocks > 1 else []
-    found = None
-    for low, high in zip([None, *edges], [*edges, None], strict=True):
-        within = asked.where((F.lit(True) if low is None else F.col("vec_id") > int(low)) & (F.lit(True) if high is None else F.col("vec_id") <= int(high)))
-        taken = within.dropDuplicates(["vec_id"]).toArrow().combine_chunks()
-        if not taken.num_rows:
-            continue
-        column, ids = taken["v"].combine_chunks(), taken["vec_id"].to_numpy()
-        held = {size: (ids[at], matrix) for size, (at, matrix) in _matrix(column).items()}
-        part = cut(_search(held, rows, k, nodes))
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long")
-    q = asked.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    exact = found.distinct().join(q, "query_id").join(rows, "vec_id").where(F.size("q") == F.size("v"))
-    exact = exact.select("query_id", "vec_id", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b).alias("score"))
-    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    rows = cut(candidates)
+    asked = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
+    blocks = -(-asked.count() // block)
+    found = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+    for i in range(blocks):
+        taken = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        if taken.num_rows:
+            ids = taken["vec_id"].to_numpy()
+            held = {size: (ids[at], matrix) for size, (at, matrix) in _matrix(taken["v"].combine_chunks()).items()}
+            found = found.union(cut(_search(held, rows, k, nodes)))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

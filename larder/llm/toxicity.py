@@ -12,7 +12,8 @@ bounded sample makes them a probability.
 
 Null and empty texts have no words and score the base rate of the model. Null labels, and labels of unknown
 documents, are not learned from; of several labels of a document the highest counts. Without both classes every score
-is the share of the one there is (0 without any). Texts are taken whole. Rows come out one for one.
+is the share of the one there is (0 without any). Texts are taken whole. Rows come out one for one, repeated ones too;
+columns other than doc_id and text of the documents, doc_id and toxic of the labels, are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,25 +108,26 @@ def restore(span: str, lm: np.ndarray) -> str:
     return b"".join(reversed(parts)).decode(errors="replace")
 
 
-def suspicious(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spans of a chunk to restore: words of letters and imitating signs or with doubled letters, letters set apart one by one, and groups of up to three letters.
+def suspicious(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of a chunk's spans to restore: words of letters and imitating signs or with doubled letters, letters set apart one by one, and groups of up to three letters.
 
     Of neighbouring groups those are one span that ``lm`` finds likelier joined than apart. A bigram model decides each
     gap by the letters beside it, so this is what a lattice over all gaps would find.
     """
+    none = np.zeros(0, np.int64)
     if len(part) < 3:
-        return []
+        return none, none
     letter, leet, apart = LETTER[part], _LEET[part], _APART[part]
     starts, ends = runs(letter | leet, bounds)
     if not len(starts):
-        return []
+        return none, none
     low = lower(part)
     hit = leet.copy()
     hit[:-1] |= letter[:-1] & (low[:-1] == low[1:]) & (part[:-1] < 128)
     seen = np.concatenate([[0], np.cumsum(hit)])
     letters = np.concatenate([[0], np.cumsum(letter)])
     take = (seen[ends] > seen[starts]) & (letters[ends] > letters[starts]) & (ends - starts > 1)
-    found = list(zip(starts[take].tolist(), ends[take].tolist(), strict=True))
+    found = [(starts[take], ends[take])]
     # groups with nothing but separators between
     chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
     size = chars[ends] - chars[starts]
@@ -140,20 +142,53 @@ def suspicious(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray | None = Non
     if lm is not None:
         last, first = _LIKE[low[ends[:-1] - 1]], _LIKE[low[starts[1:]]]
         group[:-1] &= lm[last, first] + DROP > lm[last, 32] + lm[32, first]
-    every = np.array([0, len(starts)])
+    every, total = np.array([0, len(starts)]), np.concatenate([[0], np.cumsum(size)])
     for joined, least in ((single, 3), (group, 4)):
-        for a, b in zip(*(x.tolist() for x in runs(joined, every)), strict=True):
-            n = size[a : b + 1]
-            if n.sum() >= least and letters[ends[b]] - letters[starts[a]] >= 2 and (least == 3 or n.max() > 1):
-                found.append((int(starts[a]), int(ends[b])))
-    return found
+        a, b = runs(joined, every)
+        if len(a):
+            widest = np.maximum.reduceat(size, np.stack([a, np.minimum(b + 1, len(size) - 1)], axis=1).ravel())[::2]
+            widest = np.maximum(widest, size[b])  # where the last group ends the chunk
+            take = (total[b + 1] - total[a] >= least) & (letters[ends[b]] - letters[starts[a]] >= 2) & ((least == 3) | (widest > 1))
+            found.append((starts[a[take]], ends[b[take]]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def _restored(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The restored words of a chunk as text with spaces between, one row for each of its rows."""
+def _restored(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray, cache: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The restored words of a chunk as texts with spaces between, and the offsets of its rows in them.
+
+    A lattice without signs has one state at every place, the letter before, so each separator and repeat is decided
+    alone and all such spans at once; the others are decoded one by one.
+    """
+    start, end = suspicious(part, bounds, lm)
+    if not len(start):
+        return
+    low = lower(part)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    row = np.searchsorted(bounds, start, "right") - 1
+    signs = np.concatenate([[0], np.cumsum(_LEET[part] | _twice(low))])
+    hard = signs[end] > signs[start]
+
+    gone = LETTER[part] & (part < 128) & (lm[low, low] < REPEAT)
+    gone[1:] &= low[1:] == low[:-1]
+    gone[bounds[:-1][bounds[:-1] < len(part)]] = False
+    gone |= _APART[part]
+    lost = np.concatenate([[0], np.cumsum(gone)])
+    plain = ~hard & (lost[end] > lost[start])
+    if plain.any():
+        a, size = start[plain], (end - start)[plain]
+        at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        text = np.where(gone[at], 0, low[at])
+        text = np.insert(text, np.cumsum(size), 32)  # a space after each span
+        left = text > 0
+        spans = np.bincount(row[plain], minlength=len(bounds) - 1)
+        spaced = np.concatenate([[0], np.cumsum(size + 1)])[np.concatenate([[0], np.cumsum(spans)])]
+        yield text[left].astype(np.uint8), np.concatenate([[0], np.cumsum(left)])[spaced]
+
     rows: list[list[bytes]] = [[] for _ in range(len(bounds) - 1)]
-    for a, b in suspicious(part, bounds, lm):
-        raw = lower(part[a:b]).tobytes()
+    flat = low.tobytes()
+    for a, b, of in zip(start[hard].tolist(), end[hard].tolist(), row[hard].tolist(), strict=True):
+        raw = flat[a:b]
         found = cache.get(raw)
         if found is None:
             found = restore(raw.decode(errors="replace"), lm).encode()
@@ -162,9 +197,22 @@ def _restored(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray, cache: dict)
                     cache.clear()
                 cache[raw] = found
         if found != raw:
-            rows[int(np.searchsorted(bounds, a, "right")) - 1].append(found)
+            rows[of].append(found)
     texts = [b" ".join(x) for x in rows]
-    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+    yield np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+
+
+def _twice(low: np.ndarray) -> np.ndarray:
+    """Where a character of several bytes follows its like."""
+    out = np.zeros(len(low), bool)
+    for lead, size in ((0xC0, 2), (0xE0, 3), (0xF0, 4)):
+        at = np.flatnonzero((low >= lead) & (low < lead + (32 if size == 2 else 16)))
+        at = at[at + 2 * size <= len(low)]
+        same = np.ones(len(at), bool)
+        for k in range(size):
+            same &= low[at + k] == low[at + size + k]
+        out[at[same] + size] = True
+    return out
 
 
 def _words(part: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,12 +226,8 @@ def _words(part: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _both(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """As _words, of the written and then the restored words."""
-    buckets, row = _words(part, bounds)
-    extra, at = _restored(part, bounds, lm, cache)
-    if len(extra):
-        more, where = _words(extra, at)
-        buckets, row = np.concatenate([buckets, more]), np.concatenate([row, where])
-    return buckets, row
+    found = [_words(part, bounds), *[_words(extra, at) for extra, at in _restored(part, bounds, lm, cache) if len(extra)]]
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 def word_odds(docs: DataFrame, lm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,13 +332,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     Odds for the sample's documents come from the other half of the labelled rows, so that rare words that
     one document alone makes look toxic do not mislead the regression.
     """
+    docs = docs.select(F.col("doc_id").alias("_doc"), "text")  # no other column can clash
     lm = bigrams(docs)
     half = (F.pmod(F.xxhash64("_id"), F.lit(2)) != 0).cast("int")
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marked = sized(marked.withColumn("half", half))
-    other, odds = word_odds(docs.join(marked, F.col("doc_id") == F.col("_id")).select("text", "toxic", "half"), lm)
+    other, odds = word_odds(docs.join(marked, F.col("_doc") == F.col("_id")).select("text", "toxic", "half"), lm)
     sample = marked.where("half = 0").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    fit = measured(docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "toxic"), ["toxic"], lm, other).toArrow()
+    fit = measured(docs.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("text", "toxic"), ["toxic"], lm, other).toArrow()
     x = np.array(fit["x"].to_pylist(), float).reshape(-1, 7)
     weights, bias = logistic(x, fit["toxic"].to_numpy().clip(0, 1).astype(float))
     return Model(lm, odds, weights, bias)

@@ -5,10 +5,11 @@ a block longer than ``SEGMENT`` goes on in continuation records. Spark's text wr
 line ends that WARC asks for, so the files are plain WARC.
 
 Reading: Spark's text reader cuts the (splittable) files where a record begins; chunk boundaries keep that separator
-out of the payloads. Segments are grouped by origin identifier, ordered by segment number, checked for gaps and
-against the total length, joined, and the chunked framing is decoded. A record that fails a check keeps its row, with
-``error`` set and no payload; records of archives written elsewhere that a separator in their payload cuts in two are
-found so. A task holds one record at a time beside its batch.
+out of the payloads. Records are told apart by their parsed fields. Segments are grouped by origin identifier, ordered
+by segment number, checked for gaps and against the total length, joined, and the chunked framing is decoded. A record
+that fails a check, or whose numbers cannot be read, keeps its row, with ``error`` set and no payload; so do records
+of archives written elsewhere that a separator in their payload cuts in two, and segments without an origin. A task
+holds one record at a time beside its batch.
 
 A null html is an empty payload. Rows that repeat a page_id are separate records. A null page_id is written as empty
 and read as null; it is never what a revisit refers to. Empty tables give no records. Other columns are not read.
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from uuid import uuid4
+from uuid import NAMESPACE_OID, uuid4, uuid5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,8 @@ SEGMENT, CHUNKED, LEAST = 32 << 10, 8 << 10, 100
 #: Fixed values of the format.
 VERSION, END = b"WARC/1.1\r\n", "\r\n\r\n"
 SEPARATOR = END.encode() + VERSION
-_HEX = re.compile(rb"[0-9A-Fa-f]+")
+_HEX = re.compile(rb"[0-9A-Fa-f]{1,15}")
+_WHOLE = re.compile(r"-?[0-9]{1,18}|-?[0-9]{19}")
 _RECORD = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
 
 
@@ -62,7 +64,7 @@ def unchunked(body: bytes) -> bytes:
     parts, at = [], 0
     while True:
         end = body.index(b"\r\n", at)
-        digits = body[at:end].split(b";")[0]
+        digits = body[at:end].split(b";")[0].strip(b" \t")
         if not _HEX.fullmatch(digits):
             raise ValueError("broken chunk size")
         size = int(digits, 16)
@@ -75,12 +77,23 @@ def unchunked(body: bytes) -> bytes:
         at += 2
 
 
+def record_id(page_id: int, digest: str) -> str:
+    """The identifier of a page's response with that payload, so that a revisit can name it without a look-up; equal rows have equal ones."""
+    return f"<urn:uuid:{uuid5(NAMESPACE_OID, f'{page_id} {digest}')}>"
+
+
+def number(text: str | None) -> int | None:
+    """A 64-bit whole number, or None."""
+    value = int(text) if text and _WHOLE.fullmatch(text) else None
+    return value if value is not None and -(1 << 63) <= value < 1 << 63 else None
+
+
 def records(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
     """The WARC records of a page, each without the line ends that close it."""
     payload = (html or "").encode()
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block = head + b"\r\n" if refers_to is not None else head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
-    first = f"<urn:uuid:{uuid4()}>"
+    first = f"<urn:uuid:{uuid4()}>" if page_id is None or refers_to is not None or len(payload) < LEAST else record_id(page_id, "sha256:" + hashlib.sha256(payload).hexdigest())
     uri = "".join(c for c in url or "" if c not in "\r\n")
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     for k, part in enumerate(parts, 1):
@@ -88,7 +101,7 @@ def records(page_id: int | None, url: str | None, html: str | None, refers_to: i
         if k == 1:
             fields |= {"WARC-Page-ID": "" if page_id is None else str(page_id), "WARC-Payload-Digest": "sha256:" + hashlib.sha256(payload).hexdigest(), "Content-Type": "application/http; msgtype=response"}
             if refers_to is not None:
-                fields["WARC-Refers-To"] = f"<urn:page:{refers_to}>"
+                fields |= {"WARC-Refers-To": record_id(refers_to, fields["WARC-Payload-Digest"]), "WARC-Refers-To-Page": str(refers_to)}
         if len(parts) > 1:
             fields["WARC-Segment-Number"] = str(k)
             if k > 1:
@@ -116,18 +129,16 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, str | None]:
     """Header fields, block, and what is wrong with a record's bytes."""
     head, _, rest = raw.removeprefix(VERSION).partition(END.encode())
     fields = {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in head.decode(errors="replace").split("\r\n")) if a}
-    size = fields.get("content-length", "")
-    if not size.isdecimal():
+    size = number(fields.get("content-length"))
+    if size is None or size < 0:
         return fields, b"", "no length"
-    block = rest[: int(size)]
-    return fields, block, None if len(block) == int(size) and not rest[int(size) :].strip(b"\r\n") else "length differs"
+    return fields, rest[:size], None if len(rest) >= size and not rest[size:].strip(b"\r\n") else "length differs"
 
 
 def _row(fields: dict[str, str], block: bytes, error: str | None, payloads: bool) -> tuple:
     """A row of _RECORD from a whole block."""
-    number = lambda x: int(x) if x.lstrip("-").isdecimal() else None
-    refers = number(fields.get("warc-refers-to", "").removeprefix("<urn:page:").rstrip(">"))
-    page, kind = number(fields.get("warc-page-id", "")), fields.get("warc-type")
+    refers, page, kind = number(fields.get("warc-refers-to-page")), number(fields.get("warc-page-id")), fields.get("warc-type")
+    error = error or next((f"{name} is no number" for name in ("warc-page-id", "warc-refers-to-page") if fields.get(name) and number(fields[name]) is None), None)
     declared = fields.get("warc-payload-digest", "").removeprefix("sha256:")
     if error or kind == "revisit":
         return page, kind, refers, None, declared, None, error
@@ -149,6 +160,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row of _RECORD for every response and revisit under ``path``, segments joined; payload is null if not asked for."""
     raw = spark.read.option("lineSep", SEPARATOR.decode()).text(path)
     raw = raw.where(F.length("value") > 0)
+    # a cheap test in the JVM; whether the record is a segment, its parsed fields say
     in_parts = F.contains(F.lower(F.substring_index("value", END, 1)), F.lit("warc-segment-number:"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,32 +173,41 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
             origin, segment = [], []
             for x in batch.column(0):
                 fields = parse(x.as_py())[0]
-                number = fields["warc-segment-number"]
-                origin.append(fields.get("warc-segment-origin-id") or fields.get("warc-record-id"))
-                segment.append(int(number) if number.isdecimal() else -1)
+                part = "warc-segment-number" in fields
+                segment.append((number(fields["warc-segment-number"]) or -1) if part else None)  # null: a whole record
+                origin.append(fields.get("warc-segment-origin-id") or fields.get("warc-record-id") or f"<{uuid4()}>" if part else f"<{uuid4()}>")
             yield pa.RecordBatch.from_arrays([pa.array(origin, pa.string()), pa.array(segment, pa.int64()), batch.column(0).cast(pa.binary())], names=["origin", "segment", "value"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        origin, held, fields, wrong, total = None, [], {}, None, None
+        origin, held, copies, fields, wrong, total = None, [], [], {}, None, None
 
-        def done() -> tuple:
+        def done() -> pa.RecordBatch:
             block = b"".join(held)
-            bad = wrong or ("no first segment" if fields.get("warc-segment-number") != "1" else "no last segment" if total is None else "total length differs" if total != str(len(block)) else None)
-            return _row(fields, block, bad, payloads)
+            bad = wrong or ("no first segment" if number(fields.get("warc-segment-number")) != 1 else "no last segment" if total is None else "total length differs" if number(total) != len(block) else None)
+            if min(copies) < max(copies):
+                bad, copies[:] = bad or "a segment is repeated", [1]
+            return _table([_row(fields, block, bad, payloads)] * copies[0])
 
         for batch in batches:
             for name, segment, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if segment is None:
+                    yield _table([_row(*parse(raw), payloads)])
+                    continue
                 if name != origin or not held:
                     if held:
-                        yield _table([done()])
-                    origin, held, fields, wrong, total = name, [], {}, None, None
+                        yield done()
+                    origin, held, copies, fields, wrong, total = name, [], [], {}, None, None
                 now, block, error = parse(raw)
+                if held and segment == len(held) and block == held[-1]:  # a record that is there again, all of its segments
+                    copies[-1] += 1
+                    continue
                 wrong = wrong or error or (None if segment == len(held) + 1 else f"segment {len(held) + 1} is missing or repeated")
                 fields = fields or now
                 total = now.get("warc-segment-total-length", total)
                 held.append(block)
+                copies.append(1)
         if held:
-            yield _table([done()])
+            yield done()
 
     binary = F.col("value").cast("binary").alias("value")
     parts = raw.where(in_parts).select(binary).transform(in_batches, keyed, "origin string, segment long, value binary")

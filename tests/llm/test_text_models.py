@@ -1,12 +1,15 @@
 """Language, quality and toxicity models: held-out results, brute-force versions, edges."""
 
 import math
+import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import langid, quality, toxicity
+from larder.llm import common, langid, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, "12 !! ..."), (4, "x"), (5, "the " * 40_000), (6, "\u0000� 中文"), (1, None)]
@@ -121,6 +124,70 @@ def test_language_edges(spark):
     assert kept.count() >= 0.98 * docs.count()
 
 
+@pytest.mark.parametrize("text", ["\u20ac \u2014 123", "\u201c\u2026\u201d", "\u0661\u0662\u0663", "\U0001f600 42", "\u00a0\u00a0", "\u0301", "\u2460\u00bd"])
+def test_texts_without_a_letter(text):
+    model = langid.Model(["a", "b"], np.full((langid.BUCKETS, 2), -11.0, np.float32))
+    assert langid.judged(model, pa.array([text]))[0] == ["und"]
+    assert langid.judged(model, pa.array([text + " \u65e5"]))[0] == ["a"]
+
+
+def test_language_of_long_texts_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = langid.Model(list("abcd"), np.log(rng.dirichlet(np.ones(langid.BUCKETS) * 0.3, 4).T + 1e-9).astype(np.float32))
+    words = ["".join(rng.choice(list("abcdefgh\u00e9"), int(n))) for n in rng.integers(2, 9, 500)]
+    texts = pa.array([" ".join(rng.choice(words, int(n))) for n in rng.integers(1, 2000, 20)] + ["", None, "1 2", "x" * 5000])
+    whole = langid.judged(model, texts)
+    monkeypatch.setattr(langid, "parts", lambda data, offsets, limit=0: common.parts(data, offsets, 1500))
+    cut = langid.judged(model, texts)
+    assert whole[0][:-1] == cut[0][:-1]
+    assert whole[2][:-1] == cut[2][:-1]
+    assert np.allclose(whole[1][:-1], cut[1][:-1], atol=1e-5)
+    assert np.allclose(whole[4][:-1], cut[4][:-1], atol=1e-5)
+
+
+def test_language_query_against_brute_force(spark):
+    """The query's own learning, word likelihoods and mixtures, by dictionaries and loops."""
+    from collections import Counter
+    from zlib import crc32
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    words = lambda t: re.findall(r"[^\W\d_]+", t or "")
+
+    def grams(word):
+        raw = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" and c != "\u00d7" else c for c in word).encode()
+        padded = b" " + raw + b" \x00"
+        for k in range(len(raw)):
+            code = int.from_bytes(padded[k : k + 4], "little")
+            yield (code * 2654435761 & 0xFFFFFFFF) >> 16
+
+    seen = {}
+    for d in docs:
+        if crc32(str(d["doc_id"]).encode()) % 4 != 2 and d["lang"] is not None:
+            seen.setdefault(d["lang"], Counter()).update(g for w in words(d["text"]) for g in grams(w))
+    langs = sorted(seen)
+    total = {x: sum(seen[x].values()) for x in langs}
+    logp = lambda x, g: math.log((seen[x][g] + 0.5) / (total[x] + 0.5 * 65536))
+    got = {r["doc_id"]: r for r in langid.query(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for d in docs[::12]:
+        each = [[sum(logp(x, g) for g in grams(w)) for x in langs] for w in words(d["text"])]
+        r = got[d["doc_id"]]
+        assert r["held_out"] == (crc32(str(d["doc_id"]).encode()) % 4 == 2)
+        if not each:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        alone = [sum(w[k] for w in each) for k in range(len(langs))]
+        share = [1 / len(langs)] * len(langs)
+        for _ in range(40):
+            now = [0.0] * len(langs)
+            for w in each:
+                part = [s * math.exp(v - max(w)) for s, v in zip(share, w, strict=True)]
+                now = [a + b / sum(part) / len(each) for a, b in zip(now, part, strict=True)]
+            share = now
+        # one language, or the main one of the full mixture where the penalty allows more
+        assert r["lang_pred"] in {langs[alone.index(max(alone))], langs[share.index(max(share))]}
+
+
 def test_quality_held_out(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = quality.query(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out").toPandas()
@@ -163,6 +230,35 @@ def test_quality_score_against_loops(spark):
         assert e == pytest.approx(sum(tails))
 
 
+def test_quality_query_against_loops(spark):
+    """Which ratings are learned from, and every row's grade, expectation and tail, by loops."""
+    from zlib import crc32
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rated = {r["doc_id"]: r["grade"] for r in quality.ratings(labels).collect()}
+    for r in labels.collect():
+        kept = crc32(str(r["doc_id"]).encode()) % 5 != 0
+        assert (r["doc_id"] in rated) == kept
+        if kept:
+            assert rated[r["doc_id"]] == (0 if r["quality"] == 0 else 1 if r["toxic"] == 1 else 2)
+    model = quality.learn(spark.read.parquet(f"{SF}/documents.parquet"), quality.ratings(labels))
+    assert len(model.grades) == len(model.cuts) + 1
+    assert (np.diff(model.cuts) > 0).all()
+    got = {r["doc_id"]: r for r in quality.query(spark, SF).collect()}
+    assert set(got) == set(docs)
+    for d, text in docs.items():
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        grams, (shapes, _) = quality._buckets(raw), quality._shapes(raw, np.array([0, len(raw)]))
+        z = sum(float(model.weights[b]) for b in grams) / (len(grams) + 100) + sum(float(model.weights[b]) for b in shapes) / (len(shapes) + 20)
+        tail = [1.0, *[1 / (1 + math.exp(c - z)) for c in model.cuts], 0.0]
+        each = [a - b for a, b in zip(tail[:-1], tail[1:], strict=True)]
+        r = got[d]
+        assert abs(r["tail_prob"] - tail[1]) < 1e-6
+        assert abs(r["expected_grade"] - sum(p * g for p, g in zip(each, model.grades, strict=True))) < 1e-6
+        assert r["selected"] == (r["tail_prob"] >= 0.5)
+
+
 def test_quality_edges(spark):
     docs = odd(spark)
     ratings = spark.createDataFrame([(1, 0), (4, 2), (5, None), (None, 1), (99, 1), (4, 1)], "doc_id long, grade int")
@@ -207,7 +303,7 @@ def test_restore_of_a_long_span():
 
 def test_suspicious_spans():
     raw = np.frombuffer("plain word*** a1b 2024 3d i d i o t losssser A | B x".encode(), np.uint8)
-    found = {raw[a:b].tobytes().decode() for a, b in toxicity.suspicious(raw, np.array([0, len(raw)]))}
+    found = {raw[a:b].tobytes().decode() for a, b in zip(*toxicity.suspicious(raw, np.array([0, len(raw)])), strict=True)}
     assert {"a1b", "i d i o t", "losssser"} <= found
     assert not found & {"plain", "word", "2024"}
 
@@ -216,7 +312,7 @@ def test_suspicious_spans():
 def test_obfuscated_spans_reach_the_decoder(spark, written):
     lm = toxicity.bigrams(spark.createDataFrame([("idiot shit hate dumbass you are an such",)] * 3, "text string"))
     raw = np.frombuffer(f"plainly, {written}, largely".encode(), np.uint8)
-    found = {raw[a:b].tobytes().decode() for a, b in toxicity.suspicious(raw, np.array([0, len(raw)]), lm)}
+    found = {raw[a:b].tobytes().decode() for a, b in zip(*toxicity.suspicious(raw, np.array([0, len(raw)]), lm), strict=True)}
     assert found == {written}
     meant = {"shi7": "shit", "hat3": "hate", "dumb4$$": "dumbas", "5h17": "shit", "i d \u00ef o t": "id\u00efot"}.get(written, "idiot")
     assert toxicity.restore(written, lm) == meant
@@ -240,6 +336,75 @@ def test_toxicity_held_out_and_planted(spark):
     assert (rows[truth[truth == 0].index] < 0.5).mean() > 0.98
 
 
+def test_restored_spans_against_one_by_one(spark):
+    lm = toxicity.bigrams(spark.read.parquet(f"{SF}/documents.parquet"))
+    rng = random.Random(3)
+    pieces = ["elle", "th\u00e9\u00e9e", "a b  c", "d.u.m.b", "sh1t", "wow!!", "id io t", "\u65e5\u65e5", "of of", "x", "coooool", "y0u", "A  B", "b$$", "\u00c9\u00e9a"]
+    texts = [" ".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(60)]
+    data, offsets = common.packed(pa.array(texts))
+    want = [[] for _ in texts]
+    for a, b in zip(*toxicity.suspicious(data, offsets, lm), strict=True):
+        raw = common.lower(data[a:b]).tobytes()
+        found = toxicity.restore(raw.decode(errors="replace"), lm).encode()
+        if found != raw:
+            want[int(np.searchsorted(offsets, a, "right")) - 1] += found.split()
+    got = [[] for _ in texts]
+    for text, at in toxicity._restored(data, offsets, lm, {}):
+        for k in range(len(texts)):
+            got[k] += text.tobytes()[at[k] : at[k + 1]].split()
+    assert [sorted(x) for x in got] == [sorted(x) for x in want]
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """Word odds, features and the logistic score of the query, by dictionaries and loops over the restored texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.learn(docs, labels.where(~langid.held_out(5, 0)).select("doc_id", "toxic"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.where(~langid.held_out(5, 0)).where("toxic is not null and doc_id is not null").collect()}
+
+    def buckets(text):
+        data, offsets = common.packed(pa.array([text]))
+        found = [toxicity.restore(common.lower(data[a:b]).tobytes().decode(errors="replace"), model.lm) for a, b in zip(*toxicity.suspicious(data, offsets, model.lm), strict=True)]
+        raw = [common.lower(data[a:b]).tobytes().decode(errors="replace") for a, b in zip(*toxicity.suspicious(data, offsets, model.lm), strict=True)]
+        rows = [toxicity._words(*common.packed(pa.array([x])))[0] for x in [text, *[f for f, r in zip(found, raw, strict=True) if f != r]]]
+        return np.concatenate(rows)
+
+    all_buckets = {d: buckets(t) for d, t in texts.items()}
+    n = np.zeros((2, toxicity.BUCKETS))
+    size = [0, 0]
+    for d, y in known.items():
+        if d in texts:
+            size[y] += 1
+            for b in set(all_buckets[d].ravel().tolist()):
+                n[y, b] += 1
+    value = np.log((n[1] + 0.02) / (size[1] + 1)) - np.log((n[0] + 0.5) / (size[0] + 1))
+    odds = np.where(n[1] > 1, np.maximum(value, 0), 0)
+    assert np.allclose(odds, model.odds, atol=1e-5)
+    got = {r["doc_id"]: r for r in toxicity.query(spark, SF).collect()}
+    assert set(got) == set(texts)
+    for d, b in all_buckets.items():
+        best = sorted((odds[row].max() for row in b), reverse=True)
+        over = lambda t, best=best: sum(v > t for v in best)
+        top = (best + [0.0, 0.0])[:2]
+        x = [*top, *[math.log1p(over(t)) for t in (1, 2, 3)], math.log1p(1000 * over(2) / max(1, len(best))), math.log1p(len(best)) / 10]
+        score = 1 / (1 + math.exp(-sum(a * w for a, w in zip(x, model.weights, strict=True)) - model.bias))
+        assert abs(got[d]["score"] - score) < 1e-3, d
+        assert got[d]["predicted"] == (got[d]["score"] >= 0.5)
+
+
+def test_clashing_columns(spark):
+    clash = {x: F.lit(7) for x in ("toxic", "half", "_id", "_doc", "y", "x", "at", "share", "grade", "_gone", "key", "node", "root", "score", "count")}
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    more = docs.withColumns(clash)
+    wide = labels.withColumns({x: v for x, v in clash.items() if x != "toxic"} | {"text": F.lit("t")})
+    assert toxicity.scored(more, wide).count() == docs.count()
+    assert quality.rated(more, wide).count() == docs.count()
+    assert langid.identified(more).count() == docs.count()
+    assert quality.kept(more, wide).columns == more.columns
+    assert langid.kept(more).columns == more.columns
+
+
 def test_toxicity_edges(spark):
     docs = odd(spark)
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, None), (None, 1), (77, 1)], "doc_id long, toxic int")

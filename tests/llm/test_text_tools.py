@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import re
+import time
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -9,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larder.llm import bpe, decontaminate, html, tokencounts, warc
+from larder.llm import bpe, decontaminate, html, simhash, tokencounts, warc
 from larder.llm.queries import ORACLES, QUERIES
 
 from ..oracle import SF, same
@@ -33,14 +36,37 @@ def test_rollup(spark, tmp_path):
     r.commit("b4", tokencounts.inserted(rows.where("false")))
     assert r.committed("b4")
     assert total()[("s", "en", "words/1")] == (2, 20)
-    # an attempt that did not finish is written anew
-    (tmp_path / "r/batch=b5").mkdir()
+    # an attempt that did not finish is in no total, and is written anew
+    tokencounts.inserted(rows).withColumn("changed", F.array(F.lit("b5"))).write.parquet(str(tmp_path / "r/_writing-lost"))
+    assert not r.committed("b5")
+    assert total()[("s", "en", "words/1")] == (2, 20)
+    # of two writers that both saw the batch open, one commits
+    other = tokencounts.Rollup(spark, str(tmp_path / "r"))
+    other.committed = lambda batch: False
     assert r.commit("b5", tokencounts.inserted(rows.where("doc_id = 1")))
+    assert not other.commit("b5", tokencounts.inserted(rows.where("doc_id = 1")))
     assert total()[("s", "en", "words/1")] == (3, 23)
+    # compaction changes no total and forgets no identifier
+    before = sorted(map(tuple, r.totals().collect()), key=repr)
+    assert r.compact()
+    assert sorted(map(tuple, r.totals().collect()), key=repr) == before
+    assert not r.commit("b1", tokencounts.inserted(rows))
+    assert r.commit("b6", tokencounts.inserted(rows.where("doc_id = 1")))
+    assert r.compact()
+    assert total()[("s", "en", "words/1")] == (4, 26)
+    assert {x["n_batches"] for x in r.totals().where("lang = 'en'").collect()} == {5}
     with pytest.raises(ValueError, match="identifier"):
         r.commit("a/b", rows)
 
 
+def test_bpe_as_a_tokenizer_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    want = {r["doc_id"]: r["n_tokens"] for r in bpe.digests(docs).collect()}
+    rows = tokencounts.bpe_counts(docs).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == want
+    assert {r["tokenizer"] for r in rows} == {"bpe/byte_bpe_multi_50k"}
+
+
 class Visible(HTMLParser):
     """All text but that of head, scripts and styles."""
 
@@ -95,6 +121,43 @@ def test_html_deep_and_long():
     assert len(html.text_of("<p>word " * 50_000).split()) == 50_000
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<style>@media print{.a{display:none}} @media (max-width: 9px){.b{display:none}} @media screen{.c{display:none}} /* .d{display:none} */</style><p class=a>A<p class=b>B<p class=c>C<p class=d>D", "A\n\nB\n\nD"),
+    ("<div>" * 160 + "<p hidden>secret</p><p>open</p>y", "open\ny"), ("<div>" * 160 + "<p class=z>secret</p>open<style>.z{display:none}</style>", "open"),
+    ("<table><tr><td colspan=" + "9" * 5000 + ">a<td>b<tr><td>c</table>", "a  b\nc"),
+    ("<table><tr><th>Name<th>Qty<tr><td rowspan=2>Apple<td>1<tr><td>22<tr><td>Z<td>3</table>", "Name   Qty\nApple  1\n       22\nZ      3"),
+    ("<ul><li>x<li>y<ol start=3><li>1<li>2</ol></ul>z", "- x\n- y\n  3. 1\n  4. 2\n\nz"), ("3 < 4 > 2 </3> <a", "3 < 4 > 2 </3> <a"), ("<i title='a>b' x=>c>d</i>", "c>d"),
+    ("<table><tr><td>" + "w" * 300 + "<td>x<tr><td>a<td>b</table>", "w" * 300 + "  x\na  b"), ("<p>a<table><tr><td>b</table>c", "a\n\nb\n\nc"),
+])
+def test_html_rules(page, text):
+    assert html.text_of(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<a" * 100_000, "<a =\"" * 50_000, "<!--" * 50_000, "</3>" * 50_000, "<div>" * 50_000, "<p><table><tr><td>" + "<div>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000,
+    "<style>" + "x" * 500_000, "<style>" + "a{" * 100_000 + "</style>", "<table>" + "<tr><td>" + "w" * 5000 + "<tr><td>x<td>y" * 10_000, "<table>" + "<tr><td colspan=1000>x<td>y" * 10_000,
+    "<pre>" + " " * 500_000 + "x", "<table><tr>" + "<td rowspan=60000>z" * 10_000 + "<tr><td>1" * 10_000, "<table>" * 2000, "<x " + "a" * 200_000 + " " * 200_000 + ">",
+])
+def test_html_takes_time_in_proportion(page):
+    began = time.process_time()
+    text = html.text_of(page)
+    assert time.process_time() - began < 5
+    assert len(text) <= 2 * len(page) + 1000
+
+
+def test_html_query_row_by_row(spark):
+    """The query's text of every given page has the words that the page shows, in order, and its tables' cells on their rows' lines."""
+    for row in html.query(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        seen = Visible()
+        seen.feed(row["html"] or "")
+        flat = lambda t: re.sub(r"\W+", "", t)
+        assert flat(re.sub(r"(?m)^ *\d+\. ", "", row["text"])) == flat(re.sub(r"(?m)^ *\d+\. ", "", "".join(seen.out)))
+        for cells in re.findall(r"<tr>(.*?)</tr>", row["html"] or "", re.S):
+            words = [flat(re.sub("<[^>]*>", "", unescape(c))) for c in re.findall(r"<t[dh][^>]*>(.*?)</t[dh]>", cells, re.S)]
+            if words and "<table" not in cells:
+                assert any(flat(line) == "".join(words) for line in row["text"].split("\n")), cells
+
+
 ITEM = "If Mary has 3 apples and John gives Mary 4 kg more, how many apples does Mary have now in the end?"
 FILL = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. "
 
@@ -127,6 +190,15 @@ def test_leaks_against_brute_force(spark):
         assert any(" ".join(words[k : k + 12]) in flat(docs[d]) for k in range(max(1, len(words) - 11)))
 
 
+def test_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, FILL + ITEM, 1), (None, FILL, 2), (None, None, 3), (4, FILL + ITEM, 4), (5, FILL, 5)], "doc_id long, text string, _gone int").withColumn("_key", F.lit(1))
+    bench = spark.createDataFrame([(9, ITEM, 0)], "item_id long, text string, doc_id int")
+    left = decontaminate.cleaned(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(r["_gone"] for r in left.collect()) == [2, 3, 5]
+    assert sorted(r["_gone"] for r in simhash.deduplicated(docs).collect()) == [1, 2, 3, 4, 5]
+
+
 def test_short_items(spark):
     docs = spark.createDataFrame([(1, "we saw blue frogs dance again"), (2, "blue frogs"), (3, "saw blue frogs dance")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "saw blue frogs dance")], "item_id long, text string")
@@ -233,6 +305,35 @@ def test_warc_broken_segments(spark, tmp_path):
     assert got[None][0] == "length differs"
 
 
+def test_warc_odd_records(spark, tmp_path):
+    """Nothing in an archive stops the job: what cannot be read is a row with an error."""
+    huge = "9" * 5000
+    head = "WARC/1.1\r\nWARC-Type: response\r\n"
+    odd = [
+        *warc.records(1, "http://x/?warc-segment-number: 7", "p" * 200, None), head + f"Content-Length: {huge}\r\n\r\nx", head + f"WARC-Page-ID: {huge}\r\nContent-Length: 1\r\n\r\nx", head + f"WARC-Page-ID: {'8' * 30}\r\nContent-Length: 1\r\n\r\nx",
+        head + "WARC-Page-ID: --5\r\nContent-Length: 1\r\n\r\nx", head + "WARC-Segment-Number: x\r\nContent-Length: 1\r\n\r\nx", head + f"WARC-Segment-Number: {huge}\r\nWARC-Record-ID: <a>\r\nContent-Length: 1\r\n\r\nx",
+        head + "WARC-Page-ID: 3\r\nContent-Length: 53\r\n\r\nHTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + "f" * 4 + "\r\n", head + "WARC-Page-ID: -4\r\nContent-Length: 0\r\n\r\n",
+    ]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc").write_bytes(b"".join((x if isinstance(x, bytes) else x.encode()) + b"\r\n\r\n" for x in odd))
+    rows = warc.read(spark, str(tmp_path / "w")).collect()
+    assert len(rows) == len(odd)
+    good = {r["page_id"]: r["payload_bytes"] for r in rows if r["error"] is None}
+    assert good == {1: 200, -4: 0}
+    assert {r["error"] for r in rows if r["error"]} >= {"no length", "warc-page-id is no number", "broken chunks"}
+
+
+def test_warc_repeated_and_referred(spark, tmp_path):
+    long = "z" * 100_000
+    pages = spark.createDataFrame([(7, "u", long), (7, "u", long), (8, "v", long), (9, "w", "short"), (9, "w", "short")], "page_id long, url string, html string")
+    warc.write(warc.typed(pages), str(tmp_path / "w"))
+    rows = warc.resolved(warc.read(spark, str(tmp_path / "w"))).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["error"]) for r in rows) == [(7, "response", None, 100_000, None)] * 2 + [(8, "revisit", 7, 100_000, None)] + [(9, "response", None, 5, None)] * 2
+    raw = b"".join(f.read_bytes() for f in (tmp_path / "w").glob("part-*"))
+    referred = re.search(rb"WARC-Refers-To: (\S+)", raw).group(1)
+    assert raw.count(b"WARC-Record-ID: " + referred) == 2
+
+
 @pytest.mark.parametrize("payload", [b"", b"a", b"x" * 8192, b"y" * 8193, warc.SEPARATOR * 3])
 def test_chunks(payload):
     framed = warc.chunked(payload)
