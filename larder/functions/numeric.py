@@ -105,3 +105,9 @@ def media_facts(c: str | Column) -> Column:
 
 
 __all__ = ["cosine", "dot", "duration_tag", "first_positive", "geometry_tags", "hamming", "host_of", "l2", "lookup", "media_facts", "norm", "quantity", "rendition", "shape", "to_db"]
+
+
+def write_stamp(at: Column | None = None) -> Column:
+    """A moment (a UTC timestamp without zone; none: now, the same for a whole query) as text in UTC with microseconds."""
+    moment = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz") if at is None else at
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -182,7 +182,8 @@ def safe_relative(c: str | Column) -> Column:
     text = F.regexp_replace(_col(c), r"\\", "/")
     text = F.regexp_replace(text, r"^(/+|[A-Za-z]:(/+|$))+", "")
     parts = F.filter(F.split(text, "/"), lambda x: (x != "") & (x != ".") & (x != ".."))
-    # a drive may come to the front once dots are gone
-    parts = F.filter(F.transform(parts, lambda x, i: F.when((i == 0) & x.rlike("^[A-Za-z]:$"), F.lit("")).otherwise(x)), lambda x: x != "")
+    # drives may come to the front once dots are gone
+    drive = lambda x: x.rlike("^[A-Za-z]:$")
+    parts = F.filter(parts, lambda x, i: ~(drive(x) & F.forall(F.slice(parts, F.lit(1), i + 1), drive)))
     cleaned = F.array_join(F.transform(parts, lambda x: F.coalesce(F.nullif(F.regexp_replace(x, r"^\.+", ""), F.lit("")), F.lit("_"))), "/")
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("upload"))

@@ -169,15 +169,22 @@ def saved_searches(terms: DataFrame, catalog) -> DataFrame:
     plain term has a fact and no negated one has.
     """
     t = terms.select("query_id", "field", "op", "negated", F.when(F.col("field") == "tag", canonical("value")).otherwise(F.col("value")).alias("value"), quantity("value").alias("want"))
+    rows = facts(catalog)
+    # texts meet the terms with their field and value in an equi-join; numbers meet the comparisons of their field
+    named = rows.where("text is not null").select("id", "field", F.col("text").alias("value")).join(t.where("field in ('kind', 'tag')"), ["field", "value"])
     number = F.when(F.col("op") == ">=", F.col("number") >= F.col("want")).when(F.col("op") == "<=", F.col("number") <= F.col("want")).when(F.col("op") == ">", F.col("number") > F.col("want")).when(F.col("op") == "<", F.col("number") < F.col("want")).otherwise(F.col("number") == F.col("want"))
-    holds = F.when(F.col("text").isNotNull(), F.col("text") == F.col("value")).otherwise(number)
-    met = facts(catalog).join(t, "field").where(holds).groupBy("query_id", "id").agg(F.countDistinct(F.when(~F.col("negated"), F.struct("field", "op", "value"))).alias("met"), F.max("negated").alias("against"))
+    measured = rows.where("text is null").select("id", "field", "number").join(t.where("field not in ('kind', 'tag')"), "field").where(number)
+    columns = ["query_id", "id", "field", "op", "value", "negated"]
+    met = named.select(*columns).union(measured.select(*columns)).groupBy("query_id", "id").agg(F.countDistinct(F.when(~F.col("negated"), F.struct("field", "op", "value"))).alias("met"), F.max("negated").alias("against"))
     wanted = t.groupBy("query_id").agg(F.countDistinct(F.when(~F.col("negated"), F.struct("field", "op", "value"))).alias("n"))
     plain = met.join(wanted, "query_id").where("n > 0 and met = n and not against").select("query_id", "id")
-    # queries of negated terms only: every item but those that meet one
+    # queries of negated terms only: each item once, with all of them but those it meets
     only = wanted.where("n = 0").select("query_id")
-    rest = only.join(catalog.asset.select("id")).join(met.where("against").select("query_id", "id"), ["query_id", "id"], "left_anti")
-    return plain.union(rest.select("query_id", "id"))
+    against = met.where("against").join(only, "query_id", "left_semi").groupBy("id").agg(F.collect_set("query_id").alias("_no"))
+    every = only.agg(F.collect_set("query_id").alias("_all"))  # one row: the saved searches of that kind
+    left = catalog.asset.select("id").join(against, "id", "left").join(F.broadcast(every))
+    rest = left.select(F.explode(F.array_except("_all", F.coalesce("_no", F.array().cast("array<bigint>")))).alias("query_id"), "id")
+    return plain.union(rest)
 
 
 def detail(catalog, ids: DataFrame | None = None) -> DataFrame:

@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cosine, hamming
-from .joins import score_all
+from ..functions.numeric import hamming
+from ..sources.shared import settled
+from .aggregates import pivot_attrs
+from .joins import nearest, score_all
+
+#: Rows that one task numbers.
+ONE_TASK = 200_000
+
+
+def sort_keys(by: str) -> list[Column]:
+    """The order of items by added, updated, name (case aside), size (largest location; a column max_size) or relevance (a column score)."""
+    keys = {"added": F.desc("added_at"), "updated": F.desc("updated_at"), "name": F.asc(F.lower("title")), "size": F.desc_nulls_last("max_size"), "relevance": F.asc_nulls_last("score")}
+    return [keys[by], F.asc("id")]
 
 
 def order(items: DataFrame, by: str = "added") -> DataFrame:
-    """Items by added, updated, name (case aside), size (largest location; a column max_size) or relevance (a column score)."""
-    keys = {"added": [F.desc("added_at")], "updated": [F.desc("updated_at")], "name": [F.lower("title")], "size": [F.desc_nulls_last("max_size")], "relevance": [F.asc("score")]}
-    return items.orderBy(*keys[by], "id")
+    """Items in the order of ``sort_keys``."""
+    return items.orderBy(*sort_keys(by))
+
+
+def placed(rows: DataFrame, *keys: Column, name: str = "rank") -> DataFrame:
+    """Rows with their place in a whole order, from 1; the keys must leave no ties.
+
+    More rows than ONE_TASK are ranged by Spark over as many parts as they need, each sorted by itself; a place is the
+    one within the part raised by the sizes of the parts before, one number a part. Ties of a first key are parted by
+    the keys that follow, so no value has a task to itself.
+    """
+    rows = settled(rows)
+    parts = -(-rows.count() // ONE_TASK)
+    if parts <= 1:
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
+    ranged = settled(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)  # the id's upper bits number the part, its lower ones the row within
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    out = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")  # a row for each part
+    return out.select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint").alias(name))
 
 
 def with_size(items: DataFrame, location: DataFrame) -> DataFrame:
@@ -30,6 +57,15 @@ def primary_location(location: DataFrame, present_only: bool = False) -> DataFra
     return rows.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
+def decorate(items: DataFrame, catalog, keys: list[str]) -> DataFrame:
+    """Items, as of a page, with some attributes as columns, the path and presence of their primary location, and their largest size."""
+    ids = items.select(F.col("id").alias("asset_id"))
+    location = catalog.location.join(ids, "asset_id", "left_semi")
+    place = primary_location(location).select(F.col("asset_id").alias("id"), "abs_path", "present")
+    wide = pivot_attrs(catalog.attribute.join(ids, "asset_id", "left_semi"), keys).withColumnRenamed("asset_id", "id")
+    return with_size(items, location).join(place, "id", "left").join(wide, "id", "left")
+
+
 def page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return rows.offset(offset).limit(limit)
 
@@ -40,13 +76,13 @@ def best(scored: DataFrame, k: int, keys: list[Column], by: str = "query_id") ->
     return scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
 
-def top_k(queries: DataFrame, library: DataFrame, k: int = 60, floor: float = 0.0, score: Callable[[str, str], Column] = cosine) -> DataFrame:
-    """query_id, id, score, rank of the k nearest library rows (id, v) of each query (query_id, q) but itself.
+def top_k(queries: DataFrame, library: DataFrame, k: int = 60, floor: float = 0.0) -> DataFrame:
+    """query_id, id, score, rank of the k library rows (id, v) nearest by cosine to each query (query_id, q) but itself.
 
-    The floor is applied after the k best are taken. Vectors of another length, null or zero ones, have no score.
+    The floor is applied after the k best are taken. Vectors of another length, null or zero ones, have no score. A task
+    sends k rows a query, so what is ranked does not grow with the library.
     """
-    fit = score_all(queries, library.where("v is not null"), lambda q, v: F.when((F.size(q) == F.size(v)) & (F.col("query_id") != F.col("id")), score(q, v)))
-    return best(fit.where("score is not null"), k, [F.desc("score"), F.asc("id")]).where(F.col("score") >= floor)
+    return best(nearest(queries, library, k), k, [F.desc("score"), F.asc("id")]).where(F.col("score") >= floor)
 
 
 def similar_by_hash(queries: DataFrame, library: DataFrame, k: int = 60, most: int = 32) -> DataFrame:

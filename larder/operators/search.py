@@ -1,20 +1,21 @@
-"""Full-text and hybrid retrieval: postings, BM25, fusion with vector rankings."""
+"""Full-text and hybrid retrieval: postings, BM25, fusion with vector rankings.
+
+A search takes documents, whose words are then found anew, or a ``TextIndex`` stored once in a catalogue.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cosine
 from ..sources.shared import settled
 from .filters import find
-from .joins import score_all
-from .ranking import best, similar_by_hash, top_k
+from .ranking import placed, similar_by_hash, sort_keys, top_k, with_size
 
 #: BM25's constants and least idf; the damping of fusion; the size and floor of the semantic side; neighbours.
 K1, B, LEAST_IDF, DAMPING, SEMANTIC, FLOOR, NEIGHBOURS, NEIGHBOUR_FLOOR = 1.2, 0.75, 1e-6, 60, 120, 0.24, 60, 0.80
-#: Pairs of id and score that one task may order, and the parts that more are ordered in.
-ONE_TASK, PARTS = 200_000, 64
+#: Folders of stored postings, by hash of the token.
+BUCKETS = 64
 # Latin letters with marks, and the letters without.
 MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
 PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
@@ -33,7 +34,44 @@ def postings(docs: DataFrame, fields: tuple[str, ...] | list[str] = FIELDS) -> D
     return docs.select("id", each).select("id", "f.field", F.posexplode("f.words").alias("pos", "token"))
 
 
-def phrases(docs: DataFrame, words: list[str]) -> list[list[str]]:
+class TextIndex:
+    """Postings (id, field, pos, token) and the number of words of each document (id, length), from documents or as stored."""
+
+    def __init__(self, posting: DataFrame, lengths: DataFrame, buckets: int | None = None) -> None:
+        self.posting, self.lengths, self.buckets, self.sparkSession = posting, lengths, buckets, posting.sparkSession
+
+    @classmethod
+    def of(cls, docs: DataFrame | TextIndex, fields: tuple[str, ...] | list[str] | None = None) -> TextIndex:
+        """An index of documents, made anew wherever it is used; one that is there stays as it is."""
+        if isinstance(docs, TextIndex):
+            return docs
+        fields = [f for f in fields or FIELDS if f in docs.columns]
+        size = sum((F.coalesce(F.size(tokens(f)), F.lit(0)) for f in fields), F.lit(0))
+        return cls(postings(docs, fields), docs.select("id", F.greatest(size, F.lit(0)).cast("double").alias("length")))
+
+    def store(self, catalog, buckets: int = BUCKETS) -> TextIndex:
+        """Write the index beside a catalogue's tables: postings by bucket of the token, sorted by token within, so that a search reads the row groups of its words."""
+        bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+        rows = self.posting.select(F.col("id").alias("asset_id"), "field", "pos", "token", bucket.alias("bucket"))
+        catalog.write("postings", rows.repartitionByRange("bucket", "token", "asset_id").sortWithinPartitions("bucket", "token", "asset_id"))
+        catalog.write("text_length", self.lengths.select(F.col("id").alias("asset_id"), "length"))
+        return TextIndex.stored(catalog, buckets)
+
+    @classmethod
+    def stored(cls, catalog, buckets: int = BUCKETS) -> TextIndex:
+        return cls(catalog.read("postings").withColumnRenamed("asset_id", "id"), catalog.read("text_length").withColumnRenamed("asset_id", "id"), buckets)
+
+    def of_tokens(self, words: list[str]) -> DataFrame:
+        """Postings of some tokens; of a stored index only their buckets are read."""
+        rows = self.posting.where(F.col("token").isin(*words))
+        if self.buckets is None:
+            return rows
+        spark = self.sparkSession
+        places = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(self.buckets)).cast("int").alias(f"b{i}") for i, w in enumerate(words)]).first()
+        return rows.where(F.col("bucket").isin(*set(places)))
+
+
+def phrases(docs: DataFrame | TextIndex, words: list[str]) -> list[list[str]]:
     """The tokens of each query word, by the same rules as documents; words without any are left out.
 
     A word of several tokens is a phrase. The query is a literal, so its tokens come from one row.
@@ -51,71 +89,48 @@ def occurrences(post: DataFrame, phrase: list[str]) -> DataFrame:
     return hits.groupBy("id", "field", "start").agg(F.countDistinct("pos").alias("m")).where(F.col("m") == len(phrase)).groupBy("id").agg(F.count("*").alias("n"))
 
 
-def match_all(docs: DataFrame, words: list[str], fields=FIELDS) -> DataFrame:
-    """Ids of documents that hold every word, in any field; only words without a token match nothing."""
-    found = phrases(docs, words)
-    if not found:
-        return docs.select("id").limit(0)
-    post = postings(docs, fields)
+def _hits(index: TextIndex, found: list[list[str]]) -> DataFrame:
+    """(id, i, n): how often document id holds the i-th phrase."""
+    post = index.of_tokens(sorted({t for p in found for t in p}))
     hits = None
     for i, phrase in enumerate(found):
-        one = occurrences(post, phrase).select("id", F.lit(i).alias("i"))
+        one = occurrences(post, phrase).select("id", F.lit(i).alias("i"), "n")
         hits = one if hits is None else hits.union(one)
-    return hits.groupBy("id").agg(F.countDistinct("i").alias("m")).where(F.col("m") == len(found)).select("id")
+    return hits
+
+
+def match_all(docs: DataFrame | TextIndex, words: list[str], fields=None) -> DataFrame:
+    """Ids of documents that hold every word, in any field; only words without a token match nothing."""
+    index = TextIndex.of(docs, fields)
+    found = phrases(index, words)
+    if not found:
+        return index.lengths.select("id").limit(0)
+    return _hits(index, found).groupBy("id").agg(F.countDistinct("i").alias("m")).where(F.col("m") == len(found)).select("id")
 
 
-def bm25(docs: DataFrame, words: list[str], fields=FIELDS) -> DataFrame:
+def bm25(docs: DataFrame | TextIndex, words: list[str], fields=None) -> DataFrame:
     """(id, score) of documents that hold every word or phrase; the smaller the score the better.
 
-    One pass counts the documents and their words, another the query's words; both are grouped by document, so no
-    posting list is gathered.
+    Hits are grouped by document, so no posting list is gathered; lengths are joined to the documents that are hit.
     """
-    found = phrases(docs, words)
+    index = TextIndex.of(docs, fields)
+    found = phrases(index, words)
     if not found:
-        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    size = sum((F.coalesce(F.size(tokens(f)), F.lit(0)) for f in fields), F.lit(0))
-    lengths = docs.select("id", F.greatest(size, F.lit(0)).cast("double").alias("length"))
-    total = lengths.agg(F.count("*").cast("double").alias("docs"), F.avg("length").alias("mean"))
-    post = postings(docs, fields).where(F.col("token").isin(*{t for p in found for t in p}))
-    hits = None
-    for i, phrase in enumerate(found):
-        one = occurrences(post, phrase).select("id", F.lit(i).alias("i"), "n")
-        hits = one if hits is None else hits.union(one)
+        return index.lengths.select("id", F.lit(0.0).alias("score")).limit(0)
+    total = index.lengths.agg(F.count("*").cast("double").alias("docs"), F.avg("length").alias("mean"))
+    hits = _hits(index, found)
     df = hits.groupBy("i").agg(F.count("*").cast("double").alias("df"))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     known = df.join(F.broadcast(total)).select("i", idf.alias("idf"), "mean")  # a row for each phrase of the query
     part = F.col("idf") * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(F.broadcast(known), "i").join(lengths, "id").groupBy("id").agg(F.sum(part).alias("s"), F.count("*").alias("m"))
+    scored = hits.join(F.broadcast(known), "i").join(index.lengths, "id").groupBy("id").agg(F.sum(part).alias("s"), F.count("*").alias("m"))
     return scored.where(F.col("m") == len(found)).select("id", (-F.col("s")).alias("score"))
 
 
-def numbered(rows: DataFrame, score: str, ascending: bool = True, value: Column | None = None) -> DataFrame:
-    """(id, rank) of rows (id, score) by score and id, counted from 1, without ordering more than ONE_TASK in one task.
-
-    Beyond that, quantiles of the score part the rows; those that equal a quantile (a score that many share) are parted again by
-    quantiles of the id. Places are counted within a part and raised by the sizes of the parts before, of which there
-    are at most a few thousand. Null scores come last. Of scores that are no numbers ``value`` gives one that grows
-    with them; equal values are then not parted again.
-    """
-    whole, value = value is None, F.col(score).cast("double") if value is None else value
-    rows = settled(rows.select("id", score, value.alias("_value")))
+def numbered(rows: DataFrame, score: str, ascending: bool = True) -> DataFrame:
+    """(id, rank) of rows (id, score) by score and id, counted from 1; null scores come last. No task orders more than its part."""
     key = F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last()
-    if rows.limit(ONE_TASK + 1).count() <= ONE_TASK:
-        return rows.select("id", F.row_number().over(Window.orderBy(key, "id")).cast("bigint").alias("rank"))
-    many = [i / PARTS for i in range(1, PARTS)]
-    value = F.col("_value")
-    cuts, ids = (sorted(set(x)) for x in rows.select("_value", F.col("id").cast("double").alias("_id")).approxQuantile(["_value", "_id"], many, 0.005))
-    count = lambda edges, x: sum(((x > F.lit(e)).cast("int") for e in edges), F.lit(0))
-    tie = F.coalesce(value.isin(*cuts), F.lit(False)) if cuts else F.lit(False)
-    # scores below the first cut are band 0, those equal to it 1, those between it and the second 2, and so on
-    place = F.when(tie, 2 * count(cuts, value) + 1).otherwise(2 * count(cuts, value))
-    band = F.when(value.isNull(), F.lit(2 * PARTS + 2)).otherwise(place if ascending else -place)
-    parted = rows.withColumns({"_band": band, "_slice": F.when(tie | value.isNull(), count(ids, F.col("id").cast("double"))).otherwise(0) if whole else F.lit(0)})
-    sizes = parted.groupBy("_band", "_slice").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_band", "_slice")) - F.col("_n")).drop("_n")
-    own = F.row_number().over(Window.partitionBy("_band", "_slice").orderBy(key, "id"))
-    placed = parted.withColumn("_own", own).join(F.broadcast(before), ["_band", "_slice"])
-    return placed.select("id", (F.col("_before") + F.col("_own")).cast("bigint").alias("rank"))
+    return placed(rows.select("id", score), key, F.asc("id")).select("id", "rank")
 
 
 def ranked(scores: DataFrame, ascending: bool = True, limit: int | None = None) -> DataFrame:
@@ -137,18 +152,19 @@ def fuse(*rankings: DataFrame, damping: int = DAMPING) -> DataFrame:
 
 def semantic(query: DataFrame, library: DataFrame, k: int = SEMANTIC, floor: float = FLOOR) -> DataFrame:
     """The vector side: the k nearest by cosine, then the floor. query: one row (query_id, q); library (id, v)."""
-    fit = score_all(query, library.where("v is not null"), lambda q, v: F.when(F.size(q) == F.size(v), cosine(q, v))).where("score is not null")
-    return best(fit, k, [F.desc("score"), F.asc("id")]).where(F.col("score") >= floor)
+    asked = query.select((-F.col("query_id") - 1).alias("query_id"), "q")  # a text, not a row of the library, so no row is its own
+    return top_k(asked, library, k, floor).select((-F.col("query_id") - 1).alias("query_id"), "id", "score", "rank")
 
 
-def search(catalog, docs: DataFrame, words: list[str], ranking: DataFrame | None = None, order_by: str | None = None, **filters) -> DataFrame:
+def search(catalog, docs: DataFrame | TextIndex, words: list[str], ranking: DataFrame | None = None, order_by: str | None = None, limit: int | None = None, offset: int = 0, **filters) -> DataFrame:
     """Items with a rank: those that hold all words, joined by those of a ranking (id, score, best first by score).
 
-    Filters apply to both sides. With a ranking the fused rank is the order unless another is asked for; text alone
-    is by date added unless ``relevance`` is asked for; relevance without text is by date too.
+    Filters apply to both sides. With a ranking the fused rank is the order unless another is asked for (added, updated,
+    name, size); text alone is by date added unless ``relevance`` is asked for; relevance without text is by date too.
+    ``limit`` and ``offset`` take a page of the order.
     """
     items = find(catalog, **filters)
-    literal = bm25(docs, words, [f for f in FIELDS if f in docs.columns]) if words else None
+    literal = bm25(docs, words) if words else None
     if ranking is not None:
         sides = [ranked(ranking.select("id", "score"), ascending=False)]
         if literal is not None:
@@ -158,19 +174,19 @@ def search(catalog, docs: DataFrame, words: list[str], ranking: DataFrame | None
         hits = items.join(literal.withColumnRenamed("score", "_score"), "id")
     else:
         hits = items
-    value, ascending = None, True
     if order_by in (None, "relevance") and "_rank" in hits.columns:
-        key = F.col("_rank")
+        keys = [F.asc("_rank"), F.asc("id")]
     elif order_by == "relevance" and "_score" in hits.columns:
-        key = F.col("_score")
-    elif order_by == "name":
-        key = F.lower("title")
-        value = F.conv(F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        keys = [F.asc_nulls_last("_score"), F.asc("id")]
     else:
-        key, ascending = F.col("updated_at" if order_by == "updated" else "added_at"), False
-        key = F.unix_micros(key.cast("timestamp"))
+        by = order_by if order_by in ("updated", "name", "size") else "added"
+        hits, keys = with_size(hits, catalog.location) if by == "size" else hits, sort_keys(by)
+    order = hits.select("id", *[k for k in ("added_at", "updated_at", "title", "max_size", "_rank", "_score") if k in hits.columns])
     # the ranking is settled and holds the ids that passed, so the search itself runs once however often its result is used
-    return catalog.asset.join(numbered(hits.withColumn("_key", key), "_key", ascending, value), "id")
+    ranks = placed(order, *keys).select("id", "rank")
+    if offset or limit is not None:
+        ranks = ranks.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit if limit is not None else F.lit(True)))
+    return catalog.asset.join(ranks, "id")
 
 
 def similar(queries: DataFrame, library: DataFrame, query_hashes: DataFrame, hashes: DataFrame) -> DataFrame:

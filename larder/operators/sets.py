@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical
-from .ranking import append_members
+from .ranking import append_members, placed
 
-#: Sources of a tag; those that a rescan replaces; columns that an edit may set.
+#: Tags of a bulk edit that are gathered in one row.
+TAGS = 1024
+# Sources of a tag; those that a rescan replaces; columns that an edit may set.
 SOURCES = ("structural", "heuristic", "clip", "vlm", "manual", "imported")
 AUTOMATED = ("structural", "heuristic", "clip", "vlm")
 EDITABLE = ("title", "notes", "caption", "source_url", "source_name", "license")
@@ -33,7 +35,15 @@ def remove_tags(asset_tag: DataFrame, drop: DataFrame, source: str = "manual") -
 def bulk_tags(asset_tag: DataFrame, selection: DataFrame, add: DataFrame, remove: DataFrame, source: str = "manual") -> DataFrame:
     """Tags (tag_id) added to and removed from each item (id) of a selection, in one plan."""
     ids = selection.select(F.col("id").alias("asset_id")).distinct()
-    pairs = lambda tags: ids.join(F.broadcast(tags.select("tag_id").distinct()))  # noqa: E731  a handful of tags for each item
+
+    def pairs(tags: DataFrame) -> DataFrame:
+        """Every item with every tag, which is what the edit writes: the tags come in rows of TAGS and are unfolded beside the item."""
+        tags = tags.select("tag_id").where("tag_id is not null").distinct()
+        blocks = max(1, -(-tags.count() // TAGS))
+        rows = tags.groupBy(F.pmod(F.xxhash64("tag_id"), F.lit(blocks)).alias("_b")).agg(F.collect_list("tag_id").alias("_tags"))
+        met = ids.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(rows, "_b")
+        return met.select("asset_id", F.explode("_tags").alias("tag_id"))
+
     new = pairs(add).withColumns({"source": F.lit(source), "confidence": F.lit(None).cast("double"), "created_at": F.lit(None).cast("timestamp_ntz")})
     kept = remove_tags(asset_tag, pairs(remove), source)
     return add_tags(kept, new.select(*[c for c in asset_tag.columns if c in new.columns]))[0]
@@ -60,16 +70,10 @@ def add_to_set(members: DataFrame, collection_id: int, ids: DataFrame, found: Da
 
 
 def create_set(collection: DataFrame, names: DataFrame) -> DataFrame:
-    """Sets with new ones (name, notes) by canonical name; empty and known names add nothing. Ids go on from the largest.
-
-    New sets are few, so numbering them in one task is no concern; it raises beyond a million.
-    """
+    """Sets with new ones (name, notes) by canonical name; empty and known names add nothing. Ids go on from the largest, by name."""
     fresh = names.select(canonical("name").alias("name"), "notes").where("name <> ''").groupBy("name").agg(F.min("notes").alias("notes")).join(collection, "name", "left_anti")
-    many = fresh.count()
-    if many > 1_000_000:
-        raise ValueError("create at most a million sets at once")
-    start = collection.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()[0]
-    numbered = fresh.orderBy("name").coalesce(1).withColumn("id", F.monotonically_increasing_id() + start + 1)
+    last = collection.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))  # one row
+    numbered = placed(fresh, F.asc("name"), name="_i").join(F.broadcast(last)).withColumn("id", (F.col("_last") + F.col("_i")).cast("bigint"))
     return collection.unionByName(numbered.select("id", "name", "notes"), allowMissingColumns=True)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .filters import missing
 from .joins import merge_keyed, owner_root
+from .ranking import placed
 from .sets import AUTOMATED
 
 
@@ -34,17 +35,13 @@ def classify(listing: DataFrame, asset: DataFrame, location: DataFrame) -> DataF
 def new_assets(listing: DataFrame, asset: DataFrame, stamp: Column | None = None) -> DataFrame:
     """An item for each new content of a listing (path, content_hash, kind, title, mode): the first path names it.
 
-    Ids go on from the largest: new contents are dealt by hash range and numbered within each part, the parts by how
-    many came before, so no task orders them all.
+    Ids go on from the largest in the order of the contents, numbered in as many parts as they need.
     """
     first = Window.partitionBy("content_hash").orderBy("path")
     fresh = listing.join(asset.select("content_hash"), "content_hash", "left_anti").withColumn("_r", F.row_number().over(first)).where("_r = 1")
-    parts = fresh.withColumn("_part", F.substring("content_hash", 1, 2))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # 256 rows for hashes in hex
-    start = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    last = asset.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_last"))
-    numbered = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy("content_hash"))).join(F.broadcast(start.select("_part", "_before")), "_part").join(F.broadcast(last))
-    rows = numbered.select((F.col("_last") + F.col("_before") + F.col("_i")).cast("bigint").alias("id"), "kind", "content_hash", "title", (F.col("mode") == "managed").alias("managed"))
+    last = asset.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_last"))  # one row
+    numbered = placed(fresh.select("kind", "content_hash", "title", "mode"), F.asc("content_hash"), name="_i").join(F.broadcast(last))
+    rows = numbered.select((F.col("_last") + F.col("_i")).cast("bigint").alias("id"), "kind", "content_hash", "title", (F.col("mode") == "managed").alias("managed"))
     return rows if stamp is None else rows.withColumns({"added_at": stamp, "updated_at": stamp})
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cosine
 from ..functions.text import folder_tags, host_of, name_words, title_tags
 from .aggregates import prototypes
-from .joins import score_all
+from .joins import unit_vectors
 
-#: Confidence of tags from names and from folders; the scale of logits and the least probability of a zero-shot label.
-NAME, FOLDER, SCALE, SURE = 0.5, 0.6, 100.0, 0.40
+#: Confidence of tags from names and from folders; the scale of logits, the least probability of a zero-shot label, and the largest vocabulary.
+NAME, FOLDER, SCALE, SURE, MOST_LABELS = 0.5, 0.6, 100.0, 0.40, 10_000
 
 
 def _tag(name, source: str, confidence):
@@ -48,15 +51,38 @@ def fact_tags(attribute: DataFrame) -> DataFrame:
 def zero_shot(vectors: DataFrame, labels: DataFrame, sure: float = SURE) -> DataFrame:
     """(id, namespace, name, confidence): at most one label for each item and namespace.
 
-    vectors (id, v); labels (namespace, name, background, q) in which background rows compete but are never given.
-    Labels are few (a vocabulary), so each item meets all of them.
+    vectors (id, v); labels (namespace, name, background, q) in which background rows compete but are never given; of
+    equally likely labels the first by name. The labels are a vocabulary of at most MOST_LABELS, so they are broadcast
+    and each item's probabilities and choice are made where it lies: nothing is shuffled.
     """
-    keyed = labels.select(F.struct("namespace", "name", "background").alias("query_id"), "q")
-    logits = score_all(keyed, vectors, cosine).select("id", "query_id.*", (SCALE * F.col("score")).alias("l"))
-    ns = Window.partitionBy("id", "namespace")
-    soft = logits.withColumn("e", F.exp(F.col("l") - F.max("l").over(ns))).withColumn("p", F.col("e") / F.sum("e").over(ns))
-    first = soft.withColumn("r", F.row_number().over(ns.orderBy(F.desc("p"), "name"))).where("r = 1 and not background")
-    return first.where(F.col("p") >= sure).select("id", "namespace", "name", F.round("p", 4).alias("confidence"))
+    rows = labels.select("namespace", "name", "background", F.transform("q", lambda x: x.cast("double")).alias("q")).orderBy("namespace", "name").limit(MOST_LABELS + 1).toArrow()
+    if rows.num_rows > MOST_LABELS:
+        raise ValueError(f"a vocabulary of more than {MOST_LABELS} labels; score it with joins.score_all")
+    spaces, names, background = (rows[c].to_pylist() for c in ("namespace", "name", "background"))
+    known = {n: (at, unit) for n, (at, unit) in unit_vectors(rows["q"].combine_chunks()).items()} if rows.num_rows else {}
+    shared = vectors.sparkSession.sparkContext.broadcast(known)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for n, (at, x) in unit_vectors(batch.column(1)).items():
+                if n not in shared.value:
+                    continue
+                of, q = shared.value[n]
+                ids = batch.column(0).to_numpy()[at]
+                logit = SCALE * (x @ q.T)
+                for space in sorted({spaces[i] for i in of.tolist()}, key=repr):
+                    mine = np.array([k for k, i in enumerate(of.tolist()) if spaces[i] == space])
+                    part = logit[:, mine]
+                    e = np.exp(part - part.max(axis=1, keepdims=True))
+                    p = e / e.sum(axis=1, keepdims=True)
+                    first = np.argmax(np.round(p, 12), axis=1)  # labels lie in order of name
+                    chance = p[np.arange(len(p)), first]
+                    label = of[mine[first]].tolist()
+                    out += [(i, space, names[k], round(c, 4)) for i, k, c in zip(ids.tolist(), label, chance.tolist(), strict=True) if c >= sure and not background[k]]
+            yield pa.RecordBatch.from_pylist([dict(zip(("id", "namespace", "name", "confidence"), r, strict=True)) for r in out], pa.schema([("id", pa.int64()), ("namespace", pa.string()), ("name", pa.string()), ("confidence", pa.float64())]))
+
+    return vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).mapInArrow(work, "id long, namespace string, name string, confidence double")
 
 
 def label_matrix(prompts: DataFrame) -> DataFrame:

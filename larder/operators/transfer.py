@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,12 +61,68 @@ def batch_label(path: str | Column, is_dir: str | Column) -> Column:
     return F.coalesce(F.when(named, F.nullif(canonical(stem(name)), F.lit(""))), F.lit("dropped"))
 
 
+class _Names:
+    """The names taken in one family, and where its numbered ones go on."""
+
+    def __init__(self, scheme: str) -> None:
+        self.scheme, self.taken, self.tried = scheme, {}, {}
+        self.after: dict[tuple[str, int], int] = {}  # a number that is taken, and one to try instead
+        self.held: dict[tuple[str, str], list[int]] = {}  # the numbers that a content has, in order
+
+    def target(self, name: str, digest: str) -> tuple[str, bool]:
+        """The name that a content gets, and whether it is a new one."""
+        if (name, digest) in self.tried:
+            return self.tried[name, digest], False
+        target = name
+        if self.taken.get(name, digest) != digest:
+            stem, dot, ext = name.rpartition(".")
+            stem, ext = (stem, dot + ext) if stem else (name, "")
+            head, dash, tail = stem.rpartition("-")
+            numbered = self.scheme == "export" and dash and tail.isdecimal()
+            head, first = (head, int(tail) + 1) if numbered else (stem, 1)
+            free, at = self._free(head + "|" + ext, first, lambda n: f"{head}-{n}{ext}" in self.taken), self.held.get((head + "|" + ext, digest), [])
+            same = at[k] if (k := bisect_left(at, first)) < len(at) else free
+            number = min(free, same)
+            target = f"{head}-{number}{ext}"
+        fresh = target not in self.taken
+        self._take(target, digest)
+        self.tried[name, digest] = target
+        return target, fresh
+
+    def _take(self, target: str, digest: str) -> None:
+        if target in self.taken:
+            return
+        self.taken[target] = digest
+        stem, dot, ext = target.rpartition(".")
+        stem, ext = (stem, dot + ext) if stem else (target, "")
+        head, dash, tail = stem.rpartition("-")
+        if dash and tail.isdecimal() and str(int(tail)) == tail:
+            insort(self.held.setdefault((head + "|" + ext, digest), []), int(tail))
+
+    def _free(self, run: str, number: int, taken: Callable[[int], bool]) -> int:
+        """The first number of a run from ``number`` on that no name has; what was passed points on."""
+        passed = []
+        while True:
+            if (run, number) in self.after:
+                passed.append(number)
+                number = self.after[run, number]
+            elif taken(number):
+                passed.append(number)
+                number += 1
+            else:
+                break
+        for n in passed:
+            self.after[run, n] = number
+        return number
+
+
 def resolve_names(rows: DataFrame, scheme: str = "export") -> DataFrame:
     """Files (folder, name, content_hash, ord) with target and fresh: the same name and content is written once.
 
     Other content under a name taken gets the next free one: ``export`` raises a trailing number, ``import`` appends
     to the stem. Names that could meet lie in one family (a folder, a stem without trailing numbers, an extension), so
-    each family is probed in order by itself. A family keeps its taken names only, not its rows.
+    each family is probed in order by itself. A family keeps its taken names, not its rows, and for each run of numbers
+    the next free one, so its time is in proportion to its rows.
     """
     import pyarrow as pa
 
@@ -73,30 +130,15 @@ def resolve_names(rows: DataFrame, scheme: str = "export") -> DataFrame:
     kinds = "folder string, name string, content_hash string, ord long, target string, fresh boolean"
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, taken, tried = None, {}, {}
+        now, names = None, _Names(scheme)
         for batch in batches:
             out, new = [], []
             for fam, name, digest in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3)], strict=True):
                 if fam != now:
-                    now, taken, tried = fam, {}, {}
-                if (name, digest) in tried:
-                    out.append(tried[name, digest])
-                    new.append(False)
-                    continue
-                base, dot, ext = name.rpartition(".")
-                base, ext = (base, dot + ext) if base else (name, "")
-                target, count = name, 0
-                while target in taken and taken[target] != digest:
-                    count += 1
-                    if scheme == "export":
-                        head, dash, tail = target.removesuffix(ext).rpartition("-") if ext else target.rpartition("-")
-                        target = f"{head}-{int(tail) + 1}{ext}" if dash and tail.isdecimal() else f"{target.removesuffix(ext)}-1{ext}"
-                    else:
-                        target = f"{base}-{count}{ext}"
-                new.append(target not in taken)
-                taken[target] = digest
-                tried[name, digest] = target
+                    now, names = fam, _Names(scheme)
+                target, fresh = names.target(name, digest)
                 out.append(target)
+                new.append(fresh)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string()), pa.array(new, pa.bool_())], names=["folder", "name", "content_hash", "ord", "target", "fresh"])
 
     keyed = rows.select(family.alias("family"), "folder", "name", "content_hash", F.col("ord").cast("long").alias("ord"))
@@ -136,25 +178,29 @@ def write_manifest(rows: DataFrame, path: str) -> None:
 
 
 def credits(entries: DataFrame) -> DataFrame:
-    """A row for each source and licence: heading, url, the first titles and how many more; unknown last, references apart.
+    """A row for each source and licence: heading, url, the first LISTED titles and how many more; then one for each reference.
 
-    entries: ord, kind, title, source_name, license, source_url. Only the first LISTED titles of a group are gathered.
+    entries: ord, kind, title, source_name, license, source_url. Sections: 0 with a source or licence, 1 without, 2
+    references, in which ``place`` is the entry's ord. No group is gathered whole.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
-    ref = F.col("kind") == "reference"
-    rows = entries.select("ord", "title", text("source_url").alias("url"), F.when(ref, "").otherwise(text("source_name")).alias("source"), F.when(ref, "").otherwise(text("license")).alias("license"), ref.alias("is_reference"))
-    place = F.when(F.col("is_reference"), 2).when((F.col("source") == "") & (F.col("license") == ""), 1).otherwise(0)
+    rows = entries.select("ord", "kind", "title", text("source_url").alias("url"), text("source_name").alias("source"), text("license").alias("license"))
+    named = rows.where("kind <> 'reference' or kind is null").withColumn("section", F.when((F.col("source") == "") & (F.col("license") == ""), 1).otherwise(0))
     keys = ["section", "source", "license"]
-    rows = rows.withColumn("section", place)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by(F.when(F.col("url") != "", F.col("url")), F.when(F.col("url") != "", F.col("ord"))).alias("url"))
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).where((F.col("_r") <= LISTED) | (F.col("section") == 2))
+    counts = named.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by(F.when(F.col("url") != "", F.col("url")), F.when(F.col("url") != "", F.col("ord"))).alias("url"))
+    first = named.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).where(F.col("_r") <= LISTED)
     titles = first.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "title"))), lambda s: s["title"]).alias("titles"))
-    out = counts.join(titles, keys)
-    heading = F.when(F.col("section") == 2, "References").when(F.col("section") == 1, "No source or licence recorded").when(F.col("source") == "", "Unattributed").otherwise(F.col("source"))
-    return out.select("section", heading.alias("heading"), "license", F.when(F.col("section") == 0, F.coalesce("url", F.lit(""))).otherwise("").alias("url"), "n", F.array_join("titles", "\n").alias("titles"), F.when(F.col("section") < 2, F.greatest(F.col("n") - LISTED, F.lit(0))).otherwise(0).cast("bigint").alias("more"))
+    heading = F.when(F.col("section") == 1, "No source or licence recorded").when(F.col("source") == "", "Unattributed").otherwise(F.col("source"))
+    groups = counts.join(titles, keys).select("section", heading.alias("heading"), "license", F.when(F.col("section") == 0, F.coalesce("url", F.lit(""))).otherwise("").alias("url"), "n", F.array_join("titles", "\n").alias("titles"), F.greatest(F.col("n") - LISTED, F.lit(0)).cast("bigint").alias("more"), F.lit(None).cast("bigint").alias("place"))
+    one = rows.where("kind = 'reference'").select(F.lit(2).alias("section"), F.lit("References").alias("heading"), F.lit("").alias("license"), F.lit("").alias("url"), F.lit(1).cast("bigint").alias("n"), "title", F.lit(0).cast("bigint").alias("more"), F.col("ord").cast("bigint").alias("place"))
+    return groups.union(one)
 
 
 def write_credits(rows: DataFrame, path: str) -> None:
-    """The report as text: one small file, as a reader wants it."""
-    body = F.concat_ws("\n", F.concat(F.lit("## "), F.col("heading")), F.when(F.col("license") != "", F.concat(F.lit("Licence: "), F.col("license"))), F.nullif(F.col("url"), F.lit("")), F.regexp_replace("titles", "(?m)^", "- "), F.when(F.col("more") > 0, F.format_string("- and %d more", "more")), F.lit(""))
-    rows.orderBy("section", "heading", "license").select(body.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """The report as text, in order: a part for every so many rows, and no more than one where they are few."""
+    first = F.col("section").isin(0, 1) | (F.col("_before") == 0)
+    few = rows.where("section = 2").orderBy("place").limit(1).select(F.col("place").alias("_first"))
+    marked = rows.join(F.broadcast(few), F.col("place") == F.col("_first"), "left").withColumn("_before", F.when(F.col("_first").isNotNull(), 0).otherwise(1)).drop("_first")
+    head = F.when(first, F.concat(F.lit("## "), F.col("heading")))
+    body = F.concat_ws("\n", head, F.when(F.col("license") != "", F.concat(F.lit("Licence: "), F.col("license"))), F.nullif(F.col("url"), F.lit("")), F.regexp_replace("titles", "(?m)^", "- "), F.when(F.col("more") > 0, F.format_string("- and %d more", "more")), F.when(F.col("section") < 2, F.lit("")))
+    marked.orderBy("section", "heading", "license", "place").select(body.alias("value")).write.mode("overwrite").text(path)

@@ -43,9 +43,7 @@ for name, kw, cond in (
     left join (select asset_id, max(case key when 'width' then value_num end) as width, max(case key when 'height' then value_num end) as height from attribute where key in ('width', 'height') group by 1) w on w.asset_id = a.id
     where a.kind = 'image'""")
 def _(t):
-    place = W.primary_location(t.location).select(F.col("asset_id").alias("id"), "abs_path", "present")
-    attrs = A.pivot_attrs(t.attribute, ["width", "height"]).withColumnRenamed("asset_id", "id")
-    return P.find(t, kind="image").select("id", "title").join(place, "id", "left").join(attrs, "id", "left")
+    return W.decorate(P.find(t, kind="image"), t, ["width", "height"]).select("id", "title", "abs_path", "present", "width", "height")
 
 
 _TERMS = "(values (1, 'kind', '=', 'image', false), (1, 'width', '>=', '500', false), (2, 'tag', '=', 'Good', false), (2, 'tag', '=', 'toxic', true), (3, 'bytes', '<', '1kb', false), (3, 'kind', '=', 'image', true), (4, 'tag', '=', 'lang-en', false), (4, 'height', '<', '100', false), (4, 'bytes', '>', '512', false))"
@@ -244,21 +242,12 @@ def _(t):
 
 
 for by, key in (("added", "added_at desc"), ("updated", "updated_at desc"), ("name", "lower(title)")):
-    query(f"w1_order_{by}", f"select id, row_number() over (order by {key}, id) as rank from (select * from asset order by {key}, id limit 200)")(
-        lambda t, by=by: _numbered(W.order(t.asset, by).limit(200), by)
-    )
+    query(f"w1_order_{by}", f"select id, row_number() over (order by {key}, id) as rank from asset")(lambda t, by=by: W.placed(t.asset.select("id", "title", "added_at", "updated_at"), *W.sort_keys(by)).select("id", "rank"))
 
 
-def _numbered(rows, by):
-    from pyspark.sql import Window
-
-    key = {"added": F.desc("added_at"), "updated": F.desc("updated_at"), "name": F.lower("title"), "size": F.desc_nulls_last("max_size")}[by]
-    return rows.select("id", F.row_number().over(Window.orderBy(key, "id")).cast("bigint").alias("rank"))
-
-
-@query("w1_order_size", "with s as (select a.id, max(l.size) as m from asset a left join location l on l.asset_id = a.id group by 1 order by m desc nulls last, a.id limit 200) select id, row_number() over (order by m desc nulls last, id) as rank from s")
+@query("w1_order_size", "with s as (select a.id, max(l.size) as m from asset a left join location l on l.asset_id = a.id group by 1) select id, row_number() over (order by m desc nulls last, id) as rank from s")
 def _(t):
-    return _numbered(W.order(W.with_size(t.asset, t.location), "size").limit(200), "size")
+    return W.placed(W.with_size(t.asset, t.location).select("id", "max_size"), *W.sort_keys("size")).select("id", "rank")
 
 
 @query("w2_primary_location", "select asset_id, id, abs_path, present from (select *, row_number() over (partition by asset_id order by present desc, id) as r from location) where r = 1")

@@ -91,11 +91,12 @@ def _(t):
     return I.sync_stats(rows)
 
 
-@query("i8_sync_roots", "with c as (select n_nationkey as id, concat('/lib/', n_name) as path, n_name as name, 'managed' as mode, true as recursive, false as vendor, n_nationkey % 2 = 0 as enabled from nation where n_nationkey >= 5), o as (select n_nationkey as id, concat('/lib/', n_name) as path, lower(n_name) as name, 'indexed' as mode, false as recursive, true as vendor from nation where n_nationkey < 15) select o.id, coalesce(c.path, o.path) as path, coalesce(c.name, o.name) as name, coalesce(c.mode, o.mode) as mode, coalesce(c.recursive, o.recursive) as recursive, coalesce(c.vendor, o.vendor) as vendor, coalesce(c.enabled, false) as enabled from o full join c on c.path = o.path")
+@query("i8_sync_roots", "with c as (select n_nationkey as id, concat('/lib/', n_name) as path, n_name as name, 'managed' as mode, true as recursive, false as vendor, n_nationkey % 2 = 0 as enabled from nation), o as (select n_nationkey as id, concat(case when n_nationkey % 3 = 0 then '/old/' else '/lib/' end, n_name) as path, lower(n_name) as name, 'indexed' as mode, false as recursive, true as vendor from nation) select o.id, coalesce(c.path, o.path) as path, coalesce(c.name, o.name) as name, coalesce(c.mode, o.mode) as mode, coalesce(c.recursive, o.recursive) as recursive, coalesce(c.vendor, o.vendor) as vendor, coalesce(c.enabled, false) as enabled from o full join c on c.path = o.path")
 def _(t):
     path = F.concat(F.lit("/lib/"), "n_name").alias("path")
-    config = t.nation.where("n_nationkey >= 5").select(path, F.col("n_name").alias("name"), F.lit("managed").alias("mode"), F.lit(True).alias("recursive"), F.lit(False).alias("vendor"), (F.col("n_nationkey") % 2 == 0).alias("enabled"))
-    old = t.nation.where("n_nationkey < 15").select(F.col("n_nationkey").alias("id"), path, F.lower("n_name").alias("name"), F.lit("indexed").alias("mode"), F.lit(False).alias("recursive"), F.lit(True).alias("vendor"))
+    config = t.nation.select(path, F.col("n_name").alias("name"), F.lit("managed").alias("mode"), F.lit(True).alias("recursive"), F.lit(False).alias("vendor"), (F.col("n_nationkey") % 2 == 0).alias("enabled"))
+    was = F.concat(F.when(F.col("n_nationkey") % 3 == 0, "/old/").otherwise("/lib/"), "n_name").alias("path")  # a third has moved
+    old = t.nation.select(F.col("n_nationkey").alias("id"), was, F.lower("n_name").alias("name"), F.lit("indexed").alias("mode"), F.lit(False).alias("recursive"), F.lit(True).alias("vendor"))
     return I.sync_roots(old, config)
 
 
@@ -201,14 +202,14 @@ def _(t):
     return X.manifest(t).select("id", "kind", "title", "content_hash", "source_name", "license", F.array_join("tags", ",").alias("tags"), "file")
 
 
-@query("s11_credits", """with e as (select id as ord, title, coalesce(source_url, '') as url, case when kind = 'reference' then '' else coalesce(source_name, '') end as source, case when kind = 'reference' then '' else coalesce(license, '') end as license, case when kind = 'reference' then 2 when source_name in ('src1', 'src2') and coalesce(license, '') = '' then 1 else 0 end as section,
-      kind from asset where id % 3 = 0), x as (select ord, title, url, case when section = 1 then '' else source end as source, license, section from e), y as (select *, row_number() over (partition by section, source, license order by ord) as r, count(*) over (partition by section, source, license) as n from x)
-    select section, case section when 2 then 'References' when 1 then 'No source or licence recorded' else case when source = '' then 'Unattributed' else source end end as heading, license, case when section = 0 then coalesce(min_by(url, ord) filter (url <> ''), '') else '' end as url, max(n) as n,
-      string_agg(title, chr(10) order by ord) filter (r <= 20 or section = 2) as titles, case when section < 2 then greatest(max(n) - 20, 0) else 0 end as more from y group by section, source, license""")
+@query("s11_credits", """with x as (select id as ord, title, coalesce(source_url, '') as url, kind, case when source_name in ('src1', 'src2') and coalesce(license, '') = '' then '' else coalesce(source_name, '') end as source, coalesce(license, '') as license from asset),
+      e as (select *, case when source = '' and license = '' then 1 else 0 end as section from x where kind <> 'reference'), y as (select *, row_number() over (partition by section, source, license order by ord) as r, count(*) over (partition by section, source, license) as n from e)
+    select section, case when section = 1 then 'No source or licence recorded' when source = '' then 'Unattributed' else source end as heading, license, case when section = 0 then coalesce(min_by(url, ord) filter (url <> ''), '') else '' end as url, max(n) as n,
+      string_agg(title, chr(10) order by ord) filter (r <= 20) as titles, greatest(max(n) - 20, 0) as more, null::bigint as place from y group by section, source, license
+    union all select 2, 'References', '', '', 1, title, 0, ord from x where kind = 'reference'""")
 def _(t):
     blank = F.col("source_name").isin("src1", "src2") & (F.coalesce("license", F.lit("")) == "")
-    rows = t.asset.where("id % 3 = 0").withColumns({"ord": F.col("id"), "source_name": F.when(blank, None).otherwise(F.col("source_name"))})
-    return X.credits(rows)
+    return X.credits(t.asset.withColumns({"ord": F.col("id"), "source_name": F.when(blank, None).otherwise(F.col("source_name"))}))
 
 
 @query("s7_html_head", "select page_id, trim(regexp_extract(html, '(?i)<title>([^<]*)</title>', 1)) as title from pages where html not like '%<title>%&%</title>%'")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..operators import features as D
 from ..operators import hooks as V
-from ..operators.sync import upsert_locations
 from ..sources import files as S
 from ..sources.catalog import Catalog
 from ..sources.shared import shared_folder
@@ -145,13 +145,27 @@ def _stream(t, *columns):
     return t.spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp")).select(*columns)
 
 
-@query("x1_ingest", "select '/lib/' || user_id as abs_path, max_by(event_id, ts) as asset_id, true as present from events group by 1")
+_SNAPSHOT = "select event_type, concat('/lib/', user_id % 500, '/', event_type) as path, count(*) as size, max(ts) as mtime, min(user_id % 5) as root_id from events where {} group by all"
+
+
+@query("x1_ingest", f"""with one as ({_SNAPSHOT.format('event_id % 3 <> 0')}), two as ({_SNAPSHOT.format('event_id % 2 = 0')}),
+    a as (select path, event_type, substring(sha256(path[-3:] || size), 1, 32) as h, size, mtime from one), b as (select path, event_type, substring(sha256(path[-3:] || size), 1, 32) as h, size, mtime from two),
+    items as (select h, min(path) as title from a group by 1), later as (select h, min(path) as title from b where h not in (select h from items) and path not in (select a.path from a join b on a.path = b.path and a.size = b.size and a.mtime = b.mtime) group by 1)
+    select coalesce(b.path, a.path) as abs_path, case when b.path is null or (a.size = b.size and a.mtime = b.mtime) then a.h else b.h end as content_hash, b.path is not null as present from a full join b on a.path = b.path""")
 def _(t):
+    """Two full listings of the roots, one after the other: new, changed, kept, moved and missing files."""
     folder = shared_folder(t.spark)
     catalog = Catalog(t.spark, f"{folder}/catalog")
-    rows = _stream(t, F.concat(F.lit("/lib/"), F.col("user_id").cast("string")).alias("abs_path"), F.col("event_id").alias("asset_id"), F.lit(1).cast("bigint").alias("root_id"), F.col("user_id").alias("size"), F.col("ts").cast("timestamp_ntz").alias("mtime"))
-    X.start_ingest(rows, catalog, f"{folder}/checkpoint").awaitTermination()
-    return catalog.read("location").select("abs_path", "asset_id", "present")
+    path = F.concat(F.lit("/lib/"), (F.col("user_id") % 500).cast("string"), F.lit("/"), "event_type").alias("path")
+    for k, keep in enumerate((F.col("event_id") % 3 != 0, F.col("event_id") % 2 == 0)):
+        rows = t.events.where(keep).groupBy("event_type", path).agg(F.count("*").alias("size"), F.max("ts").alias("mtime"), F.min(F.col("user_id") % 5).alias("root_id"))
+        digest = F.substring(F.sha2(F.concat(F.substring("path", -3, 3), F.col("size").cast("string")).cast("binary"), 256), 1, 32)
+        rows = rows.select("path", digest.alias("content_hash"), F.lit("image").alias("kind"), F.col("path").alias("title"), F.lit("indexed").alias("mode"), "root_id", "size", F.col("mtime").cast("timestamp_ntz").alias("mtime"))
+        rows.write.parquet(f"{folder}/listing/{k}")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/listing/{k}")
+        X.start_ingest(stream, catalog, f"{folder}/checkpoint/{k}", t.spark.range(5)).awaitTermination()
+    place, asset = catalog.read("location"), catalog.read("asset").select(F.col("id").alias("asset_id"), "content_hash")
+    return place.join(asset, "asset_id").select("abs_path", "content_hash", "present")
 
 
 @query("x2_dedupe", "select distinct user_id, event_type from events")
@@ -197,10 +211,47 @@ def _(t):
     return V.probe(items, {"image": _measure, "audio": _measure}, "size long, lines long")
 
 
-@query("s1_list_files")
+def _files(t) -> str:
+    """Text files made of the customers: one for each nation in a folder of its own, and those of no nation's folder beside them."""
+    root = f"{shared_folder(t.spark)}/files"
+    rows = t.customer.select(F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name").alias("value"), F.col("c_nationkey").alias("n"))
+    rows.repartition("n").write.partitionBy("n").text(f"{root}/deep")
+    rows.where("n % 2 = 0").drop("n").write.mode("append").text(root)
+    return root
+
+
+@query("s1_list_files", "select c_nationkey as folder, sum(octet_length(encode(c_custkey || '|' || c_name)) + 1)::bigint as size, true as dated from customer group by 1")
 def _(t):
-    files = S.list_files(t.spark, t.sf_dir)
-    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "size")
+    found = S.list_files(t.spark, f"{_files(t)}/deep")
+    return found.groupBy(F.regexp_extract("path", "/n=([0-9]+)/", 1).cast("bigint").alias("folder")).agg(F.sum("size").alias("size"), F.bool_and(F.col("mtime").isNotNull()).alias("dated"))
+
+
+@query("s4_not_recursive", "select sum(octet_length(encode(c_custkey || '|' || c_name)) + 1)::bigint as size from customer where c_nationkey % 2 = 0")
+def _(t):
+    """The files of a folder itself, not of those below it."""
+    return S.list_files(t.spark, _files(t), recursive=False).agg(F.sum("size").alias("size"))
+
+
+@query("s12_rasters", """with p as (select label, unnest(range(0, 64)) as i, unnest(embedding)::double as x from embeddings), m as (select label, i, greatest(0, least(255, floor(128 + 100 * max(x))))::int as v from p where i < 64 group by all)
+    select label::bigint as asset_id, (i // 8)::int as y, (i % 8)::int as x, v as r, v as g, 255 - v as b, 255 as a from m""")
+def _(t):
+    """Pictures of 8 x 8 pixels, one a label, written as bitmap files and read back."""
+    from ..operators.features import pixels_of
+
+    folder = f"{shared_folder(t.spark)}/rasters"
+    level = lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 100 * F.max(F.col("embedding")[i].cast("double"))))).cast("int")
+    wide = t.embeddings.groupBy("label").agg(*[level(i).alias(f"v{i}") for i in range(64)])
+    two = lambda c: F.lpad(F.hex(c), 2, "0")
+    rows = [F.concat(two(255 - F.col(f"v{i}")), two(F.col(f"v{i}")), two(F.col(f"v{i}"))) for y in range(7, -1, -1) for i in range(8 * y, 8 * y + 8)]  # bottom row first, blue first
+    head = "424d" + "f6000000" + "00000000" + "36000000" + "28000000" + "08000000" * 2 + "0100" + "1800" + "00000000" + "c0000000" + "00000000" * 4
+    wide.select(F.unhex(F.concat(F.lit(head), *rows)).cast("string").alias("value"), "label").write.partitionBy("label").text(folder)
+    found = S.read_rasters(t.spark, f"{folder}/label=*").withColumn("asset_id", F.regexp_extract("path", "label=([0-9]+)/", 1).cast("bigint"))
+    return pixels_of(found).select("asset_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(c).cast("int").alias(c) for c in "rgba"])
+
+
+@query("f25_stamp", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' as stamp from events")
+def _(t):
+    return t.events.select("event_id", N.write_stamp(F.col("ts").cast("timestamp_ntz")).alias("stamp"))
 
 
 @query("s13_catalog_round_trip", "select asset_id, key, value_num from attribute where key = 'width' and value_num >= 500")
@@ -208,5 +259,3 @@ def _(t):
     catalog = Catalog(t.spark, shared_folder(t.spark))
     return catalog.write("attribute", t.attribute).where("key = 'width' and value_num >= 500").select("asset_id", "key", "value_num")
 
-
-__all__ = ["upsert_locations"]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import filters as P
+from ..operators import links as L
 from ..operators import ranking as W
 from ..operators import search as R
 from ..operators import tags as G
@@ -16,9 +16,11 @@ from .registry import query
 
 _MARK = f"translate(lower({{}}), '{R.MARKED}', '{R.PLAIN}')"
 _TOK = rf"regexp_extract_all({_MARK}, '[\p{{{{L}}}}\p{{{{N}}}}]+')"
-_DOCS = "select id, title, notes from asset"
-#: Postings of title and notes; documents with their lengths; the totals.
-_POST = f"""docs as ({_DOCS}), words as (select id, 'title' as field, {_TOK.format('title')} as w from docs union all select id, 'notes', {_TOK.format('notes')} from docs),
+#: Postings of all five fields; documents with their lengths; the totals.
+_POST = f"""names as (select asset_id, string_agg(file, ' ' order by id) as filename from (select asset_id, regexp_extract(abs_path, '[^/]*$') as file, min(id) as id from location group by 1, 2) group by 1),
+    labels_of as (select asset_id, string_agg(name, ' ' order by name) as tags from (select distinct asset_id, name from named_tag) group by 1),
+    docs as (select a.id, a.title, a.notes, n.filename, a.caption, l.tags from asset a left join names n on n.asset_id = a.id left join labels_of l on l.asset_id = a.id),
+    words as ({" union all ".join(f"select id, '{f}' as field, coalesce({_TOK.format(f)}, []) as w from docs" for f in R.FIELDS)}),
     post as (select id, field, unnest(range(0, len(w))) as pos, unnest(w) as token from words), lens as (select id, sum(len(w))::double as length from words group by 1), tot as (select count(*)::double as n, avg(length) as mean from lens)"""
 
 
@@ -32,44 +34,40 @@ def _bm25(*phrases: list[str]) -> str:
     scores as (select h.id, -sum(idf.idf * h.n * 2.2 / (h.n + 1.2 * (0.25 + 0.75 * l.length / (select mean from tot)))) as score from hits h join idf on idf.i = h.i join lens l on l.id = h.id group by 1 having count(*) = {len(phrases)})"""
 
 
-_F = ("title", "notes")
-docs = lambda t: t.asset.select("id", "title", "notes")
-
-
 @query("r1_postings", f"with {_POST} select id, field, pos::int as pos, token from post")
 def _(t):
-    return R.postings(docs(t), _F)
+    return R.postings(A.text_docs(t))
 
 
 @query("r2_match_all", f"with {_POST} select id from post where token in ('the', 'onon') group by 1 having count(distinct token) = 2")
 def _(t):
-    return R.match_all(docs(t), ["The", "*", "onon"], _F)
+    return R.match_all(t.index, ["The", "*", "onon"])
 
 
 @query("r3_phrase", f"with {_POST} select distinct a.id from post a join post b on b.id = a.id and b.field = a.field and b.pos = a.pos + 1 and b.token = 'the' where a.token = 'of'")
 def _(t):
-    return R.match_all(docs(t), ["of the"], _F)
+    return R.match_all(t.index, ["of the"])
 
 
 @query("r4_bm25", f"with {_bm25(['the'], ['of', 'the'])} select id, round(score, 6) as score from scores")
 def _(t):
-    return R.bm25(docs(t), ["the", "of-the"], _F).withColumn("score", F.round("score", 6))
+    return R.bm25(t.index, ["the", "of-the"]).withColumn("score", F.round("score", 6))
 
 
 @query("j6_text_scored", f"with {_bm25(['and'])} select a.id, a.kind, round(s.score, 6) as score from asset a join scores s on s.id = a.id where a.managed")
 def _(t):
     from ..operators.joins import text_scored
 
-    return text_scored(P.find(t, is_="managed"), R.bm25(docs(t), ["and"], _F)).select("id", "kind", F.round("score", 6).alias("score"))
+    return text_scored(P.find(t, is_="managed"), R.bm25(t.index, ["and"])).select("id", "kind", F.round("score", 6).alias("score"))
 
 
-_RANKS = "x as (select id, row_number() over (order by size desc, id) as rank from (select asset_id as id, max(size) as size from location where asset_id < 300 group by 1)), y as (select id, row_number() over (order by added_at, id) as rank from asset where kind = 'image' and id < 400)"
+_RANKS = "x as (select id, row_number() over (order by size desc, id) as rank from (select asset_id as id, max(size) as size from location group by 1)), y as (select id, row_number() over (order by added_at, id) as rank from asset where kind = 'image')"
 
 
 def _two(t):
-    x = t.location.where("asset_id < 300").groupBy(F.col("asset_id").alias("id")).agg(F.max("size").alias("score"))
-    y = t.asset.where("kind = 'image' and id < 400")
-    return R.ranked(x, ascending=False), y.select("id", F.row_number().over(Window.orderBy("added_at", "id")).alias("rank"))
+    x = t.location.groupBy(F.col("asset_id").alias("id")).agg(F.max("size").alias("score"))
+    y = P.find(t, kind="image").select("id", F.unix_micros(F.col("added_at").cast("timestamp")).alias("score"))
+    return R.ranked(x, ascending=False), R.ranked(y)
 
 
 @query("r5_fuse", f"with {_RANKS}, f as (select id, sum(1.0::double / (60 + rank)) as s from (select * from x union all select * from y) group by 1) select id, round(s, 6) as score from f")
@@ -91,7 +89,7 @@ _FUSED = "lit as (select id, row_number() over (order by score, id) as rank from
 
 def _hybrid(t, words, **kw):
     ranking = R.semantic(_queries(t).where("query_id = 0"), _library(t))
-    return R.search(t, docs(t), words, ranking, **kw)
+    return R.search(t, t.index, words, ranking, **kw)
 
 
 @query("r7_hybrid", f"{_SEM}, {_bm25(['the'], ['onon'])}, {_FUSED} select a.id, row_number() over (order by f.rank) as rank from asset a join fused f on f.id = a.id where a.kind = 'image'")
@@ -106,15 +104,31 @@ def _(t):
 
 @query("r8_text_order", f"with {_bm25(['the'])} select a.id, row_number() over (order by a.added_at desc, a.id) as rank from asset a join scores s on s.id = a.id")
 def _(t):
-    return R.search(t, docs(t), ["the"]).select("id", "rank")
+    return R.search(t, t.index, ["the"]).select("id", "rank")
 
 
 @query("r8_relevance", f"with {_bm25(['the'])} select a.id, row_number() over (order by round(s.score, 9), a.id) as rank from asset a join scores s on s.id = a.id")
 def _(t):
-    found = R.bm25(docs(t), ["the"], _F).withColumn("score", F.round("score", 9))
+    found = R.bm25(t.index, ["the"]).withColumn("score", F.round("score", 9))
     return t.asset.select("id").join(R.ranked(found), "id").select("id", "rank")
 
 
+@query("w1_search_by_size", f"with {_bm25(['the'])}, s as (select asset_id, max(size) as m from location group by 1) select a.id, row_number() over (order by s.m desc nulls last, a.id) as rank from asset a join scores x on x.id = a.id left join s on s.asset_id = a.id")
+def _(t):
+    return R.search(t, t.index, ["the"], order_by="size").select("id", "rank")
+
+
+@query("w3_search_page", f"with {_bm25(['the'])}, r as (select a.id, row_number() over (order by lower(a.title), a.id) as rank from asset a join scores x on x.id = a.id) select id, rank from r where rank between 26 and 50")
+def _(t):
+    return R.search(t, t.index, ["the"], order_by="name", limit=25, offset=25).select("id", "rank")
+
+
+@query("r2_match_fields", f"with {_POST} select id from post where token in ('ferry', 'bell') or (token = 'ferrybell' and field = 'filename') group by 1 having count(distinct token) = 1 and max(token) = 'ferrybell'")
+def _(t):
+    """Only file names hold the word."""
+    return R.match_all(t.index, ["ferryBell"])
+
+
 @query("r9_similar", f"""with v as (select query_id, vec_id as id, list_cosine_similarity(q::double[], embedding::double[]) as c from ({_QV}), embeddings where query_id <> vec_id), r as (select *, row_number() over (partition by query_id order by c desc, id) as rank from v), near as (select query_id, id, rank from r where rank <= 60 and c >= 0.8),
     h as ({_HASH}), d as (select q.id as query_id, h.id, bit_count(xor(q.v, h.v)) as distance from h q, h where q.id % 100 = 0 and q.id <> h.id and q.id not in (select query_id from near)), k as (select *, row_number() over (partition by query_id order by distance, id) as rank from d)
     select * from near union all select query_id, id, rank from k where rank <= 60 and distance <= 32""")
@@ -161,7 +175,7 @@ def _(t):
 
 @query("hybrid_find", f"with {_bm25(['the'])}, hit as (select s.id, s.score from scores s join asset a on a.id = s.id where exists (select 1 from asset_tag t join tag g on g.id = t.tag_id where t.asset_id = a.id and g.name = 'lang-en') and exists (select 1 from attribute x where x.asset_id = a.id and x.key = 'bytes' and x.value_num > 512)) select g.name, g.namespace, count(distinct t.asset_id) as n, (select count(*) from hit) as found from asset_tag t join tag g on g.id = t.tag_id where t.asset_id in (select id from hit) group by 1, 2 order by n desc, g.name limit 20")
 def _(t):
-    hits = R.search(t, docs(t), ["the"], order_by="relevance", tags=["lang-en"], num=[("size", ">", 512)])
+    hits = R.search(t, t.index, ["the"], order_by="relevance", tags=["lang-en"], num=[("size", ">", 512)])
     found = hits.agg(F.count("*").alias("found"))
     return A.facets(hits, t, 20).join(F.broadcast(found))
 
@@ -196,12 +210,16 @@ def _(t):
 def _link_sql() -> str:
     from .scalars import host_sql, words_sql
 
-    return f"select page_id as asset_id, 'source:' || {host_sql('url')} as name, 'structural' as source, null::double as confidence from pages union all select page_id, unnest(list_slice({words_sql('substring(html, 50, 200)')}, 1, 6)), 'heuristic', 0.5 from pages"
+    title = "regexp_extract(html, '(?i)<title>([^<]*)</title>', 1)"
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        title = f"replace({title}, '{entity}', '{sign}')"
+    return f"select page_id as asset_id, 'source:' || {host_sql('url')} as name, 'structural' as source, null::double as confidence from pages union all select page_id, unnest(list_slice({words_sql(title)}, 1, 6)), 'heuristic', 0.5 from pages"
 
 
 @query("t3_link_tags", _link_sql())
 def _(t):
-    return G.link_tags(t.pages.select(F.col("page_id").alias("asset_id"), "url", F.substring("html", 50, 200).alias("title")))
+    heads = L.html_head(t.pages, keep=("page_id", "url"))
+    return G.link_tags(heads.select(F.col("page_id").alias("asset_id"), "url", F.coalesce(F.try_element_at("head", F.lit("title")), F.lit("")).alias("title")))
 
 
 _LABELS = """lab as (select case when label < 5 then 'type' else 'style' end as namespace, concat('l', label) as name, label % 5 = 4 as background, x from (select label, list(x order by pos) as x from (select label, pos, avg(x) as x from (select label, unnest(range(1, len(embedding) + 1)) as pos, unnest(embedding)::double as x from embeddings) e group by all) m group by 1) p)"""

@@ -159,9 +159,9 @@ _TIDY = r"regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^(the |th
 _KEPT = rf"substring(trim(array_to_string(list_slice(string_split(regexp_replace({_TIDY}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1, 2), ' ')), 1, 300)"
 
 
-@query("f13_tidy", f"with x as (select conv_id, turn, {_KEPT} as kept from (select conv_id, turn, case when conv_id % 3 = 0 then 'The image  shows ' || lower(text) else text end as text from conversations where role = 'assistant')) select conv_id, turn, upper(substring(kept, 1, 1)) || substring(kept, 2) as caption from x")
+@query("f13_tidy", f"with x as (select conv_id, turn, {_KEPT} as kept from (select conv_id, turn, case when conv_id % 3 = 0 then 'The image  shows ' || lower(text) else text end as text from conversations)) select conv_id, turn, upper(substring(kept, 1, 1)) || substring(kept, 2) as caption from x")
 def _(t):
-    rows = t.conversations.where("role = 'assistant'").withColumn("text", F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("The image  shows "), F.lower("text"))).otherwise(F.col("text")))
+    rows = t.conversations.withColumn("text", F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("The image  shows "), F.lower("text"))).otherwise(F.col("text")))
     return rows.select("conv_id", "turn", T.tidy("text").alias("caption"))
 
 
@@ -243,10 +243,10 @@ def _(t):
     return S.with_kind(t.location, "abs_path").select("id", "kind")
 
 
-@query("s3_exclude", "select id from location where not (abs_path like '/lib/urgent/Tiles/%' or regexp_matches(abs_path, '/(UI[^/]*)(/|$)') or regexp_matches(abs_path, '[^/]*[13]\\.wav(/|$)') or regexp_matches(abs_path, 'Tree_[^/]v[^/]*') or regexp_matches(abs_path, '/Enemies/([^/]+/)*goblin[^/]*$'))")
+@query("s3_exclude", "select id from location where not (abs_path like '/lib/urgent/Paving/%' or regexp_matches(abs_path, '/(HUD[^/]*)(/|$)') or regexp_matches(abs_path, '[^/]*[13]\\.wav(/|$)') or regexp_matches(abs_path, 'Quay_[^/]v[^/]*') or regexp_matches(abs_path, '/NightBoats/([^/]+/)*ferry[^/]*$'))")
 def _(t):
     rows = t.location.withColumn("rel", F.substr("abs_path", F.lit(2)))
-    return S.exclude(rows, ["lib/urgent/Tiles/**", "UI*", "*[13].wav", "Tree_[!/]v*", "**/Enemies/**/goblin*"]).select("id")
+    return S.exclude(rows, ["lib/urgent/Paving/**", "HUD*", "*[13].wav", "Quay_[!/]v*", "**/NightBoats/**/ferry*"]).select("id")
 
 
 @query("s5_content_key", "select doc_id, substring(sha256(text), 1, 32) as key from documents")
@@ -266,7 +266,7 @@ def _(t):
 
 _SAFE = r"regexp_replace(regexp_replace(name, '\\', '/', 'g'), '^(/+|[A-Za-z]:(/+|$))+', '')"
 _SAFE_PARTS = f"list_filter(string_split({_SAFE}, '/'), lambda w: w <> '' and w <> '.' and w <> '..')"
-_MEMBER = "concat(case o_orderkey % 8 when 0 then '../../' when 1 then '/etc/' when 2 then 'C:/Windows/' when 3 then '{b}Win{b}' when 4 then '.hidden/' when 5 then './a/../b/' when 6 then '/C:/x/' else 'Pack/Tiles/' end, '.f', cast(o_orderkey as {text}), '.png')"
+_MEMBER = "concat(case o_orderkey % 8 when 0 then '../../' when 1 then '/etc/' when 2 then 'D:/Data/' when 3 then '{b}srv{b}' when 4 then '.cache/' when 5 then './k/../m/' when 6 then '/E:/q/' else 'Box/Inner/' end, '.f', cast(o_orderkey as {text}), '.png')"
 
 
 @query("i18_safe_relative", f"with m as (select o_orderkey as id, {_MEMBER.replace('{b}', chr(92)).replace('{text}', 'varchar')} as name from orders) select id, array_to_string(list_transform({_SAFE_PARTS}, lambda w: coalesce(nullif(regexp_replace(w, '^\\.+', ''), ''), '_')), '/') as path from m")

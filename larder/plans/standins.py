@@ -5,8 +5,18 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.catalog import Catalog
+from ..sources.shared import shared_folder
+
+if TYPE_CHECKING:
+    from ..operators.search import TextIndex
+
+#: Where an application has stored the text index of a folder's tables.
+_STORED: dict[tuple[str, str], str] = {}
 #: name: (the table in SQL that Spark and DuckDB share, or a text for each).
 _ASSET = """
 select doc_id as id, case lang when 'en' then 'image' when 'de' then 'model3d' when 'fr' then 'audio' else 'reference' end as kind,
@@ -24,7 +34,7 @@ select o_orderkey as id, o_custkey - 1 as asset_id, {root} as root_id, {path} as
 from orders"""
 _ROOT_OF = "case o_orderpriority when '1-URGENT' then 1 when '2-HIGH' then 2 when '3-MEDIUM' then 3 when '5-LOW' then 4 else 5 end"
 _DIR_OF = "case o_orderpriority when '1-URGENT' then '/lib/urgent/' when '2-HIGH' then '/lib/high/' when '3-MEDIUM' then '/lib/medium/' when '5-LOW' then '/lib/low/' else '/lib/high/other/' end"
-_PATH = f"concat({_DIR_OF}, case o_orderstatus when 'F' then 'Characters/Enemies/' when 'O' then 'Tiles/assets/' else 'UIIcons/' end, case o_orderkey % 3 when 0 then 'goblinWalk_' when 1 then 'Tree_Pine_v' else 'UIButton-' end, cast(o_orderkey as {{text}}), case o_orderkey % 5 when 0 then '.PNG' when 1 then '.fbx' when 2 then '_preview.png' when 3 then '.wav' else '.cs' end)"
+_PATH = f"concat({_DIR_OF}, case o_orderstatus when 'F' then 'Harbour/NightBoats/' when 'O' then 'Paving/assets/' else 'HUDDials/' end, case o_orderkey % 3 when 0 then 'ferryBell_' when 1 then 'Quay_Lamp_v' else 'HUDLever-' end, cast(o_orderkey as {{text}}), case o_orderkey % 5 when 0 then '.PNG' when 1 then '.fbx' when 2 then '_preview.png' when 3 then '.wav' else '.cs' end)"
 _TAGS = """
 select doc_id as asset_id, concat('lang-', lang) as name, 'type' as namespace, 'structural' as source, cast(null as double) as confidence from documents
 union all select doc_id, source, 'source', 'structural', null from documents
@@ -97,6 +107,19 @@ class Tables:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         raise AttributeError(name)
 
+    @cached_property
+    def index(self) -> TextIndex:
+        """The text index of the items, all five fields, stored beside a catalogue once an application and folder; searches read the buckets of their words."""
+        from ..operators.aggregates import text_docs
+        from ..operators.search import TextIndex
+
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _STORED:
+            folder = shared_folder(self.spark)
+            TextIndex.of(text_docs(self)).store(Catalog(self.spark, folder))
+            _STORED[key] = folder
+        return TextIndex.stored(Catalog(self.spark, _STORED[key]))
+
     def _from(self, name: str, parts: tuple[str, ...]) -> DataFrame:
         """SQL over frames given by name, without naming anything in the session."""
         text = _texts(_SPARK)[name]

@@ -15,7 +15,11 @@ DEFAULT_EXCLUDES = ("**/Library/**", "**/Temp/**", "**/Obj/**", "**/Build/**", "
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """path, size and mtime of the files under a folder; no content is read. Symbolic links look like what they point at."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)  # folders named key=value are no partitions here
+    if not recursive:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        folder = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+        found = found.where(F.regexp_replace("path", "/[^/]*$", "") == folder)
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 

@@ -3,29 +3,61 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.backlog import ATTEMPTS
-from ..operators.sync import upsert_locations
+from ..operators.ranking import placed
+from ..operators.sync import classify, mark_absent, needs_hash, new_assets
 from ..sources.catalog import Catalog
-from ..sources.shared import shared_folder
+from ..sources.shared import settled, shared_folder
 
 
-def start_ingest(rows: DataFrame, catalog: Catalog, checkpoint: str) -> StreamingQuery:
-    """Merge a stream of files (abs_path, asset_id, root_id, size, mtime) into the location table, batch by batch.
+def ingest(catalog: Catalog, files: DataFrame, stamp: Column, scanned: DataFrame | None = None) -> DataFrame:
+    """Merge a listing (path, content_hash, kind, title, mode, root_id, size, mtime) into a catalogue's items and locations.
 
-    A batch upserts by path, so one that is replayed after a failure changes nothing.
+    Files whose size and time are known keep their item; new contents become items; paths seen are present, and those
+    of ``scanned`` roots (id) that are not are absent. Only rows that change are written. Returns the files with their
+    status. Merging a listing again changes no item and no location but for ``last_seen``.
+    """
+    listing = settled(files.groupBy("path").agg(F.max_by(F.struct("content_hash", "kind", "title", "mode", "root_id", "size", "mtime"), "mtime").alias("x")).select("path", "x.*"))
+    began = {name: catalog.versions(name) for name in ("asset", "location")}
+    asset, location = catalog.read("asset"), catalog.read("location")
+    to_hash = needs_hash(listing, location)
+    known = listing.join(to_hash.select("path"), "path", "left_anti").join(location.select(F.col("abs_path").alias("path"), "asset_id"), "path")
+    fresh = settled(new_assets(to_hash, asset, stamp))
+    items = asset.select("id", "content_hash").union(fresh.select("id", "content_hash"))
+    status = classify(to_hash, asset.select("id", "content_hash"), location)
+    hashed = status.drop("asset_id").join(items.select(F.col("content_hash").alias("_h"), F.col("id").alias("asset_id")), F.col("content_hash") == F.col("_h")).drop("_h")
+    seen = settled(hashed.select("path", "asset_id", "root_id", "size", "mtime", "status").union(known.select("path", "asset_id", "root_id", "size", "mtime", F.lit("unchanged"))))
+    old = location.select("abs_path", F.col("id").alias("_id"))
+    places = seen.select(F.col("path").alias("abs_path"), "asset_id", "root_id", "size", "mtime").join(old, "abs_path", "left").withColumns({"last_seen": stamp, "present": F.lit(True)})
+    last = location.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_last"))  # one row
+    added = placed(places.where("_id is null"), F.asc("abs_path"), name="_new").join(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("_new"))
+    changed = places.where("_id is not null").withColumnRenamed("_id", "id").unionByName(added.drop("_id", "_new", "_last"))
+    if scanned is not None:
+        gone = mark_absent(location.join(seen.select(F.col("path").alias("abs_path")), "abs_path", "left_anti").where("present"), stamp, scanned).where("not present")
+        changed = changed.unionByName(gone.select(*changed.columns))
+    # the version each table had when it was read: another writer in between makes this one fail, not lose rows
+    if not began["asset"] or fresh.limit(1).count():
+        catalog.append("asset", fresh.select(*[fresh[c] if c in fresh.columns else F.lit(None).alias(c) for c in asset.columns]), began["asset"])
+    catalog.append("location", changed, began["location"])
+    return seen.select("path", "asset_id", "status")
+
+
+def start_ingest(rows: DataFrame, catalog: Catalog, checkpoint: str, scanned: DataFrame | None = None) -> StreamingQuery:
+    """``ingest`` each batch of a stream of listings; with ``scanned`` every batch is all that those roots hold.
+
+    Items are known by content and locations by path, so a batch that is replayed after a failure changes nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("abs_path").agg(F.max_by(F.struct("asset_id", "root_id", "size", "mtime"), "mtime").alias("x")).select("abs_path", "x.*")
-        old = catalog.read("location")
-        catalog.write("location", upsert_locations(old, latest, F.localtimestamp()).withColumn("id", F.xxhash64("abs_path")))
+        ingest(catalog, batch, F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp_ntz"), scanned)  # one stamp a batch
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -35,13 +67,18 @@ def dedupe_stream(rows: DataFrame, keys: list[str], time: str, delay: str) -> Da
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def fold_attempts_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
+def fold_attempts_stream(log: DataFrame, delay: str = "1 hour", keep: str = "90 days") -> DataFrame:
     """State of each key of a stream of attempts (key, ts, seq, outcome) after each batch: key, state, attempts, seen.
 
-    ``seen`` counts the key's rows, so the row with the largest is the latest. Rows later than ``delay`` are dropped.
+    ``seen`` counts the key's rows, so the row with the largest is the latest. Rows later than ``delay`` are dropped. A
+    key without attempts for ``keep`` is forgotten (it begins anew), so the state is that of the keys of that time.
     """
+    hold = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         attempts, last, seen = state.get if state.exists else (0, "", 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
         for outcome in rows["outcome"]:
@@ -51,11 +88,12 @@ def fold_attempts_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
             elif outcome in ("success", "failure"):
                 attempts, last = attempts + (outcome == "failure"), outcome
         state.update((int(attempts), last, int(seen)))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().value // 1_000_000), state.getCurrentWatermarkMs()) + hold)
         now = "done" if last == "success" else "failed" if attempts >= ATTEMPTS else "pending"
         yield pd.DataFrame({"key": [key[0]], "state": [now], "attempts": [attempts], "seen": [seen]})
 
     kind = dict(log.dtypes)["key"]
-    return log.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(fold, f"key {kind}, state string, attempts long, seen long", "attempts long, last string, seen long", "update", GroupStateTimeout.NoTimeout)
+    return log.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(fold, f"key {kind}, state string, attempts long, seen long", "attempts long, last string, seen long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def absent_stream(rows: DataFrame, keep: str, delay: str) -> DataFrame:

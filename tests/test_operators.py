@@ -1,5 +1,7 @@
 """Invariants of sync, edits, names, streams and detectors, with near misses."""
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,12 +9,15 @@ from pyspark.sql import functions as F
 from larder.operators import features as D
 from larder.operators import filters as P
 from larder.operators import joins as J
+from larder.operators import ranking as W
 from larder.operators import search as R
 from larder.operators import sets as U
 from larder.operators import sync as I
 from larder.operators import transfer as X
+from larder.operators.aggregates import text_docs
 from larder.plans.standins import Tables
-from larder.sources.catalog import SCHEMAS, Catalog
+from larder.sources.catalog import SCHEMAS, Catalog, ConcurrentWrite
+from larder.streaming.streams import ingest
 
 from .oracle import SF
 
@@ -133,7 +138,7 @@ def test_numbered_with_ties_and_nulls(spark, monkeypatch):
     rows = [(i, None if i % 50 == 0 else float(i % 7 == 0) if i % 3 else i / 10) for i in range(1000)]
     df = spark.createDataFrame(rows, "id bigint, score double").repartition(5)
     for up, most in ((True, 10), (False, 10), (True, 5000)):
-        monkeypatch.setattr(R, "ONE_TASK", most)
+        monkeypatch.setattr(W, "ONE_TASK", most)
         got = dict(map(tuple, R.ranked(df, up).collect()))
         want = sorted(rows, key=lambda r: (r[1] is None, (r[1] or 0) if up else -(r[1] or 0), r[0]))
         assert got == {i: k for k, (i, _) in enumerate(want, 1)}
@@ -154,6 +159,125 @@ def test_catalog_versions(spark, tmp_path):
     catalog.write("tag", spark.createDataFrame([(1, "a", None)], SCHEMAS["tag"]))
     catalog.write("tag", catalog.tag.union(spark.createDataFrame([(2, "b", None)], SCHEMAS["tag"])))
     assert catalog.tag.count() == 2
+    # a write that was cut off is not seen, and a later one is
+    spark.createDataFrame([(9, "z", None)], SCHEMAS["tag"]).write.parquet(str(tmp_path / "tag/_writing-lost/v"))
+    assert catalog.tag.count() == 2
+    # two writers from one version: the second fails and loses nothing
+    began = catalog.versions("tag")
+    catalog.append("tag", spark.createDataFrame([(2, "c", None), (3, "d", None)], SCHEMAS["tag"]), began)
+    with pytest.raises(ConcurrentWrite):
+        catalog.write("tag", catalog.tag.limit(1), began)
+    assert sorted((r["id"], r["name"]) for r in catalog.tag.collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    for k in range(5):
+        catalog.append("tag", spark.createDataFrame([(k, f"n{k}", None)], SCHEMAS["tag"]), most=3)
+    assert sorted((r["id"], r["name"]) for r in catalog.tag.collect()) == [(k, f"n{k}") for k in range(5)]
+    assert sum(v.endswith("v") for v in catalog.versions("tag")) > 2
+    # changes without a whole version are an error, not an empty table
+    spark.createDataFrame([(1, "/a")], "id bigint, path string").write.parquet(str(tmp_path / "root/000000000001/d"))
+    with pytest.raises(FileNotFoundError):
+        catalog.read("root")
+
+
+def test_ingest_of_snapshots(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    kind = "path string, content_hash string, kind string, title string, mode string, root_id bigint, size bigint, mtime timestamp_ntz"
+    stamp = lambda day: F.lit(f"2030-01-0{day}").cast("timestamp_ntz")
+    day = datetime(2020, 1, 1)
+
+    def go(rows, n):
+        return {r["path"]: r["status"] for r in ingest(catalog, spark.createDataFrame([(p, h, "image", p, "indexed", root, size, day) for p, h, root, size in rows], kind), stamp(n), spark.range(2)).collect()}
+
+    assert go([("/a", "x", 0, 1), ("/b", "x", 0, 1), ("/c", "y", 1, 1), ("/far", "q", 7, 1)], 1) == dict.fromkeys(["/a", "/b", "/c", "/far"], "added")
+    ids = {r["abs_path"]: r["id"] for r in catalog.location.collect()}
+    assert sorted(ids.values()) == [0, 1, 2, 3] or sorted(ids.values()) == [1, 2, 3, 4]
+    assert go([("/a", "x", 0, 1), ("/moved", "y", 1, 1), ("/b", "z", 0, 2)], 2) == {"/a": "unchanged", "/moved": "relinked", "/b": "added"}
+    rows = {r["abs_path"]: r for r in catalog.location.collect()}
+    assert {p: r["present"] for p, r in rows.items()} == {"/a": True, "/b": True, "/c": False, "/moved": True, "/far": True}
+    assert all(rows[p]["id"] == ids[p] for p in ids)
+    assert rows["/moved"]["asset_id"] == rows["/c"]["asset_id"]
+    assert catalog.asset.count() == 4
+    assert go([("/c", "y", 1, 1), ("/a", "x", 0, 1), ("/b", "x", 0, 3)], 3) == {"/c": "unchanged", "/a": "unchanged", "/b": "updated"}
+    again = sorted(map(str, catalog.location.collect()))
+    go([("/c", "y", 1, 1), ("/a", "x", 0, 1), ("/b", "x", 0, 3)], 3)
+    assert sorted(map(str, catalog.location.collect())) == again
+    assert catalog.asset.count() == 4
+
+
+def test_stored_index_reads_buckets(spark, tmp_path):
+    t = Tables(spark, SF)
+    docs = text_docs(t)
+    index = R.TextIndex.of(docs).store(Catalog(spark, str(tmp_path)), 8)
+    for words in (["the"], ["of the", "onon"], ["ferryBell"], ["*"]):
+        want = {r["id"]: round(r["score"], 9) for r in R.bm25(docs, words).collect()}
+        assert {r["id"]: round(r["score"], 9) for r in R.bm25(index, words).collect()} == want
+    plan = index.of_tokens(["onon"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert "token" in plan.split("PushedFilters")[1]
+
+
+@pytest.mark.parametrize("queries", [2, 2048])
+def test_nearest_against_brute_force(spark, queries, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(J, "QUERIES", queries)
+    monkeypatch.setattr(J, "CELLS", 16)
+    v = {i: rng.integers(-2, 3, 5).astype(float) for i in range(60)}  # many ties
+    rows = [(i, x.tolist()) for i, x in v.items()] + [(100, None), (101, [1.0, 2.0]), (102, [0.0] * 5)]
+    lib = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(3)
+    asked = lib.where("id % 9 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    got = {}
+    for r in W.top_k(asked, lib, 7, -2.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 9)))
+    unit = {i: x / np.linalg.norm(x) for i, x in v.items() if x.any()}
+    for q in (i for i in unit if i % 9 == 0):
+        want = sorted((-round(float(unit[q] @ x), 9), i) for i, x in unit.items() if i != q)[:7]
+        assert got[q] == [(i, -s) for s, i in want]
+
+
+def test_names_of_a_large_family(spark):
+    """As many contents under one name as there are: in order, and in time that grows with them."""
+    rows = [("f", "image.png", str(k % 5000), k) for k in range(10_000)]
+    got = X.resolve_names(spark.createDataFrame(rows, "folder string, name string, content_hash string, ord bigint")).collect()
+    assert {r["target"] for r in got if r["fresh"]} == {"image.png", *[f"image-{k}.png" for k in range(1, 5000)]}
+    assert all(r["target"] == ("image.png" if int(r["content_hash"]) == 0 else f"image-{r['content_hash']}.png") for r in got)
+
+
+@pytest.mark.parametrize("scheme", ["export", "import"])
+def test_names_against_one_by_one(scheme):
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        names, taken, tried = X._Names(scheme), {}, {}
+        for _ in range(40):
+            name, digest = str(rng.choice(["a.x", "a-1.x", "a-2.x", "a-01.x", "a-1-1.x", "b", "b-3"])), str(rng.integers(0, 6))
+            target = name
+            if (name, digest) in tried:
+                target = tried[name, digest]
+            else:
+                stem, dot, ext = name.rpartition(".")
+                stem, ext = (stem, dot + ext) if stem else (name, "")
+                k = 0
+                while target in taken and taken[target] != digest:
+                    k += 1
+                    head, dash, tail = target.removesuffix(ext).rpartition("-")
+                    target = f"{stem}-{k}{ext}" if scheme == "import" else f"{head}-{int(tail) + 1}{ext}" if dash and tail.isdecimal() else f"{target.removesuffix(ext)}-1{ext}"
+            fresh = target not in taken
+            assert names.target(name, digest) == (target, fresh)
+            taken[target] = digest
+            tried[name, digest] = target
+
+
+def test_saved_searches_of_negated_terms_only(spark):
+    t = Tables(spark, SF)
+    terms = spark.createDataFrame([(1, "kind", "=", "image", True), (2, "tag", "=", "good", True), (2, "bytes", ">", "1kb", True)], "query_id bigint, field string, op string, value string, negated boolean")
+    got = {(r["query_id"], r["id"]) for r in P.saved_searches(terms, t).select("query_id", "id").collect()}
+    want = {(1, r["id"]) for r in P.find(t, not_kind="image").collect()} | {(2, r["id"]) for r in P.find(t, not_tags=["good"], not_num=[("bytes", ">", "1kb")]).collect()}
+    assert got == want
+
+
+def test_credits_file(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "image", "a", "S", "L", "u"), (2, "image", "b", None, None, None), (3, "reference", "r2", None, None, None), (2, "reference", "r1", None, None, None)], "ord bigint, kind string, title string, source_name string, license string, source_url string")
+    X.write_credits(X.credits(rows), str(tmp_path / "c"))
+    lines = "".join(f.read_text() for f in sorted((tmp_path / "c").glob("part-*"))).split("\n")
+    assert [x for x in lines if x] == ["## S", "Licence: L", "u", "- a", "## No source or licence recorded", "- b", "## References", "- r1", "- r2"]
 
 
 def px(spark, arrays):
