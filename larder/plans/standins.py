@@ -64,8 +64,8 @@ from (select l_suppkey as collection_id, l_partkey - 1 as asset_id, min(l_orderk
 
 _SPARK = {
     "text": "string", "ntz": "timestamp_ntz", "minutes": "make_dt_interval(0, 0, cast(doc_id * 37 % 100000 as int))", "minutes2": "make_dt_interval(0, 0, cast(doc_id * 53 % 100000 as int))",
-    "key": "substring(sha2(cast(text as binary), 256), 1, 32)", "title": "array_join(slice(split(text, ' '), 1, 4), ' ')", "size": "cast(round(o_totalprice * 100) as bigint)",
-    "word": "regexp_replace(lower(split_part(text, ' ', 1)), '[^a-z0-9]', '')", "tag_id": "cast(conv(substring(md5(name), 1, 12), 16, 10) as bigint)",
+    "key": "substring(sha2(cast(text as binary), 256), 1, 32)", "title": "substring_index(text, ' ', 4)", "size": "cast(round(o_totalprice * 100) as bigint)",
+    "word": "regexp_replace(lower(substring_index(text, ' ', 1)), '[^a-z0-9]', '')", "tag_id": "cast(conv(substring(md5(name), 1, 12), 16, 10) as bigint)",
 }
 _DUCK = {
     "text": "varchar", "ntz": "timestamp", "minutes": "to_minutes(doc_id * 37 % 100000)", "minutes2": "to_minutes(doc_id * 53 % 100000)",
