@@ -5,7 +5,8 @@ distance of two embeddings is a lower bound of the Hamming distance. The grid: t
 two points within Manhattan distance r differ in at most r blocks, so they share the cell of at least one choice of
 GROUPS - r blocks, and every choice is one key of an equi-join. Within a cell the Manhattan bound is checked first,
 then the exact distance. A cell yields a spanning forest of its links (at most one edge a point), never all its
-pairs; a cell of more than ``CELL`` points is split into blocks and dealt as pairs of blocks, so no task holds it.
+pairs; a cell of more than ``CELL`` points is split into blocks, so no task holds it, and only what its blocks do not
+connect is compared further.
 Equal fingerprints are one point, so copies add no work.
 
 Null and empty texts have fingerprint zero and link like any other. Texts are taken whole. Rows that share a doc_id
@@ -163,18 +164,37 @@ def links(points: DataFrame, propose: int = 1, judge: Callable[[np.ndarray, np.n
     return _dealt(points.select(keys.alias("key"), "node", *names), _scan(len(names), close), cell)
 
 
+def _scanned(keyed: DataFrame, scan: Callable) -> DataFrame:
+    return keyed.repartition("key").sortWithinPartitions("key", "node").transform(in_batches, scan, "a long, b long")
+
+
 def _dealt(keyed: DataFrame, scan: Callable, cell: int) -> DataFrame:
-    """Edges (a, b) that ``scan`` finds in the cells of ``keyed`` (key, node, what it reads); a cell beyond ``cell`` rows is dealt as pairs of blocks."""
+    """Edges (a, b) that connect what ``scan`` would link in the cells of ``keyed`` (key, node, what it reads).
+
+    A cell beyond ``cell`` rows is scanned in blocks. What these connect already need not be compared again, so of such
+    a cell only the nodes outside its largest part meet all others, in pairs of a block of them and a block of all: a
+    large group of copies of one another is linked in proportion to its rows.
+    """
     names = keyed.columns[2:]
     large = cut(keyed.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / cell).alias("blocks")))
-    if large.count():  # at most one cell in ``cell`` of the keyed rows; adaptive execution picks the join
-        block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks"))
-        other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        spread = keyed.join(large, "key", "left").withColumn("block", block).withColumn("other", other)
-        keyed = spread.select(F.when(F.col("other").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "node", *names)
-
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.transform(in_batches, scan, "a long, b long")
+    if not large.limit(1).count():  # at most one cell in ``cell`` of the keyed rows; adaptive execution picks the joins
+        return _scanned(keyed, scan)
+    dealt = lambda word, n: F.pmod(F.xxhash64(F.lit(word), "node"), F.col(n))
+    blocked = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", dealt("block", "blocks"))).alias("key")
+    roots = cut(components(_scanned(keyed.join(large, "key", "left").select(blocked, "node", *names), scan)))
+    hot = keyed.select("key", "node").join(large, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = hot.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rest = cut(hot.join(parts, "key").where("root <> main").select("key", "node", "blocks"))
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if not rest.limit(1).count():
+        return edges
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / cell).alias("others"), F.first("blocks").alias("blocks"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    every = keyed.select("key", "node").join(sizes, "key").select("key", "node", F.explode(F.transform(upto("others"), lambda i: F.struct(i.alias("i"), dealt("block", "blocks").alias("j")))).alias("at"))
+    apart = rest.join(sizes.select("key", "others"), "key").select("key", "node", F.explode(F.transform(upto("blocks"), lambda j: F.struct(dealt("other", "others").alias("i"), j.alias("j")))).alias("at"))
+    pairs = every.union(apart).distinct().select("key", "node", F.xxhash64("key", "at").alias("_cell"))
+    again = pairs.join(keyed, ["key", "node"]).select(F.col("_cell").alias("key"), "node", *names)
+    return edges.union(_scanned(again, scan))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, groups: int = GROUPS, cell: int = CELL) -> DataFrame:
