@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, in_batches, lower, mixed, packed, run_hashes, runs, sized, table, without
+from .common import SMALL, chunks, cut, in_batches, lower, mixed, packed, run_hashes, runs, sized, table, without
 from .common import _SPACE as SPACE
 from .components import components
 
@@ -177,21 +177,23 @@ def _dealt(keyed: DataFrame, scan: Callable, cell: int) -> DataFrame:
     """
     names = keyed.columns[2:]
     large = cut(keyed.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / cell).alias("blocks")))
-    if not large.limit(1).count():  # at most one cell in ``cell`` of the keyed rows; adaptive execution picks the joins
+    many = large.count()  # at most one cell in ``cell`` of the keyed rows
+    if not many:
         return _scanned(keyed, scan)
+    few = lambda cells: F.broadcast(cells) if many <= SMALL else cells  # noqa: E731  so that no cell's rows are brought together to learn its size
     dealt = lambda word, n: F.pmod(F.xxhash64(F.lit(word), "node"), F.col(n))
     blocked = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", dealt("block", "blocks"))).alias("key")
-    roots = cut(components(_scanned(keyed.join(large, "key", "left").select(blocked, "node", *names), scan)))
-    hot = keyed.select("key", "node").join(large, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = cut(components(_scanned(keyed.join(few(large), "key", "left").select(blocked, "node", *names), scan)))
+    hot = keyed.select("key", "node").join(few(large), "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = hot.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rest = cut(hot.join(parts, "key").where("root <> main").select("key", "node", "blocks"))
+    rest = cut(hot.join(few(parts), "key").where("root <> main").select("key", "node", "blocks"))
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if not rest.limit(1).count():
         return edges
     sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / cell).alias("others"), F.first("blocks").alias("blocks"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    every = keyed.select("key", "node").join(sizes, "key").select("key", "node", F.explode(F.transform(upto("others"), lambda i: F.struct(i.alias("i"), dealt("block", "blocks").alias("j")))).alias("at"))
-    apart = rest.join(sizes.select("key", "others"), "key").select("key", "node", F.explode(F.transform(upto("blocks"), lambda j: F.struct(dealt("other", "others").alias("i"), j.alias("j")))).alias("at"))
+    every = keyed.select("key", "node").join(few(sizes), "key").select("key", "node", F.explode(F.transform(upto("others"), lambda i: F.struct(i.alias("i"), dealt("block", "blocks").alias("j")))).alias("at"))
+    apart = rest.join(few(sizes.select("key", "others")), "key").select("key", "node", F.explode(F.transform(upto("blocks"), lambda j: F.struct(dealt("other", "others").alias("i"), j.alias("j")))).alias("at"))
     pairs = every.union(apart).distinct().select("key", "node", F.xxhash64("key", "at").alias("_cell"))
     again = pairs.join(keyed, ["key", "node"]).select(F.col("_cell").alias("key"), "node", *names)
     return edges.union(_scanned(again, scan))
