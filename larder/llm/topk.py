@@ -14,8 +14,8 @@ smaller vec_id. A vector that is null, empty or holds a null or non-finite compo
 vec_id; vectors of different lengths are not compared. Rows that repeat a vec_id are one query (the least vector of them
 asks) and separate candidates with equal ids, never candidates of their own id. With fewer than k candidates all are
 returned, with none the query has no rows. Columns other than vec_id and embedding are not read. The phases compare in
-doubles with a margin for rounding and the last sum is of whole numbers, so results are exact for components below 2^28
-in size; larger ones raise.
+doubles with a margin for rounding and the last sum is of whole numbers, so results are exact. Components of 2^62 or more
+in size raise, and so does a score that may be among the k best and is no 64-bit number.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, in_batches, table
 
 #: Results of a query, blocks of axes, queries broadcast at once, local scores and entries held at once, the largest component, and the margin for rounding in parts of the vectors' norms.
-K, NODES, QUERY_BLOCK, CELLS, LARGEST, MARGIN = 10, 2, 8192, 1 << 20, 1 << 28, 1e-9
+K, NODES, QUERY_BLOCK, CELLS, LARGEST, MARGIN = 10, 2, 8192, 1 << 20, 1 << 62, 1e-9
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def vectors(rows: DataFrame) -> DataFrame:
     sound = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
     big = F.exists(x, lambda c: F.abs(1024 * c) >= LARGEST)
     v = F.transform(x, lambda c: F.floor(1024 * c).cast("bigint"))
-    return rows.where(sound).select("vec_id", F.when(big, F.raise_error(F.lit("a component is too large for exact sums"))).otherwise(v).alias("v"))
+    return rows.where(sound).select("vec_id", F.when(big, F.raise_error(F.lit("a component is too large"))).otherwise(v).alias("v"))
 
 
 def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -49,6 +49,11 @@ def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {int(n): (at := np.flatnonzero(sizes == n), flat[(starts[at][:, None] + np.arange(n))]) for n in np.unique(sizes)}
 
 
+def _margin(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What rounding may change of the scores of queries and rows, in doubles (queries x rows)."""
+    return MARGIN * (1 + np.linalg.norm(q.astype(float), axis=1)[:, None] * np.linalg.norm(x.astype(float), axis=1)[None, :])
+
+
 def _axes(n: int, nodes: int) -> list[slice]:
     edges = [round(k * n / nodes) for k in range(nodes + 1)]
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -96,10 +101,14 @@ def resolved(q: np.ndarray, x: np.ndarray, parts: list[np.ndarray], entries: tup
         missing = np.flatnonzero(~s)
         total[missing] += p[at[missing], col[missing]]
     left = np.flatnonzero(total >= least[at] - margin[at, col])
-    at, col = at[left], col[left]
+    at, col, total = at[left], col[left], total[left]
     step = max(1, CELLS // q.shape[1])
-    exact = [(q[at[i : i + step]] * x[col[i : i + step]]).sum(axis=1) for i in range(0, len(at), step)]
-    return at, col, np.concatenate([np.zeros(0, np.int64), *exact])
+    # sums of 64-bit numbers are right modulo 2^64, whatever lies between, so they are right where the score is such a number
+    exact = np.concatenate([np.zeros(0, np.int64), *[(q[at[i : i + step]] * x[col[i : i + step]]).sum(axis=1) for i in range(0, len(at), step)]])
+    for i in np.flatnonzero(np.abs(total) + margin[at, col] >= 2.0**63).tolist():
+        if not -(1 << 63) <= sum(a * b for a, b in zip(q[at[i]].tolist(), x[col[i]].tolist(), strict=True)) < 1 << 63:
+            raise OverflowError("a score is no 64-bit number")
+    return at, col, exact
 
 
 def _search(queries: dict, rows: DataFrame, k: int, nodes: int) -> DataFrame:
@@ -108,7 +117,8 @@ def _search(queries: dict, rows: DataFrame, k: int, nodes: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, np.ndarray] = {}  # by length: the k best sums of each query
-        for qid, q, ids, _, parts in _batches(batches, shared.value, nodes):
+        for qid, q, ids, x, parts in _batches(batches, shared.value, nodes):
+            parts[0] -= _margin(q, x)  # no sum is above the score, so the cutoff is not
             sums = listed(parts, ids[None, :] == qid[:, None], k)
             if (n := q.shape[1]) in best:
                 sums = np.concatenate([best[n], sums], axis=1)
@@ -124,8 +134,7 @@ def _search(queries: dict, rows: DataFrame, k: int, nodes: int) -> DataFrame:
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for qid, q, ids, x, parts in _batches(batches, shared.value, nodes):
-            least = cutoff.value[q.shape[1]]
-            margin = MARGIN * (1 + np.linalg.norm(q.astype(float), axis=1)[:, None] * np.linalg.norm(x.astype(float), axis=1)[None, :])
+            least, margin = cutoff.value[q.shape[1]], _margin(q, x)
             entries = sufficient(parts, ids[None, :] == qid[:, None], least, margin)
             at, col, score = resolved(q, x, parts, entries, least, margin)
             yield pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(ids[col]), pa.array(score)], names=["query_id", "vec_id", "score"])

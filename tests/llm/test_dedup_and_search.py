@@ -167,11 +167,24 @@ def test_top_k_edges(spark):
     assert topk.top_k(few, none).count() == 0
     large = topk.vectors(spark.createDataFrame([(0, [2.0e5, 1.0]), (1, [2.0e5, 3.0]), (2, [2.0e5, -7.0]), (3, [2.0e5, 3.0])], "vec_id long, embedding array<double>"))
     assert [r["vec_id"] for r in topk.top_k(large, large.where("vec_id = 0"), 2).orderBy("rank").collect()] == [1, 3]
-    big = spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>")
+    big = spark.createDataFrame([(0, [1e16])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="too large"):
         topk.vectors(big).collect()
 
 
+def test_top_k_of_large_components(spark):
+    """Products beyond 64 bits that cancel give exact scores; a score beyond 64 bits raises."""
+    rng = np.random.default_rng(3)
+    data = {i: [4e6, 4e6, float(rng.integers(-9, 9))] if i == 0 else [a := 4e6 + float(rng.integers(-900, 900)), -a + float(rng.integers(-9, 9)) / 8, float(rng.integers(-9, 9))] for i in range(60)}
+    rows = topk.vectors(spark.createDataFrame(list(data.items()), "vec_id long, embedding array<double>").repartition(3))
+    ints = {i: [int(1024 * x) for x in v] for i, v in data.items()}
+    want = sorted((-sum(a * b for a, b in zip(ints[0], v, strict=True)), i) for i, v in ints.items() if i)[:7]
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(rows, rows.where("vec_id = 0"), 7).orderBy("rank").collect()] == [(i, -s) for s, i in want]
+    over = topk.vectors(spark.createDataFrame([(0, [4e6]), (1, [4e6])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="no 64-bit number"):
+        topk.top_k(over, over.where("vec_id = 0")).collect()
+
+
 @pytest.mark.parametrize("nodes", [1, 2, 5])
 def test_top_k_phases(nodes):
     """The cutoff is safe, what is collected holds all that reach it and far less than all pairs, and scores are exact."""
