@@ -202,7 +202,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     found = docs.select("doc_id", "text").transform(in_batches, of_docs, _WORDS).join(bench, ["h", "w"])
     values = F.when(F.col("written") | F.col("item_written"), F.col("item_slots")).otherwise(F.col("slots"))  # as written: those of the item, also where only one side has a placeholder
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", values.alias("slots")))))
+    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", values.alias("slots")))))
     lines = found.groupBy("doc_id", "item_id", "n_words", "w", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.array_sort(F.collect_set("item_pos")).alias("at"), pairs.alias("pairs"))
     steps = F.zip_with(F.slice("at", 2, F.size("at")), F.slice("at", 1, F.size("at") - 1), lambda x, y: F.least(x - y, F.col("w")))
     covered = F.aggregate(steps, F.col("w"), lambda x, y: x + y)  # words in any matching window
@@ -214,9 +214,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark; a row without doc_id is known by the hash of its text."""
+    """The rows of ``docs`` that hold no item of the benchmark; a row without doc_id is known by the hash of its text, and stays if it has none."""
     key = unused(docs, "_key")
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").isNotNull(), F.xxhash64("text"))))
     found = leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark)
     return without(keyed, found.select(F.col("doc_id").alias(key)), key).drop(key)
 

@@ -197,6 +197,8 @@ def test_rows_without_an_id(spark):
     assert left.columns == docs.columns
     assert sorted(r["_gone"] for r in left.collect()) == [2, 3, 5]
     assert sorted(r["_gone"] for r in simhash.deduplicated(docs).collect()) == [1, 2, 3, 4, 5]
+    seed = spark.createDataFrame([(42, FILL + ITEM), (None, None)], "doc_id long, text string")  # 42 is the hash of null
+    assert [tuple(r) for r in decontaminate.cleaned(seed, bench).collect()] == [(None, None)]
 
 
 def test_short_items(spark):
