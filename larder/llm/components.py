@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long): root is the smallest node it is connected with.
 
     Loops and repeated edges are harmless, an edge with a null end is ignored, no edges give no rows. A hub of
-    any degree is a skewed join, which adaptive execution splits; no group is collected.
+    any degree is a skewed join, which adaptive execution splits; no group is collected. Rounds go on until one changes
+    nothing: their number grows with the square of the logarithm of the nodes at most.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
-    for _ in range(most):
+    while True:
         both = e.union(e.select("v", "u")).toDF("x", "y")
         low = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("x2"), F.least("m", "x").alias("m"))
         large = both.where("y > x").join(low, F.col("x") == F.col("x2")).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
@@ -27,6 +28,4 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

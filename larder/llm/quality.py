@@ -6,7 +6,8 @@ word repeats the one before) in the whole text, drawn towards zero in short ones
 the expected grade and the tail probability of every document follow from one pass.
 
 A null or empty text has no features: its grade follows from the thresholds alone. Null ratings and ratings of
-unknown documents are not learned from; repeated ratings of a document count once, the lowest. With fewer than two
+unknown documents are not learned from; repeated ratings of a document count once, the lowest, and of rows that
+repeat a doc_id the least text is learned from. With fewer than two
 grades to learn from every document gets that grade (0 if there is none). Rows come out one for one; other columns of
 the documents and of the ratings are not read, whatever their names.
 """
@@ -130,7 +131,8 @@ def learn(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("double").alias("y"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a bounded table, so it is broadcast
     texts = docs.select(F.col("doc_id").alias("_doc"), "text")  # no other column can clash
-    rows = features(texts.join(F.broadcast(rated.withColumnRenamed("doc_id", "_id")), F.col("_doc") == F.col("_id")).select("text", "y")).toArrow()
+    texts = texts.join(F.broadcast(rated.withColumnRenamed("doc_id", "_id")), F.col("_doc") == F.col("_id")).groupBy("_id", "y").agg(F.min("text").alias("text"))  # however often an id is there
+    rows = features(texts).toArrow()
     sizes = np.diff(np.concatenate([[0], np.cumsum(pc.binary_length(rows["at"]).to_numpy() // 2)]))
     at, share = (np.concatenate([np.zeros(0, kind), *[_bytes(x).view(kind) for x in rows[c].chunks]]) for c, kind in (("at", "<u2"), ("share", "<f4")))
     return fit(rows["y"].to_numpy(), at, share, sizes)

@@ -11,7 +11,8 @@ its words, restored ones included, their number beyond thresholds and their dens
 bounded sample makes them a probability.
 
 Null and empty texts have no words and score the base rate of the model. Null labels, and labels of unknown
-documents, are not learned from; of several labels of a document the highest counts. Without both classes every score
+documents, are not learned from; of several labels of a document the highest counts, and of rows
+that repeat a doc_id the regression takes the least text. Without both classes every score
 is the share of the one there is (0 without any). Texts are taken whole. Rows come out one for one, repeated ones too;
 columns other than doc_id and text of the documents, doc_id and toxic of the labels, are not read, whatever their names.
 """
@@ -339,7 +340,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     marked = sized(marked.withColumn("half", half))
     other, odds = word_odds(docs.join(marked, F.col("_doc") == F.col("_id")).select("text", "toxic", "half"), lm)
     sample = marked.where("half = 0").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    fit = measured(docs.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("text", "toxic"), ["toxic"], lm, other).toArrow()
+    texts = docs.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).groupBy("_id", "toxic").agg(F.min("text").alias("text"))  # however often an id is there
+    fit = measured(texts, ["toxic"], lm, other).toArrow()
     x = np.array(fit["x"].to_pylist(), float).reshape(-1, 7)
     weights, bias = logistic(x, fit["toxic"].to_numpy().clip(0, 1).astype(float))
     return Model(lm, odds, weights, bias)

@@ -405,6 +405,28 @@ def test_clashing_columns(spark):
     assert langid.kept(more).columns == more.columns
 
 
+def test_repeated_rows_do_not_widen_the_sample(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    often = docs.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("n")
+    ratings = quality.ratings(labels)
+    assert np.allclose(quality.learn(often, ratings).weights, quality.learn(docs, ratings).weights)
+    seen, fit = [], toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y: (seen.append(len(y)), fit(x, y))[1])
+    toxicity.learn(docs, labels)
+    toxicity.learn(often, labels)
+    assert seen[0] == seen[1] > 0
+
+
+def test_shared_folder_of_a_cluster():
+    from types import SimpleNamespace as Like
+
+    from larder.llm.common import shared_dir
+
+    sc = Like(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Like(sparkContext=sc, conf=Like(get=lambda key, default: default)))
+
+
 def test_toxicity_edges(spark):
     docs = odd(spark)
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, None), (None, 1), (77, 1)], "doc_id long, toxic int")
