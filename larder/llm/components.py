@@ -8,22 +8,31 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def least_beside(rows: DataFrame, key: str, value: DataFrame) -> DataFrame:
+    """``rows`` with m, the smallest of ``value`` (x, y) for their ``key``.
+
+    A hub's rows are many. A join right above an aggregate on its key is never taken as skewed, one of two shuffles
+    is; the key's complement makes Spark shuffle the aggregate once more, for the join, which can then split a hub.
+    """
+    low = value.groupBy("x").agg(F.min("y").alias("m")).select(F.bitwise_not("x").alias("_x"), "m")
+    return rows.join(low, F.bitwise_not(key) == F.col("_x")).drop("_x")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long): root is the smallest node it is connected with.
 
     Loops and repeated edges are harmless, an edge with a null end is ignored, no edges give no rows. A hub of
-    any degree is a skewed join, which adaptive execution splits; no group is collected. Rounds go on until one changes
-    nothing: their number grows with the square of the logarithm of the nodes at most.
+    any degree is a skewed join, which adaptive execution splits (``least_beside``); no group is collected. Rounds
+    go on until one changes nothing: their number grows with the square of the logarithm of the nodes at most.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = e.union(e.select("v", "u")).toDF("x", "y")
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("x2"), F.least("m", "x").alias("m"))
-        large = both.where("y > x").join(low, F.col("x") == F.col("x2")).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "u2")
-        small = large.join(low, F.col("u") == F.col("u2")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        e = cut(small)
+        large = least_beside(both.where("y > x"), "x", both).select(F.col("y").alias("u"), F.least("m", "x").alias("v")).distinct()
+        down = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = least_beside(large, "u", large.toDF("x", "y")).select(F.explode(down).alias("e")).select("e.*")
+        e = cut(small.where("u <> v").distinct())
         now = e.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first()
         if now == state:
             break

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from larder.llm import simhash, topk
-from larder.llm.components import components
+from larder.llm.components import components, least_beside
 
 from ..oracle import SF, same
 
@@ -138,6 +138,23 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_hub_is_split(spark):
+    limits = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "256k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "512k", "adaptive.skewJoin.skewedPartitionFactor": "2", "adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        many = spark.range(1, 200_001, 1, 16).select(F.xxhash64("id").alias("y"))
+        star = many.select(F.lit(0).cast("long").alias("x"), "y").union(many.select("y", "y"))
+        parts = least_beside(star, "x", star).select("x", "y", "m", F.spark_partition_id().alias("part")).where("x = 0")
+        rows = parts.groupBy("part").agg(F.count("*").alias("n"), F.max("y"), F.min("m").alias("m")).collect()
+        assert sum(r["n"] for r in rows) == 200_000 and len({r["m"] for r in rows}) == 1
+        assert max(r["n"] for r in rows) < 100_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+
+
 def test_top_k_query(spark):
     assert same(topk.query(spark, SF), topk.ORACLE) > 0
 
