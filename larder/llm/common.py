@@ -1,4 +1,4 @@
-"""What the training-data operators share: table access, checkpoints, packed text and numpy helpers."""
+"""What the training-data operators share: table access, lineage cuts, packed text and numpy helpers."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import tempfile
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below the shared one; the file system removes it when the application ends."""
+    folder = f"{shared_dir(spark)}/{kind}-{uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """Rows written as Parquet and read back. Unlike a checkpoint's, the sizes that Spark then plans with are those of
+    the files: in a loop of joins a checkpointed plan's estimates multiply each round until planning alone takes minutes."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a table in the shared folder, so that a lost executor costs no recomputation."""
+    return written(df, f"{shared_folder(df.sparkSession, 'cut')}/rows")
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
@@ -223,7 +246,7 @@ def filtered(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray]) -> DataFr
 
 
 def sized(ids: DataFrame) -> DataFrame:
-    """Checkpointed rows of an id and a number or two, marked for a broadcast if they are at most SMALL; else a join shuffles."""
+    """Written rows of an id and a number or two, marked for a broadcast if they are at most SMALL; else a join shuffles."""
     ids = cut(ids)
     return F.broadcast(ids) if ids.limit(SMALL + 1).count() <= SMALL else ids
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import removed, shared_folder, written
 
 
 def least_beside(rows: DataFrame, key: str, value: DataFrame) -> DataFrame:
@@ -23,16 +23,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges are harmless, an edge with a null end is ignored, no edges give no rows. A hub of
     any degree is a skewed join, which adaptive execution splits (``least_beside``); no group is collected. Rounds
-    go on until one changes nothing: their number grows with the square of the logarithm of the nodes at most.
+    go on until one changes nothing: their number grows with the square of the logarithm of the nodes at most. A round's
+    edges are a table that the next round reads and then removes, so no plan is deeper than a round.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    spark, state, number = edges.sparkSession, None, 0
+    folder = shared_folder(spark, "components")
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{folder}/{number}")
     while True:
         both = e.union(e.select("v", "u")).toDF("x", "y")
         large = least_beside(both.where("y > x"), "x", both).select(F.col("y").alias("u"), F.least("m", "x").alias("v")).distinct()
         down = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         small = least_beside(large, "u", large.toDF("x", "y")).select(F.explode(down).alias("e")).select("e.*")
-        e = cut(small.where("u <> v").distinct())
+        e = written(small.where("u <> v").distinct(), f"{folder}/{number + 1}")
+        removed(spark, f"{folder}/{number}")
+        number += 1
         now = e.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first()
         if now == state:
             break

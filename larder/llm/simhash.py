@@ -330,7 +330,7 @@ def near_copies(docs: DataFrame, cell: int = CELL, members: int = MEMBERS) -> Da
 
     near = components(_dealt(classes.select(F.explode("bands").alias("key"), "node", *names), _scan(len(names), close), cell))
     near = sized(near.select(F.col("root").alias("key"), "node"))
-    sets = shingle_sets(docs.select("doc_id", "text").join(near, F.col("doc_id") == F.col("node")))
+    sets = cut(shingle_sets(docs.select("doc_id", "text").join(near, F.col("doc_id") == F.col("node"))))  # read several times, made once
     roots = components(_dealt(sets, _compared, members))
     labels = classes.join(roots, "node", "left").select("same0", "same1", F.coalesce("root", "node").alias("group_id"))
     return prints.select("doc_id", "same0", "same1").join(labels, ["same0", "same1"]).select("doc_id", "group_id")

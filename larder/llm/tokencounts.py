@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import in_batches, shared_dir, sized, table
+from .common import in_batches, shared_folder, sized, table
 
 #: Tokenizer versions that SQL can count too: what a token is.
 TOKENIZERS = {"words/1": r"[^\x20\x09-\x0D]+", "words/2": r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]"}
@@ -144,7 +144,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents inserted, those of low quality deleted, those with addresses recounted without them; the second batch is sent twice."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), table(spark, sf_dir, "labels")
     poor = sized(labels.where("quality = 0 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct())
-    rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid4().hex}")
+    rollup = Rollup(spark, shared_folder(spark, "rollup"))
     rollup.commit("0-insert", inserted(counts(docs)))
     gone = deleted(counts(docs.join(poor, F.col("doc_id") == F.col("_id"), "left_semi")))
     rollup.commit("1-delete", gone)

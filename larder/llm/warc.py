@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL, cut, in_batches, shared_dir, table
+from .common import SMALL, cut, in_batches, shared_folder, table
 
 #: Bytes of a block in one record, bytes of a chunk of the body, bytes of the smallest payload that others may revisit.
 SEGMENT, CHUNKED, LEAST = 32 << 10, 8 << 10, 100
@@ -225,7 +225,7 @@ def resolved(found: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid4().hex}"
+    path = f"{shared_folder(spark, 'warc')}/archives"
     write(typed(table(spark, sf_dir, "pages")), path)
     found = resolved(cut(read(spark, path, payloads=False)))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")

@@ -138,6 +138,25 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_long_chain(spark, monkeypatch):
+    """Many rounds of joins: the sizes that Spark plans with stay those of the edges."""
+    from larder.llm import components as module
+
+    sizes, plain = [], module.written
+
+    def noted(df, folder):
+        out = plain(df, folder)
+        sizes.append(int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return out
+
+    monkeypatch.setattr(module, "written", noted)
+    ids = list(range(2000))
+    random.Random(1).shuffle(ids)
+    got = components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long"))
+    assert [tuple(r) for r in got.groupBy("root").count().collect()] == [(0, 2000)]
+    assert len(sizes) > 5 and max(sizes) < 1 << 20
+
+
 def test_a_hub_is_split(spark):
     limits = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "256k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "512k", "adaptive.skewJoin.skewedPartitionFactor": "2", "adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in limits}
