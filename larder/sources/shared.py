@@ -20,11 +20,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below it."""
-    return f"{shared_root(spark)}/larder-{uuid4().hex}"
+    """A new folder below it; the file system removes it when the application ends."""
+    folder = f"{shared_root(spark)}/larder-{uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """Rows computed once and kept in a reliable checkpoint: every use sees the same values, and a lost executor costs no recomputation."""
-    shared_root(rows.sparkSession)
-    return rows.checkpoint(eager=True)
+    """Rows computed once, written to the shared folder and read back: every use sees the same values, a lost executor
+    costs no recomputation, and the sizes that Spark plans with are those of the files."""
+    folder = f"{shared_folder(rows.sparkSession)}/rows"
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
