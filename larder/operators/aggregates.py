@@ -108,12 +108,13 @@ def extent(points: DataFrame, by: str = "mesh_id") -> DataFrame:
     return points.groupBy(by).agg(span("x").alias("size_x"), span("y").alias("size_y"), span("z").alias("size_z"), F.count("*").alias("vertices"), F.sum("triangles").cast("bigint").alias("triangles"))
 
 
-def text_docs(catalog) -> DataFrame:
-    """What text search indexes: id, title, notes, filename (distinct, by first location), caption, tags (sorted)."""
+def text_docs(catalog, ids: DataFrame | None = None) -> DataFrame:
+    """What text search indexes: id, title, notes, filename (distinct, by first location), caption, tags (sorted); of all items or of some (id)."""
+    only = (lambda rows, key: rows) if ids is None else (lambda rows, key: rows.join(ids.select(F.col("id").alias(key)), key, "left_semi"))
     name = F.regexp_extract("abs_path", "[^/]*$", 0)
-    files = catalog.location.select("asset_id", "id", name.alias("file")).groupBy("asset_id", "file").agg(F.min("id").alias("id")).groupBy("asset_id").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("id", "file"))), lambda s: s["file"])).alias("filename"))
-    tags = named_tags(catalog).groupBy("asset_id").agg(F.concat_ws(" ", F.sort_array(F.collect_set("name"))).alias("tags"))
-    rows = catalog.asset.select("id", "title", "notes", "caption").join(files.withColumnRenamed("asset_id", "id"), "id", "left").join(tags.withColumnRenamed("asset_id", "id"), "id", "left")
+    files = only(catalog.location, "asset_id").select("asset_id", "id", name.alias("file")).groupBy("asset_id", "file").agg(F.min("id").alias("id")).groupBy("asset_id").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("id", "file"))), lambda s: s["file"])).alias("filename"))
+    tags = only(named_tags(catalog), "asset_id").groupBy("asset_id").agg(F.concat_ws(" ", F.sort_array(F.collect_set("name"))).alias("tags"))
+    rows = only(catalog.asset, "id").select("id", "title", "notes", "caption").join(files.withColumnRenamed("asset_id", "id"), "id", "left").join(tags.withColumnRenamed("asset_id", "id"), "id", "left")
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return rows.select("id", text("title"), text("notes"), text("filename"), text("caption"), text("tags"))
 

@@ -11,122 +11,55 @@ from pyspark.sql import functions as F
 from ..sources.shared import settled
 from .filters import find
 from .ranking import placed, similar_by_hash, sort_keys, top_k, with_size
+from .textindex import FIELDS, LEAST_IDF, MARKED, PLACES, PLAIN, Segments, TextIndex, occurrences, part, phrases, postings, tokens
 
-#: BM25's constants and least idf; the damping of fusion; the size and floor of the semantic side; neighbours.
-K1, B, LEAST_IDF, DAMPING, SEMANTIC, FLOOR, NEIGHBOURS, NEIGHBOUR_FLOOR = 1.2, 0.75, 1e-6, 60, 120, 0.24, 60, 0.80
-#: Folders of stored postings, by hash of the token.
-BUCKETS = 64
-# Latin letters with marks, and the letters without.
-MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
-FIELDS = ("title", "notes", "filename", "caption", "tags")
-
-
-def tokens(c):
-    """Lower-case words without marks, in order."""
-    text = F.translate(F.lower(F.col(c) if isinstance(c, str) else c), MARKED, PLAIN)
-    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"))
-
-
-def postings(docs: DataFrame, fields: tuple[str, ...] | list[str] = FIELDS) -> DataFrame:
-    """(id, field, pos, token) of every word of every field; nulls have none."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("words")) for f in fields])).alias("f")
-    return docs.select("id", each).select("id", "f.field", F.posexplode("f.words").alias("pos", "token"))
-
-
-class TextIndex:
-    """Postings (id, field, pos, token) and the number of words of each document (id, length), from documents or as stored."""
-
-    def __init__(self, posting: DataFrame, lengths: DataFrame, buckets: int | None = None) -> None:
-        self.posting, self.lengths, self.buckets, self.sparkSession = posting, lengths, buckets, posting.sparkSession
-
-    @classmethod
-    def of(cls, docs: DataFrame | TextIndex, fields: tuple[str, ...] | list[str] | None = None) -> TextIndex:
-        """An index of documents, made anew wherever it is used; one that is there stays as it is."""
-        if isinstance(docs, TextIndex):
-            return docs
-        fields = [f for f in fields or FIELDS if f in docs.columns]
-        size = sum((F.coalesce(F.size(tokens(f)), F.lit(0)) for f in fields), F.lit(0))
-        return cls(postings(docs, fields), docs.select("id", F.greatest(size, F.lit(0)).cast("double").alias("length")))
-
-    def store(self, catalog, buckets: int = BUCKETS) -> TextIndex:
-        """Write the index beside a catalogue's tables: postings by bucket of the token, sorted by token within, so that a search reads the row groups of its words."""
-        bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
-        rows = self.posting.select(F.col("id").alias("asset_id"), "field", "pos", "token", bucket.alias("bucket"))
-        catalog.write("postings", rows.repartitionByRange("bucket", "token", "asset_id").sortWithinPartitions("bucket", "token", "asset_id"))
-        catalog.write("text_length", self.lengths.select(F.col("id").alias("asset_id"), "length"))
-        return TextIndex.stored(catalog, buckets)
-
-    @classmethod
-    def stored(cls, catalog, buckets: int = BUCKETS) -> TextIndex:
-        return cls(catalog.read("postings").withColumnRenamed("asset_id", "id"), catalog.read("text_length").withColumnRenamed("asset_id", "id"), buckets)
-
-    def of_tokens(self, words: list[str]) -> DataFrame:
-        """Postings of some tokens; of a stored index only their buckets are read."""
-        rows = self.posting.where(F.col("token").isin(*words))
-        if self.buckets is None:
-            return rows
-        spark = self.sparkSession
-        places = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(self.buckets)).cast("int").alias(f"b{i}") for i, w in enumerate(words)]).first()
-        return rows.where(F.col("bucket").isin(*set(places)))
-
-
-def phrases(docs: DataFrame | TextIndex, words: list[str]) -> list[list[str]]:
-    """The tokens of each query word, by the same rules as documents; words without any are left out.
-
-    A word of several tokens is a phrase. The query is a literal, so its tokens come from one row.
-    """
-    row = docs.sparkSession.range(1).select(*[tokens(F.lit(w)).alias(f"w{i}") for i, w in enumerate(words)]).first() if words else []
-    return [list(x) for x in row if x]
-
-
-def occurrences(post: DataFrame, phrase: list[str]) -> DataFrame:
-    """(id, n): how often a phrase occurs in a document, within one field."""
-    if len(phrase) == 1:
-        return post.where(F.col("token") == phrase[0]).groupBy("id").agg(F.count("*").alias("n"))
-    want = F.array(*[F.lit(t) for t in phrase])
-    hits = post.where(F.col("token").isin(*phrase)).select("id", "field", F.explode(F.filter(F.transform(want, lambda t, i: F.when(t == F.col("token"), F.col("pos") - i)), lambda x: x.isNotNull())).alias("start"), "pos")
-    return hits.groupBy("id", "field", "start").agg(F.countDistinct("pos").alias("m")).where(F.col("m") == len(phrase)).groupBy("id").agg(F.count("*").alias("n"))
-
-
-def _hits(index: TextIndex, found: list[list[str]]) -> DataFrame:
-    """(id, i, n): how often document id holds the i-th phrase."""
-    post = index.of_tokens(sorted({t for p in found for t in p}))
-    hits = None
-    for i, phrase in enumerate(found):
-        one = occurrences(post, phrase).select("id", F.lit(i).alias("i"), "n")
-        hits = one if hits is None else hits.union(one)
-    return hits
+#: The damping of fusion; the size and floor of the semantic side; neighbours.
+DAMPING, SEMANTIC, FLOOR, NEIGHBOURS, NEIGHBOUR_FLOOR = 60, 120, 0.24, 60, 0.80
 
 
 def match_all(docs: DataFrame | TextIndex, words: list[str], fields=None) -> DataFrame:
     """Ids of documents that hold every word, in any field; only words without a token match nothing."""
     index = TextIndex.of(docs, fields)
-    found = phrases(index, words)
+    found = phrases(index.sparkSession, words)
     if not found:
         return index.lengths.select("id").limit(0)
-    return _hits(index, found).groupBy("id").agg(F.countDistinct("i").alias("m")).where(F.col("m") == len(found)).select("id")
+    return index.hits(found).groupBy("id").agg(F.countDistinct("i").alias("m")).where(F.col("m") == len(found)).select("id")
 
 
 def bm25(docs: DataFrame | TextIndex, words: list[str], fields=None) -> DataFrame:
-    """(id, score) of documents that hold every word or phrase; the smaller the score the better.
+    """(id, score) of all documents that hold every word or phrase; the smaller the score the better.
 
-    Hits are grouped by document, so no posting list is gathered; lengths are joined to the documents that are hit.
+    Hits are grouped by document, so no posting list is gathered.
     """
     index = TextIndex.of(docs, fields)
-    found = phrases(index, words)
+    found = phrases(index.sparkSession, words)
     if not found:
         return index.lengths.select("id", F.lit(0.0).alias("score")).limit(0)
-    total = index.lengths.agg(F.count("*").cast("double").alias("docs"), F.avg("length").alias("mean"))
-    hits = _hits(index, found)
+    hits = index.hits(found)
     df = hits.groupBy("i").agg(F.count("*").cast("double").alias("df"))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    known = df.join(F.broadcast(total)).select("i", idf.alias("idf"), "mean")  # a row for each phrase of the query
-    part = F.col("idf") * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(F.broadcast(known), "i").join(index.lengths, "id").groupBy("id").agg(F.sum(part).alias("s"), F.count("*").alias("m"))
+    known = df.join(F.broadcast(index.totals())).select("i", idf.alias("idf"), "mean")  # a row for each phrase of the query
+    each = F.col("idf") * part(F.col("n"), F.col("length"), F.col("mean"))
+    scored = hits.join(F.broadcast(known), "i").groupBy("id").agg(F.sum(each).alias("s"), F.count("*").alias("m"))
     return scored.where(F.col("m") == len(found)).select("id", (-F.col("s")).alias("score"))
 
 
+def best_matches(docs: DataFrame | TextIndex, words: list[str], k: int, within: DataFrame | None = None) -> DataFrame:
+    """(id, score, rank) of the k best documents by ``bm25`` to PLACES decimals, ties by id; of those ``within`` (id), where given.
+
+    A stored index reads only the blocks of documents that can hold one of them (``Segments.best``); where it cannot
+    tell, and for documents without an index, all hits are scored.
+    """
+    top = docs.best(words, k, within) if isinstance(docs, Segments) else None
+    if top is not None:
+        rows = [(i, -s, rank) for rank, (s, i) in enumerate(top, 1)]
+        return docs.sparkSession.createDataFrame(rows, "id bigint, score double, rank bigint")
+    scores = bm25(docs, words).withColumn("score", F.round("score", PLACES))
+    scores = scores if within is None else scores.join(within.select("id"), "id", "left_semi")
+    first = scores.orderBy("score", "id").limit(k)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("score", "id")).cast("bigint"))  # k rows
+
+
 def numbered(rows: DataFrame, score: str, ascending: bool = True) -> DataFrame:
     """(id, rank) of rows (id, score) by score and id, counted from 1; null scores come last. No task orders more than its part."""
     key = F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last()
@@ -161,9 +94,13 @@ def search(catalog, docs: DataFrame | TextIndex, words: list[str], ranking: Data
 
     Filters apply to both sides. With a ranking the fused rank is the order unless another is asked for (added, updated,
     name, size); text alone is by date added unless ``relevance`` is asked for; relevance without text is by date too.
-    ``limit`` and ``offset`` take a page of the order.
+    ``limit`` and ``offset`` take a page of the order; a page by relevance of a stored index reads what it needs
+    (``best_matches``).
     """
     items = find(catalog, **filters)
+    if words and ranking is None and order_by == "relevance" and limit is not None:
+        page = best_matches(docs, words, offset + limit, items if filters else None).where(F.col("rank") > offset)
+        return catalog.asset.join(page.select("id", "rank"), "id")
     literal = bm25(docs, words) if words else None
     if ranking is not None:
         sides = [ranked(ranking.select("id", "score"), ascending=False)]
@@ -242,3 +179,6 @@ def pair_percentiles(library: DataFrame, percents: tuple[float, ...] = (0.01, 0.
     below = counts.withColumn("c", F.sum("n").over(Window.orderBy("bin"))).withColumn("t", F.sum("n").over(Window.partitionBy()))  # at most 2 / step rows
     out = below.select("*", F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")).where(F.col("c") >= F.col("percent") * F.col("t"))
     return out.groupBy("percent").agg((F.min("bin") * step - 1).alias("cosine"))
+
+
+__all__ = ["FIELDS", "MARKED", "PLAIN", "Segments", "TextIndex", "best_matches", "bm25", "evaluate", "fuse", "match_all", "numbered", "occurrences", "pair_percentiles", "palette_distance", "phrases", "postings", "ranked", "search", "semantic", "similar", "tokens"]

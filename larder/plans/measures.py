@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..operators import features as D
 from ..operators import hooks as V
+from ..operators import search as R
 from ..sources import files as S
 from ..sources.catalog import Catalog
 from ..sources.shared import shared_folder
@@ -154,6 +155,12 @@ _SNAPSHOT = "select event_type, concat('/lib/', user_id % 500, '/', event_type)
     select coalesce(b.path, a.path) as abs_path, case when b.path is null or (a.size = b.size and a.mtime = b.mtime) then a.h else b.h end as content_hash, b.path is not null as present from a full join b on a.path = b.path""")
 def _(t):
     """Two full listings of the roots, one after the other: new, changed, kept, moved and missing files."""
+    catalog = _ingested(t)
+    place, asset = catalog.read("location"), catalog.read("asset").select(F.col("id").alias("asset_id"), "content_hash")
+    return place.join(asset, "asset_id").select("abs_path", "content_hash", "present")
+
+
+def _ingested(t):
     folder = shared_folder(t.spark)
     catalog = Catalog(t.spark, f"{folder}/catalog")
     path = F.concat(F.lit("/lib/"), (F.col("user_id") % 500).cast("string"), F.lit("/"), "event_type").alias("path")
@@ -164,8 +171,22 @@ def _(t):
         rows.write.parquet(f"{folder}/listing/{k}")
         stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/listing/{k}")
         X.start_ingest(stream, catalog, f"{folder}/checkpoint/{k}", t.spark.range(5)).awaitTermination()
-    place, asset = catalog.read("location"), catalog.read("asset").select(F.col("id").alias("asset_id"), "content_hash")
-    return place.join(asset, "asset_id").select("abs_path", "content_hash", "present")
+    return catalog
+
+
+@query("x1_search", f"""with one as ({_SNAPSHOT.format('event_id % 3 <> 0')}), two as ({_SNAPSHOT.format('event_id % 2 = 0')}),
+    a as (select path, event_type, substring(sha256(path[-3:] || size), 1, 32) as h, size, mtime from one), b as (select path, event_type, substring(sha256(path[-3:] || size), 1, 32) as h, size, mtime from two),
+    known as (select a.path from a join b on a.path = b.path and a.size = b.size and a.mtime = b.mtime),
+    items as (select h, min(path) as title from a group by 1), later as (select h, min(path) as title from b where h not in (select h from items) and path not in (from known) group by 1), every as (select * from items union all select * from later),
+    place as (select coalesce(b.path, a.path) as path, case when b.path is null or b.path in (from known) then a.h else b.h end as h from a full join b on a.path = b.path),
+    names as (select h, count(distinct regexp_extract(path, '[^/]*$')) as n from place group by 1)
+    select e.h as content_hash, 3 + coalesce(n.n, 0) as words, e.title from every e left join names n on n.h = e.h where e.title like '/lib/%/p%'""")
+def _(t):
+    """What the text index that ingest keeps holds of the items whose title names a purchase or the like: how many words, and where they first stood."""
+    catalog = _ingested(t)
+    index, asset = R.Segments(catalog.snapshot()), catalog.read("asset").select("id", "content_hash", "title")
+    first = index.posting.where("field = 'title' and pos = 2 and token like 'p%'").select("id")
+    return asset.join(first, "id").join(index.docs.select("id", F.col("length").cast("bigint").alias("words")), "id").select("content_hash", "words", "title")
 
 
 @query("x2_dedupe", "select distinct user_id, event_type from events")
@@ -259,3 +280,30 @@ def _(t):
     catalog = Catalog(t.spark, shared_folder(t.spark))
     return catalog.write("attribute", t.attribute).where("key = 'width' and value_num >= 500").select("asset_id", "key", "value_num")
 
+
+@query("s13_one_commit", """with o as (select l_suppkey as id, l_partkey as part from lineitem group by 1, 2), c as (select 'old' as version, id, count(*) as n from o where id % 2 = 0 group by 2 union all select 'new', id, count(*) from o where id % 3 <> 0 group by 2)
+    select version, c.id, 'set-' || c.id as name, n from c""")
+def _(t):
+    """Sets and their members written in one commit, twice: a reader of the first version goes on to see both of its tables."""
+    catalog = Catalog(t.spark, shared_folder(t.spark))
+    pairs = t.lineitem.select(F.col("l_suppkey").alias("collection_id"), F.col("l_partkey").alias("asset_id")).distinct()
+    seen = []
+    for keep in ("collection_id % 2 = 0", "collection_id % 3 <> 0"):
+        change = catalog.begin()
+        change.write("collection", pairs.where(keep).select(F.col("collection_id").alias("id"), F.concat(F.lit("set-"), F.col("collection_id").cast("string")).alias("name")).distinct())
+        change.write("collection_asset", pairs.where(keep))
+        change.commit()
+        seen.append(catalog.snapshot(1 + len(seen)))
+    out = [x.collection.join(x.collection_asset.groupBy(F.col("collection_id").alias("id")).agg(F.count("*").alias("n")), "id").select(F.lit(v).alias("version"), "id", "name", "n") for v, x in zip(("old", "new"), seen, strict=True)]
+    return out[0].union(out[1])
+
+
+@query("s13_put_and_remove", "select s_suppkey as id, case when s_suppkey % 2 = 0 then 'second' else s_name end as name from supplier where s_suppkey % 5 <> 0")
+def _(t):
+    """Rows put by key and keys taken away, read over the whole table they change."""
+    catalog, named = Catalog(t.spark, shared_folder(t.spark)), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    change = catalog.begin()
+    change.write("collection", named)
+    change.put("collection", named.where("id % 2 = 0").select("id", F.lit("second").alias("name")))
+    change.remove("collection", named.where("id % 5 = 0"))
+    return change.commit().collection.select("id", "name")

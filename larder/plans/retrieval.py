@@ -10,6 +10,9 @@ from ..operators import links as L
 from ..operators import ranking as W
 from ..operators import search as R
 from ..operators import tags as G
+from ..operators.textindex import reindex
+from ..sources.catalog import Catalog
+from ..sources.shared import shared_folder
 from .browse import _library, _queries, hashes
 from .browse import _HASH, _QV
 from .registry import query
@@ -54,6 +57,47 @@ def _(t):
     return R.bm25(t.index, ["the", "of-the"]).withColumn("score", F.round("score", 6))
 
 
+@query("r4_best_matches", f"with {_bm25(['the'], ['of'])} select id, round(score, 6) as score, row_number() over (order by round(score, 9), id) as rank from scores qualify rank <= 40")
+def _(t):
+    """The first 40, from the blocks of the stored index that can hold them."""
+    return R.best_matches(t.index, ["the", "of"], 40).withColumn("score", F.round("score", 6))
+
+
+_EDITED = """edited as (select doc_id as id, case when doc_id % 5 = 0 then concat(source, ' changed ', lang) else text end as notes from documents where doc_id % 7 <> 3),
+    words as (select id, 'notes' as field, {} as w from edited), post as (select id, field, unnest(range(0, len(w))) as pos, unnest(w) as token from words), lens as (select id, sum(len(w))::double as length from words group by 1), tot as (select count(*)::double as n, avg(length) as mean from lens)""".format(f"coalesce({_TOK.format('notes')}, [])")
+
+
+def _edited(t):
+    """An index of two thirds of the documents; the others are added in a second commit, and in a third a fifth is changed and a seventh taken away."""
+    docs = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("notes"))
+    catalog = Catalog(t.spark, shared_folder(t.spark))
+    R.TextIndex(docs.where("id % 3 <> 0")).store(catalog)
+    late = docs.where("id % 3 = 0")
+    changed = t.documents.where("doc_id % 5 = 0 and doc_id % 7 <> 3").select(F.col("doc_id").alias("id"), F.concat("source", F.lit(" changed "), "lang").alias("notes"))
+    for new, ids in ((late, late), (changed, docs.where("id % 5 = 0 or id % 7 = 3"))):
+        change = catalog.begin()
+        reindex(change, new, ids.select("id"))
+        change.commit()
+    return R.Segments(catalog.snapshot())
+
+
+@query("r1_segments", f"with {_EDITED} select id, field, pos::int as pos, token from post")
+def _(t):
+    """All words of an index after additions, changes and deletions."""
+    return _edited(t).posting.select("id", "field", "pos", "token")
+
+
+@query("r4_after_changes", f"with {_bm25(['of', 'the'], ['and']).replace(_POST, _EDITED)} select id, round(score, 6) as score from scores")
+def _(t):
+    """Scores of that index: numbers of documents and mean length are those of what is there."""
+    return R.bm25(_edited(t), ["of the", "and"]).withColumn("score", F.round("score", 6))
+
+
+@query("r4_best_after_changes", f"with {_bm25(['changed']).replace(_POST, _EDITED)} select id, round(score, 6) as score, row_number() over (order by round(score, 9), id) as rank from scores qualify rank <= 25")
+def _(t):
+    return R.best_matches(_edited(t), ["changed"], 25).withColumn("score", F.round("score", 6))
+
+
 @query("j6_text_scored", f"with {_bm25(['and'])} select a.id, a.kind, round(s.score, 6) as score from asset a join scores s on s.id = a.id where a.managed")
 def _(t):
     from ..operators.joins import text_scored

@@ -13,7 +13,7 @@ from ..sources.catalog import Catalog
 from ..sources.shared import shared_folder
 
 if TYPE_CHECKING:
-    from ..operators.search import TextIndex
+    from ..operators.textindex import Segments
 
 #: Where an application has stored the text index of a folder's tables.
 _STORED: dict[tuple[str, str], str] = {}
@@ -108,17 +108,17 @@ class Tables:
         raise AttributeError(name)
 
     @cached_property
-    def index(self) -> TextIndex:
+    def index(self) -> Segments:
         """The text index of the items, all five fields, stored beside a catalogue once an application and folder; searches read the buckets of their words."""
         from ..operators.aggregates import text_docs
-        from ..operators.search import TextIndex
+        from ..operators.textindex import Segments, TextIndex
 
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _STORED:
             folder = shared_folder(self.spark)
-            TextIndex.of(text_docs(self)).store(Catalog(self.spark, folder))
+            TextIndex(text_docs(self)).store(Catalog(self.spark, folder))
             _STORED[key] = folder
-        return TextIndex.stored(Catalog(self.spark, _STORED[key]))
+        return Segments(Catalog(self.spark, _STORED[key]).snapshot())
 
     def _from(self, name: str, parts: tuple[str, ...]) -> DataFrame:
         """SQL over frames given by name, without naming anything in the session."""

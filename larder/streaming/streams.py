@@ -11,23 +11,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.aggregates import text_docs
 from ..operators.backlog import ATTEMPTS
 from ..operators.ranking import placed
 from ..operators.sync import classify, mark_absent, needs_hash, new_assets
+from ..operators.textindex import reindex
 from ..sources.catalog import Catalog
 from ..sources.shared import settled, shared_folder
 
 
 def ingest(catalog: Catalog, files: DataFrame, stamp: Column, scanned: DataFrame | None = None) -> DataFrame:
-    """Merge a listing (path, content_hash, kind, title, mode, root_id, size, mtime) into a catalogue's items and locations.
+    """Merge a listing (path, content_hash, kind, title, mode, root_id, size, mtime) into a catalogue's items, locations and text index.
 
     Files whose size and time are known keep their item; new contents become items; paths seen are present, and those
-    of ``scanned`` roots (id) that are not are absent. Only rows that change are written. Returns the files with their
-    status. Merging a listing again changes no item and no location but for ``last_seen``.
+    of ``scanned`` roots (id) that are not are absent. Items that are new, or whose files' names may have changed, are
+    indexed anew. Only what changes is written, and all of it becomes visible in one commit: a batch that stops leaves
+    the catalogue as it was, and of two writers one fails. Returns the files with their status. Merging a listing
+    again changes no item and no location but for ``last_seen``.
     """
+    change = catalog.begin()
     listing = settled(files.groupBy("path").agg(F.max_by(F.struct("content_hash", "kind", "title", "mode", "root_id", "size", "mtime"), "mtime").alias("x")).select("path", "x.*"))
-    began = {name: catalog.versions(name) for name in ("asset", "location")}
-    asset, location = catalog.read("asset"), catalog.read("location")
+    asset, location = change.read("asset"), change.read("location")
     to_hash = needs_hash(listing, location)
     known = listing.join(to_hash.select("path"), "path", "left_anti").join(location.select(F.col("abs_path").alias("path"), "asset_id"), "path")
     fresh = settled(new_assets(to_hash, asset, stamp))
@@ -35,18 +39,23 @@ def ingest(catalog: Catalog, files: DataFrame, stamp: Column, scanned: DataFrame
     status = classify(to_hash, asset.select("id", "content_hash"), location)
     hashed = status.drop("asset_id").join(items.select(F.col("content_hash").alias("_h"), F.col("id").alias("asset_id")), F.col("content_hash") == F.col("_h")).drop("_h")
     seen = settled(hashed.select("path", "asset_id", "root_id", "size", "mtime", "status").union(known.select("path", "asset_id", "root_id", "size", "mtime", F.lit("unchanged"))))
-    old = location.select("abs_path", F.col("id").alias("_id"))
-    places = seen.select(F.col("path").alias("abs_path"), "asset_id", "root_id", "size", "mtime").join(old, "abs_path", "left").withColumns({"last_seen": stamp, "present": F.lit(True)})
+    old = location.select("abs_path", F.col("id").alias("_id"), F.col("asset_id").alias("_old"))
+    places = settled(seen.select(F.col("path").alias("abs_path"), "asset_id", "root_id", "size", "mtime").join(old, "abs_path", "left").withColumns({"last_seen": stamp, "present": F.lit(True)}))
     last = location.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_last"))  # one row
     added = placed(places.where("_id is null"), F.asc("abs_path"), name="_new").join(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("_new"))
-    changed = places.where("_id is not null").withColumnRenamed("_id", "id").unionByName(added.drop("_id", "_new", "_last"))
+    changed = places.where("_id is not null").withColumnRenamed("_id", "id").drop("_old").unionByName(added.drop("_id", "_old", "_new", "_last"))
     if scanned is not None:
         gone = mark_absent(location.join(seen.select(F.col("path").alias("abs_path")), "abs_path", "left_anti").where("present"), stamp, scanned).where("not present")
         changed = changed.unionByName(gone.select(*changed.columns))
-    # the version each table had when it was read: another writer in between makes this one fail, not lose rows
-    if not began["asset"] or fresh.limit(1).count():
-        catalog.append("asset", fresh.select(*[fresh[c] if c in fresh.columns else F.lit(None).alias(c) for c in asset.columns]), began["asset"])
-    catalog.append("location", changed, began["location"])
+    if not change.parts("asset") or fresh.limit(1).count():
+        change.put("asset", fresh)
+    change.put("location", changed)
+    moved = places.where("not _old <=> asset_id")  # a path that is new to its item
+    touched = fresh.select("id").union(moved.select("asset_id")).union(moved.where("_old is not null").select("_old")).distinct()
+    if moved.limit(1).count():
+        touched = settled(touched)
+        reindex(change, text_docs(change, touched), touched)
+    change.commit()
     return seen.select("path", "asset_id", "status")
 
 

@@ -14,9 +14,8 @@ from larder.operators import search as R
 from larder.operators import sets as U
 from larder.operators import sync as I
 from larder.operators import transfer as X
-from larder.operators.aggregates import text_docs
 from larder.plans.standins import Tables
-from larder.sources.catalog import SCHEMAS, Catalog, ConcurrentWrite
+from larder.sources.catalog import Catalog
 from larder.streaming.streams import ingest
 
 from .oracle import SF
@@ -153,31 +152,6 @@ def test_search_by_name(spark):
     assert got == sorted(got, key=lambda i: (rows[i].encode(), i))
 
 
-def test_catalog_versions(spark, tmp_path):
-    catalog = Catalog(spark, str(tmp_path))
-    assert catalog.read("tag").count() == 0
-    catalog.write("tag", spark.createDataFrame([(1, "a", None)], SCHEMAS["tag"]))
-    catalog.write("tag", catalog.tag.union(spark.createDataFrame([(2, "b", None)], SCHEMAS["tag"])))
-    assert catalog.tag.count() == 2
-    # a write that was cut off is not seen, and a later one is
-    spark.createDataFrame([(9, "z", None)], SCHEMAS["tag"]).write.parquet(str(tmp_path / "tag/_writing-lost/v"))
-    assert catalog.tag.count() == 2
-    # two writers from one version: the second fails and loses nothing
-    began = catalog.versions("tag")
-    catalog.append("tag", spark.createDataFrame([(2, "c", None), (3, "d", None)], SCHEMAS["tag"]), began)
-    with pytest.raises(ConcurrentWrite):
-        catalog.write("tag", catalog.tag.limit(1), began)
-    assert sorted((r["id"], r["name"]) for r in catalog.tag.collect()) == [(1, "a"), (2, "c"), (3, "d")]
-    for k in range(5):
-        catalog.append("tag", spark.createDataFrame([(k, f"n{k}", None)], SCHEMAS["tag"]), most=3)
-    assert sorted((r["id"], r["name"]) for r in catalog.tag.collect()) == [(k, f"n{k}") for k in range(5)]
-    assert sum(v.endswith("v") for v in catalog.versions("tag")) > 2
-    # changes without a whole version are an error, not an empty table
-    spark.createDataFrame([(1, "/a")], "id bigint, path string").write.parquet(str(tmp_path / "root/000000000001/d"))
-    with pytest.raises(FileNotFoundError):
-        catalog.read("root")
-
-
 def test_ingest_of_snapshots(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "c"))
     kind = "path string, content_hash string, kind string, title string, mode string, root_id bigint, size bigint, mtime timestamp_ntz"
@@ -203,18 +177,6 @@ def test_ingest_of_snapshots(spark, tmp_path):
     assert catalog.asset.count() == 4
 
 
-def test_stored_index_reads_buckets(spark, tmp_path):
-    t = Tables(spark, SF)
-    docs = text_docs(t)
-    index = R.TextIndex.of(docs).store(Catalog(spark, str(tmp_path)), 8)
-    for words in (["the"], ["of the", "onon"], ["ferryBell"], ["*"]):
-        want = {r["id"]: round(r["score"], 9) for r in R.bm25(docs, words).collect()}
-        assert {r["id"]: round(r["score"], 9) for r in R.bm25(index, words).collect()} == want
-    plan = index.of_tokens(["onon"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1].split("]")[0]
-    assert "token" in plan.split("PushedFilters")[1]
-
-
 @pytest.mark.parametrize("queries", [2, 2048])
 def test_nearest_against_brute_force(spark, queries, monkeypatch):
     rng = np.random.default_rng(4)
