@@ -33,15 +33,13 @@ def text_scored(items: DataFrame, scores: DataFrame) -> DataFrame:
 def score_all(queries: DataFrame, library: DataFrame, score: Callable[[str, str], Column]) -> DataFrame:
     """(query_id, id, score) of a stated set of queries (query_id, q) against a whole library (id, v).
 
-    Up to QUERIES queries are broadcast and the library streams past once. More are gathered into blocks of that
-    many, and every library row meets each block in an equi-join on the block's number.
+    Queries are gathered into blocks of at most about QUERIES, and every library row meets each block in an equi-join on
+    the block's number; a single block is broadcast and the library streams past once.
     """
-    many = queries.count()
-    if many <= QUERIES:
-        return library.join(F.broadcast(queries)).select("query_id", "id", score("q", "v").alias("score"))
-    blocks = -(-many // QUERIES)
+    blocks = max(1, -(-queries.count() // QUERIES))
     dealt = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("query_id", "q")).alias("_qs"))
-    met = library.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(dealt, "_b")
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    met = library.withColumn("_b", each).join(F.broadcast(dealt) if blocks == 1 else dealt, "_b")
     return met.select("id", "v", F.inline("_qs")).select("query_id", "id", score("q", "v").alias("score"))
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import hamming
 from ..sources.shared import settled
 from .aggregates import pivot_attrs
-from .joins import nearest, score_all
+from .joins import nearest
+from .neighbours import VectorCells, hash_neighbours
 
 #: Rows that one task numbers.
 ONE_TASK = 200_000
@@ -76,19 +76,20 @@ def best(scored: DataFrame, k: int, keys: list[Column], by: str = "query_id") ->
     return scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
 
-def top_k(queries: DataFrame, library: DataFrame, k: int = 60, floor: float = 0.0) -> DataFrame:
+def top_k(queries: DataFrame, library: DataFrame | VectorCells, k: int = 60, floor: float = 0.0) -> DataFrame:
     """query_id, id, score, rank of the k library rows (id, v) nearest by cosine to each query (query_id, q) but itself.
 
     The floor is applied after the k best are taken. Vectors of another length, null or zero ones, have no score. A task
-    sends k rows a query, so what is ranked does not grow with the library.
+    sends k rows a query, so what is ranked does not grow with the library. Of stored cells only those are read that
+    can hold one of the k.
     """
-    return best(nearest(queries, library, k), k, [F.desc("score"), F.asc("id")]).where(F.col("score") >= floor)
+    near = library.nearest(queries, k)[0] if isinstance(library, VectorCells) else nearest(queries, library, k)
+    return best(near, k, [F.desc("score"), F.asc("id")]).where(F.col("score") >= floor)
 
 
 def similar_by_hash(queries: DataFrame, library: DataFrame, k: int = 60, most: int = 32) -> DataFrame:
     """query_id, id, distance, rank of the k hashes (id, v) nearest to each query (query_id, q) within ``most`` bits."""
-    scored = score_all(queries, library.where("v is not null"), hamming).where("query_id <> id").withColumnRenamed("score", "distance")
-    return best(scored, k, [F.asc("distance"), F.asc("id")]).where(F.col("distance") <= most)
+    return hash_neighbours(queries, library, k, most).select("query_id", "id", "distance", "rank")
 
 
 def append_members(members: DataFrame, new: DataFrame) -> DataFrame:

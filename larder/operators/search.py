@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import settled
 from .filters import find
+from .neighbours import VectorCells
 from .ranking import placed, similar_by_hash, sort_keys, top_k, with_size
 from .textindex import FIELDS, LEAST_IDF, MARKED, PLACES, PLAIN, Segments, TextIndex, occurrences, part, phrases, postings, tokens
 
@@ -83,8 +84,8 @@ def fuse(*rankings: DataFrame, damping: int = DAMPING) -> DataFrame:
     return fused.join(numbered(fused, "score", ascending=False), "id")
 
 
-def semantic(query: DataFrame, library: DataFrame, k: int = SEMANTIC, floor: float = FLOOR) -> DataFrame:
-    """The vector side: the k nearest by cosine, then the floor. query: one row (query_id, q); library (id, v)."""
+def semantic(query: DataFrame, library: DataFrame | VectorCells, k: int = SEMANTIC, floor: float = FLOOR) -> DataFrame:
+    """The vector side: the k nearest by cosine, then the floor. query: one row (query_id, q); library (id, v) or stored cells."""
     asked = query.select((-F.col("query_id") - 1).alias("query_id"), "q")  # a text, not a row of the library, so no row is its own
     return top_k(asked, library, k, floor).select((-F.col("query_id") - 1).alias("query_id"), "id", "score", "rank")
 
@@ -126,7 +127,7 @@ def search(catalog, docs: DataFrame | TextIndex, words: list[str], ranking: Data
     return catalog.asset.join(ranks, "id")
 
 
-def similar(queries: DataFrame, library: DataFrame, query_hashes: DataFrame, hashes: DataFrame) -> DataFrame:
+def similar(queries: DataFrame, library: DataFrame | VectorCells, query_hashes: DataFrame, hashes: DataFrame) -> DataFrame:
     """query_id, id, rank: vector neighbours of each query, or its hash neighbours where it has none."""
     near = top_k(queries, library, NEIGHBOURS, NEIGHBOUR_FLOOR).select("query_id", "id", "rank")
     rest = query_hashes.join(near.select("query_id").distinct(), "query_id", "left_anti")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cosine, hamming
+from ..functions.numeric import hamming
 from ..operators import aggregates as A
 from ..operators import filters as P
 from ..operators import joins as J
+from ..operators import neighbours as V
 from ..operators import ranking as W
+from ..sources.catalog import Catalog
+from ..sources.shared import shared_folder
 from .registry import query
 
 ids = lambda df: df.select("id")
@@ -105,7 +108,7 @@ def _library(t):
 
 @query("j7_score_all", f"select query_id, vec_id as id, round(list_cosine_similarity(q::double[], embedding::double[]), 6) as score from ({_QV}), embeddings")
 def _(t):
-    return J.score_all(_queries(t), _library(t), cosine).withColumn("score", F.round("score", 6))
+    return V.cosines(_queries(t), _library(t)).withColumn("score", F.round("score", 6))
 
 
 _OWNER = "select l.abs_path as path, (select r.id from root r where l.abs_path like r.path || '/%' order by length(r.path) desc limit 1)::bigint as root_id from location l"
@@ -269,6 +272,17 @@ def _(t):
     return W.top_k(_queries(t), _library(t), 60, 0.1).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def cells(t):
+    """The vectors stored by cells."""
+    return V.VectorCells.store(_library(t), Catalog(t.spark, shared_folder(t.spark)))
+
+
+@query("w4_cells", f"{_TOP} select query_id, id, round(c, 6) as score, rank from r where rank <= 60 and c >= 0.1")
+def _(t):
+    """The same neighbours, from the cells that can hold them."""
+    return W.top_k(_queries(t), cells(t), 60, 0.1).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 _HASH = "select vec_id as id, (select bit_or(case when embedding[i]::double > 0 then 1::bigint << (62 - i) else 0 end) from range(1, 63) r(i))::bigint as v from embeddings"
 
 
@@ -287,6 +301,18 @@ def _(t):
     return W.similar_by_hash(h.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), h).select("query_id", "id", "distance", "rank")
 
 
+_CODE = "select doc_id as id, (((n_chars % 64)::bigint << 40) | ((doc_id % 8)::bigint << 20) | (case lang when 'en' then 3 when 'de' then 5 else 9 end)) as v from documents"
+
+
+@query("w5_dense_hashes", f"with h as ({_CODE}), s as (select q.id as query_id, h.id, bit_count(xor(q.v, h.v))::int as distance from h q, h where q.id % 100 = 0 and q.id <> h.id), r as (select *, row_number() over (partition by query_id order by distance, id) as rank from s) select query_id, id, distance, rank from r where rank <= 60 and distance <= 32")
+def _(t):
+    """Hashes that many rows share and few bits part: near buckets decide."""
+    lang = F.when(F.col("lang") == "en", 3).when(F.col("lang") == "de", 5).otherwise(9).cast("bigint")
+    code = F.shiftleft((F.col("n_chars") % 64).cast("bigint"), 40).bitwiseOR(F.shiftleft((F.col("doc_id") % 8).cast("bigint"), 20)).bitwiseOR(lang)
+    h = t.documents.select(F.col("doc_id").alias("id"), code.alias("v"))
+    return W.similar_by_hash(h.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), h)
+
+
 @query("f18_hamming", f"with h as ({_HASH}) select id, bit_count(xor(v, 1234567890123::bigint))::int as distance from h")
 def _(t):
     return hashes(t).select("id", hamming(F.col("v"), F.lit(1234567890123)).alias("distance"))

@@ -13,7 +13,7 @@ from ..operators import tags as G
 from ..operators.textindex import reindex
 from ..sources.catalog import Catalog
 from ..sources.shared import shared_folder
-from .browse import _library, _queries, hashes
+from .browse import _library, _queries, cells, hashes
 from .browse import _HASH, _QV
 from .registry import query
 
@@ -128,6 +128,12 @@ def _(t):
     return R.semantic(_queries(t).where("query_id = 0"), _library(t)).select("id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("r6_cells", f"{_SEM} select id, round(score, 6) as score, rank from sem")
+def _(t):
+    """The same from stored cells of vectors."""
+    return R.semantic(_queries(t).where("query_id = 0"), cells(t)).select("id", F.round("score", 6).alias("score"), "rank")
+
+
 _FUSED = "lit as (select id, row_number() over (order by score, id) as rank from scores), sides as (select id, sum(1.0::double / (60 + rank)) as s from (select id, rank from lit union all select id, row_number() over (order by score desc, id) from sem) group by 1), fused as (select id, row_number() over (order by s desc, id) as rank from sides)"
 
 
