@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, in_batches, lower, mixed, packed, run_hashes, table, unused, without
@@ -167,6 +167,27 @@ def items(benchmark: DataFrame) -> DataFrame:
     return found.groupBy("sum", "n_words").agg(F.min("item_id").alias("item_id")).where("n_words > 0").select("item_id", "n_words")
 
 
+def _covered(at: str, size: str) -> Column:
+    """Words within windows of ``size`` words that begin at sorted places."""
+    steps = F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda x, y: F.least(x - y, F.col(size)))
+    return F.aggregate(steps, F.col(size), lambda x, y: x + y)
+
+
+def promising(met: DataFrame, bench: DataFrame) -> DataFrame:
+    """The windows of documents that can be part of a leak, before any meets an item.
+
+    Windows meet the distinct windows of the benchmark, one row each however many items share one. The windows of a
+    document, and its different ones as often as an item can have them, must cover as many words as some item with
+    that window asks for. So a prompt that many items begin with does not meet them all in every text that holds it.
+    """
+    each = bench.groupBy("item_id", "h", "w").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    kinds = each.groupBy("h", "w").agg(F.max("n").alias("often"), F.min("need").alias("need"))
+    met = cut(met.join(kinds, ["h", "w"]))
+    kept = met.groupBy("doc_id", "w", "h").agg(F.least(F.count("*"), F.first("often")).alias("n"), F.collect_set("pos").alias("at"))
+    held = kept.groupBy("doc_id", "w").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), (F.sum("n") * F.col("w")).alias("words")).select(F.col("doc_id").alias("_doc"), F.col("w").alias("_w"), F.least(_covered("at", "w"), "words").alias("most"))
+    return met.join(held, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("w") == F.col("_w"))).where("most >= need").drop("_doc", "_w", "most", "often", "need")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item it holds: doc_id, item_id, kind (verbatim, reparameterised), covered and item words, slots, consistency."""
     sc = docs.sparkSession.sparkContext
@@ -200,14 +221,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             yield from _rows(batch.column(0), batch.column(1), sizes, maybe)
 
-    found = docs.select("doc_id", "text").transform(in_batches, of_docs, _WORDS).join(bench, ["h", "w"])
+    bench = bench.withColumn("need", F.least(F.lit(COVER), F.ceil(SHARE * F.col("n_words"))).cast("int"))
+    met = docs.select("doc_id", "text").transform(in_batches, of_docs, _WORDS)
+    found = promising(met, bench).join(bench.drop("need"), ["h", "w"])
     values = F.when(F.col("written") | F.col("item_written"), F.col("item_slots")).otherwise(F.col("slots"))  # as written: those of the item, also where only one side has a placeholder
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", values.alias("slots")))))
     lines = found.groupBy("doc_id", "item_id", "n_words", "w", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.array_sort(F.collect_set("item_pos")).alias("at"), pairs.alias("pairs"))
-    steps = F.zip_with(F.slice("at", 2, F.size("at")), F.slice("at", 1, F.size("at") - 1), lambda x, y: F.least(x - y, F.col("w")))
-    covered = F.aggregate(steps, F.col("w"), lambda x, y: x + y)  # words in any matching window
     one = lambda c: F.size(F.array_distinct(F.col(f"pairs.{c}")))
-    lines = lines.select("doc_id", "item_id", "n_words", covered.alias("covered"), F.size("pairs").alias("slots"), F.when(F.size("pairs") == 0, 1.0).otherwise(F.least(one("item_slots"), one("slots")) / F.size("pairs")).alias("consistency"), F.exists("pairs", lambda p: p["item_slots"] != p["slots"]).alias("changed"))
+    lines = lines.select("doc_id", "item_id", "n_words", _covered("at", "w").alias("covered"), F.size("pairs").alias("slots"), F.when(F.size("pairs") == 0, 1.0).otherwise(F.least(one("item_slots"), one("slots")) / F.size("pairs")).alias("consistency"), F.exists("pairs", lambda p: p["item_slots"] != p["slots"]).alias("changed"))
     lines = lines.where((F.col("covered") >= F.least(F.lit(COVER), F.ceil(SHARE * F.col("n_words")))) & (F.col("consistency") >= CONSISTENT))
     best = lines.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("covered", "n_words", "slots", "consistency", "changed"), F.struct("covered", "consistency", ~F.col("changed"))).alias("x"))
     return best.select("doc_id", "item_id", F.when(F.col("x.changed"), "reparameterised").otherwise("verbatim").alias("kind"), F.col("x.covered").cast("int").alias("covered"), F.col("x.n_words").alias("item_words"), F.col("x.slots").alias("slots"), F.col("x.consistency").alias("consistency"))

@@ -5,6 +5,7 @@ from . import bpe, decontaminate, fim, html, langid, quality, secretscan, simhas
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_token_rollup": tokencounts.query,
+    "op2_token_rollup_bpe": tokencounts.bpe_query,
     "op3_language": langid.query,
     "op4_quality": quality.query,
     "op5_html": html.query,

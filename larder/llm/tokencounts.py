@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import in_batches, shared_folder, sized, table
+from .common import cut, in_batches, shared_folder, sized, table
 
 #: Tokenizer versions that SQL can count too: what a token is.
 TOKENIZERS = {"words/1": r"[^\x20\x09-\x0D]+", "words/2": r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]"}
@@ -156,6 +156,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals().drop("n_batches")
 
 
+def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches counted by byte-level BPE, the tokenizer that ``op9`` encodes with."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), table(spark, sf_dir, "labels")
+    poor = sized(labels.where("quality = 0 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct())
+    rollup, counted = Rollup(spark, shared_folder(spark, "rollup")), cut(bpe_counts(docs))
+    rollup.commit("0-insert", inserted(counted))
+    rollup.commit("1-delete", deleted(counted.join(poor, F.col("doc_id") == F.col("_id"), "left_semi")))
+    held = docs.where(F.col("text").rlike(ADDRESS)).join(poor, F.col("doc_id") == F.col("_id"), "left_anti")
+    shorter = held.withColumn("text", F.regexp_replace("text", ADDRESS, " "))
+    for name, part, sign in (("2-take", held, deleted), ("3-give", shorter, inserted)):
+        rollup.commit(name, sign(bpe_counts(part)))
+    return rollup.totals().drop("n_batches")
+
+
 _COUNT = "len(regexp_extract_all(text, '{}'))::bigint"
 ORACLE = f"""
 with kept as (select source, lang, regexp_replace(coalesce(text, ''), '{ADDRESS}', ' ', 'g') as text from documents

@@ -216,10 +216,15 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """read() rows with the payload's size of each revisit taken from the response that it refers to."""
+    """read() rows with the payload's size of each revisit taken from the response that it refers to.
+
+    A response may have a third of all records as revisits. A join right above an aggregate on its key is never taken
+    as skewed; by the key's complement the responses are shuffled once more, and adaptive execution can split it.
+    """
     visits = found.where("record_type = 'revisit'")
-    firsts = found.where("record_type = 'response' and error is null and page_id is not null").groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
-    visits = visits.join(firsts, (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    firsts = found.where("record_type = 'response' and error is null and page_id is not null").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("_bytes"))
+    firsts = firsts.select(F.bitwise_not("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "_bytes")
+    visits = visits.join(firsts, (F.bitwise_not("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
     visits = visits.select("page_id", "record_type", "refers_to", F.col("_bytes").alias("payload_bytes"), "payload_digest", "payload", F.when(F.col("_bytes").isNull(), F.coalesce("error", F.lit("no such response"))).otherwise(F.col("error")).alias("error"))
     return found.where("record_type is null or record_type <> 'revisit'").unionByName(visits)
 

@@ -224,6 +224,34 @@ def test_covered_words_of_separate_runs(spark):
     assert [(r["doc_id"], r["covered"]) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 16)]
 
 
+def test_a_window_that_many_items_share(spark, monkeypatch):
+    """A prompt of eight words meets one row a text, not every item that begins with it; whole items are found as before."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    prompt = "which of the following is true about the"
+    items = [(i, f"{prompt} " + " ".join(word() for _ in range(20))) for i in range(150)]
+    docs = [(i, f"{word()} {prompt} {word()} {word()} {prompt} {word()} {prompt}") for i in range(120)] + [(500, f"so {items[7][1]} then"), (501, f"{prompt} {items[9][1]}")]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    seen, plain = [], decontaminate.promising
+
+    def noted(met, known):
+        seen.append(plain(met, known))
+        return seen[-1]
+
+    monkeypatch.setattr(decontaminate, "promising", noted)
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()) == [(500, 7), (501, 9)]
+    assert {r["doc_id"] for r in seen[0].collect()} == {500, 501}
+
+
+def test_rollup_of_bpe_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "lang", F.regexp_replace("text", tokencounts.ADDRESS, " ").alias("text"))
+    poor = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").select("doc_id")
+    kept = docs.join(poor, "doc_id", "left_anti")
+    sums = bpe.digests(kept).join(kept.select("doc_id", "source", "lang"), "doc_id").groupBy("source", "lang").agg(F.count("*"), F.sum("n_tokens"))
+    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in tokencounts.bpe_query(spark, SF).collect() if r["n_docs"]}
+    assert got == {(r[0], r[1]): (r[2], r[3]) for r in sums.collect()}
+
+
 def test_unspaced_scripts_and_shortest_items(spark):
     zh, ja, th = "小明有三个苹果，妈妈又给了他两个。他现在一共有几个苹果？", "東京から大阪まで何キロありますか。", "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
     bench = spark.createDataFrame([(1, zh), (2, ja), (3, th), (4, "北京"), (5, "Blue Frogs"), (6, "Zanzibar"), (7, "8 + 5 * 3"), (8, "!?")], "item_id long, text string")
