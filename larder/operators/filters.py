@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import CLIPPING_DB, SILENT_DB, quantity
@@ -162,29 +166,113 @@ def facts(catalog) -> DataFrame:
     return rows[0].union(rows[1]).union(rows[2])
 
 
+class _Intervals:
+    """The thresholds of each field, sorted, part its numbers into elementary intervals: 2i + 1 is the i-th threshold itself, 2i what lies before it.
+
+    A comparison is a range of intervals, and a number is in one. Ranges are cut into nodes of a binary tree, of which a
+    range has about two a level at most, and a number lies below one a level; so numbers meet comparisons by equality
+    of nodes, and a row comes out only for a comparison that holds.
+    """
+
+    def __init__(self, terms: DataFrame) -> None:
+        rows = terms.where(F.col("want").isNotNull()).groupBy("field").agg(F.sort_array(F.collect_set("want")).alias("at")).collect()  # distinct thresholds
+        self.at = {r["field"]: r["at"] for r in rows}
+        self.levels = max([1, *((2 * len(x) + 1).bit_length() for x in self.at.values())])
+        self.spark = terms.sparkSession
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows (field, number) with the interval of their number; those of fields that no term has are left out."""
+        known = self.spark.sparkContext.broadcast({f: np.array(x) for f, x in self.at.items()})
+        at = [rows.columns.index(c) for c in ("field", "number")]
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fields, numbers = np.array(batch.column(at[0]).to_pylist(), dtype=object), batch.column(at[1]).to_numpy(zero_copy_only=False)
+                place = np.zeros(len(fields), np.int64)
+                for f in set(fields.tolist()):
+                    mine = fields == f
+                    low, high = (np.searchsorted(known.value[f], numbers[mine], side) for side in ("left", "right"))
+                    place[mine] = low + high
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "place"])
+
+        kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+        return rows.where(F.col("field").isin(*self.at)).mapInArrow(work, f"{kinds}, place long")
+
+    def ranged(self, terms: DataFrame) -> DataFrame:
+        """Terms (field, op, want) with the first and last interval in which they hold."""
+        exact = terms.where("want is not null").withColumnRenamed("want", "number").transform(self.placed).withColumnRenamed("number", "want")  # 2i + 1, for it is a threshold
+        last = F.lit((1 << self.levels) - 1)
+        low = F.when(F.col("op") == ">=", F.col("place")).when(F.col("op") == ">", F.col("place") + 1).when(F.col("op").isin("<", "<="), 0).otherwise(F.col("place"))
+        high = F.when(F.col("op") == "<=", F.col("place")).when(F.col("op") == "<", F.col("place") - 1).when(F.col("op").isin(">", ">="), last).otherwise(F.col("place"))
+        return exact.select(*terms.columns, low.alias("low"), high.alias("high"))
+
+    def nodes(self, terms: DataFrame) -> DataFrame:
+        """Terms with (level, node) of the nodes that make up their range: those inside whose parent is not."""
+        level = F.explode(F.sequence(F.lit(0), F.lit(self.levels))).alias("level")
+        each = terms.select("*", level).withColumns({"_a": F.expr("shiftright(low + shiftleft(1L, level) - 1, level)"), "_b": F.expr("shiftright(high + 1, level) - 1")})  # nodes wholly inside
+        ends = F.array_distinct(F.array("_a", "_b"))
+        own = F.filter(ends, lambda n: (n >= F.col("_a")) & (n <= F.col("_b")) & ~((F.expr("shiftright(low + shiftleft(1L, level + 1) - 1, level + 1)") <= F.floor(n / 2)) & (F.floor(n / 2) <= F.expr("shiftright(high + 1, level + 1) - 1"))))
+        return each.where("_a <= _b").select(*terms.columns, "level", F.explode(own).alias("node"))
+
+    def met(self, terms: DataFrame, placed: DataFrame) -> DataFrame:
+        """Terms, with their ranges, and the id of each fact (id, field, place) that meets them: first by interval, then the facts of the intervals."""
+        above = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(self.levels)), lambda k: F.call_function("shiftright", F.col("place"), k))).alias("level", "node")
+        held = placed.select("field", "place").distinct().select("field", "place", above)  # two for each threshold at most
+        return self.nodes(terms).join(held, ["field", "level", "node"]).join(placed, ["field", "place"])
+
+    def counts(self, terms: DataFrame, placed: DataFrame) -> DataFrame:
+        """Terms, with their ranges, and n, the number of facts that meet them: a difference of two running sums over the intervals of their field."""
+        sizes = placed.groupBy("field", "place").agg(F.count("*").alias("n"))
+        asked = terms.select("field", F.explode(F.array(F.col("low") - 1, "high")).alias("place"), F.lit(0).cast("bigint").alias("n"))
+        every = sizes.unionByName(asked).groupBy("field", "place").agg(F.sum("n").alias("n"))  # two for each threshold at most
+        upto = every.select("field", "place", F.sum("n").over(Window.partitionBy("field").orderBy("place")).alias("n"))
+        first = upto.select("field", (F.col("place") + 1).alias("low"), F.col("n").alias("_before"))
+        return terms.join(first, ["field", "low"]).join(upto.withColumnRenamed("place", "high"), ["field", "high"]).select(*terms.columns, (F.col("n") - F.col("_before")).alias("n"))
+
+
 def saved_searches(terms: DataFrame, catalog) -> DataFrame:
     """(query_id, id) for many filter sets at once.
 
     terms: query_id, field, op (= for kinds and tags), value (text) and negated. An item matches a query when every
     plain term has a fact and no negated one has.
+
+    Of each query the plain term that the fewest facts meet is sought first (how many meet a comparison is counted from
+    the sizes of intervals), and only items that meet it are asked for the other terms, by item and field. Numbers
+    meet comparisons by intervals; nothing is joined on a field alone. Distinct thresholds are held by the driver and
+    every task, 8 bytes each.
     """
-    t = terms.select("query_id", "field", "op", "negated", F.when(F.col("field") == "tag", canonical("value")).otherwise(F.col("value")).alias("value"), quantity("value").alias("want"))
+    t = terms.select("query_id", "field", "op", "negated", F.when(F.col("field") == "tag", canonical("value")).otherwise(F.col("value")).alias("value"), F.when(~F.col("field").isin("kind", "tag"), quantity("value")).alias("want")).distinct()
+    named, numbers = t.where("field in ('kind', 'tag')"), t.where("field not in ('kind', 'tag')")
     rows = facts(catalog)
-    # texts meet the terms with their field and value in an equi-join; numbers meet the comparisons of their field
-    named = rows.where("text is not null").select("id", "field", F.col("text").alias("value")).join(t.where("field in ('kind', 'tag')"), ["field", "value"])
-    number = F.when(F.col("op") == ">=", F.col("number") >= F.col("want")).when(F.col("op") == "<=", F.col("number") <= F.col("want")).when(F.col("op") == ">", F.col("number") > F.col("want")).when(F.col("op") == "<", F.col("number") < F.col("want")).otherwise(F.col("number") == F.col("want"))
-    measured = rows.where("text is null").select("id", "field", "number").join(t.where("field not in ('kind', 'tag')"), "field").where(number)
-    columns = ["query_id", "id", "field", "op", "value", "negated"]
-    met = named.select(*columns).union(measured.select(*columns)).groupBy("query_id", "id").agg(F.countDistinct(F.when(~F.col("negated"), F.struct("field", "op", "value"))).alias("met"), F.max("negated").alias("against"))
-    wanted = t.groupBy("query_id").agg(F.countDistinct(F.when(~F.col("negated"), F.struct("field", "op", "value"))).alias("n"))
-    plain = met.join(wanted, "query_id").where("n > 0 and met = n and not against").select("query_id", "id")
+    texts = rows.where("text is not null").select("id", "field", F.col("text").alias("value"))
+    intervals = _Intervals(numbers)
+    placed = intervals.placed(rows.where("text is null").select("id", "field", "number")).select("id", "field", "place")
+    ranged = intervals.ranged(numbers)
+    # how many facts each plain term meets
+    counted = intervals.counts(ranged.where("not negated"), placed)
+    many = named.where("not negated").join(texts.groupBy("field", "value").agg(F.count("*").alias("n")), ["field", "value"], "left")
+    key = ["query_id", "field", "op", "value"]
+    every = many.select(*key, F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).unionByName(counted.select(*key, "n")).unionByName(numbers.where("not negated and want is null").select(*key, F.lit(0).cast("bigint").alias("n")))
+    plain = every.groupBy("query_id").agg(F.count("*").alias("terms"), F.min(F.struct("n", "field", "op", "value")).alias("x")).select("query_id", "terms", "x.*").where("n > 0")
+    start = plain.select(*key, "terms")
+    by_text = start.join(texts, ["field", "value"]).select("query_id", "id", "terms", "field", "op", "value")
+    by_number = intervals.met(ranged.join(start, key), placed).select("query_id", "id", "terms", "field", "op", "value")
+    candidates = by_text.unionByName(by_number).distinct()
+    # the other terms of each candidate, by item and field
+    rest = t.alias("t").join(candidates.alias("c"), (F.col("t.query_id") == F.col("c.query_id")) & ~((F.col("t.field") == F.col("c.field")) & (F.col("t.op") == F.col("c.op")) & (F.col("t.value") == F.col("c.value")) & ~F.col("t.negated"))).select("t.*", "c.id")
+    yes_text = rest.where("field in ('kind', 'tag')").join(texts, ["id", "field", "value"], "left_semi")
+    yes_number = rest.where("field not in ('kind', 'tag')").join(ranged.select(*key, "negated", "low", "high"), [*key, "negated"]).join(placed, ["id", "field"]).where("place between low and high").select(*yes_text.columns)
+    met = yes_text.unionByName(yes_number).groupBy("query_id", "id").agg(F.countDistinct(F.when(~F.col("negated"), F.struct("field", "op", "value"))).alias("met"), F.max("negated").alias("against"))
+    found = candidates.join(met, ["query_id", "id"], "left").where("coalesce(met, 0) = terms - 1 and not coalesce(against, false)").select("query_id", "id")
     # queries of negated terms only: each item once, with all of them but those it meets
-    only = wanted.where("n = 0").select("query_id")
-    against = met.where("against").join(only, "query_id", "left_semi").groupBy("id").agg(F.collect_set("query_id").alias("_no"))
-    every = only.agg(F.collect_set("query_id").alias("_all"))  # one row: the saved searches of that kind
-    left = catalog.asset.select("id").join(against, "id", "left").join(F.broadcast(every))
-    rest = left.select(F.explode(F.array_except("_all", F.coalesce("_no", F.array().cast("array<bigint>")))).alias("query_id"), "id")
-    return plain.union(rest)
+    only = t.groupBy("query_id").agg(F.bool_and("negated").alias("_only")).where("_only").select("query_id")
+    no_text = texts.join(named.join(only, "query_id", "left_semi"), ["field", "value"]).select("query_id", "id")
+    no_number = intervals.met(ranged.join(only, "query_id", "left_semi"), placed).select("query_id", "id")
+    against = no_text.unionByName(no_number).groupBy("id").agg(F.collect_set("query_id").alias("_no"))
+    all_ = only.agg(F.collect_set("query_id").alias("_all")).withColumn("_one", F.lit(1))  # one row: the saved searches of that kind
+    left = catalog.asset.select("id", F.lit(1).alias("_one")).join(against, "id", "left").join(F.broadcast(all_), "_one")
+    none = F.array().cast(f"array<{dict(terms.dtypes)['query_id']}>")
+    return found.unionByName(left.select(F.explode(F.array_except("_all", F.coalesce("_no", none))).alias("query_id"), "id"))
 
 
 def detail(catalog, ids: DataFrame | None = None) -> DataFrame:

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import folder_tags, host_of, name_words, title_tags
 from .aggregates import prototypes
 from .joins import unit_vectors
 
-#: Confidence of tags from names and from folders; the scale of logits, the least probability of a zero-shot label, and the largest vocabulary.
-NAME, FOLDER, SCALE, SURE, MOST_LABELS = 0.5, 0.6, 100.0, 0.40, 10_000
+#: Confidence of tags from names and from folders; the scale of logits and the least probability of a zero-shot label.
+NAME, FOLDER, SCALE, SURE = 0.5, 0.6, 100.0, 0.40
+#: Labels that are broadcast at once, items whose logits a task holds at once, and by how much equal logits may differ.
+BLOCK_LABELS, ITEMS, TIE = 10_000, 1024, 1e-10
 
 
 def _tag(name, source: str, confidence):
@@ -52,37 +54,58 @@ def zero_shot(vectors: DataFrame, labels: DataFrame, sure: float = SURE) -> Data
     """(id, namespace, name, confidence): at most one label for each item and namespace.
 
     vectors (id, v); labels (namespace, name, background, q) in which background rows compete but are never given; of
-    equally likely labels the first by name. The labels are a vocabulary of at most MOST_LABELS, so they are broadcast
-    and each item's probabilities and choice are made where it lies: nothing is shuffled.
+    equally likely labels the first by name. Labels are broadcast in blocks of BLOCK_LABELS. Of a block each item has,
+    by namespace, its greatest logit, the sum of exponentials below it and the first label that has it, and those of
+    several blocks are merged (a softmax needs no more), so a vocabulary may have any size. One block is decided where
+    the items lie: nothing is shuffled.
     """
-    rows = labels.select("namespace", "name", "background", F.transform("q", lambda x: x.cast("double")).alias("q")).orderBy("namespace", "name").limit(MOST_LABELS + 1).toArrow()
-    if rows.num_rows > MOST_LABELS:
-        raise ValueError(f"a vocabulary of more than {MOST_LABELS} labels; score it with joins.score_all")
+    rows = labels.select("namespace", "name", "background", F.transform("q", lambda x: x.cast("double")).alias("q"))
+    blocks = max(1, -(-rows.count() // BLOCK_LABELS))
+    items = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    parts = None
+    for block in range(blocks):
+        one = items.mapInArrow(_logits(rows, block, blocks), "id long, namespace string, top double, total double, name string, background boolean")
+        parts = one if parts is None else parts.unionByName(one)
+    if blocks > 1:
+        # labels within rounding of the greatest logit tie, as in one block; the sums are taken below the common one
+        top = F.max("top").over(Window.partitionBy("id", "namespace")).alias("_top")
+        first = F.min(F.when(F.col("top") > F.col("_top") - TIE, F.struct("name", "background")))
+        merged = parts.select("*", top).groupBy("id", "namespace").agg(F.max("_top").alias("top"), F.sum(F.col("total") * F.exp(F.col("top") - F.col("_top"))).alias("total"), first.alias("x"))
+        parts = merged.select("id", "namespace", "top", "total", "x.name", "x.background")
+    chance = 1 / F.col("total")
+    return parts.where((chance >= sure) & ~F.col("background")).select("id", "namespace", "name", F.round(chance, 4).alias("confidence"))
+
+
+def _logits(labels: DataFrame, block: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches (id, v): of each item and namespace of a block of labels the greatest logit, the sum of exponentials below it, and the first label by name that has it."""
+    rows = labels.where(F.pmod(F.xxhash64("namespace", "name"), F.lit(blocks)) == block).orderBy("namespace", "name").toArrow()  # about BLOCK_LABELS
     spaces, names, background = (rows[c].to_pylist() for c in ("namespace", "name", "background"))
-    known = {n: (at, unit) for n, (at, unit) in unit_vectors(rows["q"].combine_chunks()).items()} if rows.num_rows else {}
-    shared = vectors.sparkSession.sparkContext.broadcast(known)
+    known = unit_vectors(rows["q"].combine_chunks()) if rows.num_rows else {}
+    shared = labels.sparkSession.sparkContext.broadcast(known)
+    schema = pa.schema([("id", pa.int64()), ("namespace", pa.string()), ("top", pa.float64()), ("total", pa.float64()), ("name", pa.string()), ("background", pa.bool_())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
             for n, (at, x) in unit_vectors(batch.column(1)).items():
                 if n not in shared.value:
                     continue
                 of, q = shared.value[n]
                 ids = batch.column(0).to_numpy()[at]
-                logit = SCALE * (x @ q.T)
-                for space in sorted({spaces[i] for i in of.tolist()}, key=repr):
-                    mine = np.array([k for k, i in enumerate(of.tolist()) if spaces[i] == space])
-                    part = logit[:, mine]
-                    e = np.exp(part - part.max(axis=1, keepdims=True))
-                    p = e / e.sum(axis=1, keepdims=True)
-                    first = np.argmax(np.round(p, 12), axis=1)  # labels lie in order of name
-                    chance = p[np.arange(len(p)), first]
-                    label = of[mine[first]].tolist()
-                    out += [(i, space, names[k], round(c, 4)) for i, k, c in zip(ids.tolist(), label, chance.tolist(), strict=True) if c >= sure and not background[k]]
-            yield pa.RecordBatch.from_pylist([dict(zip(("id", "namespace", "name", "confidence"), r, strict=True)) for r in out], pa.schema([("id", pa.int64()), ("namespace", pa.string()), ("name", pa.string()), ("confidence", pa.float64())]))
-
-    return vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).mapInArrow(work, "id long, namespace string, name string, confidence double")
+                mine: dict = {}
+                for k, i in enumerate(of.tolist()):
+                    mine.setdefault(spaces[i], []).append(k)
+                for step in range(0, len(ids), ITEMS):
+                    logit = SCALE * (x[step : step + ITEMS] @ q.T)
+                    for space, held in sorted(mine.items(), key=repr):
+                        part = logit[:, held]
+                        top = part.max(axis=1)
+                        first = np.argmax(part > top[:, None] - TIE, axis=1)  # labels lie in order of name
+                        label = of[np.array(held)[first]].tolist()
+                        total = np.exp(part - top[:, None]).sum(axis=1)
+                        columns = [ids[step : step + ITEMS], [space] * len(top), top, total, [names[k] for k in label], [background[k] for k in label]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return work
 
 
 def label_matrix(prompts: DataFrame) -> DataFrame:

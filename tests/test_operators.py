@@ -1,5 +1,6 @@
 """Invariants of sync, edits, names, streams and detectors, with near misses."""
 
+import random
 from datetime import datetime
 
 import numpy as np
@@ -235,6 +236,56 @@ def test_saved_searches_of_negated_terms_only(spark):
     assert got == want
 
 
+def test_many_saved_searches_against_one_by_one(spark):
+    """Thresholds that facts equal, unknown fields and values, several terms, plain and negated."""
+    rng = random.Random(8)
+    t = Tables(spark, SF)
+    widths = sorted({int(r["value_num"]) for r in t.attribute.where("key = 'width'").collect()})
+    terms = []
+    for q in range(60):
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.2:
+                term = ("kind", "=", rng.choice(["image", "audio", "nothing"]))
+            elif kind < 0.4:
+                term = ("tag", "=", rng.choice(["good", "Toxic", "lang-en", "never-used"]))
+            else:
+                value = rng.choice([str(rng.choice(widths)), str(rng.choice(widths) + 0.5), "1kb", "0", "999999", "wide"])
+                term = (rng.choice(["width", "width", "bytes", "duration", "nope"]), rng.choice([">=", "<=", ">", "<", "="]), value)
+            terms.append((q, *term, rng.random() < 0.3))
+    got = {(r["query_id"], r["id"]) for r in P.saved_searches(spark.createDataFrame(terms, "query_id bigint, field string, op string, value string, negated boolean"), t).collect()}
+    facts = {}
+    for r in P.facts(t).collect():
+        facts.setdefault(r["id"], []).append((r["field"], r["text"], r["number"]))
+    unit = lambda v: 1024.0 if v == "1kb" else None if v == "wide" else float(v)
+    compare = {">=": float.__ge__, "<=": float.__le__, ">": float.__gt__, "<": float.__lt__, "=": float.__eq__}
+
+    def holds(item, field, op, value):
+        if field in ("kind", "tag"):
+            return any(f == field and x == value.lower() for f, x, _ in facts[item])
+        return unit(value) is not None and any(f == field and compare[op](n, unit(value)) for f, _, n in facts[item])
+
+    want = set()
+    for q in range(60):
+        mine = [x[1:] for x in terms if x[0] == q]
+        want |= {(q, r["id"]) for r in t.asset.select("id").collect() if all(holds(r["id"], *x[:3]) != x[3] for x in mine)}
+    assert got == want and 10 < len({q for q, _ in want})
+
+
+def test_saved_searches_join_by_interval(spark):
+    """A hundred thousand searches of one field: what meets a comparison is found by node and interval."""
+    ids = spark.range(100_000)
+    terms = ids.select(F.col("id").alias("query_id"), F.lit("width").alias("field"), F.lit(">=").alias("op"), (F.col("id") / 100.0 + 31.5).cast("string").alias("value"), F.lit(False).alias("negated"))
+    both = terms.union(ids.select("id", F.lit("width"), F.lit("<"), (F.col("id") / 100.0 + 31.7).cast("string"), F.lit(False)))
+    t = Tables(spark, SF)
+    found = P.saved_searches(both, t)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
+    widths = [r["value_num"] for r in t.attribute.where("key = 'width'").collect()]
+    want = sum(1 for w in widths for q in range(max(0, int(w * 100) - 3200), min(100_000, int(w * 100) - 3100)) if q / 100 + 31.5 <= w < q / 100 + 31.7)
+    assert abs(found.count() - want) <= len(widths)  # a threshold may be rounded on either side
+
+
 def test_credits_file(spark, tmp_path):
     rows = spark.createDataFrame([(1, "image", "a", "S", "L", "u"), (2, "image", "b", None, None, None), (3, "reference", "r2", None, None, None), (2, "reference", "r1", None, None, None)], "ord bigint, kind string, title string, source_name string, license string, source_url string")
     X.write_credits(X.credits(rows), str(tmp_path / "c"))
