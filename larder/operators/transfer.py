@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, kind_of, stem
+from ..sources.shared import settled
 from .filters import named_tags
-from .ranking import primary_location
+from .ranking import placed, primary_location
 
 #: Largest archive member and archive; titles listed in the credits of a group; archive extensions; folders by kind.
 MOST_MEMBER, MOST_ARCHIVE, LISTED = 512 << 20, 8 << 30, 20
@@ -120,13 +121,47 @@ def resolve_names(rows: DataFrame, scheme: str = "export") -> DataFrame:
     """Files (folder, name, content_hash, ord) with target and fresh: the same name and content is written once.
 
     Other content under a name taken gets the next free one: ``export`` raises a trailing number, ``import`` appends
-    to the stem. Names that could meet lie in one family (a folder, a stem without trailing numbers, an extension), so
-    each family is probed in order by itself. A family keeps its taken names, not its rows, and for each run of numbers
-    the next free one, so its time is in proportion to its rows.
+    to the stem. ``ord`` is different for every row. Names that could meet lie in one family (a folder, a stem without
+    trailing numbers, an extension). Of a name and content only the first row is numbered, the others follow it. In a
+    family of a single name, as a flat export of "image.png" is, the numbers are those of an order that Spark ranges
+    over many tasks, and the place in it is the number. Only families of several names, which take numbers from each
+    other, are probed in order, each by itself, in time in proportion to their different names and contents.
     """
+    family = F.concat_ws("|", "folder", F.lower(F.regexp_replace(stem("name"), "(-[0-9]+)+$", "")), F.regexp_extract("name", r"(?<=.)(\.[^.]*)$", 1))
+    keyed = rows.select(family.alias("family"), "folder", "name", "content_hash", F.col("ord").cast("long").alias("ord"))
+    first = settled(keyed.groupBy("family", "folder", "name", "content_hash").agg(F.min("ord").alias("ord")))
+    tail = F.regexp_extract(_bare("name"), r"-(\p{Nd}+)$", 1)
+    plain = F.bool_and(tail.rlike("^[0-9]{0,18}$"))  # longer numbers are raised one by one
+    kinds = first.groupBy("family").agg((F.min("name") == F.max("name")).alias("one"), plain.alias("plain")).select("family", (F.col("one") & F.col("plain")).alias("single"))
+    sorted_ = settled(first.join(kinds, "family"))
+    named = _ranked_names(sorted_.where("single"), scheme).unionByName(_probed_names(sorted_.where("not single"), scheme))
+    same = lambda c: keyed[c].eqNullSafe(F.col(f"n.{c}"))
+    out = keyed.join(named.alias("n"), same("folder") & same("name") & same("content_hash"))
+    return out.select(keyed["folder"], keyed["name"], keyed["content_hash"], keyed["ord"], "n.target", (F.col("n.fresh") & (keyed["ord"] == F.col("n.ord"))).alias("fresh"))
+
+
+def _bare(name: str) -> Column:
+    """A name without its extension; a name that only begins with a point has none."""
+    return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*$", "")
+
+
+def _ranked_names(first: DataFrame, scheme: str) -> DataFrame:
+    """Targets of families of one name: the first content keeps it, the k-th after it has a number k further."""
+    order = placed(first.select("family", "folder", "name", "content_hash", "ord"), F.asc("family"), F.asc("ord"), name="_place")
+    start = order.groupBy("family").agg(F.min("_place").alias("_start"))
+    k, bare = F.col("_place") - F.col("_start"), _bare("name")
+    ext = F.substring("name", F.char_length(bare) + 1, F.char_length("name"))
+    tail = F.regexp_extract(bare, "-([0-9]+)$", 1)
+    appended = F.concat(bare, F.lit("-"), k.cast("string"), ext)
+    raised = F.concat(F.regexp_replace(bare, "[0-9]+$", ""), (F.when(tail != "", tail).cast("long") + k).cast("string"), ext)
+    target = F.when(k == 0, F.col("name")).when((tail != "") & F.lit(scheme == "export"), raised).otherwise(appended)
+    return order.join(start, "family").select("folder", "name", "content_hash", "ord", target.alias("target"), F.lit(True).alias("fresh"))
+
+
+def _probed_names(first: DataFrame, scheme: str) -> DataFrame:
+    """Targets of families of several names, in order."""
     import pyarrow as pa
 
-    family = F.concat_ws("|", "folder", F.lower(F.regexp_replace(stem("name"), "(-[0-9]+)+$", "")), F.regexp_extract("name", r"(?<=.)(\.[^.]*)$", 1))
     kinds = "folder string, name string, content_hash string, ord long, target string, fresh boolean"
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +176,7 @@ def resolve_names(rows: DataFrame, scheme: str = "export") -> DataFrame:
                 new.append(fresh)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string()), pa.array(new, pa.bool_())], names=["folder", "name", "content_hash", "ord", "target", "fresh"])
 
-    keyed = rows.select(family.alias("family"), "folder", "name", "content_hash", F.col("ord").cast("long").alias("ord"))
+    keyed = first.select("family", "folder", "name", "content_hash", "ord")
     return keyed.repartition("family").sortWithinPartitions("family", "ord").mapInArrow(probe, kinds)
 
 

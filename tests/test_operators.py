@@ -204,6 +204,26 @@ def test_names_of_a_large_family(spark):
     assert all(r["target"] == ("image.png" if int(r["content_hash"]) == 0 else f"image-{r['content_hash']}.png") for r in got)
 
 
+@pytest.mark.parametrize("scheme", ["export", "import"])
+def test_names_of_single_families_in_many_tasks(spark, scheme, monkeypatch):
+    """Families of one name are numbered in range parts; the names are those of the rule applied in order."""
+    monkeypatch.setattr(W, "ONE_TASK", 100)
+    rng = random.Random(scheme)
+    rows = []
+    for name in ("image.png", "shot-7.jpg", "shot-007.gif", ".hidden", "none", "a.b-3.c", "x-99999999999999999999.y", "dots...", "n-٣.z"):
+        rows += [(f"f{rng.randrange(2)}", name, rng.choice([None, *map(str, range(90))])) for _ in range(150)]
+    rng.shuffle(rows)
+    rows = [(*r, i) for i, r in enumerate(rows)]
+    got = X.resolve_names(spark.createDataFrame(rows, "folder string, name string, content_hash string, ord bigint").repartition(7), scheme)
+    want, names = [], {}
+    for folder, name, digest, i in rows:
+        held = names.setdefault((folder, name), X._Names(scheme))  # each name here is a family of its own
+        want.append((folder, name, digest, i, *held.target(name, digest)))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[3]) == want
+    parts = W.placed(spark.range(1000).select("id"), F.asc("id")).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 3
+
+
 @pytest.mark.parametrize("scheme", ["export", "import"])
 def test_names_against_one_by_one(scheme):
     rng = np.random.default_rng(0)
