@@ -1,4 +1,4 @@
-"""Nearest rows by hash and by vector without meeting every row: multi-index hashing, and cells of vectors. Both are exact."""
+"""Nearest rows by hash, vector and palette without meeting every row: multi-index hashing, cells of vectors, and a grid of palettes. All are exact."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ from .joins import CELLS, QUERIES, unit_vectors
 BANDS, WIDTH, FAR = 4, 16, 3
 #: Vectors that centroids are learned from, rounds of learning, most cells, and rows that a cell has at least on average.
 SAMPLE, ROUNDS, MOST_CELLS, PER_CELL = 8192, 8, 1024, 64
+#: Steps of a channel in the grid of palettes.
+GRID = 8
 #: By how much rounding may move a distance of unit vectors.
 MARGIN = 1e-7
 NAME = "cells"
@@ -239,6 +241,70 @@ class VectorCells:
         return some.select("id", "v", "cell").mapInArrow(work, "query_id long, id long, score double")
 
 
+def palette_distance(a, b):
+    """Mean distance of each colour to the nearest of the other palette, both ways, over the cube's diagonal."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    gap = lambda x, y: F.sqrt(sum(F.pow((x[c] - y[c]).cast("double"), F.lit(2.0)) for c in "rgb"))
+    side = lambda p, q: F.aggregate(F.transform(p, lambda x: F.array_min(F.transform(q, lambda y: gap(x, y)))), F.lit(0.0), lambda s, x: s + x) / F.size(p)
+    return (side(a, b) + side(b, a)) / 2 / F.sqrt(F.lit(3 * 255.0**2))
+
+
+def _shape(palette: str) -> list[Column]:
+    """Of each channel of a palette the mean, least and greatest."""
+    of = lambda c: F.transform(palette, lambda x: x[c].cast("double"))
+    each = {"mean": lambda c: F.aggregate(of(c), F.lit(0.0), lambda s, x: s + x) / F.size(palette), "low": lambda c: F.array_min(of(c)), "high": lambda c: F.array_max(of(c))}
+    return [f(c).alias(f"{name}_{c}") for name, f in each.items() for c in "rgb"]
+
+
+def _gap(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray) -> np.ndarray:
+    """Distances of boxes (n, 3) and boxes (m, 3); a point is a box."""
+    apart = np.maximum(0, np.maximum(low[:, None] - high2[None], low2[None] - high[:, None]))
+    return np.sqrt((apart * apart).sum(axis=2))
+
+
+def palette_neighbours(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
+    """query_id, id, distance, rank of the k palettes (id, p) nearest to each query (query_id, q) but itself, by ``palette_distance`` to nine decimals, ties by id.
+
+    The nearest colours of a palette average to a point within its box, so its mean distance to another is at least that
+    from the mean to the other's box. Palettes lie on a grid by their mean; from the boxes of a cell's means and of its
+    colours follows the least distance that a palette there can have, both ways. Each query meets the nearest cells
+    that hold more than k, then those whose bound is within its k-th distance, by an equi-join on the cell. Null and
+    empty palettes are no one's neighbours.
+    """
+    cell = lambda c: F.greatest(F.lit(0), F.least(F.lit(GRID - 1), F.floor(F.col(f"mean_{c}") * GRID / 256)))
+    rows = library.where(F.size("p") > 0).select("id", "p", *_shape("p"))
+    rows = rows.withColumn("cell", ((cell("r") * GRID + cell("g")) * GRID + cell("b")).cast("int"))
+    edge = [f(f"{x}_{c}").alias(f"{f.__name__}_{x}_{c}") for f, x in ((F.min, "mean"), (F.max, "mean"), (F.min, "low"), (F.max, "high")) for c in "rgb"]
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), *edge).orderBy("cell").toArrow()  # at most GRID ** 3
+    asked = queries.where(F.size("q") > 0).select("query_id", "q").distinct()
+    blocks, out = max(1, -(-asked.count() // QUERIES)), None
+    box = lambda table, name: np.stack([table[f"{name}_{c}"].to_numpy() for c in "rgb"], axis=1)
+    for block in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        q = some.select("query_id", *_shape("q")).toArrow()
+        if not q.num_rows or not cells.num_rows:
+            continue
+        mean = box(q, "mean")
+        bound = (_gap(mean, mean, box(cells, "min_low"), box(cells, "max_high")) + _gap(box(q, "low"), box(q, "high"), box(cells, "min_mean"), box(cells, "max_mean"))) / 2 / np.sqrt(3 * 255.0**2)
+        ids, names, size = q["query_id"].to_numpy(), cells["cell"].to_numpy(), cells["n"].to_numpy()
+        order = np.argsort(bound, axis=1, kind="stable")
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, order, np.cumsum(size[order], axis=1) - size[order] < k + 1, axis=1)
+
+        def met(wanted: np.ndarray, some=some, ids=ids, names=names) -> DataFrame:
+            row, col = np.nonzero(wanted)
+            pairs = some.sparkSession.createDataFrame(pa.table({"query_id": pa.array(ids[row]), "cell": pa.array(names[col], pa.int32())}))  # QUERIES x GRID ** 3 at most
+            near = rows.select("id", "p", "cell").join(F.broadcast(pairs), "cell").join(F.broadcast(some), "query_id").where("query_id <> id")
+            return _best(near.select("query_id", "id", F.round(palette_distance("q", "p"), 9).alias("distance")), k)
+
+        one = settled(met(first))
+        kth = {r["query_id"]: r["distance"] for r in one.where(F.col("rank") == k).collect()}
+        more = ~first & (bound <= np.array([kth.get(i, np.inf) for i in ids.tolist()])[:, None] + 1e-8)
+        both = _best(one.drop("rank").unionByName(met(more).drop("rank")), k) if more.any() else one
+        out = both if out is None else out.unionByName(both)
+    return queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, distance double, rank bigint") if out is None else out
+
+
 def cosines(queries: DataFrame, library: DataFrame) -> DataFrame:
     """(query_id, id, score): the cosine of every query (query_id, q) of a stated set and every row of a library (id, v), null where one has no direction or another length.
 
@@ -270,4 +336,4 @@ def cosines(queries: DataFrame, library: DataFrame) -> DataFrame:
     return out
 
 
-__all__ = ["VectorCells", "band_values", "cosines", "first_ids", "hash_neighbours"]
+__all__ = ["VectorCells", "band_values", "cosines", "first_ids", "hash_neighbours", "palette_distance", "palette_neighbours"]

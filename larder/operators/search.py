@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import settled
 from .filters import find
-from .neighbours import VectorCells
+from .neighbours import VectorCells, palette_distance, palette_neighbours
 from .ranking import placed, similar_by_hash, sort_keys, top_k, with_size
 from .textindex import FIELDS, LEAST_IDF, MARKED, PLACES, PLAIN, Segments, TextIndex, occurrences, part, phrases, postings, tokens
 
@@ -134,14 +134,6 @@ def similar(queries: DataFrame, library: DataFrame | VectorCells, query_hashes:
     return near.union(similar_by_hash(rest, hashes).select("query_id", "id", "rank"))
 
 
-def palette_distance(a, b):
-    """Mean distance of each colour to the nearest of the other palette, both ways, over the cube's diagonal."""
-    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
-    gap = lambda x, y: F.sqrt(sum(F.pow((x[c] - y[c]).cast("double"), F.lit(2.0)) for c in "rgb"))
-    side = lambda p, q: F.aggregate(F.transform(p, lambda x: F.array_min(F.transform(q, lambda y: gap(x, y)))), F.lit(0.0), lambda s, x: s + x) / F.size(p)
-    return (side(a, b) + side(b, a)) / 2 / F.sqrt(F.lit(3 * 255.0**2))
-
-
 def evaluate(ranking: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     """One row: mean precision at k and mean reciprocal rank of rankings (query_id, id, rank) against pairs (query_id, id)."""
     hit = ranking.join(truth.select("query_id", "id", F.lit(True).alias("hit")), ["query_id", "id"], "left")
@@ -182,4 +174,4 @@ def pair_percentiles(library: DataFrame, percents: tuple[float, ...] = (0.01, 0.
     return out.groupBy("percent").agg((F.min("bin") * step - 1).alias("cosine"))
 
 
-__all__ = ["FIELDS", "MARKED", "PLAIN", "Segments", "TextIndex", "best_matches", "bm25", "evaluate", "fuse", "match_all", "numbered", "occurrences", "pair_percentiles", "palette_distance", "phrases", "postings", "ranked", "search", "semantic", "similar", "tokens"]
+__all__ = ["FIELDS", "MARKED", "PLAIN", "Segments", "TextIndex", "best_matches", "bm25", "evaluate", "fuse", "match_all", "numbered", "occurrences", "pair_percentiles", "palette_distance", "palette_neighbours", "phrases", "postings", "ranked", "search", "semantic", "similar", "tokens"]

@@ -199,6 +199,14 @@ def _(t):
     return t.embeddings.select("vec_id", F.round(R.palette_distance(pal(0), pal(30)), 6).alias("distance"))
 
 
+@query("r10_palette_neighbours", f"""with p as (select vec_id, {_PAL.format('', '', '')} as a from embeddings), d as (select q.vec_id as query_id, p.vec_id as id, round((list_avg(list_transform(q.a, lambda x: list_min(list_transform(p.a, lambda y: {_GAP})))) + list_avg(list_transform(p.a, lambda x: list_min(list_transform(q.a, lambda y: {_GAP}))))) / 2 / sqrt(3 * 65025.0), 9) as distance from p q, p where q.vec_id % 100 = 0 and q.vec_id <> p.vec_id)
+    select query_id, id, distance, row_number() over (partition by query_id order by distance, id) as rank from d qualify rank <= 60""")
+def _(t):
+    level = lambda i: F.floor((F.col("embedding")[i].cast("double") + 1) * 127).cast("int")
+    palettes = t.embeddings.select(F.col("vec_id").alias("id"), F.array(*[F.struct(level(3 * k).alias("r"), level(3 * k + 1).alias("g"), level(3 * k + 2).alias("b")) for k in range(8)]).alias("p"))
+    return R.palette_neighbours(palettes.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("p").alias("q")), palettes, 60)
+
+
 @query("r11_facets_of_search", f"{_SEM}, {_bm25(['the'], ['onon'])}, {_FUSED} select g.name, g.namespace, count(distinct t.asset_id) as n from asset_tag t join tag g on g.id = t.tag_id where t.asset_id in (select id from fused) and t.asset_id in (select id from asset) group by all")
 def _(t):
     return A.facets(_hybrid(t, ["the", "onon"]), t)

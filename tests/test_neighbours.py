@@ -100,3 +100,30 @@ def test_cosines(spark, monkeypatch):
     for block in (2048, 2):
         monkeypatch.setattr(V, "QUERIES", block)
         assert {(r["query_id"], r["id"]): r["score"] if r["score"] is None else round(r["score"], 6) for r in V.cosines(asked, lib).collect()} == want
+
+
+def test_palette_neighbours_against_brute_force(spark, monkeypatch):
+    rng = random.Random(2)
+    seeds = [[rng.randrange(256) for _ in range(3)] for _ in range(15)]
+    near = lambda c: [max(0, min(255, x + rng.randint(-9, 9))) for x in c]
+    rows = {i: [near(rng.choice(seeds[i % 15 : i % 15 + 2])) for _ in range(rng.randint(1, 6))] for i in range(500)} | {600 + i: [[7, 7, 7]] for i in range(9)}
+    kind = "id long, p array<struct<r:smallint,g:smallint,b:smallint>>"
+    lib = spark.createDataFrame([(i, [tuple(c) for c in p]) for i, p in rows.items()] + [(900, None), (901, [])], kind)
+    asked = lib.where("id % 60 = 0 or id >= 608").select(F.col("id").alias("query_id"), F.col("p").alias("q"))
+
+    def far(a, b):
+        gap = lambda x, y: sum((m - n) ** 2 for m, n in zip(x, y, strict=True)) ** 0.5
+        side = lambda p, q: sum(min(gap(x, y) for y in q) for x in p) / len(p)
+        return round((side(a, b) + side(b, a)) / 2 / (3 * 255.0**2) ** 0.5, 9)
+
+    for block in (2048, 4):
+        monkeypatch.setattr(V, "QUERIES", block)
+        found = V.palette_neighbours(asked, lib, 10)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((round(r["distance"], 8), r["id"]))
+        want = {q: [(round(d, 8), i) for d, i in sorted((far(rows[q], p), i) for i, p in rows.items() if i != q)[:10]] for q in rows if q % 60 == 0 or q >= 608}
+        assert got == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert V.palette_neighbours(asked.where("false"), lib, 3).count() == 0 == V.palette_neighbours(asked, lib.where("false"), 3).count()
