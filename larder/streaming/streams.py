@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.aggregates import text_docs
 from ..operators.backlog import ATTEMPTS
@@ -19,6 +19,8 @@ from ..operators.textindex import reindex
 from ..sources.catalog import Catalog
 from ..sources.shared import settled, shared_folder
 
+_STORE, _DEFAULT = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
 
 def ingest(catalog: Catalog, files: DataFrame, stamp: Column, scanned: DataFrame | None = None) -> DataFrame:
     """Merge a listing (path, content_hash, kind, title, mode, root_id, size, mtime) into a catalogue's items, locations and text index.
@@ -76,53 +78,97 @@ def dedupe_stream(rows: DataFrame, keys: list[str], time: str, delay: str) -> Da
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def fold_attempts_stream(log: DataFrame, delay: str = "1 hour", keep: str = "90 days") -> DataFrame:
-    """State of each key of a stream of attempts (key, ts, seq, outcome) after each batch: key, state, attempts, seen.
+def _keyed_state(spark: SparkSession) -> None:
+    """State with timers is kept in RocksDB, on the workers' disks and in the checkpoint; a session that names no store gets that one."""
+    if spark.conf.get(_STORE, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    ``seen`` counts the key's rows, so the row with the largest is the latest. Rows later than ``delay`` are dropped. A
-    key without attempts for ``keep`` is forgotten (it begins anew), so the state is that of the keys of that time.
-    """
-    hold = int(pd.Timedelta(keep).total_seconds() * 1000)
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class _Forgetting(StatefulProcessor):
+    """State of a key that ends when its time is due. One timer a key is under way: where it is too early, for rows have come since, it is set anew."""
+
+    fields = ""
+
+    def __init__(self, hold: int) -> None:
+        self.hold = hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", f"{self.fields}, due long")
+
+    def held(self, *new):
+        """What is known of the key, and when it is due (None: no timer is under way)."""
+        return self.state.get() if self.state.exists() else (*new, None)
+
+    def keep(self, *values, due: int, before: int | None) -> None:
+        self.state.update((*values, due))
+        if before is None:
+            self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        *values, due = self.state.get()
+        if due > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(due)
             return
-        attempts, last, seen = state.get if state.exists else (0, "", 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for outcome in rows["outcome"]:
-            seen += 1
-            if outcome == "requeue":
+        self.state.clear()
+        yield from self.ended(key, *values)
+
+    def ended(self, key, *values) -> Iterator[Row]:
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Fold(_Forgetting):
+    fields = "attempts long, last string, seen long"
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        attempts, last, seen, due = self.held(0, "", 0)
+        newest = 0
+        for r in sorted(rows, key=lambda r: (r["_us"], r["seq"])):
+            seen, newest = seen + 1, r["_us"]
+            if r["outcome"] == "requeue":
                 attempts, last = 0, ""
-            elif outcome in ("success", "failure"):
-                attempts, last = attempts + (outcome == "failure"), outcome
-        state.update((int(attempts), last, int(seen)))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().value // 1_000_000), state.getCurrentWatermarkMs()) + hold)
+            elif r["outcome"] in ("success", "failure"):
+                attempts, last = attempts + (r["outcome"] == "failure"), r["outcome"]
+        self.keep(attempts, last, seen, due=max(newest // 1000, timerValues.getCurrentWatermarkInMs()) + self.hold, before=due)
         now = "done" if last == "success" else "failed" if attempts >= ATTEMPTS else "pending"
-        yield pd.DataFrame({"key": [key[0]], "state": [now], "attempts": [attempts], "seen": [seen]})
+        yield Row(key=key[0], state=now, attempts=attempts, seen=seen)
 
-    kind = dict(log.dtypes)["key"]
-    return log.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(fold, f"key {kind}, state string, attempts long, seen long", "attempts long, last string, seen long", "update", GroupStateTimeout.EventTimeTimeout)
 
+class _Watch(_Forgetting):
+    fields = "seen long"
 
-def absent_stream(rows: DataFrame, keep: str, delay: str) -> DataFrame:
-    """(key, last_seen) of keys of a stream (key, ts) that were not seen for ``keep`` before the watermark."""
-    hold = int(pd.Timedelta(keep).total_seconds() * 1000)
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (seen,) = state.get
-            state.remove()
-            yield pd.DataFrame({"key": [key[0]], "last_seen": pd.to_datetime([seen], unit="us")})
-            return
-        newest = max(int(b["ts"].max().value // 1000) for b in batches)
-        seen = max(newest, state.get[0]) if state.exists else newest
-        state.update((seen,))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        seen, due = self.held(0)
+        seen = max(seen, max(r["_us"] for r in rows))
         # a key that is overdue already waits for the next advance of the watermark
-        state.setTimeoutTimestamp(max(seen // 1000 + hold, state.getCurrentWatermarkMs() + 1))
+        self.keep(seen, due=max(seen // 1000 + self.hold, timerValues.getCurrentWatermarkInMs() + 1), before=due)
+        return iter(())
+
+    def ended(self, key, seen) -> Iterator[Row]:
+        yield Row(key=key[0], last_us=seen)
+
 
-    kind = dict(rows.dtypes)["key"]
-    return rows.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(watch, f"key {kind}, last_seen timestamp", "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+def _stateful(rows: DataFrame, delay: str, work: StatefulProcessor, schema: str, mode: str) -> DataFrame:
+    _keyed_state(rows.sparkSession)
+    return rows.withColumn("_us", F.unix_micros("ts")).withWatermark("ts", delay).groupBy("key").transformWithState(work, schema, mode, "EventTime")
+
+
+def fold_attempts_stream(log: DataFrame, delay: str = "1 hour", keep: str = "90 days") -> DataFrame:
+    """State of each key of a stream of attempts (key, ts, seq, outcome) after each batch: key, state, attempts, seen.
+
+    ``seen`` counts the key's rows, so the row with the largest is the latest. Rows later than ``delay`` are dropped. A
+    key without attempts for ``keep`` is forgotten (it begins anew), so the state is that of the keys of that time.
+    """
+    hold, kind = int(pd.Timedelta(keep).total_seconds() * 1000), dict(log.dtypes)["key"]
+    return _stateful(log, delay, _Fold(hold), f"key {kind}, state string, attempts long, seen long", "Update")
+
+
+def absent_stream(rows: DataFrame, keep: str, delay: str) -> DataFrame:
+    """(key, last_seen) of keys of a stream (key, ts) that were not seen for ``keep`` before the watermark."""
+    hold, kind = int(pd.Timedelta(keep).total_seconds() * 1000), dict(rows.dtypes)["key"]
+    return _stateful(rows, delay, _Watch(hold), f"key {kind}, last_us long", "Append").select("key", F.timestamp_micros("last_us").alias("last_seen"))
 
 
 def drain(rows: DataFrame, spark: SparkSession, mode: str = "append", shape: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
