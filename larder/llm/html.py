@@ -2,9 +2,11 @@
 
 A tree builder reads tags, closes what HTML lets a page leave open (p, li, dt, dd, option, table parts), ignores
 unmatched end tags and treats visible elements beyond ``DEPTH`` as siblings. Visibility: head, scripts, styles, templates
-and the like, the hidden attribute, inline display:none or visibility:hidden, and the page's own style rules for single
-tags, classes and ids that say so on every screen (rules under a condition, or for print, do not count). The renderer
-emits all visible text: blocks on lines of their own, paragraphs and headings set apart by an empty line, list items
+and the like, the hidden attribute, and what the display and visibility of inline styles and of the page's own rules
+come to: the last declaration of the highest rank wins, by importance, place and specificity; display:none takes an element
+away with all it holds, visibility is that of the nearest element that declares it. Selectors are tags, classes, ids and
+their compounds, below each other by blank or ``>``; rules with other selectors, under a condition or for print do not
+count. The renderer emits all visible text: blocks on lines of their own, paragraphs and headings set apart by an empty line, list items
 with their mark and indent, preformatted text as it is, table cells in aligned columns: cells of over ``WIDE`` characters
 and cells beyond ``FAR`` characters or ``ALIGNED`` columns are written whole but align nothing.
 
@@ -47,17 +49,19 @@ _ACTS = {tag: [1 if tag in names else 2 if tag in beyond else 0 for names, beyon
 _GROUP_OF = {tag: [k for k, x in enumerate(CLOSES) if x == tag] + [len(CLOSES)] * (tag in _ENDS_P) for tag in set(CLOSES) | _ENDS_P}
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _ON_SCREEN = re.compile(r"@media(?:\s+(?:only\s+)?(?:all|screen))?\s*|@layer\b[^{}]*", re.I)
-_SELECTOR = re.compile(r"[.#]?[\w-]+")
+_COMPOUND = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)")
+_DISPLAYS = re.compile(r"none|contents|(?:inline-)?(?:block|flex|grid|table)|inline|table-[a-z-]+|list-item|flow-root|block flow|ruby[a-z-]*|run-in|inherit|initial|unset|revert(?:-layer)?|-webkit-[a-z-]+|-ms-[a-z-]+")
+#: What a value of visibility means: seen, unseen, or as the element around.
+_VISIBLE = {"visible": True, "initial": True, "hidden": False, "collapse": False, "inherit": None, "unset": None, "revert": None, "revert-layer": None}
 _BLANKS = re.compile(r"[ \t\n\r\f\x0b]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "names", "tag")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.names = tag, attrs, [], None
 
     def get(self, name: str) -> str | None:
         for key, value in _ATTR.findall(self.attrs):
@@ -65,33 +69,118 @@ class Node:
                 return unescape(value.strip("\"'"))
         return None
 
-
-def hides(css: str) -> set[str]:
-    """The simple selectors (tag, .class, #id) that a style sheet hides on every screen."""
-    found, open_, start = set(), [], 0
-    css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S)
-    for brace in re.finditer(r"[{}]", css):
-        part, start = css[start : brace.start()], brace.end()
-        if brace.group() == "{":
-            open_.append(part.rpartition(";")[2].strip())
-        elif open_:
-            rule = open_.pop()
-            if rule[:1] != "@" and all(_ON_SCREEN.fullmatch(x) for x in open_) and _HIDES.search(part):
-                found.update(x for x in map(str.strip, rule.lower().split(",")) if _SELECTOR.fullmatch(x))
+    def known_as(self) -> frozenset[str]:
+        """The tag, .classes and #id by which a selector may name the element."""
+        if self.names is None:
+            own = {self.tag}
+            if self.attrs:
+                own.update("." + c.lower() for c in (self.get("class") or "").split())
+                own.update("#" + i.lower() for i in [self.get("id")] if i)
+            self.names = frozenset(own)
+        return self.names
+
+
+def declared(css: str) -> dict[str, tuple[bool, object]]:
+    """Whether important, and the value, of the display (True: there, False: not) and visibility that declarations come to."""
+    found: dict[str, tuple[bool, object]] = {}
+    for one in css.lower().split(";"):
+        name, colon, value = one.partition(":")
+        name, (value, bang, rank) = name.strip(), value.partition("!")
+        value, important = value.strip(), bool(bang) and rank.strip() == "important"
+        if not colon or bang and not important or important < found.get(name, (False,))[0]:
+            continue
+        if name == "display" and _DISPLAYS.fullmatch(value):
+            found[name] = important, value != "none"
+        elif name == "visibility" and value in _VISIBLE:
+            found[name] = important, _VISIBLE[value]
     return found
 
 
-def tree(html: str, known: set[str] | None = None) -> tuple[Node, set[str]]:
-    """The document's root and the simple selectors that its styles hide (``known``, if they have been read)."""
-    root, hidden = Node("#root"), set(known or ())
-    # open elements: tag, where its children go, and for each group the outermost open element that may be closed
-    stack = [("#root", root.children, [0] * len(_GROUPS))]
+class Style:
+    """The page's rules about display and visibility, by the last part of their selectors."""
+
+    def __init__(self) -> None:
+        self.rules: dict[str, dict[tuple, dict[str, tuple]]] = {}
+        self.order = 0
+
+    def read(self, css: str) -> None:
+        """Take the rules of a style sheet that hold on every screen."""
+        open_, start = [], 0
+        css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S)
+        for brace in re.finditer(r"[{}]", css):
+            part, start = css[start : brace.start()], brace.end()
+            if brace.group() == "{":
+                open_.append(part.rpartition(";")[2].strip())
+            elif open_:
+                rule = open_.pop()
+                if rule[:1] != "@" and all(_ON_SCREEN.fullmatch(x) for x in open_) and (found := declared(part)):
+                    self.order += 1
+                    for selector in rule.lower().split(","):
+                        self.add(selector, found)
+
+    def add(self, selector: str, found: dict[str, tuple[bool, object]]) -> None:
+        parts = re.sub(r"\s*>\s*", " > ", selector).split()
+        chain, child = [], False
+        for part in parts:
+            if part == ">":
+                child = True
+                continue
+            shape = _COMPOUND.fullmatch(part)
+            if not shape:
+                return
+            names = frozenset(([shape[1]] if shape[1] and shape[1] != "*" else []) + re.findall(r"[.#][\w-]+", shape[2]))
+            chain.append((child, names))
+            child = False
+        if not chain or child:
+            return
+        every = [x for _, names in chain for x in names]
+        rank = tuple(sum(x[0] == c for x in every) for c in "#.") + (sum(x[0] not in "#." for x in every),)
+        last = chain[-1][1]
+        key = next((x for c in "#." for x in sorted(last) if x[0] == c), next(iter(last), "*"))
+        held = self.rules.setdefault(key, {}).setdefault(tuple(chain), {})
+        for name, (important, value) in found.items():
+            new = (important, False, rank, self.order), value
+            held[name] = max(held.get(name, new), new, key=lambda x: x[0])
+
+    def of(self, node: Node, path: list[Node]) -> dict[str, object]:
+        """The display and visibility that are declared for an element below others."""
+        best: dict[str, tuple] = {}
+        if self.rules:
+            names = node.known_as()
+            for key in (*names, "*"):
+                for chain, held in self.rules.get(key, {}).items():
+                    if chain[-1][1] <= names and (len(chain) == 1 or _below(chain, path)):
+                        for name, new in held.items():
+                            best[name] = max(best.get(name, new), new, key=lambda x: x[0])
+        if "style" in node.attrs.lower() and (inline := node.get("style")):
+            for name, (important, value) in declared(re.sub(r"/\*.*?(?:\*/|\Z)", " ", inline, flags=re.S)).items():
+                new = (important, True, (), 0), value
+                best[name] = max(best.get(name, new), new, key=lambda x: x[0][:2])
+        return {name: value for name, (_, value) in best.items()}
+
+
+def _below(chain: tuple, path: list[Node]) -> bool:
+    """Whether the elements around one, outermost first, fit the parts of a selector before its last."""
+    at, child = {len(path)}, chain[-1][0]
+    for k in range(len(chain) - 2, -1, -1):
+        places = [j - 1 for j in at if j] if child else range(max(at))
+        at, child = {j for j in places if chain[k][1] <= path[j].known_as()}, chain[k][0]
+        if not at:
+            return False
+    return True
+
+
+def tree(html: str, known: Style | None = None) -> tuple[Node, Style]:
+    """The document's root and its styles (``known``, if they have been read)."""
+    root, style = Node("#root"), known or Style()
+    # open elements: tag, where its children go, for each group the outermost open element that may be closed, and the element
+    stack = [("#root", root.children, [0] * len(_GROUPS), root)]
     open_: dict[str, int] = {}
     at, text_from, end, last, flat = 0, 0, len(html), html.rfind(">"), False
 
     def pop(low: int) -> None:
         while len(stack) > low:
-            tag, sink, _ = stack.pop()
+            tag, sink, _, _ = stack.pop()
             open_[tag] -= 1
             if len(stack) >= DEPTH and tag in BLOCK:
                 sink.append(Node("div"))  # the block's children are its siblings, so its end has to show
@@ -130,35 +219,40 @@ def tree(html: str, known: set[str] | None = None) -> tuple[Node, set[str]]:
             stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
             raw = html[at : stop.start() if stop else end]
             at = text_from = (html.find(">", stop.start()) + 1 or end) if stop else end
-            if name == "style":
-                hidden |= hides(raw)
+            if name == "style" and known is None:
+                style.read(raw)
             elif name == "textarea":
                 node.children.append(unescape(raw))
         elif name not in VOID and not attrs.endswith("/"):
             sink, scopes = node.children, stack[-1][2]
-            if len(stack) >= DEPTH and visible(node, hidden):
-                sink, flat = stack[-1][1], True
+            if len(stack) >= DEPTH:
+                seen = shown(node, style, [x[3] for x in stack[1:DEPTH]] if style.rules else [], True)
+                sink, flat = stack[-1][1] if seen else [], True  # what is not seen there is dropped with all it holds
             if acts := _ACTS.get(name):
                 scopes = [low or len(stack) if act == 1 else 0 if act == 2 else low for low, act in zip(scopes, acts, strict=True)]
-            stack.append((name, sink, scopes))
+            stack.append((name, sink, scopes, node))
             open_[name] = open_.get(name, 0) + 1
     put_text(end)
-    if flat and known is None and hidden:  # a style that came later may hide what lies beyond DEPTH
-        return tree(html, hidden)
-    return root, hidden
+    if flat and known is None and style.rules:  # a style that came later may hide what lies beyond DEPTH
+        return tree(html, style)
+    return root, style
 
 
-def visible(node: Node, hidden: set[str]) -> bool:
-    if node.tag in UNSEEN or node.tag in hidden:
-        return False
-    if not node.attrs:
-        return True
-    attrs = node.attrs.lower()
-    if "hidden" in attrs and node.get("hidden") is not None and node.get("hidden") != "until-found" or node.tag == "dialog" and node.get("open") is None:
-        return False
-    if "style" in attrs and _HIDES.search(node.get("style") or ""):
-        return False
-    return not hidden or not ("#" + (node.get("id") or "").lower() in hidden or any("." + c.lower() in hidden for c in (node.get("class") or "").split()))
+def shown(node: Node, style: Style, path: list[Node], seen: bool) -> bool | None:
+    """Whether an element's own text is seen, where that around it is or not; None if the element is not there at all."""
+    if node.tag in UNSEEN:
+        return None
+    if not node.attrs and not style.rules and node.tag != "dialog":
+        return seen
+    found = style.of(node, path)
+    there = found.get("display")
+    if there is None:
+        hidden = node.get("hidden") if "hidden" in node.attrs.lower() else None
+        there = hidden in (None, "until-found") and not (node.tag == "dialog" and node.get("open") is None)
+    if not there:
+        return None
+    own = found.get("visibility")
+    return seen if own is None else own
 
 
 class Lines:
@@ -199,16 +293,18 @@ class Lines:
         return "".join(self.parts)
 
 
-def render(node: Node, hidden: set[str], out: Lines, pre: bool = False) -> None:
-    """Emit the visible text of a node's children."""
+def render(node: Node, style: Style, out: Lines, pre: bool = False, path: tuple[Node, ...] = (), seen: bool = True) -> None:
+    """Emit the visible text of a node's children; ``path``: the elements around them, the node itself last."""
     number = int(start) if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", start := node.get("start") or "1") else 1
     for child in node.children:
         if isinstance(child, str):
-            out.text(child.replace("\xa0", " "), pre)
+            if seen:
+                out.text(child.replace("\xa0", " "), pre)
             continue
-        tag = child.tag
-        if not visible(child, hidden):
+        tag, own = child.tag, shown(child, style, path, seen)
+        if own is None:
             continue
+        within = (*path, child)
         if tag == "br":
             out.line()
         elif tag == "hr":
@@ -217,14 +313,14 @@ def render(node: Node, hidden: set[str], out: Lines, pre: bool = False) -> None:
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
             inner = Lines()
-            render(child, hidden, inner, pre)
+            render(child, style, inner, pre, within, own)
             if body := str(inner):
                 out.end(1)
                 out.put(mark + body.replace("\n", "\n" + " " * len(mark)))
                 out.end(1)
         elif tag == "table":
             out.end(2)
-            if text := grid(child, hidden):
+            if text := grid(child, style, within, own):
                 out.put(text)
                 out.end(2)
         elif tag in BLOCK:
@@ -232,56 +328,59 @@ def render(node: Node, hidden: set[str], out: Lines, pre: bool = False) -> None:
             out.end(gap)
             if tag == "dd":
                 inner = Lines()
-                render(child, hidden, inner, pre)
+                render(child, style, inner, pre, within, own)
                 if body := str(inner):
                     out.put("  " + body.replace("\n", "\n  "))
             else:
-                render(child, hidden, out, pre or tag == "pre")
+                render(child, style, out, pre or tag == "pre", within, own)
             out.end(gap)
         else:
-            render(child, hidden, out, pre)
+            render(child, style, out, pre, within, own)
 
 
-def grid(node: Node, hidden: set[str]) -> str:
+def grid(node: Node, style: Style, path: tuple[Node, ...] = (), seen: bool = True) -> str:
     """A table's text: stray text and caption first, then its rows with columns aligned."""
     above, rows = Lines(), []
 
-    def walk(part: Node) -> None:
+    def walk(part: Node, path: tuple[Node, ...], seen: bool) -> None:
         for child in part.children:
             if isinstance(child, str):
-                above.text(child, False)
-            elif not visible(child, hidden):
+                if seen:
+                    above.text(child, False)
+            elif (own := shown(child, style, path, seen)) is None:
                 continue
             elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
-                walk(child)
+                walk(child, (*path, child), own)
             elif child.tag == "tr":
-                rows.append(row(child))
+                rows.append(row(child.children, (*path, child), own))
             elif child.tag in ("td", "th"):  # a cell without a row
-                rows.append(row(Node("tr"), [child]))
+                rows.append(row([child], path, seen))
             else:
                 above.end(1)
                 holder = Node("#part")
                 holder.children = [child]
-                render(holder, hidden, above)
+                render(holder, style, above, False, path, seen)
                 above.end(1)
 
-    def row(tr: Node, cells: list[Node] | None = None) -> list[tuple[str, int, int]]:
+    def row(cells: list[Node | str], path: tuple[Node, ...], seen: bool) -> list[tuple[str, int, int]]:
         out = []
-        for child in cells or tr.children:
-            holder = child
+        for child in cells:
+            holder, within, own = child, path, seen
             if isinstance(child, str) or child.tag not in ("td", "th"):
                 if isinstance(child, str) and not child.strip():
                     continue
                 holder = Node("#part")
                 holder.children = [child]
-            elif not visible(child, hidden):
+            elif (own := shown(child, style, path, seen)) is None:
                 continue
+            else:
+                within = (*path, child)
             inner = Lines()
-            render(holder, hidden, inner)
+            render(holder, style, inner, False, within, own)
             out.append((_BLANKS.sub(" ", str(inner)), span(holder.get("colspan")), span(holder.get("rowspan"))))
         return out
 
-    walk(node)
+    walk(node, path, seen)
     placed, widths, held = [], [0] * ALIGNED, [0] * ALIGNED  # rows that a cell above still takes of each column
     for cells in rows:
         line, column, taken = [], 0, held[:]
@@ -322,9 +421,9 @@ def text_of(html: str | None) -> str:
     """The visible text of a page."""
     if not html:
         return ""
-    root, hidden = tree(html.replace("\r\n", "\n"))
+    root, style = tree(html.replace("\r\n", "\n"))
     out = Lines()
-    render(root, hidden, out)
+    render(root, style, out)
     return "\n".join(line.rstrip(" \t") for line in str(out).split("\n")).strip("\n")
 
 

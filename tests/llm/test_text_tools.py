@@ -133,10 +133,25 @@ def test_html_rules(page, text):
     assert html.text_of(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<style>.a{display:none}.a{display:block}</style><p class=a>A", "A"), ("<p style='display:none;display:block'>A", "A"), ("<p style='display:none;display:nonsense'>A", ""),
+    ("<div style='visibility:hidden'>no<span style='visibility:visible'>yes</span>no</div>", "yes"), ("<style>p.x{display:none}</style><p class=x>no<p>yes<div class=x>too</div>", "yes\n\ntoo"),
+    ("<style>div .x{display:none}</style><p class=x>yes</p><div><b><i class=x>no</i></b></div>", "yes"), ("<style>div > .x{display:none}</style><div><b><i class=x>yes</i></b><i class=x>no</i></div>", "yes"),
+    ("<style>#i{display:block}.a{display:none}</style><p id=i class=a>yes", "yes"), ("<style>.a{display:none !important}#i{display:block}</style><p id=i class=a style='display:block'>no", ""),
+    ("<style>p{visibility:hidden} p b{visibility:inherit} p i{visibility:visible}</style><p>no<b>no</b><i>yes</i>", "yes"), ("<div hidden style='display:flex'>yes</div><div hidden>no</div>", "yes"),
+    ("<style>.a:hover, .a::before{display:none} .b[x]{display:none}</style><p class='a b'>yes", "yes"), ("<style>* .z, ul.q li.z{display:none}</style><ul class=q><li class=z>no<li>yes</ul>", "- yes"),
+    ("<style>tr.h, td.h{display:none} .v{visibility:hidden}</style><table><tr class=h><td>no<tr><td>a<td class=h>no<td>b<tr><td class=v>no<td>c</table>", "a  b\n   c"),
+    ("<style>.a .b .c > .d{display:none}</style><div class=a><div class=b><div><div class=c><p class=d>no</p><p>yes</p></div></div></div></div>", "yes"),
+    ("<dialog>no</dialog><dialog open>yes</dialog><dialog style='display:block'>too</dialog>", "yestoo"), ("<div>" * 160 + "<p style='visibility:hidden'>no<b>no</b></p>yes", "yes"),
+])
+def test_html_cascade(page, text):
+    assert html.text_of(page) == text
+
+
 @pytest.mark.parametrize("page", [
     "<a" * 100_000, "<a =\"" * 50_000, "<!--" * 50_000, "</3>" * 50_000, "<div>" * 50_000, "<p><table><tr><td>" + "<div>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000,
     "<style>" + "x" * 500_000, "<style>" + "a{" * 100_000 + "</style>", "<table>" + "<tr><td>" + "w" * 5000 + "<tr><td>x<td>y" * 10_000, "<table>" + "<tr><td colspan=1000>x<td>y" * 10_000,
-    "<pre>" + " " * 500_000 + "x", "<table><tr>" + "<td rowspan=60000>z" * 10_000 + "<tr><td>1" * 10_000, "<table>" * 2000, "<x " + "a" * 200_000 + " " * 200_000 + ">",
+    "<pre>" + " " * 500_000 + "x", "<style>" + ".a{display:none}" * 20_000 + "</style>" + "<p class=a>x" * 20_000, "<style>.a .b .c .d{display:none}</style>" + "<div class=b>" * 5000 + "<i class=d>x</i>" * 5000, "<table><tr>" + "<td rowspan=60000>z" * 10_000 + "<tr><td>1" * 10_000, "<table>" * 2000, "<x " + "a" * 200_000 + " " * 200_000 + ">",
 ])
 def test_html_takes_time_in_proportion(page):
     began = time.process_time()
