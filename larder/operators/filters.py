@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import CLIPPING_DB, SILENT_DB, quantity
 from ..functions.text import canonical
+from ..sources.shared import settled
 
 # Names of numeric filters and the attribute of each; attributes that "has" asks for.
 NUMERIC = {
@@ -247,17 +248,17 @@ def saved_searches(terms: DataFrame, catalog) -> DataFrame:
     texts = rows.where("text is not null").select("id", "field", F.col("text").alias("value"))
     intervals = _Intervals(numbers)
     placed = intervals.placed(rows.where("text is null").select("id", "field", "number")).select("id", "field", "place")
-    ranged = intervals.ranged(numbers)
+    ranged = settled(intervals.ranged(numbers))
     # how many facts each plain term meets
     counted = intervals.counts(ranged.where("not negated"), placed)
     many = named.where("not negated").join(texts.groupBy("field", "value").agg(F.count("*").alias("n")), ["field", "value"], "left")
     key = ["query_id", "field", "op", "value"]
     every = many.select(*key, F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).unionByName(counted.select(*key, "n")).unionByName(numbers.where("not negated and want is null").select(*key, F.lit(0).cast("bigint").alias("n")))
     plain = every.groupBy("query_id").agg(F.count("*").alias("terms"), F.min(F.struct("n", "field", "op", "value")).alias("x")).select("query_id", "terms", "x.*").where("n > 0")
-    start = plain.select(*key, "terms")
+    start = settled(plain.select(*key, "terms"))
     by_text = start.join(texts, ["field", "value"]).select("query_id", "id", "terms", "field", "op", "value")
     by_number = intervals.met(ranged.join(start, key), placed).select("query_id", "id", "terms", "field", "op", "value")
-    candidates = by_text.unionByName(by_number).distinct()
+    candidates = settled(by_text.unionByName(by_number).distinct())
     # the other terms of each candidate, by item and field
     rest = t.alias("t").join(candidates.alias("c"), (F.col("t.query_id") == F.col("c.query_id")) & ~((F.col("t.field") == F.col("c.field")) & (F.col("t.op") == F.col("c.op")) & (F.col("t.value") == F.col("c.value")) & ~F.col("t.negated"))).select("t.*", "c.id")
     yes_text = rest.where("field in ('kind', 'tag')").join(texts, ["id", "field", "value"], "left_semi")
