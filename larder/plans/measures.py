@@ -10,6 +10,7 @@ from ..operators import hooks as V
 from ..operators import search as R
 from ..sources import files as S
 from ..sources.catalog import Catalog
+from ..sources.inventory import inventory, watch
 from ..sources.shared import shared_folder
 from ..streaming import streams as X
 from .changes import FOLD, attempts
@@ -247,6 +248,15 @@ def _(t):
     return found.groupBy(F.regexp_extract("path", "/n=([0-9]+)/", 1).cast("bigint").alias("folder")).agg(F.sum("size").alias("size"), F.bool_and(F.col("mtime").isNotNull()).alias("dated"))
 
 
+@query("s1_inventory", "select c_nationkey as folder, read, sum(octet_length(encode(c_custkey || '|' || c_name)) + 1)::bigint as size from customer, (values ('batch'), ('stream')) v(read) group by 1, 2")
+def _(t):
+    """The same files by the inventory source, read at once and followed as a stream."""
+    root = f"{_files(t)}/deep"
+    found = inventory(t.spark, root).withColumn("read", F.lit("batch")).unionByName(X.drain(watch(t.spark, root, settle=0), t.spark).withColumn("read", F.lit("stream")))
+    named = found.where("path like '%/part-%'")  # not the marks that Spark leaves beside them
+    return named.groupBy(F.regexp_extract("path", "/n=([0-9]+)/", 1).cast("bigint").alias("folder"), "read").agg(F.sum("size").alias("size"))
+
+
 @query("s4_not_recursive", "select sum(octet_length(encode(c_custkey || '|' || c_name)) + 1)::bigint as size from customer where c_nationkey % 2 = 0")
 def _(t):
     """The files of a folder itself, not of those below it."""
