@@ -2,8 +2,10 @@
 
 Character language model: smoothed log probabilities of a byte given the byte before, within lower-case words,
 counted over all texts. Suspicious spans (words of letters and imitating signs, letters set apart one by one, groups
-of up to three letters that are likelier as one word, doubled letters) become character lattices: each written sign may stand for itself or for the letters it imitates, a
-separator or a repeat may stand for nothing, each at a channel cost. Viterbi finds the likeliest letters.
+of up to three letters that are likelier as one word, doubled letters, Latin words with letters of other scripts that
+look like Latin ones, full-width letters or marks without width) become character lattices: each written sign may stand for itself or for the letters it imitates, a
+separator, a mark without width or a repeat may stand for nothing, each at a channel cost. Viterbi finds the likeliest
+letters. A word wholly of another script is that script's and stays as written.
 
 Word model: for hashed words, their first bytes and their lengthwise prefixes, the number of toxic and of other
 documents that hold them, over all rows whose label may be learned. A document's features are the largest log odds of
@@ -36,6 +38,15 @@ BUCKETS, PREFIXES, SAMPLE, CACHE = 1 << 19, (4, 5, 6), 6000, 1 << 16
 #: What written signs may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c"}
 SEPARATORS = " .-_*~"
+#: Cyrillic, then Greek letters that look like Latin ones, and marks without width.
+LOOKS = {
+    **dict(zip("аеорсухіјѕһԁԛԝкт", "aeopcyxijshdqwkt", strict=True)),
+    **dict(zip("АВЕКМНОРСТУХІЈЅ", "abekmhopctyxijs", strict=True)),
+    **dict(zip("αονιρκτυχ", "aovipktux", strict=True)),
+    **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abezhikmnoptyx", strict=True)),
+    **{chr(first + i): chr(97 + i) for first in (0xFF21, 0xFF41) for i in range(26)},  # full-width
+}
+WIDTHLESS = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Signs that may also be punctuation at the edge of a word.
 EDGE = "!|(+"
 #: Natural-log costs: of a sign read as a letter, of one kept, of a dropped separator, of a letter dropped beside its like.
@@ -46,6 +57,8 @@ _LIKE = np.arange(256)
 _LIKE[[ord(x) for x in SIGNS]] = [ord(x[0]) for x in SIGNS.values()]
 _APART = np.zeros(256, bool)
 _APART[[ord(x) for x in SEPARATORS]] = True
+_ALIKE = np.zeros(1 << 16, bool)
+_ALIKE[[ord(x) for x in (*LOOKS, *WIDTHLESS)]] = True
 
 
 def bigrams(docs: DataFrame) -> np.ndarray:
@@ -76,11 +89,14 @@ def restore(span: str, lm: np.ndarray) -> str:
     """
     paths: dict[int, tuple[float, tuple | None]] = {32: (0.0, None)}
     inner = len(span) - len(span.lstrip(EDGE)), len(span.rstrip(EDGE))
+    latin = any("a" <= x.lower() <= "z" or x >= "\uff21" and x in LOOKS for x in span)
     for k, sign in enumerate(span):
         raw = sign.encode()
         reads: list[tuple[bytes, float]] = []
         if sign in SEPARATORS:
             reads.append((b"", DROP))
+        elif latin and sign in WIDTHLESS:
+            reads.append((b"", 0.0))
         elif sign in SIGNS:
             reads += [(x.encode(), IMITATE) for x in SIGNS[sign]] + [(raw, KEEP)]
             if k + 1 < len(span) and span[k + 1] == sign:
@@ -89,6 +105,8 @@ def restore(span: str, lm: np.ndarray) -> str:
                 reads.append((b"", DROP))
         else:
             reads.append((raw, 0.0))
+            if latin and sign in LOOKS:
+                reads.append((LOOKS[sign].encode(), IMITATE))
             if k and span[k - 1] == sign:
                 reads.append((b"", REPEAT))
         after: dict[int, tuple[float, tuple | None]] = {}
@@ -109,8 +127,23 @@ def restore(span: str, lm: np.ndarray) -> str:
     return b"".join(reversed(parts)).decode(errors="replace")
 
 
+def _imitated(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which spans hold look-alike signs among Latin letters."""
+    lead = np.flatnonzero((part >= 0xC2) & (part < 0xF0))
+    lead = lead[lead + np.where(part[lead] < 0xE0, 1, 2) < len(part)]
+    if not len(lead):
+        return np.zeros(len(starts), bool)
+    first, second, third = (part[np.minimum(lead + k, len(part) - 1)].astype(np.int64) & 63 for k in range(3))
+    code = np.where(part[lead] < 0xE0, (first & 31) << 6 | second, (first & 15) << 12 | second << 6 | third)
+    hit, latin = np.zeros(len(part), bool), LETTER[part] & (part < 128)
+    hit[lead] = _ALIKE[code]
+    latin[lead] |= hit[lead] & (code >= 0xFF21) & (code <= 0xFF5A)
+    signs, own = (np.concatenate([[0], np.cumsum(x)]) for x in (hit, latin))
+    return (signs[ends] > signs[starts]) & (own[ends] > own[starts])
+
+
 def suspicious(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of a chunk's spans to restore: words of letters and imitating signs or with doubled letters, letters set apart one by one, and groups of up to three letters.
+    """Starts and ends of a chunk's spans to restore: words of letters and imitating or look-alike signs or with doubled letters, letters set apart one by one, and groups of up to three letters.
 
     Of neighbouring groups those are one span that ``lm`` finds likelier joined than apart. A bigram model decides each
     gap by the letters beside it, so this is what a lattice over all gaps would find.
@@ -127,7 +160,7 @@ def suspicious(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray | None = Non
     hit[:-1] |= letter[:-1] & (low[:-1] == low[1:]) & (part[:-1] < 128)
     seen = np.concatenate([[0], np.cumsum(hit)])
     letters = np.concatenate([[0], np.cumsum(letter)])
-    take = (seen[ends] > seen[starts]) & (letters[ends] > letters[starts]) & (ends - starts > 1)
+    take = ((seen[ends] > seen[starts]) | _imitated(part, starts, ends)) & (letters[ends] > letters[starts]) & (ends - starts > 1)
     found = [(starts[take], ends[take])]
     # groups with nothing but separators between
     chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
@@ -168,7 +201,7 @@ def _restored(part: np.ndarray, bounds: np.ndarray, lm: np.ndarray, cache: dict)
     start, end = start[order], end[order]
     row = np.searchsorted(bounds, start, "right") - 1
     signs = np.concatenate([[0], np.cumsum(_LEET[part] | _twice(low))])
-    hard = signs[end] > signs[start]
+    hard = (signs[end] > signs[start]) | _imitated(part, start, end)
 
     gone = LETTER[part] & (part < 128) & (lm[low, low] < REPEAT)
     gone[1:] &= low[1:] == low[:-1]

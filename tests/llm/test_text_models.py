@@ -318,6 +318,23 @@ def test_obfuscated_spans_reach_the_decoder(spark, written):
     assert toxicity.restore(written, lm) == meant
 
 
+@pytest.mark.parametrize(("written", "meant"), [("\u0456d\u0456ot", "idiot"), ("\u0456di0t", "idiot"), ("sh\u200bit", "shit"), ("h\u00ada\u00adte", "hate"), ("\uff49\uff44\uff49\uff4f\uff54", "idiot"), ("\uff29\uff24\uff29\uff2f\uff34", "idiot"), ("h\u03b1t\u0435", "hate"), ("\u0456 d \u0456 o t", "idiot"), ("dum\ufeffb\u0410ss", "dumbas")])
+def test_look_alike_letters(spark, written, meant):
+    lm = toxicity.bigrams(spark.createDataFrame([("idiot shit hate dumbass you are an such",)] * 3, "text string"))
+    raw = np.frombuffer(f"plainly, {written}, largely".encode(), np.uint8)
+    found = {raw[a:b].tobytes().decode() for a, b in zip(*toxicity.suspicious(raw, np.array([0, len(raw)]), lm), strict=True)}
+    assert found == {written}
+    assert toxicity.restore(common.lower(np.frombuffer(written.encode(), np.uint8)).tobytes().decode(), lm) == meant
+
+
+def test_words_of_other_scripts_stay():
+    lm = np.log(np.full((256, 256), 1 / 256))
+    for text in ("\u0441\u043e\u0440\u0430", "\u03ba\u03b1\u03b9", "\u0646\u0645\u06cc\u200c\u062e\u0648\u0627\u0647\u0645", "na\u00efve"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert not len(toxicity.suspicious(raw, np.array([0, len(raw)]), None)[0])
+        assert toxicity.restore(text, lm) == text
+
+
 def test_toxicity_held_out_and_planted(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -325,8 +342,11 @@ def test_toxicity_held_out_and_planted(spark):
     planted = []
     for k, r in enumerate(base):
         words = r["text"].split()
+        plain = list(words)
         words[10:10] = ["y0u", "st00pid", "1d10t"][: 1 + 2 * (k % 2)] + ["m0r0n", "w o r t h l e s s", "p@thetic", "tra5h"]
         planted.append((10_000_000 + k, " ".join(words)))
+        plain[10:10] = ["stup\u0456d", "m\u043er\u043en", "w\u200borth\u200bless", "p\u0430thet\u0456c", "\uff54\uff52\uff41\uff53\uff48"]
+        planted.append((10_000_100 + k, " ".join(plain)))
     more = docs.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
     model = toxicity.learn(docs, labels.where(~langid.held_out(5, 0)).select("doc_id", "toxic"))
     rows = toxicity.predict(more, model).toPandas().set_index("doc_id").score
@@ -339,7 +359,7 @@ def test_toxicity_held_out_and_planted(spark):
 def test_restored_spans_against_one_by_one(spark):
     lm = toxicity.bigrams(spark.read.parquet(f"{SF}/documents.parquet"))
     rng = random.Random(3)
-    pieces = ["elle", "th\u00e9\u00e9e", "a b  c", "d.u.m.b", "sh1t", "wow!!", "id io t", "\u65e5\u65e5", "of of", "x", "coooool", "y0u", "A  B", "b$$", "\u00c9\u00e9a"]
+    pieces = ["elle", "th\u00e9\u00e9e", "a b  c", "d.u.m.b", "sh1t", "wow!!", "id io t", "\u65e5\u65e5", "of of", "x", "coooool", "y0u", "A  B", "b$$", "\u00c9\u00e9a", "\u0456d\u0456ot", "a \u0435 x", "\u0430 \u0435 \u0445", "of\u200bff", "\uff21b"]
     texts = [" ".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(60)]
     data, offsets = common.packed(pa.array(texts))
     want = [[] for _ in texts]
