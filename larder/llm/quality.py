@@ -2,8 +2,9 @@
 
 P(grade >= j) = sigmoid(w . x - c_j) for the thresholds c_1 < c_2 < ... of the grades, with one weight vector w for
 all of them. x holds the shares of hashed byte trigrams and of hashed word shapes (case, first and last sign, whether the
-word repeats the one before) in the whole text, drawn towards zero in short ones. The fit takes at most ``SAMPLE`` rated rows (those with the smallest hash of doc_id, whatever their number);
-the expected grade and the tail probability of every document follow from one pass.
+word repeats the one before) in the whole text, drawn towards zero in short ones. The fit takes at most ``SAMPLE`` rated rows (those with the smallest hash of doc_id, whatever their number), and of
+these, in the same order, as many whole texts as have ``FEATURES`` features together (one at least), so the driver holds at
+most 12 bytes a feature while they arrive, 6 in the fit, and 50 for those of the rows at hand; the expected grade and the tail probability of every document follow from one pass.
 
 A null or empty text has no features: its grade follows from the thresholds alone. Null ratings and ratings of
 unknown documents are not learned from; repeated ratings of a document count once, the lowest, and of rows that
@@ -24,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _SPACE as SPACE
-from .common import chunks, filtered, in_batches, mixed, packed, run_hashes, runs, segment_sums, table
+from .common import chunks, cut, filtered, in_batches, mixed, packed, run_hashes, runs, segment_sums, table
 from .langid import held_out
 
-#: Rated rows that a fit takes at most; hash buckets; rounds, rate and ridge of the fit; the tail probability from which a document is selected.
-SAMPLE, BUCKETS, ROUNDS, RATE, RIDGE, SELECT = 6000, 1 << 15, 200, 0.03, 1e-4, 0.5
+#: Rated rows, and features of them together, that a fit takes at most, and those it works on at once.
+SAMPLE, FEATURES, AT_ONCE = 6000, 1 << 25, 1 << 20
+#: Hash buckets; rounds, rate and ridge of the fit; the tail probability from which a document is selected.
+BUCKETS, ROUNDS, RATE, RIDGE, SELECT = 1 << 15, 200, 0.03, 1e-4, 0.5
 #: Hash buckets of word shapes, which follow those of trigrams; trigrams and words by which a short text is drawn to zero; what is added to the spread of a feature.
 SHAPES, SHORT_GRAMS, SHORT_WORDS, FLOOR = 1 << 10, 100, 20, 3e-4
 ALL = BUCKETS + SHAPES
@@ -73,7 +76,7 @@ def _shapes(part: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """y and the distinct buckets and relative frequencies of text as binary arrays, for rows (text, y)."""
+    """id, y, and the distinct buckets and relative frequencies of text as binary arrays, for rows (text, y, id)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +87,9 @@ def features(docs: DataFrame) -> DataFrame:
                 found, n = np.unique(np.concatenate([grams, shapes]), return_counts=True)
                 at.append(found.astype("<u2").tobytes())
                 share.append((n / np.where(found < BUCKETS, len(grams) + SHORT_GRAMS, len(shapes) + SHORT_WORDS)).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.float64()), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["y", "at", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int64()), batch.column(1).cast(pa.float64()), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["id", "y", "at", "share"])
 
-    return docs.select("text", "y").transform(in_batches, work, "y double, at binary, share binary")
+    return docs.select("text", "y", "id").transform(in_batches, work, "id long, y double, at binary, share binary")
 
 
 def fit(y: np.ndarray, at: np.ndarray, share: np.ndarray, sizes: np.ndarray, buckets: int = ALL) -> Model:
@@ -94,10 +97,13 @@ def fit(y: np.ndarray, at: np.ndarray, share: np.ndarray, sizes: np.ndarray, buc
     grades = np.unique(y)
     if len(grades) < 2:
         return Model(grades.tolist() or [0.0], np.zeros(buckets), np.zeros(0))
-    row = np.repeat(np.arange(len(y)), sizes)
-    mean = np.bincount(at, share, buckets) / len(y)
-    spread = np.sqrt(np.maximum(np.bincount(at, share**2, buckets) / len(y) - mean**2, 0)) + FLOOR
-    x = share / spread[at] / np.sqrt(200)
+    ends = np.cumsum(sizes)
+    edges = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(AT_ONCE, at.size, AT_ONCE), "right"), [len(y)]]))
+    blocks = [(slice(i, j), slice(int(ends[i] - sizes[i]), int(ends[j - 1]))) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    total = lambda of: sum(np.bincount(at[b], of(a, b), buckets) for a, b in blocks)
+    mean = total(lambda a, b: share[b]) / len(y)
+    spread = np.sqrt(np.maximum(total(lambda a, b: share[b].astype(float) ** 2) / len(y) - mean**2, 0)) + FLOOR
+    scale = 1 / spread / np.sqrt(200)
     tail = (y[:, None] >= grades[None, 1:]).astype(float)
     rate = np.clip(tail.mean(axis=0), 1e-3, 1 - 1e-3)
     steps = np.concatenate([[-np.log(rate[0] / (1 - rate[0]))], np.log(np.maximum(np.diff(-np.log(rate / (1 - rate))), 1e-2))])
@@ -105,9 +111,11 @@ def fit(y: np.ndarray, at: np.ndarray, share: np.ndarray, sizes: np.ndarray, buc
     moments = [np.zeros(buckets), np.zeros(buckets), np.zeros(len(steps)), np.zeros(len(steps))]
     for t in range(1, ROUNDS + 1):
         cuts = steps[0] + np.concatenate([[0], np.cumsum(np.exp(steps[1:]))])
-        z = np.bincount(row, x * w[at], len(y))
+        v = w * scale
+        z = np.concatenate([segment_sums(share[b] * v[at[b]], sizes[a]) for a, b in blocks])
         off = (1 / (1 + np.exp(np.clip(cuts - z[:, None], -30, 30))) - tail) / len(y)
-        grad = np.bincount(at, x * off.sum(axis=1)[row], buckets) + RIDGE * w
+        each = off.sum(axis=1)
+        grad = scale * total(lambda a, b: share[b] * np.repeat(each[a], sizes[a])) + RIDGE * w  # noqa: B023
         down = -off.sum(axis=0)  # by the thresholds
         to_steps = np.concatenate([[down.sum()], [down[k:].sum() * np.exp(steps[k]) for k in range(1, len(steps))]])
         for value, g, m, v in ((w, grad, moments[0], moments[1]), (steps, to_steps, moments[2], moments[3])):
@@ -117,7 +125,7 @@ def fit(y: np.ndarray, at: np.ndarray, share: np.ndarray, sizes: np.ndarray, buc
             v += 0.01 * g * g
             value -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     cuts = steps[0] + np.concatenate([[0], np.cumsum(np.exp(steps[1:]))])
-    return Model(grades.tolist(), w / spread / np.sqrt(200), cuts)
+    return Model(grades.tolist(), w * scale, cuts)
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
@@ -126,13 +134,24 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if len(column) and edges[-1] > edges[0] else np.zeros(0, np.uint8)
 
 
+def fitting(rows: DataFrame, most: int = FEATURES) -> DataFrame:
+    """The first rows (id, at) by the hash of id that have ``most`` features together, and the first in any case."""
+    keyed = rows.withColumn("key", F.xxhash64("id"))
+    sizes = keyed.select("key", "id", (F.octet_length("at") / 2).cast("long").alias("n")).orderBy("key", "id").toArrow()  # three numbers a row of the sample
+    room = max(int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), most, "right")), 1)
+    if room < sizes.num_rows:
+        key, last = sizes["key"][room].as_py(), sizes["id"][room].as_py()
+        keyed = keyed.where((F.col("key") < key) | ((F.col("key") == key) & (F.col("id") < last)))
+    return keyed.drop("key")
+
+
 def learn(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` rows of ratings (doc_id, grade) and their texts in ``docs``."""
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("double").alias("y"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a bounded table, so it is broadcast
     texts = docs.select(F.col("doc_id").alias("_doc"), "text")  # no other column can clash
     texts = texts.join(F.broadcast(rated.withColumnRenamed("doc_id", "_id")), F.col("_doc") == F.col("_id")).groupBy("_id", "y").agg(F.min("text").alias("text"))  # however often an id is there
-    rows = features(texts).toArrow()
+    rows = fitting(cut(features(texts.withColumnRenamed("_id", "id")))).toArrow()
     sizes = np.diff(np.concatenate([[0], np.cumsum(pc.binary_length(rows["at"]).to_numpy() // 2)]))
     at, share = (np.concatenate([np.zeros(0, kind), *[_bytes(x).view(kind) for x in rows[c].chunks]]) for c, kind in (("at", "<u2"), ("share", "<f4")))
     return fit(rows["y"].to_numpy(), at, share, sizes)

@@ -213,6 +213,31 @@ def test_ordinal_fit_and_order():
     assert quality.fit(np.array([2.0, 2.0]), np.zeros(0, int), np.zeros(0), np.zeros(2, int)).grades == [2.0]
 
 
+def test_fit_in_blocks_is_the_fit(monkeypatch):
+    """Blocks of any size, rows without features and rows larger than a block give the same model as one block."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 30, 400)
+    sizes[[0, 7, 399]], sizes[100] = 0, 500
+    at = np.concatenate([rng.choice(600, n, replace=False) for n in sizes]).astype(np.uint16)
+    share = rng.random(len(at)).astype(np.float32) / 30
+    y = rng.integers(0, 3, 400).astype(float)
+    whole = quality.fit(y, at, share, sizes, 600)
+    for size in (1, 64, 1000):
+        monkeypatch.setattr(quality, "AT_ONCE", size)
+        part = quality.fit(y, at, share, sizes, 600)
+        assert np.allclose(part.weights, whole.weights) and np.allclose(part.cuts, whole.cuts)
+
+
+def test_texts_of_a_fit_are_bounded_in_features(spark):
+    rows = spark.createDataFrame([(i, bytes(2 * (i % 9))) for i in range(60)], "id long, at binary")
+    order = [r[0] for r in rows.orderBy(F.xxhash64("id"), "id").collect()]
+    for most in (1, 20, 100, 239, 240, 10_000):
+        got = {r["id"] for r in quality.fitting(rows, most).collect()}
+        room = max(sum(1 for k in range(60) if sum(i % 9 for i in order[: k + 1]) <= most), 1)
+        assert got == set(order[:room])
+    assert quality.fitting(rows.where("false")).count() == 0
+
+
 def test_quality_score_against_loops(spark):
     rng = np.random.default_rng(2)
     m = quality.Model([0.0, 1.0, 2.0], rng.normal(size=quality.ALL), np.array([-0.5, 0.5]))
