@@ -8,12 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 #: Colours counted; pixels analysed; opacity; and the thresholds of each detector.
 MOST_COLOURS, MOST_PIXELS, OPAQUE = 4096, 16 * 1024 * 1024, 16
 SEAM, COVERAGE, BORDER = 1.5, 0.95, 0.25
 NATIVE_EDGE, NATIVE_COLOURS, LEAST_BLOCKS, FLAT_BLOCK = 128, 64, 8, 8.0
 PEAK, FUNDAMENTAL, LAGS = 0.2, 0.9, (2, 32)
 RGB = ("r", "g", "b")
+#: Pictures whose facts are broadcast; the facts of more are met by a shuffle.
+HELD = 200_000
 
 
 def raster_facts(pixels: DataFrame) -> DataFrame:
@@ -81,6 +85,16 @@ def mask(pixels: DataFrame) -> DataFrame:
     return stats.where("saturation <= 2 and share >= 0.9").select("asset_id", F.lit("mask").alias("name"), F.lit(0.7).alias("confidence"))
 
 
+def _met(pixels: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pixels with the facts (asset_id, ...) of their picture, one row each; pixels of pictures without any go.
+
+    Spark guesses the size of pixels by that of what they are made from, a thousandth of it or less, and would hold them
+    whole. So it is told to hold the facts.
+    """
+    facts = settled(facts)
+    return pixels.join(facts.hint("broadcast" if facts.count() <= HELD else "shuffle_hash"), "asset_id")
+
+
 def _cells(pixels: DataFrame, axis: str) -> DataFrame:
     """(asset_id, cells) along one axis: the largest divisor whose inner boundaries are all empty before or all empty after."""
     used = pixels.groupBy("asset_id", F.col(axis).alias("p")).agg(F.bool_or(F.col("a") >= OPAQUE).alias("used"))
@@ -89,7 +103,7 @@ def _cells(pixels: DataFrame, axis: str) -> DataFrame:
     tries = length.select("asset_id", "length", F.explode(F.when(most >= 2, F.sequence(F.lit(2), most)).otherwise(F.array().cast("array<int>"))).alias("cells")).where("length % cells = 0")
     bounds = tries.select("asset_id", "cells", F.explode(F.sequence(F.lit(1), F.col("cells") - 1)).alias("k"), (F.col("length") / F.col("cells")).cast("int").alias("cell"))
     sides = bounds.select("asset_id", "cells", F.explode(F.array(F.lit(0), F.lit(-1))).alias("side"), "k", "cell").withColumn("p", F.col("k") * F.col("cell") + F.col("side"))
-    free = sides.join(used, ["asset_id", "p"]).groupBy("asset_id", "cells", "side").agg((~F.bool_or("used")).alias("free")).where("free")
+    free = sides.join(used.hint("merge"), ["asset_id", "p"]).groupBy("asset_id", "cells", "side").agg((~F.bool_or("used")).alias("free")).where("free")
     return length.join(free.groupBy("asset_id").agg(F.max("cells").alias("cells")), "asset_id", "left").select("asset_id", F.coalesce("cells", F.lit(1)).alias("cells"), "length")
 
 
@@ -98,7 +112,7 @@ def sprite_grid(pixels: DataFrame) -> DataFrame:
     cols, rows = (_cells(pixels, a).select("asset_id", F.col("cells").alias(n), F.col("length").alias(f"{n}_l")) for a, n in (("x", "cols"), ("y", "rows")))
     grid = cols.join(rows, "asset_id").where("cols * rows >= 2")
     at = lambda axis, n: F.floor(F.col(axis) / (F.col(f"{n}_l") / F.col(n)).cast("int"))
-    ink = pixels.where(F.col("a") >= OPAQUE).join(grid, "asset_id").withColumns({"c": at("x", "cols"), "q": at("y", "rows")}).where("c < cols and q < rows")
+    ink = _met(pixels.where(F.col("a") >= OPAQUE), grid).withColumns({"c": at("x", "cols"), "q": at("y", "rows")}).where("c < cols and q < rows")
     filled = ink.groupBy("asset_id", "cols", "rows").agg(F.countDistinct("c", "q").alias("frames"))
     need = F.greatest(F.lit(2), F.floor((F.col("cols") * F.col("rows") + 1) / 2))
     return filled.where(F.col("frames") >= need).select("asset_id", F.col("cols").cast("bigint").alias("cols"), F.col("rows").cast("bigint").alias("rows"), "frames", F.lit("spritesheet").alias("name"), F.when(F.col("frames") >= 4, 0.8).otherwise(0.6).alias("confidence"))
@@ -148,7 +162,7 @@ def upscale(pixels: DataFrame, blocks: DataFrame) -> DataFrame:
     fit = blocks.join(size, "asset_id").where(F.col("period") >= 2).where((F.floor(F.least("w", "h") / F.col("period")) >= LEAST_BLOCKS) & ((F.col("w") % F.col("period") == 0) | (F.col("h") % F.col("period") == 0)))
     at = lambda axis: F.floor(F.col(axis) / F.col("period"))
     inside = (at("x") < F.floor(F.col("w") / F.col("period"))) & (at("y") < F.floor(F.col("h") / F.col("period")))
-    spread = pixels.join(fit, "asset_id").where(inside).groupBy("asset_id", "period", at("y").alias("by"), at("x").alias("bx")).agg(sum((F.max(c) - F.min(c)).cast("double") for c in RGB).alias("s"))
+    spread = _met(pixels, fit).where(inside).groupBy("asset_id", "period", at("y").alias("by"), at("x").alias("bx")).agg(sum((F.max(c) - F.min(c)).cast("double") for c in RGB).alias("s"))
     flat = spread.groupBy("asset_id", "period").agg((F.avg("s") / 3).alias("mean")).where(F.col("mean") <= FLAT_BLOCK)
     return flat.select("asset_id", F.col("period").cast("bigint").alias("block_size"), F.lit("pixel-art").alias("name"), F.lit(0.9).alias("confidence"))
 

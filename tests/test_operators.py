@@ -348,6 +348,21 @@ def test_normal_map_and_mask(spark):
     assert [r["asset_id"] for r in D.mask(px(spark, [two, photo])).collect()] == [0]
 
 
+def test_pixels_are_never_the_side_that_is_held(spark, monkeypatch):
+    """Made from a small table by explode, they look small to Spark; they came whole to the driver."""
+    cells = spark.range(300).select(F.col("id").alias("asset_id"), F.explode(F.sequence(F.lit(0), F.lit(1023))).alias("k"))
+    cells = cells.select("asset_id", F.floor(F.col("k") / 32).cast("int").alias("y"), (F.col("k") % 32).cast("int").alias("x"))
+    grey = (F.floor(F.col("y") / 4) * 8 + F.floor(F.col("x") / 4)).cast("int")
+    pixels = cells.select("asset_id", "y", "x", grey.alias("r"), grey.alias("g"), grey.alias("b"), F.when((F.col("x") % 16 == 15) | (F.col("y") % 16 == 15), 0).otherwise(255).alias("a"))
+    for held, build in ((200_000, "BroadcastHashJoin"), (0, "ShuffledHashJoin")):
+        monkeypatch.setattr(D, "HELD", held, raising=False)
+        for found in (D.upscale(pixels, spark.range(300).select(F.col("id").alias("asset_id"), F.lit(4).alias("period"))), D.sprite_grid(pixels)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            joins = [line for line in plan.splitlines() if "Join [" in line]
+            assert len(joins) == 1 and build in joins[0] and "BuildRight" in joins[0], plan
+            assert found.count() == 300
+
+
 def test_sprite_grid_and_near_miss(spark):
     sheet = np.zeros((64, 96, 4), int)
     for r in range(2):
