@@ -237,7 +237,7 @@ def _reduced(of: np.ufunc, values: np.ndarray, counts: np.ndarray) -> np.ndarray
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, two hashes of the sequence of words (same0, same1), a key for every band, and two bits of every min-hash (fp0, fp1, ...)."""
+    """doc_id, the fingerprint, two hashes of the sequence of words (same0, same1), a key for every band, and two bits of every min-hash (fp0, fp1, ...)."""
     prints = [f"fp{i}" for i in range(BANDS * ROWS // 32)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +256,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             wide = lambda parts, n: (np.concatenate(parts, axis=1) if parts else np.zeros((n, 0), np.uint64)).view(np.int64)
             flat = np.ascontiguousarray(wide(bands, BANDS).T).ravel()
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, wide(same, 2)), keys, *map(pa.array, wide(bits, len(prints)))], names=["doc_id", "same0", "same1", "bands", *prints])
+            simhash = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1).cast(pa.binary())), np.uint64, batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(simhash), *map(pa.array, wide(same, 2)), keys, *map(pa.array, wide(bits, len(prints)))], names=["doc_id", "simhash", "same0", "same1", "bands", *prints])
 
-    return docs.select("doc_id", "text").transform(in_batches, work, "doc_id long, same0 long, same1 long, bands array<long>, " + ", ".join(f"{x} long" for x in prints))
+    return docs.select("doc_id", "text").transform(in_batches, work, "doc_id long, simhash long, same0 long, same1 long, bands array<long>, " + ", ".join(f"{x} long" for x in prints))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -316,19 +317,24 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_copies(docs: DataFrame, cell: int = CELL, members: int = MEMBERS) -> DataFrame:
     """doc_id and group_id: what links of a Jaccard similarity of 0.8 or more between sets of five-word shingles connect.
 
-    Min-hash bands and bits only part the texts into groups that hold every link, but for about 4 in a million at exactly
-    0.8; within a group the sets themselves are compared. Texts of equal words are one point.
+    Pairs are proposed by the fingerprints of ``near_duplicates`` on their grid, and beside them by min-hash bands and bits
+    for copies that a fingerprint tells further apart than ``RADIUS`` bits. Both only part the texts into groups that hold
+    every link, but for about 4 in a million at exactly 0.8; within a group the sets themselves are compared. Texts of
+    equal words are one point.
     """
     prints = cut(sketches(docs))
     names = [x for x in prints.columns if x.startswith("fp")]
-    classes = cut(prints.where("doc_id is not null").groupBy("same0", "same1").agg(F.min("doc_id").alias("node"), *[F.first(x).alias(x) for x in ("bands", *names)]))
+    classes = cut(prints.where("doc_id is not null").groupBy("same0", "same1").agg(F.min("doc_id").alias("node"), *[F.first(x).alias(x) for x in ("simhash", "bands", *names)]))
+    points = cut(classes.groupBy("simhash").agg(F.min("node").alias("point")))
+    equal = classes.join(points, "simhash").where("node <> point").select(F.col("node").alias("a"), F.col("point").alias("b"))
+    proposed = equal.union(links(points.select(F.col("point").alias("node"), F.col("simhash").alias("fp0")), cell=cell))
     low = np.uint64(_LOW)
 
     def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         z = x ^ y
         return np.bitwise_count((z | (z >> np.uint64(1))) & low).sum(axis=-1, dtype=np.int64) <= UNLIKE
 
-    near = components(_dealt(classes.select(F.explode("bands").alias("key"), "node", *names), _scan(len(names), close), cell))
+    near = components(proposed.union(_dealt(classes.select(F.explode("bands").alias("key"), "node", *names), _scan(len(names), close), cell)))
     near = sized(near.select(F.col("root").alias("key"), "node"))
     sets = cut(shingle_sets(docs.select("doc_id", "text").join(near, F.col("doc_id") == F.col("node"))))  # read several times, made once
     roots = components(_dealt(sets, _compared, members))

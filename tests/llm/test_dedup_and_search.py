@@ -282,3 +282,17 @@ def test_near_copies_of_one_large_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = dict(map(tuple, simhash.near_copies(docs, cell=5, members=4).collect()))
     assert got == {**dict.fromkeys(range(40), 0), 90: 90, 91: 90, 92: 92, 93: 92, 94: 94}
+
+
+def test_near_copies_by_fingerprint_alone(spark, monkeypatch):
+    """The grid of fingerprints proposes pairs by itself; far texts are not linked by it."""
+    monkeypatch.setattr(simhash, "UNLIKE", -1)  # min-hashes propose nothing
+    rng, rows = random.Random(5), []
+    for i in range(20):
+        words = [f"w{rng.randrange(4000)}" for _ in range(1500)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:700], f"x{i}", *words[701:]]))]
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in rows}
+    near = {2 * i + 1 for i in range(20) if (prints[2 * i] ^ prints[2 * i + 1]).bit_count() <= simhash.RADIUS}
+    assert len(near) >= 10
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id <> group_id")
+    assert {r["doc_id"] for r in found.collect()} == near
