@@ -16,10 +16,14 @@ from collections.abc import Iterator
 from functools import reduce
 from math import log
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog, Change, Snapshot
+from ..sources.shared import settled
 
 #: BM25's constants and least idf.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -35,6 +39,8 @@ BLOCK, STEPS, PAGE = 512, 4, 2000
 MERGE = 4
 #: Blocks that a filter names; more are joined. Best documents that a search keeps by itself; for more, all hits are scored.
 NAMED, MOST = 2048, 10_000
+#: Documents that are gone which are broadcast to the words; beyond that both are shuffled, without a sort of all words.
+HELD = 200_000
 #: Decimals of a score that count in an order, so that ties do not hang on the order in which Spark adds.
 PLACES = 9
 NAME = "text"
@@ -91,10 +97,11 @@ class TextIndex:
         self.sparkSession, self._held = docs.sparkSession, held.select("id", size.cast("double").alias("length"), "_found")
         self.posting, self.lengths = postings(docs, self.fields), self._held.select("id", "length")
 
-    def counted(self) -> DataFrame:
-        """(id, token, n, length, places): the words of each document, with how often and where they are and how long it is."""
-        each = self._held.select("id", "length", F.explode("_found").alias("f")).select("id", "length", "f.field", F.posexplode("f.words").alias("pos", "token"))
-        return each.groupBy("id", "token").agg(F.count("*").alias("n"), F.max("length").alias("length"), F.sort_array(F.collect_list(F.struct("field", "pos"))).alias("places"))
+    def sorted_words(self) -> DataFrame:
+        """(id, length, words): the words of each document by token, field and place, the field's number in the upper half of ``at``."""
+        number = lambda f: F.shiftleft((F.array_position(F.array(*[F.lit(x) for x in sorted(self.fields)]), f) - 1).cast("bigint"), 32)
+        words = F.transform("_found", lambda f: F.transform(f["words"], lambda w, p: F.struct(w.alias("token"), (number(f["field"]) + p).alias("at"))))
+        return self._held.select("id", "length", F.sort_array(F.flatten(words)).alias("words"))
 
     @staticmethod
     def of(docs: DataFrame | TextIndex, fields: tuple[str, ...] | list[str] | None = None) -> TextIndex:
@@ -146,7 +153,10 @@ class Segments(TextIndex):
 
     def _live(self, rows: DataFrame) -> DataFrame:
         gone = self.gone
-        return rows if gone is None else rows.join(gone.select("segment", "id"), ["segment", "id"], "left_anti")
+        if gone is None:
+            return rows
+        few = sum(p["docs"] for p in self.notes) <= HELD
+        return rows.join(gone.select("segment", "id").hint("broadcast" if few else "shuffle_hash"), ["segment", "id"], "left_anti")
 
     def _of(self, below: str, schema: str, words: list[str] | None, blocks: dict[int, list[int]] | None = None) -> DataFrame:
         """Rows of some tokens, of each segment their buckets alone; with ``blocks``, rows of those blocks of each segment alone."""
@@ -220,7 +230,8 @@ class Segments(TextIndex):
     def bounds(self, words: list[str], idf: dict[str, float], mean: float) -> DataFrame:
         """(segment, block, bound) of blocks that hold all tokens: no document there scores more."""
         most = reduce(lambda x, w: F.when(F.col("token") == w, F.lit(idf[w])).otherwise(x), words, F.lit(0.0)) * part(F.col("most"), F.col("least"), mean)
-        rows = self._of("/bounds", _BOUNDS, words).groupBy("segment", "block").agg(F.sum(most).alias("bound"), F.count("*").alias("m"))
+        each = self._of("/bounds", _BOUNDS, words).groupBy("segment", "block", "token").agg(F.max("most").alias("most"), F.min("least").alias("least"))  # a block's rows may lie in several files
+        rows = each.groupBy("segment", "block").agg(F.sum(most).alias("bound"), F.count("*").alias("m"))
         return rows.where(F.col("m") == len(words)).select("segment", "block", (F.col("bound") * (1 + 1e-9) + 10.0**-PLACES).alias("bound"))  # scores are rounded
 
     def best(self, words: list[str], k: int, within: DataFrame | None = None) -> list[tuple[float, int]] | None:
@@ -276,6 +287,19 @@ class Segments(TextIndex):
             blocks.unpersist()
 
 
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of words (token, block, n, length, bucket) as they lie in their files, the documents, most occurrences and least length of each run of a token's block; one cut by a batch or a file gives a row for each piece."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, block = batch.column(0), batch.column(1).to_numpy()
+        new = pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
+        first = np.concatenate([[0], np.flatnonzero(new) + 1])
+        docs = np.diff(np.concatenate([first, [batch.num_rows]]))
+        most, least = np.maximum.reduceat(batch.column(2).to_numpy(), first), np.minimum.reduceat(batch.column(3).to_numpy(), first)
+        yield pa.RecordBatch.from_arrays([token.take(pa.array(first)), *map(pa.array, (block[first], docs, most, least)), batch.column(4).take(pa.array(first))], names=["token", "block", "docs", "most", "least", "bucket"])
+
+
 def _step(length: Column) -> Column:
     """Documents of one step may share a block."""
     return F.floor(F.log2(length + 1) * STEPS).cast("int")
@@ -285,8 +309,28 @@ def _numbered(change: Change) -> int:
     return 1 + max((p["number"] for p in change.parts(NAME) if p["kind"] == "segment"), default=0)
 
 
-def _write(change: Change, words: DataFrame, docs: DataFrame, most_buckets: int = BUCKETS) -> dict | None:
-    """A segment of words (id, token, n, length, places) of documents (id, length); None if there are no documents."""
+def counted(held: DataFrame) -> DataFrame:
+    """(id, token, n, length, places) of ``sorted_words``: the words of each document, with how often and where they are and how long it is.
+
+    A document's words are runs of one sorted array, so they are counted within its row; documents of one id, should
+    there be any, are put together.
+    """
+    token = lambda i: F.get("words", i)["token"]
+    every = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = held.select("id", "length", "words", F.filter(every, lambda i: (i == 0) | (token(i) != token(F.greatest(i - 1, F.lit(0))))).alias("starts"))
+    ends = F.slice(F.concat("starts", F.array(F.size("words"))), F.lit(2), F.size("starts"))
+    run = lambda a, b: F.struct(token(a).alias("token"), F.transform(F.slice("words", a + 1, b - a), lambda x: x["at"]).alias("places"))
+    rows = starts.select("id", "length", F.inline(F.zip_with("starts", ends, run))).select("id", "token", F.size("places").cast("bigint").alias("n"), "length", "places")
+    if not held.groupBy("id").count().where("count > 1").limit(1).count():
+        return rows
+    return rows.groupBy("id", "token").agg(F.sum("n").alias("n"), F.max("length").alias("length"), F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+def _write(change: Change, words: DataFrame, docs: DataFrame, most_buckets: int = BUCKETS, fields: list[str] | None = None) -> dict | None:
+    """A segment of words (id, token, n, length, places) of documents (id, length); None if there are no documents.
+
+    With ``fields`` places are whole numbers, as ``counted`` gives them, until they are dealt and sorted.
+    """
     name, folder = change.folder(NAME)
     spark = change.spark
     steps = {r["step"]: r["n"] for r in docs.groupBy(_step(F.col("length")).alias("step")).agg(F.count("*").alias("n")).collect()}  # some hundred at most
@@ -298,17 +342,21 @@ def _write(change: Change, words: DataFrame, docs: DataFrame, most_buckets: int
     n, total = spark.read.schema(_DOCS).parquet(f"{folder}/docs").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0.0))).first()
     buckets = max(1, min(most_buckets, n // PER_BUCKET))
     rows = words.select("token", block, "id", "n", "length", "places", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket"))
-    paged = lambda df, *by: df.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE)
-    paged(rows, "bucket", "token", "block", "id").parquet(f"{folder}/words")
-    held = spark.read.schema(_WORDS).parquet(f"{folder}/words")
-    bounds = held.groupBy("bucket", "token", "block").agg(F.count("*").alias("docs"), F.max("n").alias("most"), F.min("length").alias("least"))
-    paged(bounds.select("token", "block", "docs", "most", "least", "bucket"), "bucket", "token", "block").parquet(f"{folder}/bounds")
+    place = lambda x: F.struct(F.get(F.array(*[F.lit(f) for f in sorted(fields)]), F.shiftright(x, 32).cast("int")).alias("field"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+
+    written = lambda df: df.write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE)
+    by = ("bucket", "token", "block", "id")
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    written(dealt.withColumn("places", F.transform("places", place)) if fields else dealt).parquet(f"{folder}/words")
+    held = spark.read.schema(_WORDS).parquet(f"{folder}/words").select("token", "block", "n", "length", "bucket")
+    written(held.mapInArrow(_bounds, _BOUNDS).sortWithinPartitions("bucket", "token", "block")).parquet(f"{folder}/bounds")
     return {"folder": name, "kind": "segment", "number": _numbered(change), "docs": n, "words": total, "buckets": buckets}
 
 
 def add_segment(change: Change, index: TextIndex, buckets: int = BUCKETS) -> None:
     """Add the documents of an index made anew, none of which the stored one holds, as a segment."""
-    if segment := _write(change, index.counted(), index.lengths, buckets):
+    held = settled(index.sorted_words())  # read for lengths, ranges and rows, made once
+    if segment := _write(change, counted(held), held.select("id", "length"), buckets, index.fields):
         change.name(NAME, [*change.parts(NAME), segment])
 
 

@@ -391,3 +391,19 @@ def test_title_cut_within_a_reference_keeps_it_as_written(spark):
 
     pages = spark.createDataFrame([("u", "<head><title>Of &lt;old&gt; caf&#233;s &amp;&amp;&amp</title></head>")], "url string, html string")
     assert L.html_head(pages).first()["head"]["title"] == "Of <old> cafés &&&amp"
+
+
+def test_words_are_counted_within_their_document(spark):
+    """No shuffle of words by document and token; documents of one id are put together."""
+    from larder.operators import textindex as T
+    from larder.sources.shared import settled
+
+    docs = spark.createDataFrame([(1, "b a b", "a"), (2, None, ""), (3, "c", None)], "id bigint, title string, notes string")
+    index = R.TextIndex(docs)
+    rows = T.counted(settled(index.sorted_words()))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["id"], r["token"], r["n"], r["length"], list(r["places"])) for r in rows.collect())
+    notes, title = 0, 1 << 32
+    assert got == [(1, "a", 2, 4.0, [notes, title + 1]), (1, "b", 2, 4.0, [title, title + 2]), (3, "c", 1, 1.0, [title])]
+    twice = T.counted(settled(R.TextIndex(docs.union(docs.where("id = 3"))).sorted_words())).where("id = 3").collect()
+    assert [(r["n"], list(r["places"])) for r in twice] == [(2, [title, title])]
