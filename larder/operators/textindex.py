@@ -33,6 +33,8 @@ PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuu
 FIELDS = ("title", "notes", "filename", "caption", "tags")
 #: Most folders of a segment's postings, by hash of the token, and the documents of a segment for each of them.
 BUCKETS, PER_BUCKET = 64, 2048
+#: Words that a worker counts at once, and that a task sorts.
+WORDS, PER_TASK = 500_000, 2_000_000
 #: Documents of a block, steps of a doubling of length that may share one, and rows of a page of a file, which is what a search skips.
 BLOCK, STEPS, PAGE = 512, 4, 2000
 #: Segments of a like size that are merged, and how many times larger the next size is.
@@ -91,17 +93,16 @@ class TextIndex:
 
     def __init__(self, docs: DataFrame, fields: tuple[str, ...] | list[str] | None = None) -> None:
         self.fields = [f for f in fields or FIELDS if f in docs.columns]
-        found = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(tokens(f), F.array().cast("array<string>")).alias("words")) for f in self.fields])
-        held = docs.select("id", found.alias("_found"))
-        size = F.aggregate("_found", F.lit(0), lambda n, x: n + F.size(x["words"]))
-        self.sparkSession, self._held = docs.sparkSession, held.select("id", size.cast("double").alias("length"), "_found")
-        self.posting, self.lengths = postings(docs, self.fields), self._held.select("id", "length")
+        self.sparkSession, self._words = docs.sparkSession, docs.select("id", *[F.coalesce(tokens(f), F.array().cast("array<string>")).alias(f) for f in sorted(self.fields)])
+        size = reduce(Column.__add__, [F.size(f) for f in self.fields], F.lit(0)).cast("double")
+        self.posting, self.lengths = postings(docs, self.fields), self._words.select("id", size.alias("length"))
 
     def sorted_words(self) -> DataFrame:
-        """(id, length, words): the words of each document by token, field and place, the field's number in the upper half of ``at``."""
-        number = lambda f: F.shiftleft((F.array_position(F.array(*[F.lit(x) for x in sorted(self.fields)]), f) - 1).cast("bigint"), 32)
-        words = F.transform("_found", lambda f: F.transform(f["words"], lambda w, p: F.struct(w.alias("token"), (number(f["field"]) + p).alias("at"))))
-        return self._held.select("id", "length", F.sort_array(F.flatten(words)).alias("words"))
+        """(id, length, first, token, places): the words of each document by token, with their places by field, the field's number in the upper half of each.
+
+        ``first`` marks one row of each document; a document without words has that row alone, without a token.
+        """
+        return self._words.mapInArrow(_runs, f"id {self._words.schema['id'].dataType.simpleString()}, length double, first boolean, token string, places array<bigint>")
 
     @staticmethod
     def of(docs: DataFrame | TextIndex, fields: tuple[str, ...] | list[str] | None = None) -> TextIndex:
@@ -287,6 +288,39 @@ class Segments(TextIndex):
             blocks.unpersist()
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents (id, a list of words for each field) the runs of equal words, as ``sorted_words`` gives them; about WORDS words at once."""
+    for batch in batches:
+        sizes = np.stack([pc.list_value_length(c).to_numpy() for c in batch.columns[1:]]) if batch.num_columns > 1 else np.zeros((1, batch.num_rows), int)
+        length = sizes.sum(axis=0).astype(np.int64)
+        part = np.cumsum(length) // WORDS
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if start == end:
+                continue
+            some, n = batch.slice(start, end - start), length[start:end]
+            none = np.flatnonzero(n == 0)
+            words = pa.concat_arrays([c.flatten() for c in some.columns[1:]] or [pa.array([], pa.string())]).dictionary_encode()
+            each = [x[start:end].astype(np.int64) for x in sizes]
+            doc = np.concatenate([np.repeat(np.arange(end - start), x) for x in each])
+            at = np.concatenate([(f << 32) + np.arange(x.sum()) - np.repeat(np.cumsum(x) - x, x) for f, x in enumerate(each)])
+            by = pc.sort_indices(words.dictionary).to_numpy()
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            key = doc * max(1, len(by)) + rank[words.indices.to_numpy()]
+            order = np.argsort(key, kind="stable")  # places stay by field
+            key = key[order]
+            new = np.flatnonzero(np.diff(key, prepend=-1))
+            owner = doc[order[new]]
+            token = pa.concat_arrays([words.dictionary.take(words.indices.take(pa.array(order[new]))), pa.nulls(len(none), words.dictionary.type)])
+            places = pa.ListArray.from_arrays(pa.array(np.append(new, len(key)).astype(np.int32)), pa.array(at[order]))
+            places = pa.concat_arrays([places, pa.nulls(len(none), places.type)])
+            rows = np.concatenate([owner, none])
+            first = np.diff(owner, prepend=-1) != 0
+            columns = [some.column(0).take(pa.array(rows)), pa.array(n[rows].astype(float)), pa.array(np.concatenate([first, np.ones(len(none), bool)])), token, places]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "length", "first", "token", "places"])
+
+
 def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of words (token, block, n, length, bucket) as they lie in their files, the documents, most occurrences and least length of each run of a token's block; one cut by a batch or a file gives a row for each piece."""
     for batch in batches:
@@ -312,16 +346,10 @@ def _numbered(change: Change) -> int:
 def counted(held: DataFrame) -> DataFrame:
     """(id, token, n, length, places) of ``sorted_words``: the words of each document, with how often and where they are and how long it is.
 
-    A document's words are runs of one sorted array, so they are counted within its row; documents of one id, should
-    there be any, are put together.
+    A document's words are counted within its row; documents of one id, should there be any, are put together.
     """
-    token = lambda i: F.get("words", i)["token"]
-    every = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
-    starts = held.select("id", "length", "words", F.filter(every, lambda i: (i == 0) | (token(i) != token(F.greatest(i - 1, F.lit(0))))).alias("starts"))
-    ends = F.slice(F.concat("starts", F.array(F.size("words"))), F.lit(2), F.size("starts"))
-    run = lambda a, b: F.struct(token(a).alias("token"), F.transform(F.slice("words", a + 1, b - a), lambda x: x["at"]).alias("places"))
-    rows = starts.select("id", "length", F.inline(F.zip_with("starts", ends, run))).select("id", "token", F.size("places").cast("bigint").alias("n"), "length", "places")
-    if not held.groupBy("id").count().where("count > 1").limit(1).count():
+    rows = held.where("token is not null").select("id", "token", F.size("places").cast("bigint").alias("n"), "length", "places")
+    if not held.where("first").groupBy("id").count().where("count > 1").limit(1).count():
         return rows
     return rows.groupBy("id", "token").agg(F.sum("n").alias("n"), F.max("length").alias("length"), F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
 
@@ -329,7 +357,8 @@ def counted(held: DataFrame) -> DataFrame:
 def _write(change: Change, words: DataFrame, docs: DataFrame, most_buckets: int = BUCKETS, fields: list[str] | None = None) -> dict | None:
     """A segment of words (id, token, n, length, places) of documents (id, length); None if there are no documents.
 
-    With ``fields`` places are whole numbers, as ``counted`` gives them, until they are dealt and sorted.
+    With ``fields`` places are whole numbers, as ``counted`` gives them, until they are dealt. Words go to tasks by bucket and
+    hash of the block, without a look at them before, and of so many that each task sorts about PER_TASK in memory.
     """
     name, folder = change.folder(NAME)
     spark = change.spark
@@ -341,13 +370,15 @@ def _write(change: Change, words: DataFrame, docs: DataFrame, most_buckets: int
     docs.select("id", "length", block).repartition("id").write.parquet(f"{folder}/docs")  # few rows in few files
     n, total = spark.read.schema(_DOCS).parquet(f"{folder}/docs").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0.0))).first()
     buckets = max(1, min(most_buckets, n // PER_BUCKET))
-    rows = words.select("token", block, "id", "n", "length", "places", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket"))
+    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+    each = max(1, int(-(-total // (buckets * PER_TASK))))  # tasks of a bucket, by the hash of the block, so that no word is a task's alone and a task's words do not grow
     place = lambda x: F.struct(F.get(F.array(*[F.lit(f) for f in sorted(fields)]), F.shiftright(x, 32).cast("int")).alias("field"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
 
     written = lambda df: df.write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE)
     by = ("bucket", "token", "block", "id")
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    written(dealt.withColumn("places", F.transform("places", place)) if fields else dealt).parquet(f"{folder}/words")
+    sent = words.select("token", block, "id", "length", "places").repartitionById(buckets * each, bucket * each + F.pmod(F.xxhash64("block"), F.lit(each)).cast("int"))
+    dealt = sent.select("token", "block", "id", F.size("places").cast("bigint").alias("n"), "length", F.transform("places", place).alias("places") if fields else "places", bucket.alias("bucket")).sortWithinPartitions(*by)
+    written(dealt).parquet(f"{folder}/words")
     held = spark.read.schema(_WORDS).parquet(f"{folder}/words").select("token", "block", "n", "length", "bucket")
     written(held.mapInArrow(_bounds, _BOUNDS).sortWithinPartitions("bucket", "token", "block")).parquet(f"{folder}/bounds")
     return {"folder": name, "kind": "segment", "number": _numbered(change), "docs": n, "words": total, "buckets": buckets}
@@ -355,8 +386,8 @@ def _write(change: Change, words: DataFrame, docs: DataFrame, most_buckets: int
 
 def add_segment(change: Change, index: TextIndex, buckets: int = BUCKETS) -> None:
     """Add the documents of an index made anew, none of which the stored one holds, as a segment."""
-    held = settled(index.sorted_words())  # read for lengths, ranges and rows, made once
-    if segment := _write(change, counted(held), held.select("id", "length"), buckets, index.fields):
+    held = settled(index.sorted_words())  # read for lengths and rows, made once
+    if segment := _write(change, counted(held), held.where("first").select("id", "length"), buckets, index.fields):
         change.name(NAME, [*change.parts(NAME), segment])
 
 

@@ -407,3 +407,20 @@ def test_words_are_counted_within_their_document(spark):
     assert got == [(1, "a", 2, 4.0, [notes, title + 1]), (1, "b", 2, 4.0, [title, title + 2]), (3, "c", 1, 1.0, [title])]
     twice = T.counted(settled(R.TextIndex(docs.union(docs.where("id = 3"))).sorted_words())).where("id = 3").collect()
     assert [(r["n"], list(r["places"])) for r in twice] == [(2, [title, title])]
+
+
+def test_tasks_that_write_an_index_do_not_grow(spark, tmp_path, monkeypatch):
+    """Words are dealt to so many tasks that each sorts a like number, whatever the number of documents; a word that all documents hold is in several."""
+    from larder.operators import textindex as T
+    from larder.sources.catalog import Catalog
+
+    monkeypatch.setattr(T, "PER_TASK", 1500)
+    monkeypatch.setattr(T, "BLOCK", 8)
+    docs = spark.range(600).select("id", F.concat(F.lit("common "), F.expr("array_join(transform(sequence(0, cast(id % 9 as int)), i -> concat('w', id * i)), ' ')")).alias("title"), F.when(F.col("id") != 7, F.lit("of")).alias("notes"))
+    index = R.TextIndex(docs).store(Catalog(spark, str(tmp_path / "c")))
+    rows = index.words(None).withColumn("file", F.input_file_name())
+    assert max(r["count"] for r in rows.groupBy("file").count().collect()) <= 2 * T.PER_TASK
+    assert rows.where("token = 'common'").select("file").distinct().count() > 1
+    for name in ("posting", "lengths"):
+        want, got = (sorted(map(tuple, x.select(sorted(x.columns)).collect())) for x in (getattr(R.TextIndex(docs), name), getattr(index, name)))
+        assert want == got
