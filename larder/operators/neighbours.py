@@ -18,6 +18,8 @@ from .joins import CELLS, QUERIES, unit_vectors
 
 #: A 64-bit hash is so many bands of so many bits; buckets are probed up to so many bits from a query's, then the rest is scanned.
 BANDS, WIDTH, FAR = 4, 16, 3
+#: Pairs that are scanned while one is met in a join, pairs that are met whatever a scan would cost, and pairs that a task scans.
+PROBE, FREE, SCAN = 128, 1 << 20, 1 << 29
 #: Vectors that centroids are learned from, rounds of learning, most cells, and rows that a cell has at least on average.
 SAMPLE, ROUNDS, MOST_CELLS, PER_CELL = 8192, 8, 1024, 64
 #: Steps of a channel in the grid of palettes.
@@ -40,73 +42,97 @@ def first_ids(library: DataFrame, k: int) -> DataFrame:
     return library.where("v is not null").select("id", "v", rank.alias("_r")).where(F.col("_r") <= k).select("id", "v")
 
 
-def _best(rows: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+def _best(rows: DataFrame, k: int, by: str = "query_id", tie: str = "id") -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("distance", tie))
     return rows.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
 
 def hash_neighbours(queries: DataFrame, library: DataFrame, k: int, most: int) -> DataFrame:
     """query_id, id, distance, rank of the k hashes (id, v) nearest to each query (query_id, q) but itself, within ``most`` bits, ties by id.
 
+    Different queried hashes meet different hashes, each once, with the number of its rows and the first of them: the k + 1
+    first rows are among those of the k + 1 first hashes by distance and first row. Only these are put back into rows, and
+    those given to all queries of a hash, so what is met does not grow with copies on either side.
+
     Hashes within BANDS * (s + 1) - 1 bits differ by s bits at most in some band, so buckets of bands are probed by growing
-    s, an equi-join each, until a query's k-th distance is no more than that: nothing nearer is left. A pair counts in
-    the one bucket where its bands are nearest first. What is not decided after FAR bits, or when there are more probes
-    than hashes (then a library is small for its distances), is decided by a scan that sends k rows a query and task.
+    s, an equi-join each, until a query has more than k rows within that: nothing nearer is left. A pair counts in
+    the one bucket where its bands are nearest first. What is not decided after FAR bits, or when probes and what they
+    would meet are more than FREE and than one in PROBE of all pairs, is decided by a scan that sends k + 1 hashes a query and task.
     """
     held = settled(first_ids(library, k + 1))
-    values = held.select("v").distinct()
-    table = settled(values.select("v", F.posexplode(band_values(F.col("v"))).alias("band", "part")))
-    many = table.count() // BANDS
-    pending = settled(queries.where("q is not null").select("query_id", "q").distinct())
-    found = None
+    values = settled(held.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    table = settled(values.select("v", "first", "n", F.posexplode(band_values(F.col("v"))).alias("band", "part")))
+    sizes = settled(table.groupBy("band", "part").agg(F.count("*").alias("_met")))  # at most BANDS * 2 ** WIDTH
+    many = values.count()
+    pending = settled(queries.where("q is not null").select("q").distinct())
+    left, found = pending.count(), None
     for s in range(FAR + 1):
-        if BANDS * comb(WIDTH, s) > many:
+        if BANDS * comb(WIDTH, s) * PROBE > many or not left:
             break
         masks = F.array(*[F.lit(sum(1 << b for b in bits)) for bits in combinations(range(WIDTH), s)])
-        asked = pending.select("query_id", "q", F.posexplode(band_values(F.col("q"))).alias("band", "_own")).select("query_id", "q", "band", F.explode(masks).alias("_mask"), "_own")
-        met = asked.select("query_id", "q", "band", F.col("_own").bitwiseXOR(F.col("_mask")).alias("part")).join(table, ["band", "part"])
+        asked = pending.select("q", F.posexplode(band_values(F.col("q"))).alias("band", "_own")).select("q", "band", F.explode(masks).alias("_mask"), "_own")
+        asked = asked.select("q", "band", F.col("_own").bitwiseXOR(F.col("_mask")).alias("part"))
+        meets = asked.join(F.broadcast(sizes), ["band", "part"], "left").agg(F.sum(1 + F.coalesce("_met", F.lit(0)))).first()[0]
+        if meets > FREE and meets * PROBE > left * many:
+            break
+        met = asked.join(table.hint("merge"), ["band", "part"])  # probes are many more than their queries, by whose size Spark would hold them
         apart = F.zip_with(band_values(F.col("q")), band_values(F.col("v")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         first = F.array_position(F.transform(apart, lambda d: d == F.array_min(apart)), F.lit(True)) - 1  # the nearest band, or the first of them
-        near = met.where((first == F.col("band")) & (hamming("q", "v") <= most)).select("query_id", "v", hamming("q", "v").alias("distance"))
-        new = near.join(held, "v").where("query_id <> id").select("query_id", "id", "distance")
-        found = settled(_best(new if found is None else found.drop("rank").unionByName(new), k))
+        new = met.where((first == F.col("band")) & (hamming("q", "v") <= most)).select("q", "v", "first", "n", hamming("q", "v").alias("distance"))
+        found = settled(_best(new if found is None else found.unionByName(new), k + 1, "q", "first").drop("rank"))
         sure = BANDS * (s + 1) - 1
         if sure >= most:
-            return found
-        done = found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("d")).where((F.col("n") == k) & (F.col("d") <= sure))
-        pending = settled(pending.join(done, "query_id", "left_anti"))
-        if not pending.limit(1).count():
-            return found
-    scan = _best(_scan(pending, held, k).where(F.col("distance") <= most), k)
-    return scan if found is None else found.join(pending.select("query_id"), "query_id", "left_anti").unionByName(scan.select(*found.columns))
-
-
-def _scan(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, distance): of each partition of a library the k rows nearest to each query; queries are broadcast in blocks of QUERIES."""
-    sc, blocks, out = library.sparkSession.sparkContext, max(1, -(-queries.count() // QUERIES)), None
+            left = 0
+            break
+        done = found.where(F.col("distance") <= sure).groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > k)
+        pending = settled(pending.join(done, "q", "left_anti"))
+        left = pending.count()
+    if left:
+        scan = _best(_scan(pending, values, k + 1).where(F.col("distance") <= most), k + 1, "q", "first").drop("rank")
+        found = scan if found is None else found.join(pending, "q", "left_anti").unionByName(scan.select(*found.columns))
+    elif found is None:
+        found = values.limit(0).select(F.col("v").alias("q"), "v", "first", "n", F.lit(0).alias("distance"))
+    nearer = F.coalesce(F.sum("n").over(Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = settled(found).withColumn("_nearer", nearer).where(F.col("_nearer") <= k)
+    rows = _best(near.select("q", "v", "distance").join(held, "v").select("q", "id", "distance"), k + 1, "q").drop("rank")
+    return _best(queries.select("query_id", "q").distinct().join(rows, "q").where("query_id <> id").select("query_id", "id", "distance"), k)
+
+
+def _scan(queries: DataFrame, values: DataFrame, k: int) -> DataFrame:
+    """(q, v, first, n, distance): of each task's hashes (v, first, n) the k nearest to each query (q), ties by ``first``.
+
+    Queries are broadcast in blocks of QUERIES; hashes are dealt to so many tasks that each compares about SCAN pairs of
+    all blocks, so that no task grows with the tables.
+    """
+    many = queries.count()
+    sc, blocks, out = values.sparkSession.sparkContext, max(1, -(-many // QUERIES)), None
+    dealt = values.select("v", "first", "n").repartition(int(max(1, -(-many * values.count() // SCAN))))
     for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
-        held = sc.broadcast((part["query_id"].to_numpy(), part["q"].to_numpy().view(np.uint64)))
+        part = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).select("q").toArrow().combine_chunks()
+        held = sc.broadcast(part["q"].to_numpy().view(np.uint64))
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            qid, q = held.value
-            best = [np.zeros(0, np.int64)] * 3  # query, id, distance
-            for batch in batches if len(qid) else ():
-                ids, v = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-                step = max(k, CELLS // len(qid))
-                for i in range(0, len(ids), step):
-                    far = np.bitwise_count(q[:, None] ^ v[None, i : i + step]).astype(np.int64)
-                    far[qid[:, None] == ids[None, i : i + step]] = 99
-                    least = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] > k else np.full(len(qid), 98)
-                    row, col = np.nonzero((far <= least[:, None]) & (far < 99))
-                    new = [np.concatenate(z) for z in zip(best, (row, ids[i + col], far[row, col]), strict=True)]
-                    order = np.lexsort((new[1], new[2], new[0]))
-                    start = np.searchsorted(new[0][order], np.arange(len(qid)))
-                    kept = order[np.arange(len(order)) - start[new[0][order]] < k]
-                    best = [z[kept] for z in new]
-            yield pa.RecordBatch.from_arrays([pa.array(qid[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.int32())], names=["query_id", "id", "distance"])
-
-        one = library.select("id", "v").mapInArrow(work, "query_id long, id long, distance int")
+            q = held.value
+            best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # query, distance, first, v, n
+            least = np.full(len(q), 65, np.uint8)  # beyond that nothing is nearer than what a query has
+            for batch in batches if len(q) else ():
+                v, first, n = (c.to_numpy() for c in batch.columns)
+                for i in range(0, len(v), step := max(k, CELLS // len(q))):
+                    far = np.bitwise_count(q[:, None] ^ v[None, i : i + step].view(np.uint64))
+                    bound = np.minimum(least, np.partition(far, k - 1, axis=1)[:, k - 1]) if far.shape[1] > k and not len(best[0]) else least
+                    row, col = np.nonzero(far <= bound[:, None])
+                    if not len(row):
+                        continue
+                    new = [np.concatenate(z) for z in zip(best, (row, far[row, col].astype(np.int64), first[i + col], v[i + col], n[i + col]), strict=True)]
+                    order = np.lexsort((new[2], new[1], new[0]))
+                    start = np.searchsorted(new[0][order], np.arange(len(q)))
+                    best = tuple(z[order[np.arange(len(order)) - start[new[0][order]] < k]] for z in new)
+                    end = np.searchsorted(best[0], np.arange(len(q)), "right")
+                    full = end - np.searchsorted(best[0], np.arange(len(q))) == k
+                    least[full] = best[1][end[full] - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(q.view(np.int64)[best[0]]), *map(pa.array, (best[3], best[2], best[4])), pa.array(best[1].astype(np.int32))], names=["q", "v", "first", "n", "distance"])
+
+        one = dealt.mapInArrow(work, "q long, v long, first long, n long, distance int")
         out = one if out is None else out.union(one)
     return out
 

@@ -60,6 +60,30 @@ def test_hash_neighbours_have_no_nested_loop(spark):
     assert any("Join" in p for p in plans)
 
 
+def test_hash_neighbours_do_not_grow_with_copies(spark, monkeypatch):
+    """Rows and queries of one hash are met once; probes are used while they meet less than a scan; a scan is dealt to tasks by its pairs."""
+    scanned, plain = [], V._scan
+
+    def noted(queries, values, k):
+        out = plain(queries, values, k)
+        scanned.append((queries.count(), values.count(), out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(V, "_scan", noted)
+    monkeypatch.setattr(V, "SCAN", 1000)
+    rng = random.Random(5)
+    seeds = [rng.getrandbits(64) for _ in range(90)]
+    library = [(i, seeds[i % 90] if i % 3 else seeds[i % 7]) for i in range(2700)]
+    lib = spark.createDataFrame([(i, signed(v)) for i, v in library], "id long, v long")
+    asked = lib.where("id % 9 = 0 or id % 7 = 1").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    queries = [(i, v) for i, v in library if i % 9 == 0 or i % 7 == 1]
+    for probe in (128, 1e-9):
+        monkeypatch.setattr(V, "PROBE", probe)
+        assert sorted(map(tuple, W.similar_by_hash(asked, lib, 8, 32).collect())) == brute_hashes(queries, library, 8, 32)
+    different, many, tasks = scanned[0]
+    assert different == len({v for _, v in queries}) < 100 and many == len({v for _, v in library}) and tasks == -(-different * many // 1000)
+
+
 def brute_vectors(library, queries, k):
     unit = {i: v / n for i, v in library.items() if (n := np.linalg.norm(v)) > 0}
     out = []
