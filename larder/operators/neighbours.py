@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ BANDS, WIDTH, FAR = 4, 16, 3
 PROBE, FREE, SCAN = 128, 1 << 20, 1 << 29
 #: Vectors that centroids are learned from, rounds of learning, most cells, and rows that a cell has at least on average.
 SAMPLE, ROUNDS, MOST_CELLS, PER_CELL = 8192, 8, 1024, 64
-#: Steps of a channel in the grid of palettes.
-GRID = 8
+#: Steps of a channel in the grid of palettes, and pairs of palettes that a task compares.
+GRID, PALETTES = 8, 1 << 26
 #: By how much rounding may move a distance of unit vectors.
 MARGIN = 1e-7
 NAME = "cells"
@@ -288,22 +290,99 @@ def _gap(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray)
     return np.sqrt((apart * apart).sum(axis=2))
 
 
+def _channels(palette: str) -> list[Column]:
+    of = lambda c: F.transform(palette, lambda x: x[c].cast("double"))
+    return [of(c).alias(c) for c in "rgb"]
+
+
+def _colours(batch: pa.RecordBatch | pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of colours: the rows (r, g, b: a list each) that have so many, and their colours, one after the other."""
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch.column(x) for x in "rgb")]
+    sizes = pc.list_value_length(columns[0]).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        out[n] = at, np.stack([c.take(pa.array(at)).flatten().to_numpy() for c in columns], axis=1)
+    return out
+
+
+def _palettes_met(queries: pa.Table, by: dict[int, np.ndarray], rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, distance): of each task's palettes (id, cell, r, g, b) the k nearest to each query (query_id, r, g, b) that wants their cell, and those within rounding of the k-th.
+
+    Squares of distances of whole colours are exact in a product; sums go by a palette's order, as ``palette_distance`` adds.
+    """
+    held = rows.sparkSession.sparkContext.broadcast((queries, by))  # about QUERIES palettes
+
+    def terms(x: np.ndarray, asked: bool) -> np.ndarray:
+        square, one = (x * x).sum(axis=2, keepdims=True), np.ones((*x.shape[:2], 1))
+        return np.concatenate([x, square, one] if asked else [-2 * x, one, square], axis=2)
+
+    def side(least: list[np.ndarray]) -> np.ndarray:
+        return reduce(np.add, map(np.sqrt, least)) / len(least)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, by = held.value
+        qid = queries["query_id"].to_numpy()
+        asked = {m: (of, terms(q.reshape(len(of), m, 3), True)) for m, (of, q) in _colours(queries).items()}
+        best, new = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), []  # query, id, distance
+        least = np.full(len(qid), np.inf)
+
+        def kept() -> tuple[np.ndarray, ...]:
+            every = [np.concatenate(z) for z in zip(best, *new, strict=True)]
+            every = [z[order] for order in [np.lexsort((every[2], every[0]))] for z in every]
+            start, end = (np.searchsorted(every[0], np.arange(len(qid)), x) for x in ("left", "right"))
+            full = end - start >= k
+            least[full] = every[2][start[full] + k - 1] + 2e-9  # distances are rounded, then ids decide
+            return tuple(z[every[2] <= least[every[0]]] for z in every)
+
+        for batch in batches:
+            names, cells = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for n, (at, x) in _colours(batch).items():
+                x = terms(x.reshape(len(at), n, 3), False)
+                for c in np.unique(cells[at]).tolist():
+                    here = np.flatnonzero(cells[at] == c)
+                    for m, (of, q) in asked.items():
+                        mine = np.isin(of, by[c])
+                        who = of[mine]
+                        for i in range(0, len(here), step := max(1, CELLS // 16 // max(1, len(who)))) if len(who) else ():
+                            some = here[i : i + step]
+                            mine_least, its_least = ([np.full((len(who), len(some)), np.inf) for _ in range(z)] for z in (m, n))
+                            for a in range(m):
+                                for b in range(n):
+                                    square = q[mine, a] @ x[some, b].T
+                                    np.minimum(mine_least[a], square, out=mine_least[a])
+                                    np.minimum(its_least[b], square, out=its_least[b])
+                            far = (side(mine_least) + side(its_least)) / 2 / np.sqrt(3 * 255.0**2)
+                            far[qid[who][:, None] == names[at[some]][None]] = np.inf
+                            row, col = np.nonzero((far <= least[who][:, None]) & np.isfinite(far))
+                            new.append((who[row], names[at[some]][col], far[row, col]))
+                            if sum(len(z[0]) for z in new) > CELLS // 4:
+                                best, new = kept(), []
+        best = kept()
+        yield pa.RecordBatch.from_arrays([pa.array(qid[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2])], names=["query_id", "id", "distance"])
+
+    return rows.mapInArrow(work, "query_id long, id long, distance double")
+
+
 def palette_neighbours(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
     """query_id, id, distance, rank of the k palettes (id, p) nearest to each query (query_id, q) but itself, by ``palette_distance`` to nine decimals, ties by id.
 
     The nearest colours of a palette average to a point within its box, so its mean distance to another is at least that
     from the mean to the other's box. Palettes lie on a grid by their mean; from the boxes of a cell's means and of its
     colours follows the least distance that a palette there can have, both ways. Each query meets the nearest cells
-    that hold more than k, then those whose bound is within its k-th distance, by an equi-join on the cell. Null and
-    empty palettes are no one's neighbours.
+    that hold more than k, then those whose bound is within its k-th distance; a task's rows of a cell meet the queries that
+    want it as products of matrices (``_palettes_met``). Rows are dealt to so many tasks that each compares about PALETTES
+    pairs. Null and empty palettes are no one's neighbours.
     """
     cell = lambda c: F.greatest(F.lit(0), F.least(F.lit(GRID - 1), F.floor(F.col(f"mean_{c}") * GRID / 256)))
     rows = library.where(F.size("p") > 0).select("id", "p", *_shape("p"))
-    rows = rows.withColumn("cell", ((cell("r") * GRID + cell("g")) * GRID + cell("b")).cast("int"))
+    rows = settled(rows.withColumn("cell", ((cell("r") * GRID + cell("g")) * GRID + cell("b")).cast("int")))
     edge = [f(f"{x}_{c}").alias(f"{f.__name__}_{x}_{c}") for f, x in ((F.min, "mean"), (F.max, "mean"), (F.min, "low"), (F.max, "high")) for c in "rgb"]
     cells = rows.groupBy("cell").agg(F.count("*").alias("n"), *edge).orderBy("cell").toArrow()  # at most GRID ** 3
     asked = queries.where(F.size("q") > 0).select("query_id", "q").distinct()
-    blocks, out = max(1, -(-asked.count() // QUERIES)), None
+    many = asked.count()
+    blocks, out = max(1, -(-many // QUERIES)), None
+    dealt = rows.select("id", "cell", *_channels("p")).repartition(int(max(1, -(-many * rows.count() // PALETTES))))
     box = lambda table, name: np.stack([table[f"{name}_{c}"].to_numpy() for c in "rgb"], axis=1)
     for block in range(blocks):
         some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
@@ -317,11 +396,13 @@ def palette_neighbours(queries: DataFrame, library: DataFrame, k: int) -> DataFr
         first = np.zeros(bound.shape, bool)
         np.put_along_axis(first, order, np.cumsum(size[order], axis=1) - size[order] < k + 1, axis=1)
 
-        def met(wanted: np.ndarray, some=some, ids=ids, names=names) -> DataFrame:
-            row, col = np.nonzero(wanted)
-            pairs = some.sparkSession.createDataFrame(pa.table({"query_id": pa.array(ids[row]), "cell": pa.array(names[col], pa.int32())}))  # QUERIES x GRID ** 3 at most
-            near = rows.select("id", "p", "cell").join(F.broadcast(pairs), "cell").join(F.broadcast(some), "query_id").where("query_id <> id")
-            return _best(near.select("query_id", "id", F.round(palette_distance("q", "p"), 9).alias("distance")), k)
+        held = some.select("query_id", *_channels("q")).toArrow().combine_chunks()
+        at = {i: j for j, i in enumerate(held["query_id"].to_pylist())}
+
+        def met(wanted: np.ndarray, held=held, at=np.array([at[i] for i in ids.tolist()]), names=names) -> DataFrame:
+            by = {int(names[j]): at[np.flatnonzero(wanted[:, j])] for j in np.flatnonzero(wanted.any(axis=0))}
+            near = _palettes_met(held, by, dealt.where(F.col("cell").isin(*by)), k)
+            return _best(near.select("query_id", "id", F.round("distance", 9).alias("distance")), k)
 
         one = settled(met(first))
         kth = {r["query_id"]: r["distance"] for r in one.where(F.col("rank") == k).collect()}

@@ -151,3 +151,23 @@ def test_palette_neighbours_against_brute_force(spark, monkeypatch):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert V.palette_neighbours(asked.where("false"), lib, 3).count() == 0 == V.palette_neighbours(asked, lib.where("false"), 3).count()
+
+
+def test_palettes_are_dealt_by_their_pairs(spark, monkeypatch):
+    """Palettes that all lie in one cell meet in as many tasks as their pairs ask for, and no distance is computed in a join."""
+    monkeypatch.setattr(V, "PALETTES", 4000)
+    rng = random.Random(3)
+    rows = [(i, [tuple(rng.randint(96, 127) for _ in range(3)) for _ in range(4)]) for i in range(400)]
+    lib = spark.createDataFrame(rows, "id long, p array<struct<r:smallint,g:smallint,b:smallint>>")
+    asked = lib.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("p").alias("q"))
+    made, plain = [], V._palettes_met
+
+    def noted(queries, by, rows, k):
+        made.append((len(by), rows.rdd.getNumPartitions()))
+        return plain(queries, by, rows, k)
+
+    monkeypatch.setattr(V, "_palettes_met", noted)
+    got = {(r["query_id"], r["id"], r["distance"]) for r in V.palette_neighbours(asked, lib, 7).collect()}
+    assert made == [(1, 2)]
+    far = asked.crossJoin(lib).where("query_id <> id").select("query_id", "id", F.round(V.palette_distance("q", "p"), 9).alias("distance"))
+    assert got == {(r["query_id"], r["id"], r["distance"]) for r in V._best(far, 7).collect()}
