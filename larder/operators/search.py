@@ -14,6 +14,8 @@ from .neighbours import VectorCells, palette_distance, palette_neighbours
 from .ranking import placed, similar_by_hash, sort_keys, top_k, with_size
 from .textindex import FIELDS, LEAST_IDF, MARKED, PLACES, PLAIN, Segments, TextIndex, occurrences, part, phrases, postings, tokens
 
+#: Most vectors of a block of all pairs, blocks of a small table, and vectors a side of one matrix product.
+PAIR_BLOCK, PAIR_PARTS, PAIR_STEP = 16384, 8, 512
 #: The damping of fusion; the size and floor of the semantic side; neighbours.
 DAMPING, SEMANTIC, FLOOR, NEIGHBOURS, NEIGHBOUR_FLOOR = 60, 120, 0.24, 60, 0.80
 
@@ -144,29 +146,35 @@ def evaluate(ranking: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
 def pair_percentiles(library: DataFrame, percents: tuple[float, ...] = (0.01, 0.5, 0.99), step: float = 1e-3) -> DataFrame:
     """percent and cosine: percentiles over all pairs of unit vectors (id, v), to within ``step``.
 
-    Vectors are dealt into blocks; every pair of blocks is a matrix product in one task, which sends only a histogram,
-    so what leaves a task does not grow with its pairs.
+    Vectors are dealt into blocks; every pair of blocks is a few matrix products in one task, which counts their cells as
+    they come and sends only a histogram, so neither what a task holds nor what leaves it grows with its pairs. A vector is
+    sent, as it is stored, once for each block: there are PAIR_PARTS for a small table, and more only as blocks would pass
+    PAIR_BLOCK vectors.
     """
     import numpy as np
     import pyarrow as pa
 
-    bins, block = int(round(2 / step)) + 1, 1024
-    rows = library.where("v is not null").select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
-    blocks = max(1, -(-rows.count() // block))
+    bins = int(round(2 / step)) + 1
+    rows = library.where("v is not null").select("id", "v")
+    many = rows.count()
+    blocks = max(1, -(-many // PAIR_BLOCK), min(PAIR_PARTS, -(-many // PAIR_STEP)))
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    pairs = dealt.select("id", "v", "b", others).select("id", "v", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+    pairs = dealt.select("v", "b", others).select("v", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
 
     def histogram(table: pa.Table) -> pa.Table:
-        v, b = np.array(table["v"].to_pylist()), table["b"].to_numpy()
+        column = table["v"].combine_chunks()
+        v, b = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1), table["b"].to_numpy()
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
         x, y = v[b == lo], v[b == hi]
-        if not len(x) or not len(y):
-            return pa.table({"bin": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
-        s = x @ y.T
-        s = s[np.triu_indices(len(x), 1)] if lo == hi else s.ravel()
-        at, n = np.unique(np.rint((np.clip(s, -1, 1) + 1) / step).astype(np.int32), return_counts=True)
-        return pa.table({"bin": at, "n": n.astype(np.int64)})
+        n = np.zeros(bins, np.int64)
+        for i in range(0, len(x), PAIR_STEP):
+            for j in range(i if lo == hi else 0, len(y), PAIR_STEP):
+                s = x[i : i + PAIR_STEP] @ y[j : j + PAIR_STEP].T
+                s = s[np.triu_indices(len(s), 1)] if lo == hi and i == j else s.ravel()
+                n += np.bincount(np.rint((np.clip(s, -1, 1) + 1) / step).astype(np.int32), minlength=bins)
+        at = np.flatnonzero(n)
+        return pa.table({"bin": pa.array(at.astype(np.int32)), "n": pa.array(n[at])})
 
     counts = pairs.groupBy("lo", "hi").applyInArrow(histogram, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
     below = counts.withColumn("c", F.sum("n").over(Window.orderBy("bin"))).withColumn("t", F.sum("n").over(Window.partitionBy()))  # at most 2 / step rows

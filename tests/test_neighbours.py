@@ -171,3 +171,21 @@ def test_palettes_are_dealt_by_their_pairs(spark, monkeypatch):
     assert made == [(1, 2)]
     far = asked.crossJoin(lib).where("query_id <> id").select("query_id", "id", F.round(V.palette_distance("q", "p"), 9).alias("distance"))
     assert got == {(r["query_id"], r["id"], r["distance"]) for r in V._best(far, 7).collect()}
+
+
+def test_pair_percentiles_against_brute_force(spark, monkeypatch):
+    """All pairs once, whatever the blocks; a vector is sent once for each block, and blocks grow before they become more."""
+    from larder.operators import search as R
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 6))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    lib = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, v array<double>")
+    s = np.sort(np.rint(((x @ x.T)[np.triu_indices(700, 1)] + 1) / 1e-3).astype(int))
+    want = {p: round(s[int(np.ceil(p * len(s))) - 1] * 1e-3 - 1, 9) for p in (0.01, 0.5, 0.99)}
+    for block, parts, step, sent in ((16384, 8, 512, 2), (16384, 1, 64, 1), (100, 1, 64, 7)):
+        for name, value in (("PAIR_BLOCK", block), ("PAIR_PARTS", parts), ("PAIR_STEP", step)):
+            monkeypatch.setattr(R, name, value)
+        found = R.pair_percentiles(lib)
+        assert {r["percent"]: round(r["cosine"], 9) for r in found.collect()} == want
+        assert f"sequence(0, {sent - 1}" in found._jdf.queryExecution().analyzed().toString()
