@@ -1,17 +1,21 @@
 """Stored text indexes: immutable segments, deletions by document, merging by size, and searches that skip blocks.
 
 A segment holds the words of some documents: a row for each word of a document (token, id, how often, how long the
-document is, where), by bucket and token, and within a token by block of documents. Documents of about one length
+document is, where), after a row for each document (without a token, in the first bucket), by bucket and token, and within a token by block of documents. Documents of about one length
 share a block, and for each word of a block the most occurrences and the least length are stored: they bound what
 the word can score there. A document that changes or goes is noted beside the segments with the one that holds it,
 and its new text is in the segment of the change; so a change writes what it changes. Segments of a like size are
 merged when there are ``MERGE`` of them, so that a document is rewritten about log n times, and what is noted about
 documents of merged segments goes.
+
+A segment of new documents is made by tasks that each take some documents whole: they sort the words of theirs, share
+their documents out to blocks and write words, bounds and lengths at once. So the texts are dealt, not their words.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from math import log
@@ -19,6 +23,7 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +37,9 @@ MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩī
 PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 FIELDS = ("title", "notes", "filename", "caption", "tags")
 #: Most folders of a segment's postings, by hash of the token, and the documents of a segment for each of them.
-BUCKETS, PER_BUCKET = 64, 2048
-#: Words that a worker counts at once, and that a task sorts.
-WORDS, PER_TASK = 500_000, 2_000_000
+BUCKETS, PER_BUCKET = 16, 2048
+#: Words that a worker counts at once, that a task sorts, bytes of a word, with the space behind it, that a number of tasks reckons with, and rows that a worker hands over at once.
+WORDS, PER_TASK, BYTES, ROWS = 500_000, 4_000_000, 6, 100_000
 #: Documents of a block, steps of a doubling of length that may share one, and rows of a page of a file, which is what a search skips.
 BLOCK, STEPS, PAGE = 512, 4, 2000
 #: Segments of a like size that are merged, and how many times larger the next size is.
@@ -46,17 +51,28 @@ HELD = 200_000
 #: Decimals of a score that count in an order, so that ties do not hang on the order in which Spark adds.
 PLACES = 9
 NAME = "text"
-_PLACES = "array<struct<field:string,pos:int>>"
+_PLACES = "array<bigint>"  # the field's number in its segment in the upper half, the place in the lower
 _WORDS = f"token string, block bigint, id bigint, n bigint, length double, places {_PLACES}, bucket int"
-_BOUNDS = "token string, block bigint, docs bigint, most bigint, least double, bucket int"
+_BOUNDS = "token string, block bigint, id bigint, n bigint, length double, bucket int"  # documents, most occurrences and least length of a word's block
 _DOCS = "id bigint, length double, block bigint"
+_ROWS = f"kind string, bucket int, token string, block bigint, id bigint, n bigint, length double, places {_PLACES}"
 _GONE = "segment bigint, id bigint, length double, block bigint"
 
 
+def _plain(c):
+    """Text in lower case without marks."""
+    text = F.lower(F.col(c) if isinstance(c, str) else c)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, MARKED, PLAIN))  # ASCII has no marks
+
+
 def tokens(c):
     """Lower-case words without marks, in order."""
-    text = F.translate(F.lower(F.col(c) if isinstance(c, str) else c), MARKED, PLAIN)
-    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"))
+    return F.regexp_extract_all(_plain(c), F.lit(r"([\p{L}\p{N}]+)"))
+
+
+def spaced(c):
+    """The same words as one text, with a space between any two."""
+    return F.trim(F.regexp_replace(_plain(c), r"[^\p{L}\p{N}]+", " "))
 
 
 def postings(docs: DataFrame, fields: tuple[str, ...] | list[str] = FIELDS) -> DataFrame:
@@ -94,6 +110,7 @@ class TextIndex:
     def __init__(self, docs: DataFrame, fields: tuple[str, ...] | list[str] | None = None) -> None:
         self.fields = [f for f in fields or FIELDS if f in docs.columns]
         self.sparkSession, self._words = docs.sparkSession, docs.select("id", *[F.coalesce(tokens(f), F.array().cast("array<string>")).alias(f) for f in sorted(self.fields)])
+        self._texts = docs.select(F.col("id").cast("bigint").alias("id"), *[F.coalesce(spaced(f), F.lit("")).alias(f) for f in sorted(self.fields)])
         size = reduce(Column.__add__, [F.size(f) for f in self.fields], F.lit(0)).cast("double")
         self.posting, self.lengths = postings(docs, self.fields), self._words.select("id", size.alias("length"))
 
@@ -104,6 +121,10 @@ class TextIndex:
         """
         return self._words.mapInArrow(_runs, f"id {self._words.schema['id'].dataType.simpleString()}, length double, first boolean, token string, places array<bigint>")
 
+    def texts(self) -> DataFrame:
+        """(id, the words of each field in order of the fields' names with a space between, bytes): the documents as a segment is made of them."""
+        return self._texts.withColumn("_bytes", reduce(Column.__add__, [F.octet_length(f) for f in self.fields], F.lit(0)))
+
     @staticmethod
     def of(docs: DataFrame | TextIndex, fields: tuple[str, ...] | list[str] | None = None) -> TextIndex:
         """An index of documents; one that is there stays as it is."""
@@ -142,7 +163,8 @@ class Segments(TextIndex):
 
     def _each(self, below: str, schema: str) -> Iterator[tuple[dict, DataFrame]]:
         for segment in self.segments:
-            yield segment, self.snapshot.load(segment, schema, below).withColumn("segment", F.lit(segment["number"]).cast("bigint"))
+            rows = self.snapshot.load(segment, schema, below).select(*[c.split()[0] for c in schema.split(", ")])
+            yield segment, rows.withColumn("segment", F.lit(segment["number"]).cast("bigint"))
 
     def _all(self, frames: list[DataFrame], schema: str) -> DataFrame:
         return reduce(DataFrame.unionByName, frames) if frames else self.sparkSession.createDataFrame([], f"{schema}, segment bigint")
@@ -163,8 +185,10 @@ class Segments(TextIndex):
         """Rows of some tokens, of each segment their buckets alone; with ``blocks``, rows of those blocks of each segment alone."""
         frames = []
         for segment, rows in self._each(below, schema):
-            if words is not None:
-                place = lambda w, n=segment["buckets"]: F.col("bucket") == F.pmod(F.xxhash64(F.lit(w)), F.lit(n)).cast("int")  # noqa: E731  a constant, so folders are pruned
+            if words is None:
+                rows = rows.where("token is not null")
+            else:
+                place = lambda w, n=segment["buckets"]: F.col("bucket") == _bucket(F.lit(w), n)  # noqa: E731  a constant, so folders are pruned
                 rows = rows.where(reduce(Column.__or__, map(place, words))).where(F.col("token").isin(*words))
             if blocks is not None:
                 if not blocks.get(segment["number"]):
@@ -175,12 +199,35 @@ class Segments(TextIndex):
 
     def words(self, words: list[str] | None, blocks: dict[int, list[int]] | None = None) -> DataFrame:
         """(segment, block, token, id, n, length, places) of documents that are there."""
-        return self._live(self._of("/words", _WORDS, words, blocks))
+        return self._live(self._of("/kind=words", _WORDS, words, blocks))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """(id, field, pos, token) of rows of words (segment, id, token, places)."""
+        lists: dict[tuple[str, ...], list[int]] = {}
+        for p in self.segments:
+            lists.setdefault(tuple(p["fields"]), []).append(p["number"])
+        name = lambda fields: F.get(F.array(*[F.lit(f) for f in fields]).cast("array<string>"), F.shiftright("_p", 32).cast("int"))
+        field = F.lit(None).cast("string")
+        for fields, numbers in lists.items():
+            field = name(fields) if len(lists) == 1 else F.when(F.col("segment").isin(*numbers), name(fields)).otherwise(field)
+        each = rows.select("segment", "id", "token", F.explode("places").alias("_p"))
+        return each.select("id", field.alias("field"), F.col("_p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "token")
+
+    def renumbered(self) -> tuple[DataFrame, list[str]]:
+        """(id, token, n, length, places) of all documents that are there, with the fields of all segments, by whose order places number them."""
+        every = sorted({f for p in self.segments for f in p["fields"]})
+        rows = self.words(None)
+        for p in self.segments:
+            if p["fields"] != every:
+                new = F.array(*[F.lit(every.index(f)).cast("bigint") for f in p["fields"]])
+                moved = F.transform("places", lambda x: F.shiftleft(F.get(new, F.shiftright(x, 32).cast("int")), 32) + x.bitwiseAND(F.lit((1 << 32) - 1)))  # noqa: B023  called at once
+                rows = rows.withColumn("places", F.when(F.col("segment") == p["number"], moved).otherwise(F.col("places")))
+        return rows.select("id", "token", "n", "length", "places"), every
 
     @property
     def docs(self) -> DataFrame:
         """(segment, block, id, length) of documents that are there."""
-        return self._live(self._all([rows for _, rows in self._each("/docs", _DOCS)], _DOCS))
+        return self._live(self._all([_documents(rows).select("id", "length", "block", "segment") for _, rows in self._each("/kind=words", _WORDS)], _DOCS))
 
     @property
     def lengths(self) -> DataFrame:
@@ -188,10 +235,10 @@ class Segments(TextIndex):
 
     @property
     def posting(self) -> DataFrame:
-        return self.words(None).select("id", "token", F.inline("places")).select("id", "field", "pos", "token")
+        return self._placed(self.words(None))
 
     def of_tokens(self, words: list[str]) -> DataFrame:
-        return self.words(words).select("id", "token", F.inline("places")).select("id", "field", "pos", "token")
+        return self._placed(self.words(words))
 
     def size(self) -> tuple[int, float]:
         """Number of documents and their mean length, from what was counted when they were written."""
@@ -208,14 +255,14 @@ class Segments(TextIndex):
         for i, phrase in enumerate(found):
             rows = self.words(phrase)
             if len(phrase) > 1:
-                one = occurrences(rows.select("id", "token", F.inline("places")), phrase)
+                one = occurrences(self._placed(rows), phrase)
                 rows = one.join(rows.where(F.col("token") == phrase[0]).select("id", "length"), "id")
             out.append(rows.select("id", F.lit(i).alias("i"), "n", "length"))
         return reduce(DataFrame.union, out)
 
     def frequencies(self, words: list[str]) -> dict[str, int]:
         """In how many documents each token is: the sums of what is stored for its blocks, less the documents that are gone, for which only the blocks that held them are read."""
-        rows = self._of("/bounds", _BOUNDS, words).groupBy("token").agg(F.sum("docs").alias("n")).collect()  # a row for each word of the query
+        rows = self._of("/kind=bounds", _BOUNDS, words).groupBy("token").agg(F.sum("id").alias("n")).collect()  # a row for each word of the query
         count = {r["token"]: r["n"] for r in rows}
         gone = self.gone
         if gone is not None and count:
@@ -223,7 +270,7 @@ class Segments(TextIndex):
             blocks: dict[int, list[int]] = {}
             for r in touched:
                 blocks.setdefault(r["segment"], []).append(r["block"])
-            held = self._of("/words", _WORDS, words, blocks if len(touched) <= NAMED else None).join(gone.select("segment", "id"), ["segment", "id"], "left_semi")
+            held = self._of("/kind=words", _WORDS, words, blocks if len(touched) <= NAMED else None).join(gone.select("segment", "id"), ["segment", "id"], "left_semi")
             for r in held.groupBy("token").agg(F.count("*").alias("n")).collect():
                 count[r["token"]] -= r["n"]
         return {w: count.get(w, 0) for w in words}
@@ -231,7 +278,7 @@ class Segments(TextIndex):
     def bounds(self, words: list[str], idf: dict[str, float], mean: float) -> DataFrame:
         """(segment, block, bound) of blocks that hold all tokens: no document there scores more."""
         most = reduce(lambda x, w: F.when(F.col("token") == w, F.lit(idf[w])).otherwise(x), words, F.lit(0.0)) * part(F.col("most"), F.col("least"), mean)
-        each = self._of("/bounds", _BOUNDS, words).groupBy("segment", "block", "token").agg(F.max("most").alias("most"), F.min("least").alias("least"))  # a block's rows may lie in several files
+        each = self._of("/kind=bounds", _BOUNDS, words).groupBy("segment", "block", "token").agg(F.max("n").alias("most"), F.min("length").alias("least"))  # a block's rows may lie in several files
         rows = each.groupBy("segment", "block").agg(F.sum(most).alias("bound"), F.count("*").alias("m"))
         return rows.where(F.col("m") == len(words)).select("segment", "block", (F.col("bound") * (1 + 1e-9) + 10.0**-PLACES).alias("bound"))  # scores are rounded
 
@@ -331,7 +378,94 @@ def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.concatenate([[0], np.flatnonzero(new) + 1])
         docs = np.diff(np.concatenate([first, [batch.num_rows]]))
         most, least = np.maximum.reduceat(batch.column(2).to_numpy(), first), np.minimum.reduceat(batch.column(3).to_numpy(), first)
-        yield pa.RecordBatch.from_arrays([token.take(pa.array(first)), *map(pa.array, (block[first], docs, most, least)), batch.column(4).take(pa.array(first))], names=["token", "block", "docs", "most", "least", "bucket"])
+        yield pa.RecordBatch.from_arrays([token.take(pa.array(first)), *map(pa.array, (block[first], docs, most, least)), batch.column(4).take(pa.array(first))], names=["token", "block", "id", "n", "length", "bucket"])
+
+
+def _documents(words: DataFrame) -> DataFrame:
+    """The rows of documents among those of words."""
+    return words.where("bucket = 0 and token is null")
+
+
+def _bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def _inverted(batches: Iterator[pa.RecordBatch], buckets: int, block: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Of documents (id, the words of each field with a space between, bytes) the rows of a segment (_ROWS), in order of kind, bucket, token and block; about ``most`` words at once.
+
+    Documents of one step of length, in order of length, are ``block`` to a block; a block is this task's alone.
+    """
+    task, blocks = TaskContext.get().partitionId(), 0
+    held: list[tuple[pa.RecordBatch, np.ndarray]] = []
+    many = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = batch.columns[1:-1]
+        sizes = np.stack([np.where(pc.binary_length(c).to_numpy() > 0, pc.count_substring(c, " ").to_numpy() + 1, 0) for c in texts]) if texts else np.zeros((1, batch.num_rows), int)
+        sizes = sizes.astype(np.int64)
+        part = (many + np.cumsum(sizes.sum(axis=0))) // most
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and part[start]:  # full, or full with these
+                yield from _sorted(held, buckets, block, task, blocks)
+                blocks += sum(b.num_rows for b, _ in held)
+                held, many = [], 0
+            held.append((batch.slice(start, end - start), sizes[:, start:end]))
+            many += int(sizes[:, start:end].sum())
+    if held:
+        yield from _sorted(held, buckets, block, task, blocks)
+
+
+def _sorted(held: list[tuple[pa.RecordBatch, np.ndarray]], buckets: int, block: int, task: int, blocks: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a segment of some documents whose numbers of words by field are given; their blocks are numbered from ``blocks`` on."""
+    sizes = np.concatenate([x for _, x in held], axis=1)
+    by_length = np.argsort(sizes.sum(axis=0), kind="stable")
+    docs, sizes = pa.Table.from_batches([b for b, _ in held]).take(pa.array(by_length)).combine_chunks(), sizes[:, by_length]
+    length, ids = sizes.sum(axis=0), docs.column(0).combine_chunks()
+    step = np.floor(np.log2(length + 1) * STEPS).astype(np.int64)
+    first = np.flatnonzero(np.diff(step, prepend=-1))
+    cut = (np.arange(len(step)) - np.repeat(first, np.diff(np.append(first, len(step))))) % block == 0
+    number = np.cumsum(cut) - 1  # of each document's block, in order
+    name = (step << 48) + (task << 24) + blocks + number
+
+    words, doc, at = [], [], []
+    for f, column in enumerate(docs.columns[1:-1]):
+        some = np.flatnonzero(sizes[f])
+        n = sizes[f][some]
+        words += pc.list_flatten(pc.split_pattern(column.take(pa.array(some)), " ")).chunks
+        doc.append(np.repeat(some, n))
+        at.append((f << 32) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    codes = pa.concat_arrays(words or [pa.array([], pa.string())]).dictionary_encode()
+    doc, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, at))
+    bucket = np.array([zlib.crc32(w.encode()) % buckets for w in codes.dictionary.to_pylist()], np.int32)
+    rank = np.empty(len(bucket), np.int64)
+    rank[pc.sort_indices(codes.dictionary).to_numpy()] = np.arange(len(bucket))
+    by = np.lexsort((rank, bucket))  # the different words by bucket and token
+    rank[by] = np.arange(len(by))
+    key = rank[codes.indices.to_numpy()] * len(length) + doc
+    order = np.argsort(key, kind="stable")  # places stay by field
+    key, at = key[order], at[order]
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    word, doc, n = key[new] // len(length), key[new] % len(length), np.diff(np.append(new, len(key)))
+    start = np.flatnonzero(np.diff(word * (int(number[-1]) + 1) + number[doc], prepend=-1))
+    token, bucket = codes.dictionary.take(pa.array(by)), bucket[by]
+
+    schema = {"kind": pa.string(), "bucket": pa.int32(), "token": pa.string(), "block": pa.int64(), "id": pa.int64(), "n": pa.int64(), "length": pa.float64(), "places": pa.list_(pa.int64())}
+
+    def rows(kind: str, many: int, **given) -> pa.RecordBatch:
+        given["kind"] = pa.repeat(pa.scalar(kind), many)
+        return pa.RecordBatch.from_arrays([pa.array(given[c], t) if isinstance(given.get(c), np.ndarray) else given.get(c, pa.nulls(many, t)) for c, t in schema.items()], names=list(schema))
+
+    if len(start):
+        w, d = word[start], doc[start]
+        counts = np.diff(np.append(start, len(word)))
+        yield rows("bounds", len(start), bucket=bucket[w], token=token.take(pa.array(w)), block=name[d], id=counts, n=np.maximum.reduceat(n, start), length=np.minimum.reduceat(length[doc], start).astype(float))
+    yield rows("words", len(length), bucket=np.zeros(len(length), np.int32), block=name, id=ids, length=length.astype(float))
+    for a in range(0, len(word), ROWS):
+        w, d, ends = word[a : a + ROWS], doc[a : a + ROWS], np.append(new, len(key))[a : a + ROWS + 1]
+        places = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(at[ends[0] : ends[-1]]))
+        yield rows("words", len(w), bucket=bucket[w], token=token.take(pa.array(w)), block=name[d], id=ids.take(pa.array(d)), n=n[a : a + ROWS], length=length[d].astype(float), places=places)
 
 
 def _step(length: Column) -> Column:
@@ -354,40 +488,67 @@ def counted(held: DataFrame) -> DataFrame:
     return rows.groupBy("id", "token").agg(F.sum("n").alias("n"), F.max("length").alias("length"), F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
 
 
-def _write(change: Change, words: DataFrame, docs: DataFrame, most_buckets: int = BUCKETS, fields: list[str] | None = None) -> dict | None:
+def _written(change: Change, folder: str, name: str, buckets: int, fields: list[str]) -> dict:
+    """What a version says of a segment that lies in a folder."""
+    n, total = _documents(change.spark.read.schema(_WORDS).parquet(f"{folder}/kind=words")).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0.0))).first()
+    return {"folder": name, "kind": "segment", "number": _numbered(change), "docs": n, "words": total, "buckets": buckets, "fields": fields}
+
+
+def _make(change: Change, texts: DataFrame, most_buckets: int, fields: list[str]) -> dict | None:
+    """A segment of documents, each of an id of its own, as ``texts`` gives them; None if there are none.
+
+    Texts go to tasks by their ids, and to so many that each sorts about PER_TASK words.
+    """
+    n, total = texts.agg(F.count("*"), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    if not n:
+        return None
+    name, folder = change.folder(NAME)
+    buckets, block, most = max(1, min(most_buckets, n // PER_BUCKET)), BLOCK, 2 * PER_TASK
+    tasks = max(1, -(-total // (BYTES * PER_TASK)))
+    rows = texts.repartition(tasks, "id").mapInArrow(lambda batches: _inverted(batches, buckets, block, most), _ROWS)
+    rows.sortWithinPartitions("kind", "bucket", "token", "block").write.partitionBy("kind", "bucket").option("parquet.page.row.count.limit", PAGE).parquet(folder)
+    if not total:  # no words, so no folder of their bounds
+        change.spark.createDataFrame([], _BOUNDS).write.parquet(f"{folder}/kind=bounds")
+    return _written(change, folder, name, buckets, fields)
+
+
+def _write(change: Change, words: DataFrame, docs: DataFrame, fields: list[str], most_buckets: int = BUCKETS) -> dict | None:
     """A segment of words (id, token, n, length, places) of documents (id, length); None if there are no documents.
 
-    With ``fields`` places are whole numbers, as ``counted`` gives them, until they are dealt. Words go to tasks by bucket and
-    hash of the block, without a look at them before, and of so many that each task sorts about PER_TASK in memory.
+    Words go to tasks by bucket and hash of the block, without a look at them before, and of so many that each task sorts about PER_TASK in memory.
     """
     name, folder = change.folder(NAME)
     spark = change.spark
-    steps = {r["step"]: r["n"] for r in docs.groupBy(_step(F.col("length")).alias("step")).agg(F.count("*").alias("n")).collect()}  # some hundred at most
-    if not steps:
+    found = docs.groupBy(_step(F.col("length")).alias("step")).agg(F.count("*").alias("n"), F.sum("length").alias("words")).collect()  # some hundred at most
+    if not found:
         return None
+    steps, n, total = {r["step"]: r["n"] for r in found}, sum(r["n"] for r in found), sum(r["words"] for r in found)
     many = F.create_map(*[F.lit(x).cast("int") for s, n in steps.items() for x in (s, -(-n // BLOCK))])
     block = (F.shiftleft(_step(F.col("length")).cast("bigint"), 32) + F.pmod(F.xxhash64("id"), many[_step(F.col("length"))])).alias("block")
-    docs.select("id", "length", block).repartition("id").write.parquet(f"{folder}/docs")  # few rows in few files
-    n, total = spark.read.schema(_DOCS).parquet(f"{folder}/docs").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0.0))).first()
     buckets = max(1, min(most_buckets, n // PER_BUCKET))
-    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+    bucket = F.coalesce(_bucket(F.col("token"), buckets), F.lit(0))
     each = max(1, int(-(-total // (buckets * PER_TASK))))  # tasks of a bucket, by the hash of the block, so that no word is a task's alone and a task's words do not grow
-    place = lambda x: F.struct(F.get(F.array(*[F.lit(f) for f in sorted(fields)]), F.shiftright(x, 32).cast("int")).alias("field"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
-
     written = lambda df: df.write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE)
     by = ("bucket", "token", "block", "id")
-    sent = words.select("token", block, "id", "length", "places").repartitionById(buckets * each, bucket * each + F.pmod(F.xxhash64("block"), F.lit(each)).cast("int"))
-    dealt = sent.select("token", "block", "id", F.size("places").cast("bigint").alias("n"), "length", F.transform("places", place).alias("places") if fields else "places", bucket.alias("bucket")).sortWithinPartitions(*by)
-    written(dealt).parquet(f"{folder}/words")
-    held = spark.read.schema(_WORDS).parquet(f"{folder}/words").select("token", "block", "n", "length", "bucket")
-    written(held.mapInArrow(_bounds, _BOUNDS).sortWithinPartitions("bucket", "token", "block")).parquet(f"{folder}/bounds")
-    return {"folder": name, "kind": "segment", "number": _numbered(change), "docs": n, "words": total, "buckets": buckets}
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("token", "string"), ("places", _PLACES))]
+    rows = words.select("token", block, "id", "length", "places").unionByName(docs.select("id", "length", block, *none))
+    sent = rows.repartitionById(buckets * each, bucket * each + F.pmod(F.xxhash64("block"), F.lit(each)).cast("int"))
+    dealt = sent.select("token", "block", "id", F.when(F.col("places").isNotNull(), F.size("places")).cast("bigint").alias("n"), "length", "places", bucket.alias("bucket")).sortWithinPartitions(*by)
+    written(dealt).parquet(f"{folder}/kind=words")
+    held = spark.read.schema(_WORDS).parquet(f"{folder}/kind=words").where("token is not null").select("token", "block", "n", "length", "bucket")
+    written(held.mapInArrow(_bounds, _BOUNDS).sortWithinPartitions("bucket", "token", "block")).parquet(f"{folder}/kind=bounds")
+    return _written(change, folder, name, buckets, fields)
 
 
 def add_segment(change: Change, index: TextIndex, buckets: int = BUCKETS) -> None:
     """Add the documents of an index made anew, none of which the stored one holds, as a segment."""
-    held = settled(index.sorted_words())  # read for lengths and rows, made once
-    if segment := _write(change, counted(held), held.where("first").select("id", "length"), buckets, index.fields):
+    fields, texts = sorted(index.fields), settled(index.texts())  # read for their size and ids, and then whole
+    if texts.groupBy("id").count().where("count > 1").limit(1).count():  # documents of one id, which are put together
+        held = settled(index.sorted_words())
+        segment = _write(change, counted(held), held.where("first").select("id", "length"), fields, buckets)
+    else:
+        segment = _make(change, texts, buckets, fields)
+    if segment:
         change.name(NAME, [*change.parts(NAME), segment])
 
 
@@ -416,7 +577,8 @@ def merge(change: Change, at_once: int = MERGE) -> int:
         if full is None:
             return went
         some = Segments(Snapshot(change.catalog, 0, {NAME: [*full, *index.notes]}))
-        segment = _write(change, some.words(None).select("id", "token", "n", "length", "places"), some.docs.select("id", "length"))
+        words, fields = some.renumbered()
+        segment = _write(change, words, some.docs.select("id", "length"), fields)
         numbers = {p["number"] for p in full}
         notes = []
         if index.notes:

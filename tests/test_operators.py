@@ -424,3 +424,47 @@ def test_tasks_that_write_an_index_do_not_grow(spark, tmp_path, monkeypatch):
     for name in ("posting", "lengths"):
         want, got = (sorted(map(tuple, x.select(sorted(x.columns)).collect())) for x in (getattr(R.TextIndex(docs), name), getattr(index, name)))
         assert want == got
+
+
+def shuffled_records(spark, began):
+    """Rows that were shuffled, by Spark's own metrics, since an execution; and the last execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, total = store.executionsList(), 0
+    for k in range(runs.size()):
+        run = runs.apply(k)
+        if run.executionId() <= began:
+            continue
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for j in range(nodes.size()):
+            metrics = nodes.apply(j).metrics()
+            for m in range(metrics.size()):
+                metric = metrics.apply(m)
+                if metric.name() == "shuffle records written" and values.contains(metric.accumulatorId()):
+                    total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total, max((runs.apply(k).executionId() for k in range(runs.size())), default=-1)
+
+
+def test_an_index_is_made_without_a_shuffle_of_its_words(spark, tmp_path):
+    """Documents are dealt, not their words; words of several fields, marks, scripts and a document without words come back as they were."""
+    from larder.operators import textindex as T
+    from larder.sources.catalog import Catalog
+
+    docs = spark.range(300).select("id", F.expr("array_join(transform(sequence(1, 60), i -> concat('Wört', (id * i) % 997)), ' - ')").alias("notes"), F.when(F.col("id") % 50 != 0, F.lit("Ÿes 東京 ١٢x 𐐀b_c")).alias("title"))
+    docs = docs.withColumn("notes", F.when(F.col("id") != 100, F.col("notes")))
+    _, began = shuffled_records(spark, -1)
+    index = R.TextIndex(docs).store(Catalog(spark, str(tmp_path / "c")))
+    sent, _ = shuffled_records(spark, began)
+    assert 0 < sent < 300 * 10  # of over 18,000 words
+    for name in ("posting", "lengths"):
+        want, got = (sorted(map(tuple, x.select(sorted(x.columns)).collect())) for x in (getattr(R.TextIndex(docs), name), getattr(index, name)))
+        assert want == got
+    # a segment of other fields: places are numbered anew
+    change = Catalog(spark, str(tmp_path / "c")).begin()
+    T.add_segment(change, R.TextIndex(spark.createDataFrame([(1000, "ab cd", "ef")], "id long, caption string, title string")))
+    both = T.Segments(change)
+    rows, fields = both.renumbered()
+    assert fields == ["caption", "notes", "title"]
+    got = {(r["token"], r["n"], fields[r["places"][0] >> 32], r["places"][0] & 0xFFFFFFFF) for r in rows.where("id = 1000").collect()}
+    assert got == {("ab", 1, "caption", 0), ("cd", 1, "caption", 1), ("ef", 1, "title", 0)}
+    assert rows.where("id = 7 and token = 'c'").first()["places"] == [(2 << 32) + 4]
+    assert {r["field"] for r in both.of_tokens(["ef", "c"]).collect()} == {"title"}
