@@ -393,7 +393,7 @@ def _bucket(token: Column, buckets: int) -> Column:
 def _inverted(batches: Iterator[pa.RecordBatch], buckets: int, block: int, most: int) -> Iterator[pa.RecordBatch]:
     """Of documents (id, the words of each field with a space between, bytes) the rows of a segment (_ROWS), in order of kind, bucket, token and block; about ``most`` words at once.
 
-    Documents of one step of length, in order of length, are ``block`` to a block; a block is this task's alone.
+    Documents in order of length are ``block`` to a block; a block is this task's alone.
     """
     task, blocks = TaskContext.get().partitionId(), 0
     held: list[tuple[pa.RecordBatch, np.ndarray]] = []
@@ -423,11 +423,8 @@ def _sorted(held: list[tuple[pa.RecordBatch, np.ndarray]], buckets: int, block:
     by_length = np.argsort(sizes.sum(axis=0), kind="stable")
     docs, sizes = pa.Table.from_batches([b for b, _ in held]).take(pa.array(by_length)).combine_chunks(), sizes[:, by_length]
     length, ids = sizes.sum(axis=0), docs.column(0).combine_chunks()
-    step = np.floor(np.log2(length + 1) * STEPS).astype(np.int64)
-    first = np.flatnonzero(np.diff(step, prepend=-1))
-    cut = (np.arange(len(step)) - np.repeat(first, np.diff(np.append(first, len(step))))) % block == 0
-    number = np.cumsum(cut) - 1  # of each document's block, in order
-    name = (step << 48) + (task << 24) + blocks + number
+    number = np.arange(len(length)) // block  # of each document's block
+    name = (task << 32) + blocks + number
 
     words, doc, at = [], [], []
     for f, column in enumerate(docs.columns[1:-1]):

@@ -468,3 +468,16 @@ def test_an_index_is_made_without_a_shuffle_of_its_words(spark, tmp_path):
     assert got == {("ab", 1, "caption", 0), ("cd", 1, "caption", 1), ("ef", 1, "title", 0)}
     assert rows.where("id = 7 and token = 'c'").first()["places"] == [(2 << 32) + 4]
     assert {r["field"] for r in both.of_tokens(["ef", "c"]).collect()} == {"title"}
+
+
+def test_blocks_of_an_index_are_full(spark, tmp_path, monkeypatch):
+    """Documents of like length share a block, and a task leaves one block short at most, so that bounds are few."""
+    from larder.operators import textindex as T
+    from larder.sources.catalog import Catalog
+
+    monkeypatch.setattr(T, "BLOCK", 64)
+    docs = spark.range(300).select("id", F.expr("repeat('of ', cast(id as int))").alias("notes"))
+    index = R.TextIndex(docs).store(Catalog(spark, str(tmp_path / "c")))
+    blocks = index.docs.groupBy("block").agg(F.count("*").alias("n"), (F.max("length") - F.min("length")).alias("span")).collect()
+    assert sorted(r["n"] for r in blocks) == [44, 64, 64, 64, 64] and max(r["span"] for r in blocks) == 63
+    assert index.best(["of"], 3) == index.best(["of"], 300)[:3] and len(index.best(["of"], 300)) == 299
